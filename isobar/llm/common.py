@@ -15,9 +15,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+MAX_CLASSES = 1000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -90,12 +92,12 @@ def _power(base: np.uint64, n: int, key: str) -> np.ndarray:
     return _powers[key][:n]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word; the offsets index data."""
+def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes that are not in space; the offsets index data."""
     if not len(data):
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -151,3 +153,48 @@ def row_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     out, rows = shingles(word_hashes(data, s, e), row, len(off) - 1, n)
     cut = np.searchsorted(rows, np.arange(len(off)))
     return [np.unique(out[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int) -> DataFrame:
+    """About per_class rows (doc_id, text, y, prior) of each class, or all; the rest of the learning ends with them.
+
+    The rows are those whose hash of doc_id lies lowest, as a share per_class / (rows of the class) of all hashes, so the
+    bound holds in expectation and needs no sort. prior is the share of the class among all labelled rows of the fold.
+    A doc_id with several labels has its largest; null labels and ids are left out.
+    """
+    y = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).groupBy("doc_id").agg(F.max(label).cast("string").alias("y"))
+    return _sampled(docs, y, per_class)
+
+
+def _sampled(docs: DataFrame, y: DataFrame, per_class: int) -> DataFrame:
+    counts = y.groupBy("y").count().collect()
+    total = sum(r["count"] for r in counts)
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    rows = [(r["y"], r["count"]) for r in counts]
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    keep, prior = F.lit(False), F.lit(0.0)
+    for value, n in rows:
+        keep = keep | ((F.col("y") == value) & (spread < int(min(1.0, per_class / n) * (1 << 30))))
+        prior = F.when(F.col("y") == value, F.lit(n / total)).otherwise(prior)
+    chosen = y.filter(keep).withColumn("prior", prior)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def fitted(sample: DataFrame, fit) -> bytes:
+    """fit(texts as Arrow string array, y as list of str, prior as list of float) -> bytes, run in one task over a bounded sample."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        t = pa.Table.from_batches(got) if got else None
+        order = np.argsort(t.column("doc_id").to_numpy(), kind="stable") if t else []
+        t = t.take(order) if t else None
+        blob = fit(t.column("text").cast(pa.large_string()).combine_chunks() if t else pa.array([], pa.large_string()), t.column("y").to_pylist() if t else [], t.column("prior").to_pylist() if t else [])
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
+
+    return bytes(sample.select("doc_id", "text", "y", "prior").coalesce(1).mapInArrow(run, "model binary").collect()[0]["model"])
+
+
+def crc_fold(column: str, mod: int) -> Column:
+    """crc32 of the id's text, modulo mod."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

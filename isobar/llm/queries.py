@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, urlfilter
-from .common import table
+import public_tokenizers
+
+from . import bpe, language, media, mixing, quality, sharding, toxicity, urlfilter
+from .common import crc_fold, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 SLOTS = 65537
@@ -51,7 +53,37 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def _classified(df: DataFrame, threshold: float) -> DataFrame:
+    return df.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _classified(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", crc_fold("doc_id", 5) != 0)), 0.5)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.label_languages(docs.drop("lang"), language.train(docs, crc_fold("doc_id", 4) != 2), spans=False)
+    return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _classified(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality", crc_fold("doc_id", 5) != 0)), 0.3)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op8_quality": op8_quality, "op10_media": op10_media}
+QUERIES |= {"op2_url_filter": op2_url_filter, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
 SQL = {"op2_url_filter": OP2_SQL, "op9_mixing": mixing.PLAN_SQL}
 
 
