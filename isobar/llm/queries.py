@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, language, media, mixing, quality, sharding, toxicity, urlfilter
+from . import bpe, language, media, mixing, quality, sharding, topk, toxicity, urlfilter
 from .common import crc_fold, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -73,6 +73,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _classified(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality", crc_fold("doc_id", 5) != 0)), 0.3)
@@ -82,9 +86,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op8_quality": op8_quality, "op10_media": op10_media}
+QUERIES = {"op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_top_k": op6_top_k, "op8_quality": op8_quality, "op10_media": op10_media}
 QUERIES |= {"op2_url_filter": op2_url_filter, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
-SQL = {"op2_url_filter": OP2_SQL, "op9_mixing": mixing.PLAN_SQL}
+SQL = {"op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL}
 
 
 def sharding_sql() -> str:
