@@ -84,29 +84,30 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     """Row of q, row of c and score of each query's k best of the block, ties to the smaller id."""
     low = np.iinfo(np.int64).min
     own = q_ids[:, None] == c_ids[None, :]
+    live = ~own
     if len(c_ids) > 4 * (SEEDS + k) and q.shape[1]:
-        live, floor = ~own, None
+        floor = None
         for level in LEVELS:
             sq, sc = _statistics(q, level), _statistics(c, level)
-            slack = 1e-6 + 1e-9 * np.linalg.norm(sq, axis=1)[:, None] * np.linalg.norm(sc, axis=1).max()
-            bound = sq @ sc.T + slack
+            bound = sq @ sc.T
             if floor is None:
-                bound_or_none = np.where(own, -np.inf, bound)
-                seeds = np.argpartition(-bound_or_none, SEEDS + k, axis=1)[:, : SEEDS + k]
-                exact = np.take_along_axis(own, seeds, axis=1)
+                seeds = np.argpartition(bound, -(SEEDS + k), axis=1)[:, -(SEEDS + k) :]
                 s = np.array([_products(q[i : i + 1], c[seeds[i]])[0] for i in range(len(q))])
-                s[exact] = low
+                s[np.take_along_axis(own, seeds, axis=1)] = low
                 floor = np.partition(s, -k, axis=1)[:, -k]
-            live &= bound >= floor[:, None]
+                norm = np.linalg.norm(sc, axis=1).max()
+            live &= bound >= (floor - 1e-6 - 1e-9 * np.linalg.norm(sq, axis=1) * norm)[:, None]
+    rows, cols = np.nonzero(live)
+    if len(rows) > live.size // 16 or float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] >= 2**63:
+        score = _products(q, c)
+        score[~live] = low
+        if len(c_ids) > k:
+            live &= score >= np.partition(score, -k, axis=1)[:, -k][:, None]
         rows, cols = np.nonzero(live)
-        if len(rows) > live.size // 16:
-            score = _products(q, c)[rows, cols]
-        else:
-            top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-            score = np.concatenate([np.einsum("ij,ij->i", q[a], c[b]) for a, b in zip(np.array_split(rows, len(rows) // 65536 + 1), np.array_split(cols, len(rows) // 65536 + 1))]) if top < 2**63 else _products(q, c)[rows, cols]
+        score = score[rows, cols]
     else:
-        rows, cols = np.nonzero(~own)
-        score = _products(q, c)[rows, cols]
+        cuts = len(rows) // 65536 + 1
+        score = np.concatenate([np.einsum("ij,ij->i", q[x], c[y]) for x, y in zip(np.array_split(rows, cuts), np.array_split(cols, cuts))])
     order = np.lexsort((c_ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
