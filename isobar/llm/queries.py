@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, language, media, mixing, quality, sharding, topk, toxicity, urlfilter
+from . import bpe, jaccard, language, media, mixing, quality, sharding, topk, toxicity, urlfilter
 from .common import crc_fold, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 SLOTS = 65537
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures: every row of pages, fetched on day page_id mod 360 of 2024. List: a quarter of the hosts are listed, taken off and listed again; example.net and one first path are listed for a while."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -86,7 +90,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_top_k": op6_top_k, "op8_quality": op8_quality, "op10_media": op10_media}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_top_k": op6_top_k, "op8_quality": op8_quality, "op10_media": op10_media}
 QUERIES |= {"op2_url_filter": op2_url_filter, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
 SQL = {"op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL}
 
