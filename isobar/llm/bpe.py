@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -249,11 +250,11 @@ def with_columns(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Arra
     return pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
 
 
-def _mapped(df: DataFrame, text: str, vocabulary: str, pattern: str, new: list[T.StructField], make) -> DataFrame:
+def _mapped(df: DataFrame, text: str, vocabulary: str, pattern: str, new: list[T.StructField], make, keep_text: bool = True) -> DataFrame:
     with open(vocabulary, "rb") as f:
         contents = f.read()
     shared, key = df.sparkSession.sparkContext.broadcast(contents), (vocabulary, len(contents), pattern)
-    kept = [f for f in df.schema.fields if f.name not in {x.name for x in new}]
+    kept = [f for f in df.schema.fields if f.name not in {x.name for x in new} and (keep_text or f.name != text)]
     names = [f.name for f in kept] + [x.name for x in new]
 
     def run(batches):
@@ -265,10 +266,14 @@ def _mapped(df: DataFrame, text: str, vocabulary: str, pattern: str, new: list[T
     return df.mapInArrow(run, T.StructType(kept + new))
 
 
+def _ids(encoded: list[tuple[str, int, bytes]]) -> pa.Array:
+    flat = np.fromstring(" ".join([e[0] for e in encoded if e[1]]), dtype=np.int32, sep=" ")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([e[1] for e in encoded])), pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """df with ``ids`` (array of int), the ids of the whole text."""
-    make = lambda c, texts: {"ids": pa.array([[int(x) for x in e[0].split()] for e in c.encode(texts)], pa.list_(pa.int32()))}
-    return _mapped(df, text, vocabulary, pattern, [T.StructField("ids", T.ArrayType(T.IntegerType()))], make)
+    return _mapped(df, text, vocabulary, pattern, [T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda c, texts: {"ids": _ids(c.encode(texts))})
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -286,14 +291,24 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids") -> Da
     return df.mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))
 
 
+def _digests(encoded: list[tuple[str, int, bytes]]) -> dict[str, pa.Array]:
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return {"n_tokens": pa.array([x[1] for x in encoded], pa.int64()), "ids_sha256": pa.array([sha(x[0].encode()) for x in encoded], pa.string()), "decoded_sha256": pa.array([sha(x[2]) for x in encoded], pa.string())}
+
+
+_DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
 def digests(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """df without its text, with n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding it, in one pass."""
-    import hashlib
+    return _mapped(df, text, vocabulary, pattern, _DIGESTS, lambda c, texts: _digests(c.encode(texts)), False)
+
+
+def encoded(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """df without its text, with ids and the columns of digests, in one pass."""
 
     def make(c, texts):
         e = c.encode(texts)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        return {"n_tokens": pa.array([x[1] for x in e], pa.int64()), "ids_sha256": pa.array([sha(x[0].encode()) for x in e]), "decoded_sha256": pa.array([sha(x[2]) for x in e])}
+        return _digests(e) | {"ids": _ids(e)}
 
-    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _mapped(df, text, vocabulary, pattern, new, make).drop(text)
+    return _mapped(df, text, vocabulary, pattern, [*_DIGESTS, T.StructField("ids", T.ArrayType(T.IntegerType()))], make, False)
