@@ -7,7 +7,8 @@ sees a whole source, and what is sorted is a ``RANGES``-th of it.
 
 Targets: the sources in code point order (null last) weigh 1, 2, 3, 1, 2, 3, ... and share all words in
 these proportions; a target stops at ``MAX_EPOCHS`` times its source's size, and the excess is shared
-anew by weight until no target is above. In the order of size / weight, that is a running sum as well.
+anew by weight until no target is above. In the order of size / weight, that is a running sum as well: the sources before the first whose
+cap holds its share of what is left stop at their caps.
 A source whose target is e times its size and some more is taken e times whole, and the rest in key
 order; the row in which the budget ends gives its first words only.
 
@@ -43,8 +44,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         (F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
     )
-    fits = F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))
-    w = w.withColumn("share", F.min(fits).over(every))
+    first = F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.row_number().over(by_ratio).alias("place"), "level"))
+    w = w.withColumn("first", first).withColumn("share", F.min("first").over(every)["level"])
     return w.withColumn("target", F.least("cap", F.coalesce(F.col("share") * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
 
 
@@ -107,9 +108,10 @@ PLAN_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('7:' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS cap FROM s),
-l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level,
+      row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
       FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-h AS (SELECT *, min(CASE WHEN cap >= level * weight THEN level END) OVER () AS share FROM l),
+h AS (SELECT *, (SELECT level FROM l WHERE cap >= level * weight ORDER BY place LIMIT 1) AS share FROM l),
 t AS (SELECT source, source_size, least(cap, coalesce(share * weight, cap)) AS target FROM h),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 r AS (SELECT *, CAST(round(target - CAST(epochs * source_size AS DOUBLE)) AS BIGINT) AS rest FROM e),
