@@ -6,9 +6,15 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def _load() -> None:
+    from . import scalars  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return SQL
