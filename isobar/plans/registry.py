@@ -7,7 +7,7 @@ SQL: dict[str, str] = {}
 
 
 def _load() -> None:
-    from . import grids, scalars  # noqa: F401
+    from . import grids, scalars, shapes  # noqa: F401
 
 
 def queries() -> dict:
