@@ -12,10 +12,10 @@ most ``spare`` parts leaves them out, since then one of the spare + 1 parts has
 2. Classes' signatures go to tasks by their leading bits, packed with the class hashes in binary blocks, about 14 bytes each; the number of
    tasks follows the number of signatures. A task sorts its own and keeps the buckets, the sets of at least two classes with a signature in common. Buckets of the same classes
    count once.
-3. In each bucket every class is compared with the smallest (a star: no pairs within a group), exactly, on the sets themselves. Linked pairs are edges.
-4. Then the components of what is linked so far are found, and further stars are drawn among the classes of a bucket which are in different components, round another class each time.
-   When a round links nothing more, the pairs of a bucket that are still in different components are all compared, so no link between components is lost.
-   Pairs that were compared are not compared again.
+3. Buckets are dealt to cells, and each class's set goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes goes as pairs
+   of blocks, so no bucket is too large for a task. A cell compares the classes of each bucket exactly, on the sets, with a matrix product where they are many. No pairs are written: a cell keeps
+   a forest of what it has found linked, skips pairs that are in one tree already, and returns the links that joined trees.
+4. The components of these links are the result. A cell that is lost is computed again from the stored tables.
 
 Sets of candidates are computed anew from their texts, one for each class. Their ids are broadcast only up to ``BROADCAST_IDS``; beyond, they are joined by a shuffle.
 
@@ -164,7 +164,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
-    """Rows (bucket, cls) of every set of at least two classes that share a signature; equal sets of a task once."""
+    """Rows (bucket, cls, size) of every set of at least two classes that share a signature; equal sets of a task once."""
 
     def run(batches):
         sigs, clss = [], []
@@ -199,9 +199,9 @@ def _buckets(entries: DataFrame) -> DataFrame:
         keep = np.zeros(len(at), dtype=bool)
         keep[first] = True
         rows = np.repeat(keep, size)
-        yield pa.RecordBatch.from_pydict({"bucket": np.repeat(name, size)[rows].view(np.int64), "cls": cls[rows].view(np.int64)})
+        yield pa.RecordBatch.from_pydict({"bucket": np.repeat(name, size)[rows].view(np.int64), "cls": cls[rows].view(np.int64), "size": np.repeat(size, size)[rows]})
 
-    return entries.mapInArrow(run, "bucket long, cls long")
+    return entries.mapInArrow(run, "bucket long, cls long, size long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -217,33 +217,97 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return some.mapInArrow(run, "cls long, packed binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) with linked: whether the similarity reaches the threshold."""
-    a, b = sets.select(F.col("cls").alias("u"), F.col("packed").alias("a")), sets.select(F.col("cls").alias("v"), F.col("packed").alias("b"))
-
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("a"), batch.column("b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) * den < num * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], names=["u", "v", "linked"])
-
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, linked boolean")
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("cls"))
-    return members.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-
-def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFrame) -> DataFrame | None:
-    """Components (node, component) of the classes that link; None if none do."""
+class _Forest:
+    """Union-find over classes."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def links_of(members: list[int], sets: dict[int, np.ndarray], num: int, den: int, forest: _Forest, done: set) -> list[tuple[int, int]]:
+    """Links that join trees of forest, of pairs of members; every pair is compared, or is in one tree, or was compared before (in done)."""
+    m, out = len(members), []
+    sized = [len(sets[c]) for c in members]
+    if m >= 12:
+        flat = np.concatenate([sets[c] for c in members])
+        row = np.repeat(np.arange(m), sized)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        new = np.append(True, flat[1:] != flat[:-1])
+        often = np.diff(np.append(np.flatnonzero(new), len(flat))) > 1
+        code = np.cumsum(new) - 1
+        keep = often[code]
+        row, code = row[keep], (np.cumsum(often) - 1)[code[keep]]
+        width = int(often.sum())
+        if m * m * width * 2e-4 < m * (m - 1) / 2 * 12:  # microseconds: a matrix product, or pair by pair
+            both = np.zeros((m, m), dtype=np.float64)
+            for low in range(0, width, 4096):
+                a, b = np.searchsorted(code, (low, low + 4096))
+                block = np.zeros((m, min(4096, width - low)), dtype=np.float32)
+                block[row[a:b], code[a:b] - low] = 1
+                both += block @ block.T
+            size = np.array(sized)
+            x, y = np.nonzero(np.triu(den * both >= num * (size[:, None] + size[None, :] - both), 1))
+            for i, j in zip(x.tolist(), y.tolist()):
+                if forest.join(members[i], members[j]):
+                    out.append((members[i], members[j]))
+            return out
+    for i in range(m):
+        x = sets[members[i]]
+        for j in range(i):
+            y = sets[members[j]]
+            if min(len(x), len(y)) * den < num * max(len(x), len(y)) or forest.root(members[i]) == forest.root(members[j]):
+                continue
+            pair = (members[j], members[i])
+            if pair in done:
+                continue
+            if len(done) < MAX_DONE:
+                done.add(pair)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if den * both >= num * (len(x) + len(y) - both):
+                forest.join(*pair)
+                out.append(pair)
+    return out
+
+
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, n_cells: int) -> DataFrame:
+    """Links (u, v) that hold the components together. Buckets go to cells with their classes' sets, each class once a cell; buckets of over ``BLOCK`` classes go as pairs of blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    m = members.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    m = m.select("cls", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key")).withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(n_cells)).cast("int"))
+    held = m.select(F.col("cell").alias("at"), F.col("cls").alias("c")).distinct()
+    held = held.join(sets, F.col("c") == sets["cls"]).select("at", "c", "packed")
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        known = {c: np.frombuffer(p.as_buffer(), np.uint64) for c, p in zip(own.column("c").to_pylist(), own.column("packed"))}
+        key, cls = rows.column("key").to_numpy(), rows.column("cls").to_numpy()
+        order = np.lexsort((cls, key))
+        key, cls = key[order], cls[order]
+        forest, done, out = _Forest(), set(), []
+        for part in np.split(cls, np.flatnonzero(key[1:] != key[:-1]) + 1):
+            out += links_of(part.tolist(), known, num, den, forest, done)
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    return m.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(run, "u long, v long")
+
+
+def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFrame) -> DataFrame:
+    """Components (node, component) of the classes that link with another."""
     spark = docs.sparkSession
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     per_shingle = 3.2 * (den - num) / num
@@ -252,48 +316,19 @@ def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFram
     members = stored(stored(_buckets(entries), "buckets").distinct(), "members")
     ids = stored(classes.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL").select("doc_id"), "candidates")
     sets = stored(_sets(docs, ids, n).dropDuplicates(["cls"]), "sets")
-    labels, tried, links, turn = None, None, None, 0
-    while True:
-        m = _labelled(members, labels)
-        if labels is not None:
-            split = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-            m = stored(m.join(split, "bucket"), "open")
-            members = m.select("bucket", "cls")
-        exhaustive = turn < 0
-        if exhaustive:
-            other = m.select("bucket", F.col("cls").alias("v"), F.col("label").alias("label2"))
-            pairs = m.withColumnRenamed("cls", "u").join(other, "bucket").filter("label < label2")
-        else:
-            order = F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")
-            star = m.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "cls", "label")).alias("c")).select("bucket", F.col("c.cls").alias("v"), F.col("c.label").alias("label2"))
-            pairs = m.withColumnRenamed("cls", "u").join(star, "bucket").filter("label <> label2")
-            if not turn:
-                pairs = pairs.groupBy("u").agg(F.min("v").alias("v"))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        found = stored(_verified(pairs, sets, num, den), "verified")
-        counts = found.agg(F.count("*"), F.count_if("linked")).first()
-        tried = found.select("u", "v") if tried is None else tried.union(found.select("u", "v"))
-        if counts[1]:
-            new = found.filter("linked").select("u", "v")
-            links = new if links is None else links.union(new)
-            labels = stored(components(links), "labels")
-        if exhaustive:
-            return labels
-        turn = -1 if (turn and not counts[1]) or turn >= MAX_STARS else turn + 1
-
-
-MAX_STARS = 6  # then all pairs in different components
+    rows = members.join(sets.select("cls"), "cls", "left_semi")
+    cells = max(4 * tasks, members.count() // ROWS_PER_CELL)
+    return components(stored(_links(rows, sets, num, den, cells), "links"))
+
+
+BLOCK, ROWS_PER_CELL, MAX_DONE = 1024, 4096, 1 << 20
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     classes = stored(shingle_classes(docs, n), "classes")
     labels = jaccard_links(docs, n, num, den, classes.filter("cls IS NOT NULL"))
-    own = classes.withColumn("comp", F.col("cls"))
-    if labels is not None:
-        own = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+    own = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     own = own.select("doc_id", "n_shingles", "comp")
     least = own.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
