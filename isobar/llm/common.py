@@ -203,7 +203,8 @@ def fitted(sample: DataFrame, fit) -> bytes:
         blob = fit(t.column("text").cast(pa.large_string()).combine_chunks() if t else pa.array([], pa.large_string()), t.column("y").to_pylist() if t else [], t.column("prior").to_pylist() if t else [])
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
 
-    return bytes(sample.select("doc_id", "text", "y", "prior").coalesce(1).mapInArrow(run, "model binary").collect()[0]["model"])
+    got = sample.select("doc_id", "text", "y", "prior").coalesce(1).mapInArrow(run, "model binary").collect()
+    return bytes(got[0]["model"]) if got else fit(pa.array([], pa.large_string()), [], [])  # a table without partitions runs no task
 
 
 def crc_fold(column: str, mod: int) -> Column:
