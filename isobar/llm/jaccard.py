@@ -12,7 +12,7 @@ most ``spare`` parts leaves them out, since then one of the spare + 1 parts has
 2. Classes' signatures go to tasks by their leading bits, packed with the class hashes in binary blocks, about 14 bytes each; the number of
    tasks follows the number of signatures. A task sorts its own and keeps the buckets, the sets of at least two classes with a signature in common. Buckets of the same classes
    count once.
-3. Buckets are dealt to cells, and each class's set goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes goes as pairs
+3. Buckets are dealt to cells by their smallest class, so that the buckets of a few copies come together, and each class's set goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes goes as pairs
    of blocks, so no bucket is too large for a task. A cell compares the classes of each bucket exactly, on the sets, with a matrix product where they are many. No pairs are written: a cell keeps
    a forest of what it has found linked, skips pairs that are in one tree already, and returns the links that joined trees.
 4. The components of these links are the result. A cell that is lost is computed again from the stored tables.
@@ -164,7 +164,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
-    """Rows (bucket, cls, size) of every set of at least two classes that share a signature; equal sets of a task once."""
+    """Rows (bucket, cls, size, least class) of every set of at least two classes that share a signature; equal sets of a task once."""
 
     def run(batches):
         sigs, clss = [], []
@@ -199,9 +199,9 @@ def _buckets(entries: DataFrame) -> DataFrame:
         keep = np.zeros(len(at), dtype=bool)
         keep[first] = True
         rows = np.repeat(keep, size)
-        yield pa.RecordBatch.from_pydict({"bucket": np.repeat(name, size)[rows].view(np.int64), "cls": cls[rows].view(np.int64), "size": np.repeat(size, size)[rows]})
+        yield pa.RecordBatch.from_pydict({"bucket": np.repeat(name, size)[rows].view(np.int64), "cls": cls[rows].view(np.int64), "size": np.repeat(size, size)[rows], "least": np.repeat(cls[at], size)[rows].view(np.int64)})
 
-    return entries.mapInArrow(run, "bucket long, cls long, size long")
+    return entries.mapInArrow(run, "bucket long, cls long, size long, least long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -289,7 +289,9 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, n_cells: int
     """Links (u, v) that hold the components together. Buckets go to cells with their classes' sets, each class once a cell; buckets of over ``BLOCK`` classes go as pairs of blocks."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     m = members.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("cls", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key")).withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(n_cells)).cast("int"))
+    key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    home = F.when(F.col("size") > BLOCK, F.xxhash64(key)).otherwise(F.xxhash64("least"))
+    m = m.select("cls", key.alias("key"), F.pmod(home, F.lit(n_cells)).cast("int").alias("cell"))
     held = m.select(F.col("cell").alias("at"), F.col("cls").alias("c")).distinct()
     held = held.join(sets, F.col("c") == sets["cls"]).select("at", "c", "packed")
 
