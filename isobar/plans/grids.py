@@ -291,3 +291,74 @@ def grid_conservative(spark, sf_dir):
     w = fields.conservative_weights(s, 10.0, 10.0)
     a = fields.conservative(s, w).select("i", "j", r(F.col("value"), 4).alias("total"))
     return a.join(fields.conservative(s, w, True).select("i", "j", r(F.col("value"), 4).alias("mean")), ["i", "j"])
+
+
+@query("grid_cell_dims", "SELECT i, j, round(6371000 * acos(least(1, sin(radians(lat)) * sin(radians(lat)) + cos(radians(10)) * cos(radians(lat)) * cos(radians(lat)))), 2) AS dx, round(6371000 * radians(10), 2) AS dy FROM (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, -180 + 10e0 * i AS lon, -80 + 10e0 * j AS lat FROM range(36) a(i), range(17) b(j))")
+def grid_cell_dims(spark, sf_dir):
+    from isobar.operators import gridref
+
+    g = spark.range(1).select(gridref.uniform_axis(F.lit(-180.0), F.lit(10.0), F.lit(36)).alias("lons"), gridref.uniform_axis(F.lit(-80.0), F.lit(10.0), F.lit(17)).alias("lats"))
+    return gridref.cell_dims(gridref.cells(g, []), 10.0, 10.0).select("i", "j", r(F.col("dx"), 2).alias("dx"), r(F.col("dy"), 2).alias("dy"))
+
+
+@query("grid_flags", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 3 = 1 THEN 2 ELSE 0 END AS INT) AS wrap, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 2 + 8 + 256 WHEN s_suppkey % 3 = 1 THEN 1 + 8 + 16 + 256 ELSE 2 + 4 + 256 END AS INT) AS mask, -180e0 AS lon0 FROM supplier")
+def grid_flags(spark, sf_dir):
+    from isobar.operators import gridref
+
+    k = F.col("s_suppkey") % 3
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(k == 0, "Z").when(k == 1, "Y").otherwise("#").alias("grtyp"), gridref.uniform_axis(F.lit(-180.0), F.lit(10.0), F.when(k == 0, 36).when(k == 1, 37).otherwise(20)).alias("lons"))
+    return s.select("s_suppkey", gridref.wrap_kind(F.col("lons")).alias("wrap"), gridref.flags(F.col("grtyp"), F.col("lons")).alias("mask"), F.array_min("lons").alias("lon0"))
+
+
+@query("grid_limits", f"SELECT s_nationkey, min({LAT.format(k='s_suppkey')}) AS lat0, min({LON.format(k='s_suppkey')}) AS lon0, max({LAT.format(k='s_suppkey')}) AS lat1, max({LON.format(k='s_suppkey')}) AS lon1 FROM supplier GROUP BY s_nationkey")
+def grid_limits(spark, sf_dir):
+    from isobar.operators import gridref
+
+    return gridref.limits(points(read(spark, sf_dir, "supplier"), "s_suppkey"), ["s_nationkey"])
+
+
+@query("text_codes", "SELECT p_partkey, list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS INT)) AS codes, p_name AS back FROM part")
+def text_codes(spark, sf_dir):
+    from isobar.operators import gridref
+
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", gridref.encode_text(F.col("p_name")).alias("codes"))
+    return p.select("p_partkey", "codes", gridref.decode_text(F.col("codes")).alias("back"))
+
+
+@query("dict_modifiers", "WITH m AS (SELECT p_partkey, p_name, CASE p_partkey % 4 WHEN 0 THEN 'E1MAX___NONE' WHEN 1 THEN 'E1GT10__H024' WHEN 2 THEN 'E1C90___NONE' ELSE 'E1LE5___D003' END AS m FROM part) SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' (maximum)' WHEN 1 THEN ' > 10 C between hour 1 and 24' WHEN 2 THEN ' (90th percentile)' ELSE ' <= 5 C between day 1 and 3' END AS short_en, CASE WHEN p_partkey % 2 = 1 THEN '%' ELSE 'C' END AS units, CASE WHEN p_partkey % 2 = 1 THEN 100e0 ELSE 60e0 END AS max FROM m")
+def dict_modifiers(spark, sf_dir):
+    from isobar.operators import dictionary
+
+    k = F.col("p_partkey") % 4
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("short_fr"), F.col("p_name").alias("short_en"), F.lit("C").alias("units"), F.lit(-90.0).alias("min"), F.lit(60.0).alias("max"), F.when(k == 0, "E1MAX___NONE").when(k == 1, "E1GT10__H024").when(k == 2, "E1C90___NONE").otherwise("E1LE5___D003").alias("m"))
+    return dictionary.modified(p, F.col("m")).select("p_partkey", "short_en", "units", "max")
+
+
+@query("dict_search", "SELECT p_partkey AS id, lower(p_brand) AS name FROM part WHERE p_size % 32 & 16 <> 0 AND lower(p_type) = lower((SELECT min(p_type) FROM part)) ORDER BY name, id")
+def dict_search(spark, sf_dir):
+    from isobar.operators import dictionary
+
+    p = read(spark, sf_dir, "part")
+    first = p.agg(F.min("p_type")).first()[0]
+    v = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), (F.col("p_size") % 32).alias("nature"), F.col("p_type").alias("origin"))
+    return v.filter(dictionary.search(glob=True, state=16, origin=first.upper())).select("id", F.lower("name").alias("name"))
+
+
+@query("dict_known", "WITH u AS (SELECT upper(event_type) AS name, count(*) AS n FROM events GROUP BY 1), d AS (SELECT DISTINCT upper(event_type) AS name FROM events WHERE event_type < 'p') SELECT u.name, u.n, d.name IS NOT NULL AS known FROM u LEFT JOIN d ON u.name = d.name")
+def dict_known(spark, sf_dir):
+    from isobar.operators import dictionary
+
+    e = read(spark, sf_dir, "events")
+    return dictionary.known_and_unknown(e.select(F.upper("event_type").alias("name")), e.filter("event_type < 'p'").select(F.col("event_type").alias("name")).distinct())
+
+
+@query("order_select", "SELECT l_returnflag, CAST(list_sort(list(l_quantity))[101] AS DOUBLE) AS hundredth, count(DISTINCT l_shipdate) AS days, min(l_quantity) AS lo FROM lineitem GROUP BY 1")
+def order_select(spark, sf_dir):
+    """K-th smallest by the exact percentile's hash aggregation of value counts: no group's rows are gathered, only its distinct values."""
+    li = read(spark, sf_dir, "lineitem")
+    from pyspark.sql import Window
+
+    c = li.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("l_returnflag").orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    k = c.withColumn("upto", F.sum("n").over(w)).filter("upto > 100").groupBy("l_returnflag").agg(F.min("l_quantity").alias("hundredth"))
+    return li.groupBy("l_returnflag").agg(F.countDistinct("l_shipdate").alias("days"), F.min("l_quantity").alias("lo")).join(k, "l_returnflag")
