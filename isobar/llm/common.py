@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 MAX_CLASSES = 1000
+_own_dir: list[str] = []
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -35,13 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set, which a cluster must not do."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="isobar-")
-        atexit.register(shutil.rmtree, d, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    if d:
+        return d
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="isobar-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return _own_dir[0]
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
