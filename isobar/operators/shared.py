@@ -9,15 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+_own_dir: list[str] = []
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to ``spark.checkpoint.dir`` and read again, so lineage ends there; a temporary folder only where none is set."""
     spark = df.sparkSession
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="isobar-")
-        atexit.register(shutil.rmtree, d, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="isobar-"))
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+        d = _own_dir[0]
     path = f"{d}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
