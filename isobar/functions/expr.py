@@ -502,3 +502,16 @@ def sidereal_hours(e: Spark, seconds):
 def normal_angle(x):
     """In [-pi, pi), for any angle."""
     return f"(((({x} + {num(math.pi)}) % {num(TWO_PI)}) + {num(TWO_PI)}) % {num(TWO_PI)} - {num(math.pi)})"
+
+
+def quad_inverse(x, y, corners):
+    """(u, v) in a quadrilateral whose corners (x, y) are at (0, 0), (0, 1), (1, 1) and (1, 0): the root of the bilinear map's quadratic in v within [0, 1]."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners
+    ex, ey, fx, fy = f"({x3} - {x0})", f"({y3} - {y0})", f"({x1} - {x0})", f"({y1} - {y0})"
+    gx, gy, hx, hy = f"({x0} - {x3} + {x2} - {x1})", f"({y0} - {y3} + {y2} - {y1})", f"({x} - {x0})", f"({y} - {y0})"
+    k2, k1, k0 = f"({gx} * {fy} - {gy} * {fx})", f"({ex} * {fy} - {ey} * {fx} + {hx} * {gy} - {hy} * {gx})", f"({hx} * {ey} - {hy} * {ex})"
+    disc = f"sqrt(greatest(0E0, {k1} * {k1} - 4 * {k2} * {k0}))"
+    low = f"((-{k1} - {disc}) / nullif(2 * {k2}, 0))"
+    v = f"(CASE WHEN abs({k2}) < 1E-12 THEN -{k0} / nullif({k1}, 0) WHEN {low} >= -1E-9 AND {low} <= 1.000000001E0 THEN {low} ELSE (-{k1} + {disc}) / nullif(2 * {k2}, 0) END)"
+    dx, dy = f"({ex} + {gx} * {v})", f"({ey} + {gy} * {v})"
+    return f"(CASE WHEN abs({dx}) > abs({dy}) THEN ({hx} - {fx} * {v}) / nullif({dx}, 0) ELSE ({hy} - {fy} * {v}) / nullif({dy}, 0) END)", v

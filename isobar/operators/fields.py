@@ -105,3 +105,17 @@ def conservative(values: DataFrame, weights: DataFrame, normalised: bool = False
     """Sum of value times weight a destination cell; divided by the sum of weights if normalised."""
     j = values.join(weights, "sid").groupBy("i", "j").agg(F.sum(F.col("value") * F.col("w")).alias("s"), F.sum("w").alias("f"))
     return j.select("i", "j", (F.col("s") / F.nullif(F.col("f"), F.lit(0.0)) if normalised else F.col("s")).alias("value"))
+
+
+def pressure_to_hybrid(pressure: Column, p0: Column, ptop: float = 10.0, pref: float = 800.0, rcoef: float = 1.6, steps: int = 50) -> Column:
+    """Hybrid level of a pressure, by halving [ptop / pref, 1] a fixed number of times: the formula rises with the level, so this can't diverge at the top as Newton's steps do."""
+    rt = ptop / pref
+    at = lambda level: pref * level + (p0 - pref) * F.pow(F.greatest(F.lit(0.0), (level - rt) / (1 - rt)), F.lit(rcoef))
+
+    def halve(s, _):
+        m = (s.lo + s.hi) / 2
+        above = at(m) > pressure
+        return F.struct(F.when(above, s.lo).otherwise(m).alias("lo"), F.when(above, m).otherwise(s.hi).alias("hi"))
+
+    start = F.struct(F.lit(rt).alias("lo"), F.lit(1.0).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s.lo + s.hi) / 2)

@@ -362,3 +362,13 @@ def order_select(spark, sf_dir):
     w = Window.partitionBy("l_returnflag").orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, 0)
     k = c.withColumn("upto", F.sum("n").over(w)).filter("upto > 100").groupBy("l_returnflag").agg(F.min("l_quantity").alias("hundredth"))
     return li.groupBy("l_returnflag").agg(F.countDistinct("l_shipdate").alias("days"), F.min("l_quantity").alias("lo")).join(k, "l_returnflag")
+
+
+@query("vertical_hybrid", "SELECT p_partkey, round(0.05 + (p_partkey % 19) / 20e0, 6) AS level FROM part")
+def vertical_hybrid(spark, sf_dir):
+    """Pressure of a hybrid level and back."""
+    from isobar.functions import expr
+
+    p = read(spark, sf_dir, "part").select("p_partkey", F.expr("950D + p_size").alias("p0"), F.expr("0.05D + (p_partkey % 19) / 20D").alias("s"))
+    p = p.withColumn("p", expr.column(expr.level_to_pressure("HYBRID", "s", "p0")))
+    return p.select("p_partkey", r(fields.pressure_to_hybrid(F.col("p"), F.col("p0"))).alias("level"))

@@ -189,3 +189,15 @@ for _name, _tables, _build in [
     ("fn_levels", "part", _levels), ("fn_text", "part", _text), ("fn_dates", "orders", _dates), ("fn_sun_moon", "events", _sky), ("fn_storage_types", "orders", _storage),
 ]:
     register(_name, _tables, _build)
+
+
+def _quads(e):
+    """Places in a quadrilateral, mapped forward and back."""
+    q = [("0E0", "0E0"), ("1E0", "5E0"), ("7E0", "6E0"), ("5E0", "-1E0")]
+    u, v = "(CAST(p_partkey % 21 AS DOUBLE) / 20)", "(CAST(p_size % 11 AS DOUBLE) / 10)"
+    f = lambda k: f"({q[0][k]} * (1 - {u}) * (1 - {v}) + {q[1][k]} * (1 - {u}) * {v} + {q[2][k]} * {u} * {v} + {q[3][k]} * {u} * (1 - {v}))"
+    back = x.quad_inverse("x", "y", q)
+    return f"SELECT p_partkey, {r('x')} AS x, {r('y')} AS y, {r(back[0])} AS u, {r(back[1])} AS v FROM (SELECT p_partkey, {f(0)} AS x, {f(1)} AS y FROM part) t"
+
+
+register("fn_quads", "part", _quads)

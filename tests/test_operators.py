@@ -91,3 +91,9 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.cell: r.sum for r in spark.table("scattered").filter("minimum >= 0").groupBy("cell").agg(F.sum("sum").alias("sum")).collect()} == {0: 20.0, 1: 25.0}
+
+
+def test_quad_inverse(spark):
+    q = [("0E0", "0E0"), ("1E0", "5E0"), ("7E0", "6E0"), ("5E0", "-1E0")]
+    u, v = expr.quad_inverse("3.25E0", "2.5E0", q)
+    assert (value(spark, u), value(spark, v)) == (pytest.approx(0.5), pytest.approx(0.5))
