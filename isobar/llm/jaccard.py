@@ -13,7 +13,7 @@ most ``spare`` parts leaves them out, since then one of the spare + 1 parts has
    tasks follows the number of signatures. A task sorts its own and keeps the buckets, the sets of at least two classes with a signature in common. Buckets of the same classes
    count once.
 3. Buckets are dealt to cells by the smallest class of the buckets around them, so that those of a group of copies come together (by their own smallest class where that would be
-   over ``HOME_ROWS`` rows), and each class's set goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes goes as pairs
+   over ``HOME_ROWS`` rows or ``HOME_PAIRS`` pairs), and each class's set goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes goes as pairs
    of blocks, so no bucket is too large for a task. A cell compares the classes of each bucket exactly, on the sets, with a matrix product where they are many. No pairs are written: a cell keeps
    a forest of what it has found linked, skips pairs that are in one tree already, and returns the links that joined trees.
 4. The components of these links are the result. A cell that is lost is computed again from the stored tables.
@@ -287,11 +287,12 @@ def links_of(members: list[int], sets: dict[int, np.ndarray], num: int, den: int
 
 
 def _homes(members: DataFrame) -> DataFrame:
-    """bucket, home and home_rows: the least class near each bucket, which the buckets of a few copies share, and how many rows go there."""
+    """bucket, home and crowded: the least class near each bucket, which the buckets of a group of copies share, and whether one task would have too many rows or pairs there."""
     near = members.groupBy(F.col("cls").alias("c")).agg(F.min("least").alias("near"))
     homes = members.join(near, F.col("cls") == F.col("c")).groupBy(F.col("bucket").alias("b")).agg(F.min("near").alias("home"), F.max("size").alias("n"))
-    rows = homes.groupBy(F.col("home").alias("h")).agg(F.sum("n").alias("home_rows"))
-    return homes.join(rows, F.col("home") == F.col("h")).select(F.col("b").alias("bucket"), "home", "home_rows")
+    crowded = ((F.sum("n") > HOME_ROWS) | (F.sum(F.col("n") * F.col("n")) > HOME_PAIRS)).alias("crowded")
+    rows = homes.groupBy(F.col("home").alias("h")).agg(crowded)
+    return homes.join(rows, F.col("home") == F.col("h")).select(F.col("b").alias("bucket"), "home", "crowded")
 
 
 def _links(members: DataFrame, sets: DataFrame, num: int, den: int, n_cells: int) -> DataFrame:
@@ -299,7 +300,7 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, n_cells: int
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     m = members.join(_homes(members), "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    home = F.when(F.col("size") > BLOCK, F.xxhash64(key)).when(F.col("home_rows") > HOME_ROWS, F.xxhash64("least")).otherwise(F.xxhash64("home"))
+    home = F.when(F.col("size") > BLOCK, F.xxhash64(key)).when(F.col("crowded"), F.xxhash64("least")).otherwise(F.xxhash64("home"))
     m = m.select("cls", key.alias("key"), F.pmod(home, F.lit(n_cells)).cast("int").alias("cell"))
     held = m.select(F.col("cell").alias("at"), F.col("cls").alias("c")).distinct()
     held = held.join(sets, F.col("c") == sets["cls"]).select("at", "c", "packed")
@@ -332,7 +333,7 @@ def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFram
     return components(stored(_links(rows, sets, num, den, cells), "links"))
 
 
-BLOCK, ROWS_PER_CELL, HOME_ROWS, MAX_DONE = 1024, 4096, 32768, 1 << 20
+BLOCK, ROWS_PER_CELL, HOME_ROWS, HOME_PAIRS, MAX_DONE = 1024, 4096, 1 << 17, 1 << 23, 1 << 20
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
