@@ -69,8 +69,9 @@ def combine(previous: Column, new: Column, how: str, count: Column | None = None
     return {"replace": new, "min": F.least(old, new), "max": F.greatest(old, new), "sum": F.coalesce(previous, F.lit(0.0)) + new, "average": (F.coalesce(previous, F.lit(0.0)) * count + new) / (count + 1) if count is not None else new}[how]
 
 
-def paste(base: DataFrame, patch: DataFrame, x0: int, y0: int, alpha: str | None = None) -> DataFrame:
-    """base cells (i, j, v) overlaid by patch cells shifted to (x0, y0); with an alpha column, blended."""
-    p = patch.select((F.col("i") + x0).alias("i"), (F.col("j") + y0).alias("j"), F.col("v").alias("_v"), (F.col(alpha) if alpha else F.lit(1.0)).alias("_a"))
-    j = base.join(p, ["i", "j"], "left")
+def paste(base: DataFrame, patch: DataFrame, x0: int, y0: int, alpha: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """base cells (i, j, v) overlaid by patch cells of the same keys, shifted to (x0, y0); with an alpha column, blended."""
+    keys = keys or []
+    p = patch.select(*keys, (F.col("i") + x0).alias("i"), (F.col("j") + y0).alias("j"), F.col("v").alias("_v"), (F.col(alpha) if alpha else F.lit(1.0)).alias("_a"))
+    j = base.join(p, [*keys, "i", "j"], "left")
     return j.withColumn("v", F.when(F.col("_v").isNull(), F.col("v")).otherwise(F.col("_v") * F.col("_a") + F.col("v") * (1 - F.col("_a")))).drop("_v", "_a")

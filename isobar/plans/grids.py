@@ -94,6 +94,14 @@ def grid_paste(spark, sf_dir):
     return scatter.paste(c.filter("k = 1").select("i", "j", "v"), patch, 2, 3, "a").withColumn("v", r(F.col("v"), 9))
 
 
+@query("grid_paste_all", f"WITH {CELLS}, p AS (SELECT k - 1 AS k, i + 2 AS i, j + 3 AS j, v, CAST(i AS DOUBLE) / 16 AS a FROM cells) SELECT b.k, b.i, b.j, round(CASE WHEN p.v IS NULL THEN b.v ELSE p.v * p.a + b.v * (1 - p.a) END, 9) AS v FROM cells b LEFT JOIN p ON b.k = p.k AND b.i = p.i AND b.j = p.j")
+def grid_paste_all(spark, sf_dir):
+    """Each day overlaid by the day after it; grid_paste keeps to the two days its SQL names."""
+    c = event_cells(spark, sf_dir)
+    patch = c.withColumn("a", F.col("i").cast("double") / 16).withColumn("k", F.col("k") - 1)
+    return scatter.paste(c, patch, 2, 3, "a", ["k"]).withColumn("v", r(F.col("v"), 9))
+
+
 @query("grid_set_value", "SELECT c_custkey, least(c_acctbal, 0e0 + c_nationkey * 100) AS lo, greatest(c_acctbal, 0e0 + c_nationkey * 100) AS hi, round(c_acctbal + c_nationkey * 100, 4) AS total, round((c_acctbal * 3 + c_nationkey * 100) / 4, 4) AS mean FROM customer")
 def grid_set_value(spark, sf_dir):
     c, new = read(spark, sf_dir, "customer"), F.col("c_nationkey") * 100.0
@@ -230,6 +238,12 @@ def field_tiles(spark, sf_dir):
     return fields.tiles(event_cells(spark, sf_dir).filter("k <= 5"), ["k"], 4, 4, 1, 16, 24).withColumn("v", r(F.col("v")))
 
 
+@query("field_tiles_all", f"WITH {CELLS}, o AS (SELECT a AS ti, b AS tj FROM range(4) x(a), range(6) y(b)) SELECT k, tj * 4 + ti + 1 AS tile, greatest(0, ti * 4 - 1) + 1 AS ig3, greatest(0, tj * 4 - 1) + 1 AS ig4, i - greatest(0, ti * 4 - 1) AS li, j - greatest(0, tj * 4 - 1) AS lj, (i >= ti * 4 AND i < ti * 4 + 4 AND j >= tj * 4 AND j < tj * 4 + 4) AS own, round(v, 6) AS v FROM cells JOIN o ON i >= ti * 4 - 1 AND i <= ti * 4 + 4 AND j >= tj * 4 - 1 AND j <= tj * 4 + 4")
+def field_tiles_all(spark, sf_dir):
+    """Tiles of every level; field_tiles keeps to the levels its SQL names."""
+    return fields.tiles(event_cells(spark, sf_dir), ["k"], 4, 4, 1, 16, 24).withColumn("v", r(F.col("v")))
+
+
 @query("field_stitch", f"WITH {CELLS} SELECT k, i, j, round(v, 6) AS v FROM cells")
 def field_stitch(spark, sf_dir):
     t = fields.tiles(event_cells(spark, sf_dir), ["k"], 5, 7, 2, 16, 24)
