@@ -294,6 +294,25 @@ def course_rad(la0, lo0, la1, lo1):
     return f"(atan2(sin({lo0} - {lo1}) * cos({la1}), cos({la0}) * sin({la1}) - sin({la0}) * cos({la1}) * cos({lo0} - {lo1})) % {num(TWO_PI)})"
 
 
+def haversine_rad(la0, lo0, la1, lo1):
+    """Angle between points in radians, exact for close ones too."""
+    return f"(2 * asin(least(1E0, sqrt(pow(sin(({la0} - {la1}) / 2), 2) + cos({la0}) * cos({la1}) * pow(sin(({lo0} - {lo1}) / 2), 2)))))"
+
+
+def radial_intersect(source, la0, lo0, la1, lo1, course0, course1):
+    """source (a query) with met_lat and met_lon, in radians, where radials from two points meet; null where they don't, or where the points are one or opposite; at a pole the first point's longitude. Courses are westward positive."""
+    for step in (
+        {"_d": haversine_rad(la0, lo0, la1, lo1), "_t0": f"({course0}) - {course_rad(la0, lo0, la1, lo1)}", "_t1": f"{course_rad(la1, lo1, la0, lo0)} - ({course1})"},
+        {"_met": "sin(_t0) * sin(_t1) > 1E-7 AND sin(_d) > 1E-7", "_s": "abs(sin(_t0)) * abs(sin(_t1))"},
+        {"_far": "atan2(sin(_d) * _s, cos(_t1) + cos(_t0) * (_s * cos(_d) - cos(_t0) * cos(_t1)))"},
+        {"_lat": f"asin({clamp(f'sin({la0}) * cos(_far) + cos({la0}) * sin(_far) * cos({course0})', '-1E0', '1E0')})"},
+        {"_lon": f"CASE WHEN cos(_lat) < 1E-6 THEN {lo0} ELSE {lo0} - atan2(sin({course0}) * sin(_far) * cos({la0}), cos(_far) - sin({la0}) * sin(_lat)) END"},
+        {"met_lat": "CASE WHEN _met THEN _lat END", "met_lon": f"CASE WHEN _met THEN {wrap_lon_rad('_lon')} END"},
+    ):
+        source = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({source}) s"
+    return source
+
+
 def course(lat0, lon0, lat1, lon1):
     return course_rad(rad(lat0), rad(lon0), rad(lat1), rad(lon1))
 

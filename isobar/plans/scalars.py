@@ -108,6 +108,17 @@ def _radials(e):
     return f"SELECT id, {columns(out)} FROM ({f}) f"
 
 
+def _radials_all(e, places=None):
+    """As _radials, for every point: a great circle through the fixed point is undefined, and its columns are null, where the point is that point or its antipode. Crossing of radials from both with two courses."""
+    a = f"SELECT id, radians(lat) AS a1, radians(lon) AS o1, radians(45.5E0) AS a2, radians(-73.6E0) AS o2, radians(10E0) AS a3, radians(20E0) AS o3, radians(CAST((id * 37) % 360 AS DOUBLE)) AS r1, radians(CAST((id * 53) % 360 AS DOUBLE)) AS r2 FROM ({places or points(e)}) p"
+    b = f"SELECT *, {x.course_rad('a1', 'o1', 'a2', 'o2')} AS c12, {x.course_rad('a1', 'o1', 'a3', 'o3')} AS c13, {x.haversine_rad('a1', 'o1', 'a3', 'o3')} AS d13, {x.haversine_rad('a1', 'o1', 'a2', 'o2')} AS d12 FROM ({a}) a"
+    c = f"SELECT *, sin(d12) > 1E-7 AS ok, asin({x.clamp('sin(d13) * sin(c13 - c12)', '-1E0', '1E0')}) AS across, atan2(sin(d13) * cos(c13 - c12), cos(d13)) AS along FROM ({b}) b"
+    f = f"SELECT *, asin({x.clamp('sin(a1) * cos(along) + cos(a1) * sin(along) * cos(c12)', '-1E0', '1E0')}) AS af FROM ({c}) c"
+    out = {"across_km": ("across * 6371", 2), "along_km": ("along * 6371", 2), "foot_lat": ("degrees(af)", 3), "ratio": ("along / d12", 4)}
+    out = {k: f"CASE WHEN ok THEN {r(*v)} END" for k, v in out.items()} | {"cross_lat": r("degrees(met_lat)", 3), "cross_lon": r("degrees(met_lon)", 3)}
+    return f"SELECT id, {columns(out)} FROM ({x.radial_intersect(f, 'a1', 'o1', 'a2', 'o2', 'r1', 'r2')}) g"
+
+
 def _levels(e):
     a = "SELECT p_partkey, CAST(950 + p_size AS DOUBLE) AS p0, CAST(1 + p_partkey % 20 AS DOUBLE) / 20 AS s, CAST(p_partkey % 33 AS BIGINT) AS kind FROM part"
     c = {f"pres_{k.lower()}": r(x.level_to_pressure(k, "s" if k != "PRES" else "(s * 1000)", "p0")) for k in ("PRES", "SIGMA", "ETA")} | {"pres_hybrid": r(x.level_to_pressure("HYBRID", "greatest(s, 0.05E0)", "p0"))}
@@ -185,7 +196,7 @@ def _storage(e):
 
 
 for _name, _tables, _build in [
-    ("fn_numbers", "lineitem", _numbers), ("fn_curves", "events", _curves), ("fn_bits", "orders", _bits), ("fn_vectors", "part", _vectors), ("fn_matrices", "part", _matrices), ("fn_sphere", "customer", _sphere), ("fn_radials", "customer", _radials),
+    ("fn_numbers", "lineitem", _numbers), ("fn_curves", "events", _curves), ("fn_bits", "orders", _bits), ("fn_vectors", "part", _vectors), ("fn_matrices", "part", _matrices), ("fn_sphere", "customer", _sphere), ("fn_radials", "customer", _radials), ("fn_radials_all", "customer", _radials_all),
     ("fn_levels", "part", _levels), ("fn_text", "part", _text), ("fn_dates", "orders", _dates), ("fn_sun_moon", "events", _sky), ("fn_storage_types", "orders", _storage),
 ]:
     register(_name, _tables, _build)
