@@ -2,12 +2,13 @@
 
 A list entry is dated: from ``listed_at`` on, its pattern has its action (``block``, or ``allow`` for taken
 off). A pattern is a host, which covers its subdomains too, or a host with a path prefix that ends at a
-slash (``a.org/x/``). The entries of one pattern, in order of date, become validity intervals
+slash (``a.org/``, ``a.org/x/``, ``a.org/x/y/``), of any depth. The host's case and a leading ``www.`` do not matter, the path's case
+does; a path that does not end at a slash covers nothing. The entries of one pattern, in order of date, become validity intervals
 [listed_at, next listed_at); an entry at the same date as another of its pattern counts as the later one if its
 action sorts last, so ``block`` wins.
 
 A capture (url, fetched_at) is held against the entries active when it was fetched. Captures are first
-reduced to their distinct keys (host and first path part), which a partial aggregation does before any
+reduced to their distinct keys (host and path, as deep as the deepest pattern), which a partial aggregation does before any
 shuffle; each key is expanded to the patterns that can cover it, joined to the block intervals by equality
 of the pattern, and its intervals are gathered in one array per key, whose size follows the list and not
 the captures. Each capture then meets one row, its key's, and looks up its fetch time in the array: a
@@ -16,7 +17,7 @@ execution splits. No row count grows by the joins.
 
 Defined results: a null URL, or one without a host, is not blocked; a null fetch time is not blocked; scheme,
 user, port, a leading ``www.`` and letter case of the host do not matter, nor do query and fragment; repeated captures
-give repeated rows; without entries nothing is blocked. Entries with a null pattern or date are ignored.
+give repeated rows; without entries nothing is blocked. Entries with a null pattern or date are ignored. The pattern returned is the normal one.
 Other columns of the captures are kept; host, blocked, pattern and since are replaced.
 """
 
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(?:[wW][wW][wW]\.)?([^/?#:@]+)"
-_FIRST = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)/"
+_WHOLE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_FOLDER = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/(?:[^?#]*/)?)"
 
 
 def url_host(url: Column) -> Column:
@@ -35,34 +37,58 @@ def url_host(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def url_first(url: Column) -> Column:
-    """First path part if a slash follows it, else the empty string."""
-    return F.coalesce(F.regexp_extract(url, _FIRST, 1), F.lit(""))
+def _match_host(url: Column) -> Column:
+    """url_host, but with its ``www.`` where no other dot is left (``www.com``)."""
+    host = url_host(url)
+    return F.when(host.contains("."), host).otherwise(F.lower(F.regexp_extract(url, _WHOLE, 1)))
+
+
+def url_folder(url: Column) -> Column:
+    """Path up to its last slash; one slash without a path."""
+    path = F.regexp_extract(url, _FOLDER, 1)
+    return F.when(path != "", path).otherwise("/")
+
+
+def normal_pattern(pattern: Column) -> Column:
+    """pattern with its host in lower case and without ``www.`` (unless no other dot is left); the path is kept."""
+    host = F.lower(F.regexp_extract(pattern, "^[^/]*", 0))
+    return F.concat(F.regexp_replace(host, r"^www\.(?=.*\.)", ""), F.regexp_extract(pattern, "(?s)^[^/]*(.*)$", 1))
+
+
+def _prefixes(folder: Column, depth: Column) -> Column:
+    """Of a path that ends at a slash, the prefixes that do, up to depth slashes."""
+    parts = F.split(folder, "/")
+    upto = F.least(depth, F.size(parts) - 1)
+    return F.when(upto > 0, F.transform(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, since, until of each time a pattern is blocked; until is null while it still is."""
     e = entries.filter(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull())
-    e = e.groupBy(F.lower("pattern").alias("pattern"), F.col("listed_at").alias("since")).agg(F.max("action").alias("action"))
+    e = e.groupBy(normal_pattern(F.col("pattern")).alias("pattern"), F.col("listed_at").alias("since")).agg(F.max("action").alias("action"))
     nxt = F.lead("since").over(Window.partitionBy("pattern").orderBy("since"))
     return e.withColumn("until", nxt).filter("action = 'block'").select("pattern", "since", "until")
 
 
-def _covering(host: Column, first: Column) -> Column:
-    """All patterns that could cover the key: its host's suffixes at label bounds, and those with the first path part."""
+def _covering(host: Column, folder: Column) -> Column:
+    """All patterns that could cover the key: its host's suffixes at label bounds, alone and with each prefix of the folder."""
     parts = F.split(host, r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return F.concat(tails, F.when(first != "", F.transform(tails, lambda t: F.concat(t, F.lit("/"), first, F.lit("/")))).otherwise(F.array().cast("array<string>")))
+    paths = F.concat(F.array(F.lit("")), _prefixes(folder, F.size(F.split(folder, "/"))))
+    return F.flatten(F.transform(tails, lambda t: F.transform(paths, lambda p: F.concat(t, p))))
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """captures with host, blocked, and the pattern and since of the longest (then first) active entry."""
-    c = captures.drop("host", "blocked", "pattern", "since").withColumn("host", url_host(F.col(url))).withColumn("_first", url_first(F.col(url)))
-    keys = c.filter("host IS NOT NULL").groupBy("host", "_first").agg(F.lit(1).alias("_one")).select(F.col("host").alias("_h"), F.col("_first").alias("_f"))
-    hits = keys.withColumn("_p", F.explode(_covering(F.col("_h"), F.col("_f")))).join(intervals(entries), F.col("_p") == F.col("pattern"))
+    blocked = intervals(entries)
+    depth = blocked.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("_depth"))
+    c = captures.drop("host", "blocked", "pattern", "since").withColumn("host", url_host(F.col(url))).crossJoin(F.broadcast(depth))
+    c = c.withColumn("_host", F.when(F.col("host").isNotNull(), _match_host(F.col(url)))).withColumn("_folder", F.coalesce(F.try_element_at(_prefixes(url_folder(F.col(url)), F.col("_depth")), F.lit(-1)), F.lit(""))).drop("_depth")
+    keys = c.filter("host IS NOT NULL").groupBy("_host", "_folder").agg(F.lit(1).alias("_one")).select(F.col("_host").alias("_h"), F.col("_folder").alias("_f"))
+    hits = keys.withColumn("_p", F.explode(_covering(F.col("_h"), F.col("_f")))).join(blocked, F.col("_p") == F.col("pattern"))
     spans = hits.groupBy("_h", "_f").agg(F.sort_array(F.collect_list(F.struct((-F.length("pattern")).alias("o"), "pattern", "since", "until"))).alias("_spans"))
     at = F.col(fetched_at)
-    j = c.join(spans, (c.host == spans._h) & (c._first == spans._f), "left")
+    j = c.join(spans, (c._host == spans._h) & (c._folder == spans._f), "left")
     live = F.filter("_spans", lambda x: (x.since <= at) & (x.until.isNull() | (at < x.until)))
     hit = F.when(F.size(live) > 0, live[0])
-    return j.withColumn("_hit", hit).withColumn("blocked", F.col("_hit").isNotNull()).withColumn("pattern", F.col("_hit.pattern")).withColumn("since", F.col("_hit.since")).drop("_h", "_f", "_first", "_spans", "_hit")
+    return j.withColumn("_hit", hit).withColumn("blocked", F.col("_hit").isNotNull()).withColumn("pattern", F.col("_hit.pattern")).withColumn("since", F.col("_hit.since")).drop("_h", "_f", "_host", "_folder", "_spans", "_hit")

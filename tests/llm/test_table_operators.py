@@ -65,6 +65,21 @@ def test_url_filter(spark):
     assert urlfilter.url_filter(c, e.limit(0)).filter("blocked").count() == 0
 
 
+def test_url_filter_paths_and_www(spark):
+    day = datetime.date(2024, 1, 1)
+    listed = ["a.org/x/y/", "b.org/EN/", "www.C.org", "WWW.d.org/P/q/", "e.org/", "www.com", "f.org/x", "g.org/a/b/c/d/"]
+    cap = [
+        ("http://a.org/x/y/z", "a.org/x/y/"), ("http://s.a.org/x/y/z/w?q=/", "a.org/x/y/"), ("http://a.org/x/y", None), ("http://a.org/x/z/y/", None), ("http://b.org/EN/p", "b.org/EN/"), ("http://B.org/en/p", None), ("http://c.org/", "c.org"), ("http://www.c.org", "c.org"), ("http://m.c.org/x", "c.org"),
+        ("http://d.org/P/q/1", "d.org/P/q/"), ("http://d.org/p/q/1", None), ("http://e.org", "e.org/"), ("http://e.org?x", "e.org/"), ("http://www.com/a", "www.com"), ("http://z.com/a", None), ("http://f.org/x", None), ("http://g.org/a/b/c/d/e", "g.org/a/b/c/d/"), ("http://g.org/a/b/c/d", None), ("http://g.org//a/b/c/d/", None),
+    ]
+    e = spark.createDataFrame([(p, day, "block") for p in listed], "pattern string, listed_at date, action string")
+    c = spark.createDataFrame([(u, day, w) for u, w in cap], "url string, fetched_at date, want string")
+    got = urlfilter.url_filter(c, e).collect()
+    assert len(got) == len(cap) and [(r.url, r.pattern) for r in got if r.pattern != r.want] == []
+    hosts = urlfilter.url_filter(c, e.filter("pattern IN ('www.C.org', 'www.com')")).collect()
+    assert [r.url for r in hosts if r.pattern != (r.want if r.want in ("c.org", "www.com") else None)] == []
+
+
 def test_block_top_against_brute_force():
     rng = np.random.default_rng(0)
     for d, n, high in [(0, 5, 3), (1, 60, 3), (3, 400, 100), (64, 700, 100), (8, 400, 1 << 30), (2, 300, 1 << 40)]:
