@@ -10,8 +10,8 @@ back by the byte ranges that the tables give.
 
 Everything is a function of one row, so there is no shuffle and no key can be hot; memory is a slice of rows, or one row.
 
-Defined results: a null, empty or broken container has codec, duration and ranges null and ``error`` set; boxes that
-overrun their parent are broken. A null text is stored as an empty one: one sample of padding. Equal texts give equal
+Defined results: a null, empty or broken container has tracks, codec, duration and ranges null and ``error`` set; boxes that
+overrun their parent are broken. So has one whose samples lie in movie fragments (``moof``), which are not decoded. A null text is stored as an empty one: one sample of padding. Equal texts give equal
 containers. Other columns are kept; clashing names are replaced.
 """
 
@@ -64,8 +64,10 @@ def _table(data, at: int, end: int, columns: int, kind: str = ">u4") -> np.ndarr
 def tracks(data) -> list[dict]:
     """For each track: codec, timescale, duration, sample offsets and sizes, and the keyframes (from 0)."""
     out: list[dict] = []
+    split = later = False
     for path, a, b in walk(data):
         kind = path[-1]
+        split, later = split or path == (b"moof",), later or path == (b"moov", b"mvex")
         if kind == b"trak":
             out.append({"codec": None, "timescale": 0, "duration": 0})
         elif b"trak" not in path[:-1]:
@@ -86,6 +88,8 @@ def tracks(data) -> list[dict]:
             out[-1]["times"] = _table(data, a, b, 2)
         elif kind == b"stss":
             out[-1]["keys"] = _table(data, a, b, 1).ravel() - 1
+    if split or later and not any(len(t.get("sizes", ())) for t in out):
+        raise ValueError("samples lie in movie fragments")
     for t in out:
         sizes, chunks, runs = t.setdefault("sizes", np.zeros(0, dtype=np.int64)), t.pop("chunks", np.zeros(0, dtype=np.int64)), t.pop("runs", np.zeros((0, 3), dtype=np.int64))
         last = np.append(runs[1:, 0], len(chunks) + 1) - runs[:, 0]
@@ -162,12 +166,17 @@ def keyframe_ranges(track: dict) -> list[tuple[int, int]]:
 
 
 _RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-_NEW = [T.StructField("codec", T.StringType()), T.StructField("duration", T.DoubleType()), T.StructField("samples", T.LongType()), T.StructField("keyframes", _RANGES), T.StructField("error", T.StringType())]
+_TRACK = [T.StructField("codec", T.StringType()), T.StructField("duration", T.DoubleType()), T.StructField("samples", T.LongType()), T.StructField("keyframes", _RANGES)]
+_NEW = [*_TRACK, T.StructField("tracks", T.ArrayType(T.StructType(_TRACK))), T.StructField("error", T.StringType())]
+
+
+def _described(track: dict) -> dict:
+    return {"codec": track["codec"], "duration": track["duration"] / track["timescale"] if track["timescale"] else None, "samples": len(track["sizes"]), "keyframes": [{"start": a, "stop": b} for a, b in keyframe_ranges(track)]}
 
 
 def describe(data) -> dict:
-    """codec, duration in seconds, number of samples and keyframe byte ranges of the first track; error where there are none."""
-    none = dict.fromkeys(("codec", "duration", "samples", "keyframes"))
+    """tracks: codec, duration in seconds, number of samples and keyframe byte ranges of each track, in order; the first one's also by themselves; error where there are none."""
+    none = dict.fromkeys(("codec", "duration", "samples", "keyframes", "tracks"))
     if not data:
         return none | {"error": "empty"}
     try:
@@ -176,14 +185,15 @@ def describe(data) -> dict:
         return none | {"error": str(e)}
     if not found:
         return none | {"error": "no track"}
-    t = found[0]
-    return {"codec": t["codec"], "duration": t["duration"] / t["timescale"] if t["timescale"] else None, "samples": len(t["sizes"]), "keyframes": [{"start": a, "stop": b} for a, b in keyframe_ranges(t)], "error": None}
+    all_of = [_described(t) for t in found]
+    return all_of[0] | {"tracks": all_of, "error": None}
 
 
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with codec, duration, samples, keyframes and error of the containers in a binary column."""
+    """df with tracks (a struct of codec, duration, samples and keyframes for each), those four of the first track, and error of the containers in a binary column."""
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in _NEW}]
-    kinds = [pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()]
+    track = [pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
+    kinds = [*track, pa.list_(pa.struct([(f.name, k) for f, k in zip(_TRACK, track)])), pa.string()]
 
     def run(batches):
         for b in batches:
@@ -221,14 +231,14 @@ def _byte_rows(batches, text):
 
 
 def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
-    """df without its media (as store_texts made it), with what is read back from it: payload and container sizes and hashes, and the features."""
+    """df without its media (as store_texts made it), with what is read back from it: payload (of all tracks, in order) and container sizes and hashes, and the features of each track."""
     new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     kept = [f for f in df.schema.fields if f.name != media and f.name not in dict(new)]
 
     def one(data: bytes) -> tuple:
-        d, t = describe(data), tracks(data)[0]
-        back = payload(data, t)
-        feature = f"codec={d['codec'].strip()};duration={d['duration']:.2f};samples={d['samples']};keyframes={','.join(f'{k['start']}-{k['stop']}' for k in d['keyframes'])}"
+        found = tracks(data)
+        back = b"".join(payload(data, t) for t in found)
+        feature = "|".join(f"codec={(d['codec'] or '').strip()};duration={'' if d['duration'] is None else format(d['duration'], '.2f')};samples={d['samples']};keyframes={','.join(f'{k['start']}-{k['stop']}' for k in d['keyframes'])}" for d in map(_described, found))
         return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     def run(batches):

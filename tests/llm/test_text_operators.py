@@ -144,6 +144,26 @@ def test_broken_containers(spark):
     assert all(got[k].error and got[k].codec is None for k in (0, 1, 2, 3, 5)) and got[6].error is None
 
 
+def test_every_track_and_fragments(spark):
+    body = media.padded(b"ab" * 9000)
+    one = media.wrap(body)
+    at = one.index(b"moov") + 4
+    head = at + int.from_bytes(one[at : at + 4], "big")
+    mvhd, video = one[at:head], one[head:]
+    sound = video.replace(b"raw ", b"sowt").replace(b"stss", b"free")
+    both = one[: at - 8] + media._box(b"moov", mvhd, sound, video)
+    split = one + media._box(b"moof", media._full(b"mfhd", bytes(4)))
+    empty = media._box(b"moov", mvhd, media._box(b"mvex"), media._box(b"trak", media._box(b"mdia", media._full(b"mdhd", bytes(20)))))
+    df = spark.createDataFrame([(0, one), (1, both), (2, split), (3, empty)], "id int, media binary")
+    got = {r.id: r for r in media.media_columns(df).collect()}
+    n = len(body) // media.SAMPLE
+    assert [(t.codec, t.samples, len(t.keyframes)) for t in got[1].tracks] == [("sowt", n, n), ("raw ", n, -(-n // media.KEY_EVERY))]
+    assert got[1].tracks[1] == got[0].tracks[0] and got[1].tracks[0].codec == got[1].codec and got[1].error is None
+    assert all("fragments" in got[k].error and got[k].tracks is None and got[k].samples is None for k in (2, 3))
+    d = {r.id: r for r in media.media_digests(df.filter("id < 2")).collect()}
+    assert d[1].payload_bytes == 2 * d[0].payload_bytes and d[1].feature.endswith("|" + d[0].feature) and d[1].feature.startswith("codec=sowt;")
+
+
 def test_statistics_of_no_rows():
     assert quality.statistics(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape == (0, len(quality.NAMES))
     f, r = toxicity.occurrences(np.zeros(0, np.uint8), np.zeros(3, np.int64))
