@@ -183,6 +183,11 @@ def clamp(x, lo, hi):
     return f"least({hi}, greatest({lo}, {x}))"
 
 
+def outcode(x, y, x0, y0, x1, y1):
+    """Sides of a box that a point is beyond: 1 left, 2 right, 4 below, 8 above."""
+    return f"(CASE WHEN {x} < {x0} THEN 1 WHEN {x} > {x1} THEN 2 ELSE 0 END + CASE WHEN {y} < {y0} THEN 4 WHEN {y} > {y1} THEN 8 ELSE 0 END)"
+
+
 def lerp(a, b, f):
     return f"({a} + ({b} - {a}) * ({f}))"
 

@@ -144,9 +144,7 @@ def _dates(e):
     c = {
         "seconds": s, "yyyymmdd": f"({y} * 10000 + {m} * 100 + {d})", "hhmmss": "CAST(hour(o_orderdate) * 10000 + minute(o_orderdate) * 100 + second(o_orderdate) AS BIGINT)", "julian": x.julian_day(e, y, m, d), "day_of_year": f"({e.day_number(y, m, d)} - {e.day_number(y, '1', '1')} + 1)",
         "from_julian": e.timestamp(f"({e.day_number(y, '1', '1')} + o_custkey % 365) * 86400 + 3723"), "encoded": e.timestamp(s), "formatted": e.date_text("o_orderdate", "yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M"), "valid": x.valid_date(s, "3600", "o_custkey % 48"), "no_origin": x.valid_date("0", "3600", "5"),
-        "between": f"(CAST({s} - lag({s}) OVER (ORDER BY o_orderdate, o_orderkey) AS DOUBLE) + 0E0)",
     }
-    c.pop("between")
     return f"SELECT o_orderkey, {columns(c)} FROM orders"
 
 
@@ -202,6 +200,22 @@ for _name, _tables, _build in [
     register(_name, _tables, _build)
 
 
+def _between(e):
+    """Seconds between a customer's orders."""
+    s = e.seconds("o_orderdate")
+    return f"SELECT o_orderkey, CAST({s} - lag({s}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DOUBLE) AS between_s FROM orders"
+
+
+register("fn_between", "orders", _between)
+
+
+def _outcodes(e):
+    return f"SELECT id, CAST({x.outcode('lon', 'lat', '-90E0', '-40E0', '60E0', '50E0')} AS BIGINT) AS code FROM ({points(e)}) p"
+
+
+register("fn_outcodes", "customer", _outcodes)
+
+
 def _quads(e):
     """Places in a quadrilateral, mapped forward and back."""
     q = [("0E0", "0E0"), ("1E0", "5E0"), ("7E0", "6E0"), ("5E0", "-1E0")]

@@ -46,3 +46,19 @@ def test_radials_meet(spark):
         assert (r.met_lat, r.met_lon) == (pytest.approx(r.x, abs=1e-6), pytest.approx(r.y, abs=1e-6))
     none = "SELECT * FROM VALUES (0E0, 0E0, 0E0, 0.2E0, -0.8E0, 2.3E0), (0.1E0, 0.2E0, 0.1E0, 0.2E0, 0.8E0, -0.8E0) AS t(a, o, b, p, r, t)"
     assert [r.met_lat for r in spark.sql(expr.radial_intersect(none, "a", "o", "b", "p", "r", "t")).collect()] == [None, None]
+
+
+def test_seconds_between_orders(spark):
+    rows = registry.queries()["fn_between"](spark, SF).collect()
+    orders = {r.o_orderkey: r for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t")).collect()}
+    last, want = {}, {}
+    for k, r in sorted(orders.items(), key=lambda x: (x[1].t, x[0])):
+        want[k] = r.t - last[r.o_custkey] if r.o_custkey in last else None
+        last[r.o_custkey] = r.t
+    assert {r.o_orderkey: r.between_s for r in rows} == want
+
+
+def test_outcodes(spark):
+    code = expr.outcode("x", "y", "0E0", "0E0", "2E0", "2E0")
+    rows = spark.sql(f"SELECT x, y, {code} AS c FROM VALUES (1E0, 1E0), (0E0, 2E0), (-1E0, 1E0), (3E0, 1E0), (1E0, -1E0), (1E0, 3E0), (-1E0, -1E0), (3E0, 3E0) AS t(x, y)").collect()
+    assert [r.c for r in rows] == [0, 0, 1, 2, 4, 8, 5, 10]
