@@ -18,7 +18,7 @@ most ``spare`` parts leaves them out, since then one of the spare + 1 parts has
    a forest of what it has found linked, skips pairs that are in one tree already, and returns the links that joined trees.
 4. The components of these links are the result. A cell that is lost is computed again from the stored tables.
 
-Sets of candidates are computed anew from their texts, one for each class. Their ids are broadcast only up to ``BROADCAST_IDS``; beyond, they are joined by a shuffle.
+Sets of candidates are computed anew from their texts, one for each class; of classes without an id, from the rows of null id. Their ids are broadcast only up to ``BROADCAST_IDS``; beyond, they are joined by a shuffle.
 
 Defined results: A-Z are lower-cased; null texts and texts without words have an empty set, link with nothing, and are their own component; with fewer words than n the
 whole sequence is the one shingle; repeated rows are one class; a component's id is its smallest doc_id, nulls aside; an empty table gives
@@ -205,17 +205,19 @@ def _buckets(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, "bucket long, cls long, size long, least long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """cls and its set (packed) for the documents of ids."""
-    few = ids.count() <= BROADCAST_IDS
-    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
+def _packed(docs: DataFrame, n: int) -> DataFrame:
+    """cls and its set (packed) of each row of docs that has one."""
 
     def run(batches):
         for _, data, off in _batches(batches, "text"):
             sets = [s for s in row_sets(data, off, n) if len(s)]
             yield pa.RecordBatch.from_pydict({"cls": np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64), "packed": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    return some.mapInArrow(run, "cls long, packed binary")
+    return docs.select("text").mapInArrow(run, "cls long, packed binary")
 
 
 class _Forest:
@@ -326,8 +328,12 @@ def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFram
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * per_shingle) // ENTRIES_PER_TASK)
     entries = _entries(docs, n, num, den, min(4 * tasks, 65536)).repartition(tasks, "part")
     members = stored(stored(_buckets(entries), "buckets").distinct(), "members")
-    ids = stored(classes.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL").select("doc_id"), "candidates")
-    sets = stored(_sets(docs, ids, n).dropDuplicates(["cls"]), "sets")
+    found = stored(classes.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "candidates")
+    sets = _packed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(_few(found.filter("doc_id IS NOT NULL").select("doc_id")), "doc_id", "left_semi"), n)
+    nameless = found.filter("doc_id IS NULL").select("cls")
+    if nameless.head(1):
+        sets = sets.unionByName(_packed(docs.filter("doc_id IS NULL"), n).join(_few(nameless), "cls", "left_semi"))
+    sets = stored(sets.dropDuplicates(["cls"]), "sets")
     rows = members.join(sets.select("cls"), "cls", "left_semi")
     cells = max(4 * tasks, members.count() // ROWS_PER_CELL)
     return components(stored(_links(rows, sets, num, den, cells), "links"))

@@ -125,3 +125,14 @@ def test_components(spark):
     got = {r.node: r.component for r in cc.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
+
+
+def test_rows_of_null_id_link(spark):
+    w = [f"w{k}" for k in range(60)]
+    ends = [" ".join(w), " ".join([*w, "v1", "v2", "v3", "v4", "v5", "v6"]), " ".join([*w, *(f"v{k}" for k in range(1, 13))])]
+    lone = [f"u{k}" for k in range(40)]
+    rows = [(7, ends[0]), (None, ends[1]), (3, ends[2]), (None, " ".join(lone)), (None, " ".join([*lone, "t1"])), (9, "x y z q")]
+    sets = brute(dict(enumerate(t for _, t in rows)), 3, 90, 100)
+    assert len({sets[k][1] for k in range(3)}) == 1 and sets[3][1] == sets[4][1]
+    got = j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted((r.n_shingles, r.component_id or 0) for r in got) == sorted((sets[k][0], c) for k, c in enumerate([3, 3, 3, 0, 0, 9]))
