@@ -26,9 +26,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first k bytes of a block
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,14 +98,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: np.uint64, n: int, key: str) -> np.ndarray:
-    if key not in _powers or len(_powers[key]) < n:
-        p = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        p[0] = 1
-        _powers[key] = np.multiply.accumulate(p)
-    return _powers[key][:n]
-
-
 def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each run of bytes that are not in space; the offsets index data."""
     if not len(data):
@@ -125,21 +116,26 @@ def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tupl
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word: a polynomial over the bytes from prefix sums, then mixed."""
+    """64-bit hash of each word, from its blocks of 8 bytes: each is mixed with its place, so no words that differ are alike by their structure."""
     if not len(s):
         return np.zeros(0, dtype=np.uint64)
-    n = len(data)
-    v = (_LOWER[data] if lower else data).astype(np.uint64)
-    v += np.uint64(1)
-    v *= _power(_BASE, n, "up")
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(v, out=total[1:])
-    return mix((total[e] - total[s]) * _power(_BASE_INV, n, "down")[s])
+    raw = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, dtype=np.uint8)])
+    blocks = np.ndarray(len(data) + 1, dtype="<u8", buffer=raw, strides=(1,))
+    size = e - s
+    out = mix((blocks[s] & _BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _BASE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        x = blocks[np.repeat(s[long], more) + 8 * place] & _BYTES[np.minimum(np.repeat(size[long], more) - 8 * place, 8)]
+        out[long] = mix(out[long] + np.add.reduceat(mix(x ^ mix(place.astype(np.uint64) * _BASE)), first))
+    return out
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each run of n words; a row of 1 to n - 1 words has its whole sequence as one."""
-    odd = _power(np.uint64(0xD6E8FEB86659FD93), n + 1, "shingle")[1:]
+    odd = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(n)]
     count = np.bincount(row, minlength=n_rows)
     if len(h) >= n:
         out = h[: len(h) - n + 1] * odd[0]

@@ -5,23 +5,27 @@ A document's set is that of its distinct n-word shingles. Two sets link if their
 PartEnum: sizes are cut in bands [l, l den / num]; linked sets lie in one band or in neighbours, and differ in at most
 k = r (den - num) / num elements, r being the smaller one's band's end. For each pair of neighbouring bands, a hash deals the shingles to n1 = k / 2 + 1 + spare
 parts, and each part's to 3 sub-parts. Of the parts, at least spare + 1 hold at most one differing element, so two of their sub-parts agree: each part
-gives its 3 subsets of two sub-parts as signatures, and linked sets share one. A subset without elements says nothing: a set that has those in at
-most ``spare`` parts leaves them out, since then one of the spare + 1 parts has none.
+gives its 3 subsets of two sub-parts as signatures, and linked sets share one. A subset of few elements says little: a set leaves out its subsets of fewer than ``least``
+elements, the largest number for which at most ``spare`` of its parts have such. Of two linked sets, take the one with the larger ``least``: one of the spare + 1 parts has no such
+subset there, so the subset that agrees, which is as large in the other set, is left out by neither.
 
-1. Equal sets become one class, under a 64-bit hash of the set (at 10^10 different texts, about 3 chance meetings of hashes are expected).
-2. Classes' signatures go to tasks by their leading bits, packed with the class hashes in binary blocks, about 14 bytes each; the number of
+1. Equal sets become one class, under a 64-bit hash of the set (at 10^10 different texts, about 3 chance meetings of hashes are expected). With its class a document
+   has its set's parity bitmap: about a bit for each 1 to 2 elements, flipped by each element that falls on it. The bitmaps of two sets differ in no more bits than the sets in elements.
+2. Classes' signatures go to tasks by their lowest bits, packed with the class hashes in binary blocks, about 10 to 13 bytes each; the number of
    tasks follows the number of signatures. A task sorts its own and keeps the buckets, the sets of at least two classes with a signature in common. Buckets of the same classes
    count once.
-3. Buckets are dealt to cells by the smallest class of the buckets around them, so that those of a group of copies come together (by their own smallest class where that would be
-   over ``HOME_ROWS`` rows or ``HOME_PAIRS`` pairs), and each class's set goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes goes as pairs
-   of blocks, so no bucket is too large for a task. A cell compares the classes of each bucket exactly, on the sets, with a matrix product where they are many. No pairs are written: a cell keeps
+3. The bitmaps meet by bucket: pairs whose bitmaps differ too much can't link, and a bucket falls apart in the groups that the other pairs hold together. So only classes that have
+   a near one send their sets.
+4. Both for bitmaps and for sets, buckets are dealt to cells by the smallest class of the buckets around them, so that those of a group of copies come together (by their own smallest class where that would be
+   over ``HOME_ROWS`` rows, ``HOME_PAIRS`` pairs or ``HOME_BYTES``), and each class goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes or
+   ``BLOCK_BYTES`` goes as pairs of blocks, so no bucket is too large for a task, and a cell holds about ``CELL_BYTES`` or one pair of blocks. A cell compares the classes of each bucket exactly, on the sets, with a matrix product where they are many. No pairs are written: a cell keeps
    a forest of what it has found linked, skips pairs that are in one tree already, and returns the links that joined trees.
-4. The components of these links are the result. A cell that is lost is computed again from the stored tables.
+5. The components of these links are the result. A cell that is lost is computed again from the stored tables.
 
-Sets of candidates are computed anew from their texts, one for each class; of classes without an id, from the rows of null id. Their ids are broadcast only up to ``BROADCAST_IDS``; beyond, they are joined by a shuffle.
+Sets of candidates are computed anew from their texts, one for each class, found by doc_id and the text's hash; these keys are broadcast only up to ``BROADCAST_IDS``; beyond, they are joined by a shuffle.
 
 Defined results: A-Z are lower-cased; null texts and texts without words have an empty set, link with nothing, and are their own component; with fewer words than n the
-whole sequence is the one shingle; repeated rows are one class; a component's id is its smallest doc_id, nulls aside; an empty table gives
+whole sequence is the one shingle; repeated rows are one class; rows that repeat a doc_id with other texts are documents of their own; rows of null id link too; a component's id is its smallest doc_id, nulls aside; an empty table gives
 no rows; other columns aren't read.
 """
 
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import mix, row_sets, slices, stored, utf8
 from .components import components
 
-ENTRIES_PER_TASK, BROADCAST_IDS, FLUSH = 1 << 20, 1 << 20, 4 << 20
+ENTRIES_PER_TASK, BROADCAST_IDS, FLUSH = 1 << 20, 1 << 20, 8 << 20
+BLOCK, ROWS_PER_CELL, HOME_ROWS, HOME_PAIRS, MAX_DONE = 1024, 4096, 1 << 14, 1 << 22, 1 << 20
+BLOCK_BYTES, HOME_BYTES, CELL_BYTES, PAIRS_AT_ONCE = 16 << 20, 32 << 20, 16 << 20, 1 << 19
 _SUBSETS = np.array([[1, 1, 0], [1, 0, 1], [0, 1, 1]], dtype=np.uint64)
 
 
@@ -52,7 +58,7 @@ def parts(end: int, num: int, den: int) -> tuple[int, int]:
     """Number of parts, and how many more than needed, for sets whose smaller band ends at end; 0 parts if only equal sets link."""
     k = end * (den - num) // num
     need = k // 2 + 1
-    spare = 1 + need // 16
+    spare = 1 + need // 8
     return (need + spare, spare) if k else (0, 0)
 
 
@@ -80,9 +86,11 @@ def signatures(s: np.ndarray, num: int, den: int, ends: np.ndarray | None = None
         total, count = np.zeros(n1 * 3, dtype=np.uint64), np.bincount(cell, minlength=n1 * 3)
         np.add.at(total, cell, mix(h + np.uint64(0xBB67AE8584CAA73B)))
         sums = (total.reshape(n1, 3) @ _SUBSETS.T).ravel()
-        held = (count.reshape(n1, 3).astype(np.uint64) @ _SUBSETS.T).ravel() > 0
+        held = count.reshape(n1, 3) @ _SUBSETS.T.astype(np.int64)
+        fewest = np.sort(held.min(axis=1))
+        least = int(fewest[min(spare, n1 - 1)])
         sig = mix(sums + np.arange(n1 * 3, dtype=np.uint64) * np.uint64(0x3C6EF372FE94F82B) + seed)
-        out.append(sig[held] if (~held.reshape(n1, 3)).any(axis=1).sum() <= spare else sig)
+        out.append(sig[held.ravel() >= least])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -93,37 +101,48 @@ def _batches(batches, text: str):
             yield b.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity bitmap of a set: 64 bits, or a power of two from half its elements on."""
+    width = max(64, 1 << max(0, (len(s) + 1) // 2 - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
 def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and cls, the hash of the set (null if it is empty)."""
+    """doc_id, th (the text's hash), n_shingles, cls, the hash of the set, and its bitmap (null if it is empty)."""
 
     def run(batches):
         for part, data, off in _batches(batches, "text"):
             sets = row_sets(data, off, n)
             cls = np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64)
             size = np.array([len(s) for s in sets], dtype=np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": size, "cls": pa.array(cls, mask=size == 0)})
+            bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "th": part.column("th"), "n_shingles": size, "cls": pa.array(cls, mask=size == 0), "bits": bits})
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, cls long, bits binary")
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def _entries(docs: DataFrame, n: int, num: int, den: int, n_parts: int) -> DataFrame:
-    """Rows (part, packed): the signatures of part (their upper 6 bytes) and the classes that have them."""
+    """Rows (part, packed): the signatures of part (their upper 5 bytes) and the classes that have them."""
 
     def packed(sigs: list, owners: list):
         sig, cls = np.concatenate(sigs), np.repeat(np.array(owners, dtype=np.uint64), [len(x) for x in sigs])
-        part = (sig & np.uint64(0xFFFF)) * np.uint64(n_parts) >> np.uint64(16)
+        part = (sig & np.uint64(0xFFFFFF)) * np.uint64(n_parts) >> np.uint64(24)
         order = np.argsort(part, kind="stable")
         sig, cls, part = sig[order], cls[order], part[order]
         at, cut = np.unique(part, return_index=True)
         cut = np.append(cut, len(sig))
         blobs = []
         for a, b in zip(cut[:-1], cut[1:]):
-            six = np.ascontiguousarray((sig[a:b] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+            five = np.ascontiguousarray((sig[a:b] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
             known, of = np.unique(cls[a:b], return_inverse=True)
             if len(known) < 65536 and len(known) * 8 + (b - a) * 2 < (b - a) * 8:
-                blobs.append(b"".join([np.int64(b - a).tobytes(), np.int64(len(known)).tobytes(), six.tobytes(), known.tobytes(), of.astype(np.uint16).tobytes()]))
+                blobs.append(b"".join([np.int64(b - a).tobytes(), np.int64(len(known)).tobytes(), five.tobytes(), known.tobytes(), of.astype(np.uint16).tobytes()]))
             else:
-                blobs.append(b"".join([np.int64(b - a).tobytes(), np.int64(0).tobytes(), six.tobytes(), cls[a:b].tobytes()]))
+                blobs.append(b"".join([np.int64(b - a).tobytes(), np.int64(0).tobytes(), five.tobytes(), cls[a:b].tobytes()]))
         return pa.RecordBatch.from_pydict({"part": at.astype(np.int32), "packed": pa.array(blobs, pa.binary())})
 
     def run(batches):
@@ -156,11 +175,11 @@ def _entries(docs: DataFrame, n: int, num: int, den: int, n_parts: int) -> DataF
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, known = np.frombuffer(blob, np.int64, 2).tolist()
     sig = np.zeros((n, 8), dtype=np.uint8)
-    sig[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 16).reshape(n, 6)
+    sig[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 16).reshape(n, 5)
     if known:
-        cls = np.frombuffer(blob, np.uint64, known, 16 + 6 * n)[np.frombuffer(blob, np.uint16, n, 16 + 6 * n + 8 * known)]
+        cls = np.frombuffer(blob, np.uint64, known, 16 + 5 * n)[np.frombuffer(blob, np.uint16, n, 16 + 5 * n + 8 * known)]
     else:
-        cls = np.frombuffer(blob, np.uint64, n, 16 + 6 * n)
+        cls = np.frombuffer(blob, np.uint64, n, 16 + 5 * n)
     return sig.view(np.uint64).ravel(), cls
 
 
@@ -172,7 +191,7 @@ def _buckets(entries: DataFrame) -> DataFrame:
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("packed").to_pylist()):
                 s, c = _unpacked(blob)
-                sigs.append(s | (np.uint64(part & 0xFFFF) << np.uint64(48)))
+                sigs.append(s | (np.uint64(part) << np.uint64(40)))
                 clss.append(c)
         if not sigs:
             return
@@ -210,16 +229,24 @@ def _few(keys: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame, n: int) -> DataFrame:
-    """cls and its set (packed) of each row of docs that has one."""
+    """cls and its set (packed) of docs, each class once a task."""
 
     def run(batches):
+        seen: set = set()
         for _, data, off in _batches(batches, "text"):
-            sets = [s for s in row_sets(data, off, n) if len(s)]
-            yield pa.RecordBatch.from_pydict({"cls": np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64), "packed": pa.array([s.tobytes() for s in sets], pa.binary())})
+            new = {c: s for s in row_sets(data, off, n) if len(s) and (c := set_hash(s)) not in seen}
+            seen.update(new)
+            yield pa.RecordBatch.from_pydict({"cls": np.array(list(new), dtype=np.uint64).view(np.int64), "packed": pa.array([s.tobytes() for s in new.values()], pa.binary())})
 
     return docs.select("text").mapInArrow(run, "cls long, packed binary")
 
 
+def _semi(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs that have one of the keys (doc_id, th); a null id is an id like others."""
+    k = _few(keys.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
+    return docs.join(k, (F.xxhash64("text") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+
+
 class _Forest:
     """Union-find over classes."""
 
@@ -288,30 +315,129 @@ def links_of(members: list[int], sets: dict[int, np.ndarray], num: int, den: int
     return out
 
 
+class _Bitmaps:
+    """Bitmaps of a cell's classes, as a matrix for each width; wider ones are folded."""
+
+    def __init__(self, bits: list[bytes]):
+        self.rows = [np.frombuffer(b, np.uint64) for b in bits]
+        self.width = np.array([len(r) for r in self.rows])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def matrix(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each class in the matrix of the width, and the matrix."""
+        if width not in self.at:
+            own = np.flatnonzero(self.width >= width)
+            place = np.zeros(len(self.rows), dtype=np.int64)
+            place[own] = np.arange(len(own))
+            self.at[width] = place, np.array([np.bitwise_xor.reduce(self.rows[k].reshape(-1, width), axis=0) for k in own])
+        return self.at[width]
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps of x and y differ: at most the number of elements in which their sets do."""
+        out, width = np.zeros(len(x), dtype=np.int64), np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width).tolist():
+            place, m = self.matrix(w)
+            at = np.flatnonzero(width == w)
+            for part in np.array_split(at, len(at) * w // (1 << 21) + 1):
+                out[part] = np.bitwise_count(m[place[x[part]]] ^ m[place[y[part]]]).sum(axis=1)
+        return out
+
+
+def _groups(m: int, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Groups of at least two of 0 .. m - 1 that the pairs x, y hold together."""
+    if len(x) == m * (m - 1) // 2:
+        return [np.arange(m)]
+    top = np.arange(m)
+    while True:
+        low = top.copy()
+        np.minimum.at(low, x, top[y])
+        np.minimum.at(low, y, top[x])
+        low = low[low]
+        if (low == top).all():
+            break
+        top = low
+    return [g for t in np.unique(top[np.concatenate([x, y])]) if len(g := np.flatnonzero(top == t)) > 1]
+
+
+def near_groups(key: np.ndarray, cls: np.ndarray, known: np.ndarray, size: np.ndarray, bits: list[bytes], num: int, den: int) -> list[np.ndarray]:
+    """Of rows (key, cls), sorted, the groups of classes of a key that pairs which may link hold together; known are the classes, sorted, with their sizes and bitmaps. Equal groups once."""
+    maps, out, seen = _Bitmaps(bits), [], set()
+    at = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    of = np.searchsorted(known, cls)
+    width = np.diff(at)
+    for part in np.split(np.arange(len(width)), np.flatnonzero(np.diff(np.cumsum(width * (width - 1) // 2) // PAIRS_AT_ONCE)) + 1):
+        pairs = [np.triu_indices(width[b], 1) for b in part]
+        x = np.concatenate([of[at[b] : at[b + 1]][p[0]] for b, p in zip(part, pairs)])
+        y = np.concatenate([of[at[b] : at[b + 1]][p[1]] for b, p in zip(part, pairs)])
+        code, back = np.unique(x * len(known) + y, return_inverse=True)
+        x, y = code // len(known), code % len(known)
+        fits = np.minimum(size[x], size[y]) * den >= num * np.maximum(size[x], size[y])
+        fits[fits] = maps.distance(x[fits], y[fits]) * (den + num) <= (size[x[fits]] + size[y[fits]]) * (den - num)
+        fits, low = fits[back], 0
+        for b, (i, j) in zip(part, pairs):
+            ok = fits[low : low + len(i)]
+            low += len(i)
+            if ok.any():
+                for g in _groups(int(width[b]), i[ok], j[ok]):
+                    g = cls[at[b] + g]
+                    if g.tobytes() not in seen:
+                        seen.add(g.tobytes())
+                        out.append(g)
+    return out
+
+
 def _homes(members: DataFrame) -> DataFrame:
-    """bucket, home and crowded: the least class near each bucket, which the buckets of a group of copies share, and whether one task would have too many rows or pairs there."""
+    """bucket, home, blocks and crowded: the least class near each bucket, which the buckets of a group of copies share, the blocks that it is cut in, and whether one task would have too much there."""
     near = members.groupBy(F.col("cls").alias("c")).agg(F.min("least").alias("near"))
-    homes = members.join(near, F.col("cls") == F.col("c")).groupBy(F.col("bucket").alias("b")).agg(F.min("near").alias("home"), F.max("size").alias("n"))
-    crowded = ((F.sum("n") > HOME_ROWS) | (F.sum(F.col("n") * F.col("n")) > HOME_PAIRS)).alias("crowded")
+    homes = members.join(near, F.col("cls") == F.col("c")).groupBy(F.col("bucket").alias("b")).agg(F.min("near").alias("home"), F.max("size").alias("n"), F.sum("bytes").alias("w"))
+    crowded = ((F.sum("n") > HOME_ROWS) | (F.sum(F.col("n") * F.col("n")) > HOME_PAIRS) | (F.sum("w") > HOME_BYTES)).alias("crowded")
     rows = homes.groupBy(F.col("home").alias("h")).agg(crowded)
-    return homes.join(rows, F.col("home") == F.col("h")).select(F.col("b").alias("bucket"), "home", "crowded")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_BYTES)).cast("int")
+    return homes.join(rows, F.col("home") == F.col("h")).select(F.col("b").alias("bucket"), "home", blocks.alias("blocks"), "crowded")
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int, n_cells: int) -> DataFrame:
-    """Links (u, v) that hold the components together. Buckets go to cells with their classes' sets, each class once a cell; buckets of over ``BLOCK`` classes go as pairs of blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = members.join(_homes(members), "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _cells(members: DataFrame, payload: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (cell, key, cls) of members (bucket, cls, size, least, bytes) dealt to cells, and (at, c, and the payload's other columns) of each class of a cell, once."""
+    rows, total = members.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    n_cells = max(4 * tasks, rows // ROWS_PER_CELL, total // CELL_BYTES)
+    m = members.join(_homes(members), "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    home = F.when(F.col("size") > BLOCK, F.xxhash64(key)).when(F.col("crowded"), F.xxhash64("least")).otherwise(F.xxhash64("home"))
+    home = F.when(F.col("blocks") > 1, F.xxhash64(key)).when(F.col("crowded"), F.xxhash64("least")).otherwise(F.xxhash64("home"))
     m = m.select("cls", key.alias("key"), F.pmod(home, F.lit(n_cells)).cast("int").alias("cell"))
     held = m.select(F.col("cell").alias("at"), F.col("cls").alias("c")).distinct()
-    held = held.join(sets, F.col("c") == sets["cls"]).select("at", "c", "packed")
+    return m, held.join(payload, F.col("c") == payload["cls"]).drop("cls")
+
+
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, cls = rows.column("key").to_numpy(), rows.column("cls").to_numpy()
+    order = np.lexsort((cls, key))
+    return key[order], cls[order]
+
+
+def _near(members: DataFrame, bitmaps: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
+    """Buckets (bucket, cls, size, least) of what is left of members' by the bitmaps (cls, n_shingles, bits)."""
+    m, held = _cells(members, bitmaps, tasks)
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by("c")
+        bits = [b.as_py() for b in own.column("bits")]
+        got = near_groups(*_sorted(rows), own.column("c").to_numpy(), own.column("n_shingles").to_numpy(), bits, num, den)
+        n = np.array([len(g) for g in got], dtype=np.int64)
+        cls = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
+        name = np.array([mix(np.array([mix(g.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(g))]))[0] for g in got], dtype=np.uint64).view(np.int64)
+        least = np.array([g[0] for g in got], dtype=np.int64)
+        return pa.table({"bucket": np.repeat(name, n), "cls": cls, "size": np.repeat(n, n), "least": np.repeat(least, n)})
+
+    return m.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(run, "bucket long, cls long, size long, least long")
+
+
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
+    """Links (u, v) that hold the components together."""
+    m, held = _cells(members, sets, tasks)
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
         known = {c: np.frombuffer(p.as_buffer(), np.uint64) for c, p in zip(own.column("c").to_pylist(), own.column("packed"))}
-        key, cls = rows.column("key").to_numpy(), rows.column("cls").to_numpy()
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
+        key, cls = _sorted(rows)
         forest, done, out = _Forest(), set(), []
         for part in np.split(cls, np.flatnonzero(key[1:] != key[:-1]) + 1):
             out += links_of(part.tolist(), known, num, den, forest, done)
@@ -324,40 +450,45 @@ def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFram
     """Components (node, component) of the classes that link with another."""
     spark = docs.sparkSession
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    per_shingle = 3.2 * (den - num) / num
+    per_shingle = 3.4 * (den - num) / num
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * per_shingle) // ENTRIES_PER_TASK)
-    entries = _entries(docs, n, num, den, min(4 * tasks, 65536)).repartition(tasks, "part")
-    members = stored(stored(_buckets(entries), "buckets").distinct(), "members")
-    found = stored(classes.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "candidates")
-    sets = _packed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(_few(found.filter("doc_id IS NOT NULL").select("doc_id")), "doc_id", "left_semi"), n)
-    nameless = found.filter("doc_id IS NULL").select("cls")
-    if nameless.head(1):
-        sets = sets.unionByName(_packed(docs.filter("doc_id IS NULL"), n).join(_few(nameless), "cls", "left_semi"))
-    sets = stored(sets.dropDuplicates(["cls"]), "sets")
-    rows = members.join(sets.select("cls"), "cls", "left_semi")
-    cells = max(4 * tasks, members.count() // ROWS_PER_CELL)
-    return components(stored(_links(rows, sets, num, den, cells), "links"))
-
-
-BLOCK, ROWS_PER_CELL, HOME_ROWS, HOME_PAIRS, MAX_DONE = 1024, 4096, 1 << 17, 1 << 23, 1 << 20
+    members = stored(_buckets(_entries(docs, n, num, den, tasks).repartitionById(tasks, "part")).distinct(), "members")
+    own = classes.join(members.select("cls").distinct(), "cls", "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    found = stored(own.groupBy("cls").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "candidates")
+    sized = lambda m, per: m.join(found.select("cls", (F.col("n_shingles") * per).cast("bigint").alias("bytes")), "cls")
+    near = stored(_near(stored(sized(members, 0.125), "sized"), found.select("cls", "n_shingles", "bits"), num, den, tasks).distinct(), "near")
+    keys = found.join(near.select("cls").distinct(), "cls", "left_semi").select("first.doc_id", "first.th")
+    sets = stored(_packed(_semi(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), keys), n), "sets")
+    if sets.count() > sets.select("cls").distinct().count():
+        sets = stored(sets.dropDuplicates(["cls"]), "sets")
+    rows = stored(sized(near, 8).join(sets.select("cls"), "cls", "left_semi"), "sized")
+    return components(stored(_links(rows, sets, num, den, tasks), "links"))
+
+
+def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, th, n_shingles and comp, the component's class (null without a set), of every row."""
+    classes = stored(shingle_classes(docs, n), "classes")
+    labels = jaccard_links(docs, n, num, den, classes.filter("cls IS NOT NULL"))
+    own = classes.drop("bits").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    return own.select("doc_id", "th", "n_shingles", F.coalesce("component", "cls").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    classes = stored(shingle_classes(docs, n), "classes")
-    labels = jaccard_links(docs, n, num, den, classes.filter("cls IS NOT NULL"))
-    own = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    own = own.select("doc_id", "n_shingles", "comp")
+    own = _labelled(docs, n, num, den)
     least = own.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, with the same columns, with the document of the smallest doc_id of each component; of rows that repeat a doc_id one; all of null id."""
-    ids = jaccard_components(docs, n, num, den).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    ids = stored(ids, "kept")
-    few = ids.count() <= BROADCAST_IDS
-    some = lambda x: docs.join(F.broadcast(x) if few else x, F.col("doc_id") == F.col("_kept"), "left_semi")
-    out = some(ids.filter("_rows = 1")).unionByName(docs.filter("doc_id IS NULL"))
-    repeated = ids.filter("_rows > 1")
-    return out.unionByName(some(repeated).dropDuplicates(["doc_id"])) if repeated.head(1) else out
+    """docs, with the same columns, with one row of each component: that of the smallest doc_id (nulls last), then the smallest text hash, then, of rows equal in both, the first as JSON. Rows without words are kept."""
+    rows = _labelled(docs, n, num, den).filter("comp IS NOT NULL").groupBy("comp", "doc_id", "th").agg(F.count("*").alias("n"))
+    kept = stored(rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("first")).select("first.doc_id", "first.th", "first.n"), "kept")
+    out = _semi(docs, kept.filter("n = 1")).unionByName(docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    repeated = kept.filter("n > 1")
+    if repeated.head(1):
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = _semi(docs, repeated).groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+        out = out.unionByName(one.select("_row.*"))
+    return out

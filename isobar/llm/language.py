@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _sampled, fitted, mix, slices, utf8
+from .common import _sampled, fitted, mix, slices, utf8, word_hashes
 
 BITS, ORDER, CLIP, PENALTY, SEGMENT, PER_LANGUAGE, MAX_LANGUAGES, SCRIPT_SHARE = 18, 4, 8.0, 12.0, 128, 1500, 256, 0.01
 
@@ -85,12 +85,7 @@ def _words(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _distinct(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of an occurrence of each distinct word, and for each word its place among them."""
-    base = np.uint64(0xD1342543DE82EF95)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    up, down = np.full(len(cp), base, dtype=np.uint64), np.full(len(cp), inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    total = np.append(np.uint64(0), np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(up)))
-    h = mix((total[s + n] - total[s]) * np.multiply.accumulate(down)[s])
+    h = word_hashes(np.ascontiguousarray(cp).view(np.uint8), 4 * s, 4 * (s + n), lower=False)
     _, first, place = np.unique(h, return_index=True, return_inverse=True)
     return first, place
 

@@ -104,7 +104,7 @@ def test_rows_that_repeat_and_empty_table(spark):
     got = j.jaccard_components(df).collect()
     assert len(got) == 5 and {r.component_id for r in got if r.n_shingles == 2} == {1}
     kept = [r.doc_id for r in j.one_of_each(df).collect()]
-    assert sorted(k for k in kept if k is not None) == [1, 2] and kept.count(None) == 2
+    assert sorted(k for k in kept if k is not None) == [1, 2] and kept.count(None) == 1  # the row without text
     none = spark.createDataFrame([], "doc_id long, text string")
     assert j.jaccard_components(none).count() == 0 and j.one_of_each(none).count() == 0
 
@@ -136,3 +136,41 @@ def test_rows_of_null_id_link(spark):
     assert len({sets[k][1] for k in range(3)}) == 1 and sets[3][1] == sets[4][1]
     got = j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
     assert sorted((r.n_shingles, r.component_id or 0) for r in got) == sorted((sets[k][0], c) for k, c in enumerate([3, 3, 3, 0, 0, 9]))
+
+
+def test_one_row_of_each_group(spark):
+    w = [f"w{k}" for k in range(60)]
+    near = " ".join([*w, "v"])
+    rows = [(1, " ".join(w), "b"), (1, "quite other words than those above here", "x"), (1, " ".join(w), "a"), (None, near, "c"), (None, "p q r s t u", "n"), (None, "p q r s t u", "m"), (4, "", "e"), (4, None, "e")]
+    got = j.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, th string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "-", r.th) for r in got) == sorted([(1, rows[1][1], "x"), (1, rows[0][1], "a"), (0, "p q r s t u", "m"), (4, "-", "e"), (4, "-", "e")])
+
+
+def test_words_of_one_structure_are_not_alike(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = {k: w for k, w in enumerate([word, word.translate(str.maketrans("ab", "ba")), word + "x", "12345678", "12345678a", "12345678b", "A2345678b"])}
+    got = j.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k in texts}
+
+
+def test_bitmaps_never_part_linked_sets():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64)) for n in (3, 40, 130, 260, 700)]
+    sets = []
+    for _ in range(120):
+        b = base[int(rng.integers(0, 5))]
+        sets.append(np.unique(np.concatenate([rng.permutation(b)[int(rng.integers(0, len(b) // 4 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, len(b) // 5 + 1))).astype(np.uint64)])))
+    known = np.arange(len(sets))
+    key = np.repeat([1, 2, 3], [120, 60, 2])
+    cls = np.concatenate([known, known[::2], known[:2]])
+    size = np.array([len(s) for s in sets])
+    groups = j.near_groups(key, cls, known, size, [j.bitmap(s) for s in sets], 80, 100)
+    together = {(x, y) for g in groups for x in g.tolist() for y in g.tolist() if x < y}
+    links = {(x, y) for x in known.tolist() for y in range(x + 1, 120) if 100 * (b := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (len(sets[x]) + len(sets[y]) - b)}
+    assert links and links <= together and len(together) < 120 * 119 / 2
+    maps = j._Bitmaps([j.bitmap(s) for s in sets])
+    x, y = np.triu_indices(120, 1)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y)])
+    assert (maps.distance(x, y) <= apart).all()
