@@ -1,19 +1,20 @@
 """Byte-level BPE encoding and decoding on padded numpy matrices.
 
 A text is split by the tokenizer's pattern and each piece is merged on its own. Pieces repeat, so a task
-keeps a bounded cache from piece to ids; the new pieces of a slice are laid in matrices, one row a
+keeps a cache from piece to ids, bounded in bytes (``CACHE_BYTES``) and dropped when the task ends; the new pieces of a slice are laid in matrices, one row a
 piece, bucketed by length so that padding stays below half. In each round every row finds its minimum-rank
 adjacent pair (the leftmost of equals), by a hashed lookup of all pairs of the matrix at once in an open-addressing table,
 merges it and moves the rest of the row left; rows without a pair left are taken out, so the matrix gets
-smaller. Pieces of more than ``LONG`` bytes, where a round for each merge would be quadratic, go through a
-heap over a linked list, with the same order of merges.
+smaller. A piece of more than ``LONG`` bytes is a matrix of one row, in which a round merges the minimum-rank pair wherever it stands, from the left: these are the next rounds of that
+row, taken together, unless one of them would make a pair of lower rank, and then only the first is taken.
 
 The pair table follows from the ranks alone: a pair of tokens merges if the bytes of both joined have a rank,
-which is then the rank of the pair. It is built once a Python worker from the rank file's contents, which are
-broadcast (under 1 MB for 50,000 ranks; ``MAX_RANKS`` bounds it).
+which is then the rank of the pair. It is built once, on the driver, as arrays that are broadcast
+(4 MB for 50,000 ranks; ``MAX_RANKS`` bounds it).
 
 Defined results: a null or empty text has no ids; special tokens don't exist, so their strings are ordinary text;
-bytes without a token are an error when the ranks are read, since then not every text could be encoded. Texts are
+bytes without a token are an error when the ranks are read, since then not every text could be encoded; so is a pattern whose
+matches could span the chunks that texts are cut in (``check_pattern``). Texts are
 processed whole. Other columns are kept; clashing names (ids and what a query derives) are replaced.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 MAX_RANKS = 1 << 20
 LONG = 256
-CACHE = 1 << 18
+CACHE_BYTES, CACHED = 40 << 20, 64  # of a task's cache, counting 300 bytes an entry besides its text; longer chunks aren't kept
 NONE = np.int32(np.iinfo(np.int32).max)
 
 #: White space as in Unicode's White_Space: what the patterns of rank tokenizers mean by \s.
@@ -42,26 +43,41 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 
 
 class Ranks:
-    """The tokens of a rank file (base64 token, blank, rank) and the pairs that merge."""
+    """The tokens of a rank file (base64 token, blank, rank) and the pairs that merge, as arrays."""
 
     def __init__(self, contents: bytes):
-        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, contents.splitlines())}
-        if len(self.rank) > MAX_RANKS or any(bytes([b]) not in self.rank for b in range(256)):
+        rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, contents.splitlines())}
+        if len(rank) > MAX_RANKS or any(bytes([b]) not in rank for b in range(256)):
             raise ValueError(f"needs a rank for each byte, and at most {MAX_RANKS} ranks")
-        self.token = {r: t for t, r in self.rank.items()}
-        self.bytes_rank = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.bytes_rank = np.array([rank[bytes([b])] for b in range(256)], dtype=np.int32)
         left, right, merged = [], [], []
-        for t, r in self.rank.items():
+        for t, r in rank.items():
             for k in range(1, len(t)):
-                a, b = self.rank.get(t[:k]), self.rank.get(t[k:])
+                a, b = rank.get(t[:k]), rank.get(t[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(r)
-        self.pairs = {(a, b): r for a, b, r in zip(left, right, merged)}
         self._table(np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64), np.array(merged, dtype=np.int32))
+        size = np.zeros(max(rank.values()) + 2, dtype=np.int64)
+        for t, r in rank.items():
+            size[r + 1] = len(t)
+        self.start, self.text = np.cumsum(size), b"".join(t for _, t in sorted((r, t) for t, r in rank.items()))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, gathered at once."""
+        size = self.start[ids + 1] - self.start[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.frombuffer(self.text, dtype=np.uint8)[at].tobytes()
+
+    def decode_each(self, pieces: list[list[int]]) -> list[bytes]:
+        """The bytes of each piece's ids."""
+        ids = np.fromiter(itertools.chain.from_iterable(pieces), dtype=np.int64)
+        end = np.append(0, np.cumsum(self.start[ids + 1] - self.start[ids]))[np.cumsum([0, *map(len, pieces)])].tolist()
+        whole = self.decode(ids)
+        return [whole[a:b] for a, b in itertools.pairwise(end)]
 
     def _table(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> None:
         keys = (left << np.uint64(32)) | right
-        bits = max(4, int(len(keys) * 4).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values, self.probes = np.full(1 << bits, 2**64 - 1, dtype=np.uint64), np.full(1 << bits, NONE, dtype=np.int32), 0
         todo, step = np.arange(len(keys)), 0
@@ -128,25 +144,28 @@ class Ranks:
         return out
 
     def merge_long(self, piece: bytes) -> list[int]:
-        """The same merges by a heap of (rank, position) over a linked list."""
-        ids = [int(x) for x in self.bytes_rank[np.frombuffer(piece, dtype=np.uint8)]]
-        n = len(ids)
-        after, before, pairs = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs
-        heap = [(r, k) for k in range(n - 1) if (r := pairs.get((ids[k], ids[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, k = heapq.heappop(heap)
-            j = after[k]
-            if ids[k] < 0 or j >= n or pairs.get((ids[k], ids[j])) != r:
-                continue
-            ids[k], ids[j] = r, -1
-            after[k] = after[j]
-            if after[j] < n:
-                before[after[j]] = k
-            for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b < n and (q := pairs.get((ids[a], ids[b]))) is not None:
-                    heapq.heappush(heap, (q, a))
-        return [x for x in ids if x >= 0]
+        """ids of one long piece."""
+        ids = self.bytes_rank[np.frombuffer(piece, dtype=np.uint8)]
+        rank = self.lookup(ids[:-1], ids[1:])
+        while len(rank) and (r := rank.min()) != NONE:
+            at = np.flatnonzero(rank == r)
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))  # of pairs that overlap, every second one
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            if len(at) > 1:  # one alone, if it makes a pair that comes before the next
+                after, before = at[at < len(ids) - 2], at[at > 0]
+                left = ids[before - 1].copy()
+                left[np.isin(before - 2, at)] = r
+                if (self.lookup(np.full(len(after), r, dtype=np.int32), ids[after + 2]) < r).any() or (self.lookup(left, np.full(len(before), r, dtype=np.int32)) < r).any():
+                    at = at[:1]
+            ids[at] = r
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            at = at - np.arange(len(at))
+            rank = rank[keep[1:]]  # of the pair that ends at each id that is left
+            new = np.unique(np.concatenate([at[at > 0] - 1, at[at < len(ids) - 1]]))
+            rank[new] = self.lookup(ids[new], ids[new + 1])
+        return ids.tolist()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """ids of each piece."""
@@ -168,6 +187,17 @@ class Ranks:
         return out
 
 
+def check_pattern(pattern: str) -> None:
+    """An error if matches of the pattern can span chunks: it is tried on all runs of four of letters, digits, signs and white space."""
+    import regex
+
+    split = regex.compile(pattern).findall
+    for parts in itertools.product(("word", "1", "!", "'s", " ", "\n", "\r\n", "\t"), repeat=4):
+        t = "".join(parts)
+        if split(t) != [p for c in Codec.CHUNKS(t) for p in ((c,) if Codec.whole(c) else split(c))]:
+            raise ValueError(f"a pattern whose matches span words: {t!r}")
+
+
 class Codec:
     """Encoder and decoder of whole texts, with a bounded cache of chunks.
 
@@ -175,46 +205,59 @@ class Codec:
     white-space matches leave a blank to the next word spans the end of such a run, so chunks are split on their own.
     """
 
-    def __init__(self, contents: bytes, pattern: str):
+    CHUNKS = staticmethod(re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall)
+
+    @staticmethod
+    def whole(chunk: str) -> bool:
+        """A chunk of letters, which is one match."""
+        return (chunk[1:] if chunk[0] == " " else chunk).isalpha()
+
+    def __init__(self, ranks: Ranks, pattern: str):
         import regex
 
-        self.ranks = Ranks(contents)
+        self.ranks = ranks
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")).findall
-        self.chunks = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
         self.cache: dict[str, tuple[str, int, bytes]] = {}
-        self.pieces: dict[bytes, tuple[str, int, bytes]] = {}
-        self.text_of = {i: str(i) for i in self.ranks.token}
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Puts the chunks in the cache; of a piece and of a chunk it has the ids as text, their number and the bytes they decode to."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        new = list(chunks.difference(self.cache))
-        parts = [(c,) if (c[1:] if c[0] == " " else c).isalpha() else self.split(c) for c in new]
-        parts = [[p.encode() for p in ps] for ps in parts]
-        pieces, token, text_of = self.pieces, self.ranks.token.__getitem__, self.text_of.__getitem__
-        todo = list({p for ps in parts for p in ps}.difference(pieces))
-        for p, ids in zip(todo, self.ranks.encode_pieces(todo)):
-            pieces[p] = (" ".join(map(text_of, ids)), len(ids), b"".join(map(token, ids)))
-        for c, ps in zip(new, parts):
+        self.held = 0
+
+    def _learn(self, chunks: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """Of each chunk the ids as text, their number and the bytes they decode to; short ones stay in the cache."""
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
+        known = self.cache
+        out = {c: known[c] for c in chunks if c in known}
+        parts = {c: (c,) if self.whole(c) else self.split(c) for c in chunks if c not in out}
+        new = {p for ps in parts.values() for p in ps}
+        pieces = {p: known[p] for p in new if p in known}
+        todo = list(new.difference(pieces))
+        got = self.ranks.encode_pieces([p.encode() for p in todo])
+        for p, ids, raw in zip(todo, got, self.ranks.decode_each(got)):
+            pieces[p] = (" ".join(map(str, ids)), len(ids), raw)
+            self._keep(p, pieces[p])
+        for c, ps in parts.items():
             if len(ps) == 1:
-                self.cache[c] = pieces[ps[0]]
+                out[c] = pieces[ps[0]]
             else:
                 got = [pieces[p] for p in ps]
-                self.cache[c] = (" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got]))
+                out[c] = (" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got]))
+                self._keep(c, out[c])
+        return out
+
+    def _keep(self, c: str, e: tuple[str, int, bytes]) -> None:
+        if len(c) <= CACHED:
+            self.cache[c] = e
+            self.held += 300 + 4 * len(c)
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """For each text its ids (decimal, joined by blanks), their number, and the bytes that they decode to."""
         collecting = gc.isenabled()
         gc.disable()  # what is made here has no cycles, and looking for them takes a third of the time
         try:
-            split = [self.chunks(t) for t in texts]
-            self._learn({c for cs in split for c in cs})
+            split = list(map(self.CHUNKS, texts))
+            known = self._learn({c for cs in split for c in cs})
             out = []
             for cs in split:
-                got = list(map(self.cache.__getitem__, cs))
+                got = list(map(known.__getitem__, cs))
                 out.append((" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
             return out
         finally:
@@ -222,21 +265,10 @@ class Codec:
                 gc.enable()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.ranks.token[i] for i in ids)
-
+        return self.ranks.decode(np.array(ids, dtype=np.int64))
 
-_codecs: dict = {}
 
-
-def codec(key, contents: bytes, pattern: str) -> Codec:
-    """One codec a Python worker and vocabulary."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(contents, pattern)
-    return _codecs[key]
-
-
-def _texts(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _texts(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     from .common import slices, utf8
 
     _, off = utf8(batch.column(column))
@@ -250,15 +282,21 @@ def with_columns(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Arra
     return pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
 
 
-def _mapped(df: DataFrame, text: str, vocabulary: str, pattern: str, new: list[T.StructField], make, keep_text: bool = True) -> DataFrame:
+def _shared(df: DataFrame, vocabulary: str, pattern: str):
+    """The broadcast tables of a rank file."""
     with open(vocabulary, "rb") as f:
-        contents = f.read()
-    shared, key = df.sparkSession.sparkContext.broadcast(contents), (vocabulary, len(contents), pattern)
+        ranks = Ranks(f.read())
+    check_pattern(pattern)
+    return df.sparkSession.sparkContext.broadcast(ranks)
+
+
+def _mapped(df: DataFrame, text: str, vocabulary: str, pattern: str, new: list[T.StructField], make, keep_text: bool = True) -> DataFrame:
+    shared = _shared(df, vocabulary, pattern)
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in new} and (keep_text or f.name != text)]
     names = [f.name for f in kept] + [x.name for x in new]
 
     def run(batches):
-        c = codec(key, shared.value, pattern)
+        c = Codec(shared.value, pattern)
         for batch in batches:
             for part, texts in _texts(batch, text):
                 yield with_columns(part, names, make(c, texts))
@@ -278,13 +316,11 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") ->
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids") -> DataFrame:
     """df with ``decoded`` (binary), the bytes of the ids; a null list decodes to no bytes."""
-    with open(vocabulary, "rb") as f:
-        contents = f.read()
-    shared, key = df.sparkSession.sparkContext.broadcast(contents), (vocabulary, len(contents), pattern)
+    shared = _shared(df, vocabulary, pattern)
     kept = [f for f in df.schema.fields if f.name != "decoded"]
 
     def run(batches):
-        c = codec(key, shared.value, pattern)
+        c = Codec(shared.value, pattern)
         for b in batches:
             yield with_columns(b, [f.name for f in kept] + ["decoded"], {"decoded": pa.array([c.decode(x or []) for x in b.column(ids).to_pylist()], pa.binary())})
 
