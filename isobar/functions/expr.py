@@ -7,6 +7,7 @@ Every function takes SQL texts of its arguments and gives the SQL text of the re
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -266,6 +267,20 @@ def unit(a):
     return [f"({x} / nullif({norm(a)}, 0))" for x in a]
 
 
+def plane_hit(direction, pixel, height):
+    """(whether a ray meets the plane z = height, x, y): the pixel moved back along the direction; 999 where they run alongside."""
+    t = f"(({pixel[2]} - {height}) / nullif({direction[2]}, 0))"
+    return f"({direction[2]} <> 0)", *(f"(CASE WHEN {direction[2]} <> 0 THEN {pixel[k]} - {direction[k]} * {t} ELSE 999E0 END)" for k in range(2))
+
+
+def sphere_hit(direction, a, pixel, radius2):
+    """(whether a ray meets a sphere of squared radius round the origin, x, y): the pixel moved back to the far meeting point; 999 on a miss. a is twice the squared length of the direction."""
+    b = f"(2 * {dot(direction, pixel)})"
+    delta = f"({b} * {b} - 2 * ({a}) * ({dot(pixel, pixel)} - {radius2}))"
+    t = f"(({b} + sqrt(greatest({delta}, 0E0))) / ({a}))"
+    return f"({delta} > 0)", *(f"(CASE WHEN {delta} > 0 THEN {pixel[k]} - {direction[k]} * {t} ELSE 999E0 END)" for k in range(2))
+
+
 def matrix_product(a, b):
     """Of square matrices as lists of rows."""
     return [[dot(row, [r[j] for r in b]) for j in range(len(b))] for row in a]
@@ -392,6 +407,22 @@ def barycentric(x, y, p):
     return b0, b1, f"(1 - {b0} - {b1})"
 
 
+def wind_unrotate(lat, lon, glat, glon, u, v, theta: float, phi: float):
+    """(u, v) to the east and north at (lat, lon) of a wind along the axes of a rotated grid, where the point is (glat, glon): the wind as a vector in space, turned back."""
+    ct, st, cp, sp = (num(f(math.radians(a))) for a, f in ((theta, math.cos), (theta, math.sin), (phi, math.cos), (phi, math.sin)))
+    a, b = rad(glat), rad(glon)
+    x, y, z = f"(-{u} * sin({b}) - {v} * sin({a}) * cos({b}))", f"({u} * cos({b}) - {v} * sin({a}) * sin({b}))", f"({v} * cos({a}))"
+    xr, yr, zr = f"({ct} * {cp} * {x} - {sp} * {y} - {st} * {cp} * {z})", f"({ct} * {sp} * {x} + {cp} * {y} - {st} * {sp} * {z})", f"({st} * {x} + {ct} * {z})"
+    a, b = rad(lat), rad(lon)
+    return f"({yr} * cos({b}) - {xr} * sin({b}))", f"({zr} * cos({a}) - ({xr} * cos({b}) + {yr} * sin({b})) * sin({a}))"
+
+
+def spherical_triangle_area(p):
+    """Area in square metres of a triangle of three (lon, lat) pairs, each side as a line of latitude and longitude."""
+    s = " + ".join(f"({rad(p[(k + 1) % 3][0])} - {rad(p[k][0])}) * (2 + sin({rad(p[k][1])}) + sin({rad(p[(k + 1) % 3][1])}))" for k in range(3))
+    return f"(abs({s}) * {num(EARTH_RADIUS * EARTH_RADIUS / 2)})"
+
+
 # --- levels ----------------------------------------------------------------------------------------------------------
 
 #: Names and units by code of level kind; codes that are not listed are NIL.
@@ -413,7 +444,7 @@ def level_to_pressure(kind: str, level, p0, ptop: float = 10.0, pref: float = 80
         "PRES": f"({level})",
         "SIGMA": f"({p0} * {level})",
         "ETA": f"({num(ptop)} + ({p0} - {num(ptop)}) * {level})",
-        "HYBRID": f"({num(pref)} * {level} + ({p0} - {num(pref)}) * pow(({level} - {rt}) / (1 - {rt}), {num(rcoef)}))",
+        "HYBRID": f"({num(pref)} * {level} + ({p0} - {num(pref)}) * pow(greatest(0E0, ({level} - {rt}) / (1 - {rt})), {num(rcoef)}))",
     }[kind]
 
 
@@ -443,6 +474,19 @@ def level_to_metres(kind, level):
     return f"(CASE WHEN {kind} IN (0, 3, 4, 8, 11) THEN {level} WHEN {kind} = 7 THEN -{level} WHEN {kind} = 1 THEN {sigma_to_metres(level)} WHEN {kind} IN (5, 32) THEN {eta_to_metres(level)} WHEN {kind} = 2 THEN {pressure_to_metres(level)} ELSE 0E0 END)"
 
 
+def level_in_metres(kind, level, gz, top):
+    """Height above the sea of a level over the topography gz (decametres), by kind: above the sea, below it, above ground, or Gal-Chen coordinates under a top; null for others."""
+    return f"(CASE WHEN {kind} = 0 THEN {level} WHEN {kind} = 7 THEN -{level} WHEN {kind} = 4 THEN {gz} * 10E0 + {level} WHEN {kind} = 8 THEN {level} * (1 - {gz} * 10E0 / {top}) + {gz} * 10E0 END)"
+
+
+#: Kinds of level by the version of a vertical descriptor (first and last version of a kind).
+VERSION_KINDS = [(1001, 1001, "SIGMA"), (1002, 1003, "ETA"), (2001, 2001, "PRESSURE"), (5001, 5100, "HYBRID")]
+
+
+def version_kind(version):
+    return "(CASE " + " ".join(f"WHEN {version} BETWEEN {a} AND {b} THEN '{k}'" for a, b, k in VERSION_KINDS) + " END)"
+
+
 # --- text ------------------------------------------------------------------------------------------------------------
 
 
@@ -477,7 +521,7 @@ def julian_day(e: Spark, y, m, d):
 
 def valid_date(origin_seconds, deet, npas):
     """Validity time in seconds; 0 without origin."""
-    return f"(CASE WHEN {origin_seconds} = 0 THEN 0 ELSE {origin_seconds} + CAST({deet} AS BIGINT) * {npas} END)"
+    return f"(CASE WHEN {origin_seconds} = 0 THEN 0 ELSE {origin_seconds} + CAST({deet} AS BIGINT) * ({npas}) END)"
 
 
 # --- sun and moon (epoch 1990 January 0.0) ---------------------------------------------------------------------------
@@ -528,14 +572,34 @@ def normal_angle(x):
     return f"(((({x} + {num(math.pi)}) % {num(TWO_PI)}) + {num(TWO_PI)}) % {num(TWO_PI)} - {num(math.pi)})"
 
 
-def quad_inverse(x, y, corners):
-    """(u, v) in a quadrilateral whose corners (x, y) are at (0, 0), (0, 1), (1, 1) and (1, 0): the root of the bilinear map's quadratic in v within [0, 1]."""
+def quad_steps(x, y, corners) -> list[dict[str, str]]:
+    """Columns to add, a list at a time, that end in ``v`` and ``u``: the place in a quadrilateral whose corners (x, y) are at (0, 0), (0, 1), (1, 1) and (1, 0), by the root of the bilinear map's quadratic in v within [0, 1]."""
     (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners
-    ex, ey, fx, fy = f"({x3} - {x0})", f"({y3} - {y0})", f"({x1} - {x0})", f"({y1} - {y0})"
-    gx, gy, hx, hy = f"({x0} - {x3} + {x2} - {x1})", f"({y0} - {y3} + {y2} - {y1})", f"({x} - {x0})", f"({y} - {y0})"
-    k2, k1, k0 = f"({gx} * {fy} - {gy} * {fx})", f"({ex} * {fy} - {ey} * {fx} + {hx} * {gy} - {hy} * {gx})", f"({hx} * {ey} - {hy} * {ex})"
-    disc = f"sqrt(greatest(0E0, {k1} * {k1} - 4 * {k2} * {k0}))"
-    low = f"((-{k1} - {disc}) / nullif(2 * {k2}, 0))"
-    v = f"(CASE WHEN abs({k2}) < 1E-12 THEN -{k0} / nullif({k1}, 0) WHEN {low} >= -1E-9 AND {low} <= 1.000000001E0 THEN {low} ELSE (-{k1} + {disc}) / nullif(2 * {k2}, 0) END)"
-    dx, dy = f"({ex} + {gx} * {v})", f"({ey} + {gy} * {v})"
-    return f"(CASE WHEN abs({dx}) > abs({dy}) THEN ({hx} - {fx} * {v}) / nullif({dx}, 0) ELSE ({hy} - {fy} * {v}) / nullif({dy}, 0) END)", v
+    return [
+        {"_ex": f"{x3} - {x0}", "_ey": f"{y3} - {y0}", "_fx": f"{x1} - {x0}", "_fy": f"{y1} - {y0}", "_gx": f"{x0} - {x3} + {x2} - {x1}", "_gy": f"{y0} - {y3} + {y2} - {y1}", "_hx": f"{x} - {x0}", "_hy": f"{y} - {y0}"},
+        {"_k2": "_gx * _fy - _gy * _fx", "_k1": "_ex * _fy - _ey * _fx + _hx * _gy - _hy * _gx", "_k0": "_hx * _ey - _hy * _ex"},
+        {"_disc": "sqrt(greatest(0E0, _k1 * _k1 - 4 * _k2 * _k0))"},
+        {"_low": "(-_k1 - _disc) / nullif(2 * _k2, 0)"},
+        {"v": "CASE WHEN abs(_k2) < 1E-12 THEN -_k0 / nullif(_k1, 0) WHEN _low >= -1E-9 AND _low <= 1.000000001E0 THEN _low ELSE (-_k1 + _disc) / nullif(2 * _k2, 0) END"},
+        {"_dx": "_ex + _gx * v", "_dy": "_ey + _gy * v"},
+        {"u": "CASE WHEN abs(_dx) > abs(_dy) THEN (_hx - _fx * v) / nullif(_dx, 0) ELSE (_hy - _fy * v) / nullif(_dy, 0) END"},
+    ]
+
+
+def quad_inverse(source: str, x, y, corners) -> str:
+    """source (a query) with u and v (quad_steps)."""
+    for step in quad_steps(x, y, corners):
+        source = f"SELECT *, {', '.join(f'{t} AS {k}' for k, t in step.items())} FROM ({source}) q"
+    return source
+
+
+def quad_place(x, y, corners) -> str:
+    """struct<.., v, u> of quad_steps as one expression; each step is a lambda's variable, so that the text stays short however the planner moves it."""
+    first, *steps = quad_steps(x, y, corners)
+    pairs, names = (lambda d: ", ".join(f"'{k}', {t}" for k, t in d.items())), list(first)
+    text = f"array(named_struct({pairs(first)}))"
+    for step in steps:
+        fields = {n: f"q.{n}" for n in names} | {k: re.sub(r"\b(_\w+|v)\b", r"q.\1", t) for k, t in step.items()}
+        names += list(step)
+        text = f"transform({text}, q -> named_struct({pairs(fields)}))"
+    return f"element_at({text}, 1)"

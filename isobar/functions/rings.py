@@ -144,3 +144,102 @@ def wrap(ring: Column, low: float, high: float) -> Column:
 def coordinate_limit(ring: Column, axis: str, how: str) -> Column:
     v = F.transform(ring, lambda p: p[axis])
     return {"min": F.array_min(v), "max": F.array_max(v), "avg": F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)}[how]
+
+
+def area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of the part of a ring inside a box: each edge counts the area between it and the box's lower side, over the box's width, with the sign of its run."""
+
+    def under(t: Column) -> Column:  # integral of the height in the box up to t
+        h = F.greatest(F.lit(0.0), F.least(t, y1) - y0)
+        return h * h / 2 + (y1 - y0) * F.greatest(F.lit(0.0), t - y1)
+
+    def below(e: Column) -> Column:
+        xs, xe = F.greatest(x0, F.least(x1, e.a.x)), F.greatest(x0, F.least(x1, e.b.x))
+        slope = (e.b.y - e.a.y) / F.nullif(e.b.x - e.a.x, F.lit(0.0))
+        ys, ye = e.a.y + slope * (xs - e.a.x), e.a.y + slope * (xe - e.a.x)
+        level = F.greatest(y0, F.least(y1, (ys + ye) / 2)) - y0
+        mean = F.when(F.abs(ye - ys) < 1e-12 * (F.abs(ys) + F.abs(ye) + 1), level).otherwise((under(ye) - under(ys)) / (ye - ys))
+        return F.coalesce((xe - xs) * mean, F.lit(0.0))
+
+    return F.abs(_total(edges(ring), below))
+
+
+def _cut(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
+    """Where along a segment (from 0 to 1) a box begins and ends to hold it."""
+    low, high = F.lit(0.0), F.lit(1.0)
+    for a, d, lo, hi in ((e.a.x, e.b.x - e.a.x, x0, x1), (e.a.y, e.b.y - e.a.y, y0, y1)):
+        n = F.nullif(d, F.lit(0.0))
+        s, t = (lo - a) / n, (hi - a) / n
+        none = (d == 0) & ((a < lo) | (a > hi))
+        low = F.when(none, 2.0).otherwise(F.greatest(low, F.coalesce(F.least(s, t), F.lit(0.0))))
+        high = F.least(high, F.coalesce(F.greatest(s, t), F.lit(1.0)))
+    return low, high
+
+
+def length_in_box(line: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Length of the part of an open line inside a box."""
+    segments = F.slice(edges(line), 1, F.greatest(F.size(line) - 1, F.lit(0)))
+
+    def held(e: Column) -> Column:
+        low, high = _cut(e, x0, y0, x1, y1)
+        return F.greatest(F.lit(0.0), high - low) * F.hypot(e.b.x - e.a.x, e.b.y - e.a.y)
+
+    return _total(segments, held)
+
+
+def meeting_points(ring: Column, a: Column, b: Column) -> Column:
+    """array<struct<t, x, y>> of the points where the segment ab meets the ring's edges, in order along it; edges that run alongside give none."""
+
+    def at(e: Column) -> Column:
+        ux, uy, vx, vy = b.x - a.x, b.y - a.y, e.b.x - e.a.x, e.b.y - e.a.y
+        d = F.nullif(ux * vy - uy * vx, F.lit(0.0))
+        t, s = ((e.a.x - a.x) * vy - (e.a.y - a.y) * vx) / d, ((e.a.x - a.x) * uy - (e.a.y - a.y) * ux) / d
+        return F.when((t >= 0) & (t <= 1) & (s >= 0) & (s <= 1), F.struct(t.alias("t"), (a.x + t * ux).alias("x"), (a.y + t * uy).alias("y")))
+
+    return F.array_distinct(F.array_sort(F.filter(F.transform(edges(ring), at), lambda p: p.isNotNull())))
+
+
+def box_meets_line(e: Column, a: Column, b: Column, directed: bool = False) -> Column:
+    """An infinite line through a and b, or one that begins at a, touches the sides of an envelope."""
+    ring = F.array(point(e.x0, e.y0), point(e.x1, e.y0), point(e.x1, e.y1), point(e.x0, e.y1))
+
+    def hit(s: Column) -> Column:
+        ux, uy, vx, vy = b.x - a.x, b.y - a.y, s.b.x - s.a.x, s.b.y - s.a.y
+        d = F.nullif(ux * vy - uy * vx, F.lit(0.0))
+        f, t = ((s.a.x - a.x) * vy - (s.a.y - a.y) * vx) / d, ((s.a.x - a.x) * uy - (s.a.y - a.y) * ux) / d
+        return F.coalesce((t >= 0) & (t <= 1) & ((f >= 0) if directed else F.lit(True)), F.lit(False))
+
+    return F.exists(edges(ring), hit)
+
+
+def unwrapped(ring: Column, span: float) -> Column:
+    """The ring with every vertex within half a span of the one before, so that it doesn't jump."""
+    start = F.struct(F.array().cast("array<struct<x: double, y: double>>").alias("out"), F.lit(0.0).alias("off"), ring[0].x.alias("last"))
+
+    def step(s: Column, p: Column) -> Column:
+        d = p.x + s.off - s.last
+        off = s.off + F.when(d >= span / 2, -span).when(d <= -span / 2, span).otherwise(0.0)
+        return F.struct(F.concat(s.out, F.array(point(p.x + off, p.y))).alias("out"), off.alias("off"), (p.x + off).alias("last"))
+
+    return F.aggregate(ring, start, step, lambda s: s.out)
+
+
+def clipped_x(ring: Column, x: Column | float, above: bool) -> Column:
+    """The part of a ring on one side of a line of constant x."""
+    x = x if isinstance(x, Column) else F.lit(float(x))
+
+    def part(e: Column) -> Column:
+        a, b = (e.a.x >= x, e.b.x >= x) if above else (e.a.x <= x, e.b.x <= x)
+        cut = F.array(point(x, e.a.y + (x - e.a.x) * (e.b.y - e.a.y) / F.nullif(e.b.x - e.a.x, F.lit(0.0))))
+        own = F.array(point(e.a.x, e.a.y))
+        return F.when(a & b, own).when(a, F.concat(own, cut)).when(b, cut).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
+
+    return F.flatten(F.transform(edges(ring), part))
+
+
+def wrap_split(ring: Column, low: float, high: float) -> Column:
+    """array of rings: a ring that crosses the wrap line, cut there, each part in [low, high]."""
+    span, u = high - low, unwrapped(ring, high - low)
+    back = lambda r, k: F.transform(r, lambda p: point(p.x - k * span, p.y))
+    parts = [back(clipped_x(clipped_x(u, low + k * span, True), high + k * span, False), k) for k in (-1, 0, 1)]
+    return F.filter(F.array(*parts), lambda r: (F.size(r) > 2) & (area(r) > 0))

@@ -25,19 +25,30 @@ def bracket(value: Column, levels: Column) -> Column:
     return F.size(F.filter(levels, lambda x: x <= value)) - 1
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: str = "t") -> DataFrame:
-    """left (keys, at) with the last right row (keys, order, ...) at or before it, by one union and one window: rows of a key meet in time order, and none is multiplied."""
-    payload = F.struct(*[c for c in right.columns if c not in keys])
-    u = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_r"))
-    u = u.unionByName(right.select(*keys, F.col(order).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("p")).schema["p"].dataType).alias("_l"), payload.alias("_r")))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1").select("_l.*", F.col("_r").alias("before"))
-
-
-def time_blend(series: DataFrame, keys: list[str], at: str, value: str, seconds: int) -> DataFrame:
-    """Values at multiples of ``seconds`` between consecutive rows of a series, linear in time; the earlier row's own time is included."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    s = series.withColumns({"t1": F.lead(at).over(w), "v1": F.lead(value).over(w)}).filter("t1 IS NOT NULL")
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: str = "t", span: int = 86400) -> DataFrame:
+    """left (keys, at) with the last right row (keys, order, ...) at or before it; of right rows of one time, the largest in its other columns' order.
+
+    Rows of a key meet in time order within spans of ``span`` by one union and one window, so a hot key is cut in spans, and none is multiplied; what a span begins with is the last right row of the spans before."""
+    payload = F.struct(order, *[c for c in right.columns if c not in [*keys, order]])
+    l_type, r_type = left.select(F.struct(*left.columns).alias("p")).schema["p"].dataType, right.select(payload.alias("p")).schema["p"].dataType
+    u = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(r_type).alias("_r"))
+    u = u.unionByName(right.select(*keys, F.col(order).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l_type).alias("_l"), payload.alias("_r"))).withColumn("_span", F.floor(F.col("_t") / span))
+    ends = u.filter("_side = 0").groupBy(*keys, "_span").agg(F.max("_r").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = u.groupBy(*keys, "_span").agg(F.count("*").alias("_n")).join(ends, [*keys, "_span"], "left").withColumn("_early", F.last("_last", ignorenulls=True).over(before)).select(*keys, "_span", "_early")
+    w = Window.partitionBy(*keys, "_span").orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1").join(ends, [*keys, "_span"])
+    return u.select("_l.*", F.coalesce("_r", "_early").alias("before"))
+
+
+def time_blend(series: DataFrame, keys: list[str], at: str, value: str, seconds: int, span: int = 86400) -> DataFrame:
+    """Values at multiples of ``seconds`` between consecutive rows of a series, linear in time; the earlier row's own time is included. Rows follow each other within spans of time; the last of a span is followed by the first of the next."""
+    w = Window.partitionBy(*keys, "_span").orderBy(at)
+    s = series.withColumn("_span", F.floor(F.col(at) / span))
+    first = s.groupBy(*keys, "_span").agg(F.min(F.struct(F.col(at).alias("t"), F.col(value).alias("v"))).alias("_first"))
+    first = first.withColumn("_next", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_span"))).drop("_first")
+    s = s.withColumn("_n", F.lead(F.struct(F.col(at).alias("t"), F.col(value).alias("v"))).over(w)).join(first, [*keys, "_span"]).withColumn("_n", F.coalesce("_n", "_next")).filter("_n IS NOT NULL")
+    s = s.withColumns({"t1": F.col("_n.t"), "v1": F.col("_n.v")})
     first = F.ceil(F.col(at) / seconds) * seconds
     s = s.withColumn("last", F.floor((F.col("t1") - 1) / seconds) * seconds).filter(first <= F.col("last"))
     s = s.withColumn("time", F.explode(F.sequence(first, F.col("last"), F.lit(seconds).cast("bigint"))))
@@ -45,8 +56,8 @@ def time_blend(series: DataFrame, keys: list[str], at: str, value: str, seconds:
     return s.withColumn("blend", F.col(value) * (1 - f) + F.col("v1") * f).select(*keys, "time", "blend")
 
 
-def column_interpolate(columns: DataFrame, targets: Column, how: str = "linear") -> DataFrame:
-    """columns with arrays z (ascending) and v, with ``out``: v at each target; held at the ends (clamped). how: linear, nearest, cubic (Lagrange on four)."""
+def column_interpolate(columns: DataFrame, targets: Column, how: str = "linear", lapse: tuple[float, float] | None = None) -> DataFrame:
+    """columns with arrays z (ascending) and v, with ``out``: v at each target. how: linear, nearest, cubic (Lagrange on four), or derivatives (cubic through values v and slopes d). Beyond the ends v is held (clamped), or goes on by a lapse rate (below, above)."""
 
     def at(x: Column) -> Column:
         n, b = F.size("z"), bracket(x, F.col("z"))
@@ -60,8 +71,15 @@ def column_interpolate(columns: DataFrame, targets: Column, how: str = "linear")
         elif how == "cubic":
             term = lambda d: v(d) * _product([(x - z(o)) / (z(d) - z(o)) for o in (-1, 0, 1, 2) if o != d])
             mid = F.when((k >= 1) & (k <= n - 3), term(-1) + term(0) + term(1) + term(2)).otherwise(line)
+        elif how == "derivatives":
+            d, h = (lambda k_: F.element_at("d", k + 1 + k_)), z(1) - z(0)
+            f = (x - z(0)) / F.nullif(h, F.lit(0.0))
+            mid = (1 + 2 * f) * (1 - f) * (1 - f) * v(0) + f * f * (3 - 2 * f) * v(1) + f * (1 - f) * (1 - f) * h * d(0) - f * f * (1 - f) * h * d(1)
         else:
             mid = line
+        if lapse:
+            low, high = F.element_at("v", 1) + lapse[0] * (x - F.element_at("z", 1)), F.element_at("v", n) + lapse[1] * (x - F.element_at("z", n))
+            inner = F.when(x < F.element_at("z", 1), low).when(x > F.element_at("z", n), high).when(n < 2, F.element_at("v", 1))
         return inner.when(x <= F.element_at("z", 1), F.element_at("v", 1)).when(x >= F.element_at("z", n), F.element_at("v", n)).otherwise(mid)
 
     return columns.withColumn("out", F.transform(targets, at))
@@ -93,6 +111,22 @@ def quad_key(x: Column, y: Column, box: tuple[float, float, float, float], depth
     return F.when((x >= x0) & (x < x1) & (y >= y0) & (y < y1), key)
 
 
+def quad_neighbours(key: Column, corners: bool = False) -> Column:
+    """Keys of the boxes of the same depth to the south, east, north and west of a quad key, then with corners south-west, south-east, north-east and north-west; null beyond the box of all."""
+    digits = F.transform(F.split(key, ""), lambda c: c.cast("bigint"))
+    number = lambda bit: F.aggregate(digits, F.lit(0).cast("bigint"), lambda s, d: s * 2 + F.shiftright(d, bit).bitwiseAND(F.lit(1)))
+    depth, qx, qy = F.length(key), number(0), number(1)
+    n = F.pow(F.lit(2.0), depth).cast("bigint")
+
+    def at(dx: int, dy: int) -> Column:
+        x, y = qx + dx, qy + dy
+        digit = lambda k: F.floor(x / F.pow(F.lit(2.0), depth - k)).cast("bigint") % 2 + 2 * (F.floor(y / F.pow(F.lit(2.0), depth - k)).cast("bigint") % 2)
+        whole = F.array_join(F.transform(F.sequence(F.lit(1), depth), lambda k: digit(k).cast("string")), "")
+        return F.when((x >= 0) & (y >= 0) & (x < n) & (y < n), whole)
+
+    return F.array(*[at(*d) for d in [(0, -1), (1, 0), (0, 1), (-1, 0)] + [(-1, -1), (1, -1), (1, 1), (-1, 1)] * corners])
+
+
 def conservative_weights(source: DataFrame, dx: float, dy: float) -> DataFrame:
     """Source boxes (sid, x0, y0, x1, y1) over a regular destination grid: sid, i, j and the part of the source's area in the cell."""
     s = source.withColumn("i", F.explode(F.sequence(F.floor(F.col("x0") / dx), F.ceil(F.col("x1") / dx) - 1))).withColumn("j", F.explode(F.sequence(F.floor(F.col("y0") / dy), F.ceil(F.col("y1") / dy) - 1)))

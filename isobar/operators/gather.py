@@ -10,26 +10,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def squares(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, i, j and v00, v10, v01, v11 of the square from (i, j) to (i + 1, j + 1)."""
-    d = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    s = cells.withColumn("d", d).select(*keys, (F.col("i") - F.col("d.a")).alias("i"), (F.col("j") - F.col("d.b")).alias("j"), F.col("d.a").alias("a"), F.col("d.b").alias("b"), "v")
-    corner = lambda a, b: F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("v"))).alias(f"v{a}{b}")
-    return s.groupBy(*keys, "i", "j").agg(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))
-
-
-def _blend(fx: Column, fy: Column) -> Column:
+def squares(cells: DataFrame, keys: list[str], values: list[str] | None = None, level: str | None = None) -> DataFrame:
+    """keys, i, j and, for each value (``v`` if none are named), a struct of the corners 00, 10, 01, 11 of the square from (i, j) to (i + 1, j + 1); with a level, of the eight corners 000 to 111 of the cube."""
+    values, depth = values or ["v"], (0, 1) if level else (0,)
+    d = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (0, 1) for b in (0, 1) for c in depth]))
+    k = [(F.col(level) - F.col("d.c")).alias(level)] if level else []
+    s = cells.withColumn("d", d).select(*keys, *k, (F.col("i") - F.col("d.a")).alias("i"), (F.col("j") - F.col("d.b")).alias("j"), "d", *values)
+    name = lambda a, b, c: f"{a}{b}{c}" if level else f"{a}{b}"
+    corner = lambda v, a, b, c: F.max(F.when((F.col("d.a") == a) & (F.col("d.b") == b) & (F.col("d.c") == c), F.col(v)))
+    own = [*keys, *([level] if level else []), "i", "j"]
+    return s.groupBy(*own).agg(*[F.struct(*[corner(v, a, b, c).alias(name(a, b, c)) for c in depth for a in (0, 1) for b in (0, 1)]).alias(f"_{v}") for v in values])
+
+
+def _blend(corners: Column, fx: Column, fy: Column, end: str = "") -> Column:
     """Bilinear; a corner of weight 0 needn't exist."""
     right = lambda a, b: F.when(fx == 0, a).otherwise(a + (b - a) * fx)
-    low, high = right(F.col("v00"), F.col("v10")), right(F.col("v01"), F.col("v11"))
+    v = {n: corners[n + end] for n in ("00", "10", "01", "11")}
+    low, high = right(v["00"], v["10"]), right(v["01"], v["11"])
     return F.when(fy == 0, low).otherwise(low + (high - low) * fy)
 
 
-def bilinear(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """points with ``value``; null outside the grid or next to a missing cell."""
+def bilinear(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x", y: str = "y", values: list[str] | None = None) -> DataFrame:
+    """points with ``value``, or with a column for each named value; null outside the grid or next to a missing cell."""
     p = points.withColumns({"i": F.floor(x).cast("long"), "j": F.floor(y).cast("long")})
-    j = p.join(squares(cells, keys), [*keys, "i", "j"], "left")
-    return j.withColumn("value", _blend(F.col(x) - F.col("i"), F.col(y) - F.col("j"))).drop("i", "j", "v00", "v10", "v01", "v11")
+    j = p.join(squares(cells, keys, values), [*keys, "i", "j"], "left")
+    fx, fy = F.col(x) - F.col("i"), F.col(y) - F.col("j")
+    out = {v: _blend(F.col(f"_{v}"), fx, fy) for v in values} if values else {"value": _blend(F.col("_v"), fx, fy)}
+    return j.withColumns(out).drop("i", "j", *[f"_{v}" for v in values or ["v"]])
+
+
+def wind(points: DataFrame, cells: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """points with u and v of a wind pair (cells' u, v) between cells, times a factor of unit, and speed and dir, the degrees that it blows from; cells without both don't count."""
+    both = F.col("u").isNotNull() & F.col("v").isNotNull()
+    w = bilinear(points, cells.filter(both), keys, values=["u", "v"]).withColumns({"u": F.col("u") * factor, "v": F.col("v") * factor})
+    return w.withColumns({"speed": F.hypot("u", "v"), "dir": F.pmod(F.degrees(F.atan2(-F.col("u"), -F.col("v"))), F.lit(360.0))})
+
+
+def curvilinear(hits: DataFrame, corners: DataFrame) -> DataFrame:
+    """Points in quadrilaterals (nearest.quad_hits) with ``value`` from corners (qid, c0 to c3, in the quadrilateral's turn): bilinear, and over the corners that are there if some are missing."""
+    u, v = F.col("u"), F.col("v")
+    weight = [(1 - u) * (1 - v), (1 - u) * v, u * v, u * (1 - v)]
+    there = [F.when(F.col(f"c{k}").isNotNull(), w).otherwise(0.0) for k, w in enumerate(weight)]
+    total = there[0] + there[1] + there[2] + there[3]
+    value = sum((F.coalesce(F.col(f"c{k}"), F.lit(0.0)) * w for k, w in enumerate(there)), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
+    return hits.join(corners, "qid").withColumn("value", value).drop("c0", "c1", "c2", "c3")
+
+
+def sub_cells(cells: DataFrame, n: int) -> DataFrame:
+    """The n x n places (i, j, part, x, y) of each cell at which a source is sampled: the centres of equal squares of the cell."""
+    step = lambda c, k: F.col(c) - 0.5 + (F.col(k) + 0.5) / n
+    s = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1)))).withColumns({"_a": F.col("part") % n, "_b": F.floor(F.col("part") / n)})
+    return s.withColumns({"x": step("i", "_a"), "y": step("j", "_b")}).drop("_a", "_b")
 
 
 def nearest(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -38,21 +69,18 @@ def nearest(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x",
     return p.join(cells.select(*keys, "i", "j", F.col("v").alias("value")), [*keys, "i", "j"], "left").drop("i", "j")
 
 
-def trilinear(points: DataFrame, cells: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
-    """points with ``value`` between the bilinear values of the levels below and above."""
+def trilinear(points: DataFrame, cells: DataFrame, x: str = "x", y: str = "y", z: str = "z", values: list[str] | None = None) -> DataFrame:
+    """points with ``value`` between the bilinear values of the levels below and above, or with a column for each named value, such as a vector's components."""
     p = points.withColumns({"_k": F.floor(z).cast("long"), "i": F.floor(x).cast("long"), "j": F.floor(y).cast("long")})
-    sq = squares(cells, ["k"])
-    both = sq.select(F.col("k").alias("_k"), "i", "j", F.struct("v00", "v10", "v01", "v11").alias("lo"))
-    both = both.join(sq.select((F.col("k") - 1).alias("_k"), "i", "j", F.struct("v00", "v10", "v01", "v11").alias("hi")), ["_k", "i", "j"], "left")
-    j = p.join(both, ["_k", "i", "j"], "left")
+    j = p.join(squares(cells.withColumnRenamed("k", "_k"), [], values, "_k"), ["_k", "i", "j"], "left")
     fx, fy, fz = F.col(x) - F.col("i"), F.col(y) - F.col("j"), F.col(z) - F.col("_k")
 
-    def plane(s: str) -> Column:
-        right = lambda a, b: F.when(fx == 0, F.col(f"{s}.{a}")).otherwise(F.col(f"{s}.{a}") + (F.col(f"{s}.{b}") - F.col(f"{s}.{a}")) * fx)
-        low, high = right("v00", "v10"), right("v01", "v11")
-        return F.when(fy == 0, low).otherwise(low + (high - low) * fy)
+    def between(v: str) -> Column:
+        low, high = _blend(F.col(f"_{v}"), fx, fy, "0"), _blend(F.col(f"_{v}"), fx, fy, "1")
+        return F.when(fz == 0, low).otherwise(low + (high - low) * fz)
 
-    return j.withColumn("value", F.when(fz == 0, plane("lo")).otherwise(plane("lo") + (plane("hi") - plane("lo")) * fz)).drop("_k", "i", "j", "lo", "hi")
+    out = {v: between(v) for v in values} if values else {"value": between("v")}
+    return j.withColumns(out).drop("_k", "i", "j", *[f"_{v}" for v in values or ["v"]])
 
 
 def neighbour_mean(cells: DataFrame, keys: list[str], centre: bool = True) -> DataFrame:
@@ -70,7 +98,8 @@ def filled(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gradient(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Central differences, lower minus upper neighbour, halved distance of one cell."""
-    side = lambda a, b, n: cells.select(*keys, (F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), F.col("v").alias(n))
-    j = cells.join(side(1, 0, "w"), [*keys, "i", "j"], "left").join(side(-1, 0, "e"), [*keys, "i", "j"], "left").join(side(0, 1, "s"), [*keys, "i", "j"], "left").join(side(0, -1, "n"), [*keys, "i", "j"], "left")
-    return j.withColumns({"gx": (F.col("w") - F.col("e")) / 2, "gy": (F.col("s") - F.col("n")) / 2}).drop("w", "e", "s", "n")
+    """Central differences, lower minus upper neighbour, halved distance of one cell; the four neighbours come by one aggregation."""
+    sides = {"w": (1, 0), "e": (-1, 0), "s": (0, 1), "n": (0, -1)}
+    d = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in sides.items()]))
+    near = cells.withColumn("d", d).groupBy(*keys, (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j")).agg(*[F.max(F.when(F.col("d.n") == n, F.col("v"))).alias(f"_{n}") for n in sides])
+    return cells.join(near, [*keys, "i", "j"], "left").withColumns({"gx": (F.col("_w") - F.col("_e")) / 2, "gy": (F.col("_s") - F.col("_n")) / 2}).drop("_w", "_e", "_s", "_n")

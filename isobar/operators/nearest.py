@@ -1,59 +1,89 @@
-"""Exact k nearest points by bucketed rings, and the weighted means of them.
+"""Exact k nearest points by buckets of several sizes, the weighted means of them, and lookups in meshes of triangles and of quadrilaterals.
 
-Points and targets are dealt to square buckets. A point first meets the targets of its 3 x 3 buckets; if it has k of them within the distance to
-the ring's edge, no other can be nearer, and it is done. The others try rings of twice the reach, so the work follows the local density, and
-the last ring covers the targets' whole extent. Only the points still open go through a further round. Distances are squared degrees.
+Points and targets are dealt to square buckets. A point meets the targets of the 3 x 3 buckets round it; if it has k of them within the distance to
+the outer edge, no other can be nearer, and it is done. The others go on to buckets twice as wide, nine again, so a point never meets more than nine buckets a
+round and the work follows the local density; the last round's nine buckets hold every target. Only the points still open go through a further round.
+With a period, x goes round: buckets beyond one end are those at the other, and differences of half a period or more are taken the other way. Distances are squared degrees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
 
 
-def k_nearest(points: DataFrame, targets: DataFrame, k: int, cell: float, reach: int = 1) -> DataFrame:
-    """points (id, lon, lat) with target (its id), d2 and rank from 1; ties go to the smaller target id."""
-    t = targets.select(F.col("id").alias("target"), F.col("lon").alias("tx"), F.col("lat").alias("ty")).withColumns({"bx": F.floor(F.col("tx") / cell), "by": F.floor(F.col("ty") / cell)})
-    box = t.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by")).first()
-    p = points.select("id", "lon", "lat").withColumns({"px": F.floor(F.col("lon") / cell), "py": F.floor(F.col("lat") / cell)})
-    done, widest = None, max(box[1] - box[0], box[3] - box[2]) + 1 if box[0] is not None else 0
-    if box[0] is not None:
-        p_box = p.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-        if p_box[0] is not None:
-            widest = max(abs(p_box[0] - box[1]), abs(p_box[1] - box[0]), abs(p_box[2] - box[3]), abs(p_box[3] - box[2])) + 1
+def around(d: Column, period: float | None) -> Column:
+    """A difference of x, the short way round."""
+    return d if period is None else F.when(d >= period / 2, d - period).when(d <= -period / 2, d + period).otherwise(d)
+
+
+def _bucket(x: Column, size: float, n: int | None) -> Column:
+    b = F.floor(x / size)
+    return b if n is None else F.pmod(b, F.lit(n))
+
+
+def _extent(points: DataFrame, targets: DataFrame) -> float:
+    """The larger side of the box of all points and targets."""
+    every = points.select("lon", "lat").unionByName(targets.select(F.col("tx").alias("lon"), F.col("ty").alias("lat")))
+    x0, x1, y0, y1 = every.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    return max(x1 - x0, y1 - y0) if x0 is not None else 0.0
+
+
+def k_nearest(points: DataFrame, targets: DataFrame, k: int, cell: float, period: float | None = 360.0) -> DataFrame:
+    """points (id, lon, lat) with target (its id), d2 and rank from 1; ties go to the smaller target id. period is None on a plane."""
+    t = targets.select(F.col("id").alias("target"), F.col("lon").alias("tx"), F.col("lat").alias("ty"))
+    p, done = points.select("id", "lon", "lat"), None
+    whole = period or max(_extent(p, t), cell)
+    n = max(1, int(whole // cell))
     while True:
-        last = reach >= widest
-        if last:  # what no ring could settle meets every target
-            near = p.crossJoin(t.drop("bx", "by"))
-        else:
-            x, y = (F.sequence(F.greatest(F.col(c) - reach, F.lit(lo)), F.least(F.col(c) + reach, F.lit(hi))) for c, lo, hi in (("px", *box[:2]), ("py", *box[2:])))
-            inside = (F.col("px") + reach >= box[0]) & (F.col("px") - reach <= box[1]) & (F.col("py") + reach >= box[2]) & (F.col("py") - reach <= box[3])
-            near = p.filter(inside).withColumn("bx", F.explode(x)).withColumn("by", F.explode(y)).join(t, ["bx", "by"])
-        near = near.withColumn("d2", (F.col("lon") - F.col("tx")) * (F.col("lon") - F.col("tx")) + (F.col("lat") - F.col("ty")) * (F.col("lat") - F.col("ty")))
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "target"))).filter(F.col("rank") <= k)
-        got = ranked.select("id", "lon", "lat", "px", "py", "target", "d2", "rank")
-        if last:
+        size, wrap = whole / n, n if period else None
+        x, y = _bucket(F.col("lon"), size, wrap), F.floor(F.col("lat") / size)
+        xs = F.array_distinct(F.array(*[F.pmod(x + d, F.lit(n)) if wrap else x + d for d in (-1, 0, 1)]))
+        near = p.withColumn("bx", F.explode(xs)).withColumn("by", F.explode(F.array(y - 1, y, y + 1)))
+        near = near.join(t.withColumns({"bx": _bucket(F.col("tx"), size, wrap), "by": F.floor(F.col("ty") / size)}), ["bx", "by"])
+        dx, dy = around(F.col("lon") - F.col("tx"), period), F.col("lat") - F.col("ty")
+        order = Window.partitionBy("id").orderBy("d2", "target")
+        got = near.withColumn("d2", dx * dx + dy * dy).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "lon", "lat", "target", "d2", "rank")
+        if n == 1:
             found = got.select("id", "target", "d2", "rank")
             return found if done is None else done.unionByName(found)
-        edge = F.least(F.col("lon") - (F.col("px") - reach) * cell, (F.col("px") + reach + 1) * cell - F.col("lon"), F.col("lat") - (F.col("py") - reach) * cell, (F.col("py") + reach + 1) * cell - F.col("lat"))
+        sides = [F.col("lat") - (F.floor(F.col("lat") / size) - 1) * size, (F.floor(F.col("lat") / size) + 2) * size - F.col("lat")]
+        if not wrap or n > 3:  # else the three buckets go all the way round
+            sides += [F.col("lon") - (F.floor(F.col("lon") / size) - 1) * size, (F.floor(F.col("lon") / size) + 2) * size - F.col("lon")]
+        edge = F.least(*sides)
         sure = got.groupBy("id").agg(F.max("d2").alias("far"), F.count("*").alias("n"), F.first(edge).alias("edge")).filter((F.col("n") == k) & (F.col("far") < F.col("edge") * F.col("edge"))).select("id")
         found = stored(got.join(sure, "id", "left_semi").select("id", "target", "d2", "rank"), "near")
         done = found if done is None else done.unionByName(found)
         p = stored(p.join(found.select("id").distinct(), "id", "left_anti"), "open")
         if not p.head(1):
             return done
-        reach *= 2
+        n = max(1, n // 2)
+
+
+def weighted(near: DataFrame, values: DataFrame, how: list[str]) -> DataFrame:
+    """Barnes or Cressman means (``barnes``, ``cressman``) of ``value`` over each point's nearest, in one aggregation; the search radius is the farthest one's distance."""
+    n = near.withColumn("r", F.max("d2").over(Window.partitionBy("id"))).join(values.select(F.col("id").alias("target"), "value"), "target")
+    d, r = F.col("d2"), F.col("r")
+    w = {"barnes": F.exp(-F.lit(14.2 * 3.141592653589793) * d * d / F.nullif(r * r, F.lit(0.0))), "cressman": (1.001 * r - d) / (1.001 * r + d)}
+    w = {h: F.coalesce(w[h], F.lit(1.0)) for h in how}
+    return n.groupBy("id").agg(*[(F.sum(w[h] * F.col("value")) / F.sum(w[h])).alias(h) for h in how])
+
 
+def _dealt(shapes: DataFrame, corners: int, cell: float) -> DataFrame:
+    """A row for each bucket that a shape's box (of corners x0.., y0..) touches."""
+    span = lambda v: F.sequence(F.floor(F.least(*v) / cell), F.floor(F.greatest(*v) / cell))
+    xs, ys = ([F.col(f"{c}{n}") for n in range(corners)] for c in "xy")
+    return shapes.withColumn("bx", F.explode(span(xs))).withColumn("by", F.explode(span(ys)))
+
+
+def _first(hits: DataFrame, shape: str) -> DataFrame:
+    return hits.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(shape))).filter("_r = 1").drop("_r")
 
-def weighted(near: DataFrame, values: DataFrame, how: str = "barnes") -> DataFrame:
-    """Barnes or Cressman mean of ``value`` over each point's nearest; the search radius is the farthest one's distance."""
-    radius = F.max("d2").over(Window.partitionBy("id"))
-    n = near.withColumn("r", radius)
-    w = F.exp(-F.lit(14.2 * 3.141592653589793) * F.col("d2") * F.col("d2") / F.nullif(F.col("r") * F.col("r"), F.lit(0.0))) if how == "barnes" else (1.001 * F.col("r") - F.col("d2")) / (1.001 * F.col("r") + F.col("d2"))
-    j = n.withColumn("w", F.coalesce(w, F.lit(1.0))).join(values.select(F.col("id").alias("target"), "value"), "target")
-    return j.groupBy("id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+def _in_buckets(points: DataFrame, cell: float) -> DataFrame:
+    return points.withColumns({"bx": F.floor(F.col("x") / cell), "by": F.floor(F.col("y") / cell)})
 
 
 def triangle_hits(points: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
@@ -62,11 +92,17 @@ def triangle_hits(points: DataFrame, triangles: DataFrame, cell: float) -> DataF
     Triangles are dealt to the buckets that their boxes touch, so the join is an equality of buckets."""
     from isobar.functions import expr
 
-    xs, ys = [F.col(f"x{n}") for n in range(3)], [F.col(f"y{n}") for n in range(3)]
-    span = lambda v: F.sequence(F.floor(F.least(*v) / cell), F.floor(F.greatest(*v) / cell))
-    t = triangles.withColumn("bx", F.explode(span(xs))).withColumn("by", F.explode(span(ys)))
-    p = points.withColumns({"bx": F.floor(F.col("x") / cell), "by": F.floor(F.col("y") / cell)})
-    j = p.join(t, ["bx", "by"]).drop("bx", "by")
+    j = _in_buckets(points, cell).join(_dealt(triangles, 3, cell), ["bx", "by"]).drop("bx", "by")
     b = [expr.column(w) for w in expr.barycentric("x", "y", [(f"x{n}", f"y{n}") for n in range(3)])]
     j = j.withColumns({f"b{n}": b[n] for n in range(3)}).filter("b0 >= -1E-5 AND b1 >= -1E-5 AND b2 >= -1E-5")
-    return j.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("tid"))).filter("_r = 1").drop("_r")
+    return _first(j, "tid")
+
+
+def quad_hits(points: DataFrame, quads: DataFrame, cell: float) -> DataFrame:
+    """points (id, x, y) with the quadrilateral (qid, corners x0..y3 in turn, the first at (0, 0), the next at (0, 1)) of a curvilinear grid that holds them, and their place u, v in it; the smallest qid where several do."""
+    from isobar.functions import expr
+
+    j = _in_buckets(points, cell).join(_dealt(quads, 4, cell), ["bx", "by"]).drop("bx", "by")
+    j = j.withColumn("_place", expr.column(expr.quad_place("x", "y", [(f"x{n}", f"y{n}") for n in range(4)]))).withColumns({c: F.col(f"_place.{c}") for c in "uv"}).drop("_place")
+    j = j.filter("u BETWEEN -1E-9 AND 1.000000001D AND v BETWEEN -1E-9 AND 1.000000001D")
+    return _first(j, "qid")

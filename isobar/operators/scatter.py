@@ -22,18 +22,22 @@ def scatter(df: DataFrame, cell: list[str], value: str, modes: list[str], digits
 
 
 def variance(df: DataFrame, means: DataFrame, cell: list[str], value: str, mean: str = "mean") -> DataFrame:
-    """Mean squared distance of each cell's values from a supplied mean: the squares are summed before the join, so only one row a cell meets its mean."""
-    s = df.groupBy(*cell).agg(F.sum(F.col(value) * F.col(value)).alias("_q"), F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    m = F.col(mean)
-    return s.join(means.select(*cell, mean), cell).withColumn("variance", (F.col("_q") - 2 * m * F.col("_s") + F.col("_n") * m * m) / F.nullif(F.col("_n"), F.lit(0))).drop("_q", "_s", "_n")
+    """Mean squared distance of each cell's values from a supplied mean: their variance and the distance of their own mean from it, which don't cancel where values are large; only one row a cell meets its mean."""
+    s = df.groupBy(*cell).agg(F.var_pop(value).alias("_v"), F.avg(value).alias("_m"))
+    far = F.col("_m") - F.col(mean)
+    return s.join(means.select(*cell, mean), cell).withColumn("variance", F.col("_v") + far * far).drop("_v", "_m")
 
 
-def class_counts(df: DataFrame, cell: list[str], klass: str, classes: list[str], normalise: bool | str = False) -> DataFrame:
-    """Rows of each class a cell; as shares of all its rows (``all``), or of those in a class (``matched``)."""
-    hit = {c: F.count_if(F.col(klass) == c) for c in classes}
+def class_columns(klass: str, classes: list[str], normalise: bool | str = False) -> list[Column]:
+    """Aggregates of the rows of each class; as shares of all rows (``all``), or of those in a class (``matched``)."""
     total = F.count(F.lit(1)) if normalise == "all" else F.count_if(F.col(klass).isin(classes))
-    share = lambda c: hit[c] / F.nullif(total, F.lit(0)) if normalise else hit[c]
-    return df.groupBy(*cell).agg(*[share(c).alias(f"class_{c}") for c in classes])
+    hit = [F.count_if(F.col(klass) == c) for c in classes]
+    return [(h / F.nullif(total, F.lit(0)) if normalise else h).alias(f"class_{c}") for c, h in zip(classes, hit)]
+
+
+def class_counts(df: DataFrame, cell: list[str], klass: str, classes: list[str], normalise: bool | str = False) -> DataFrame:
+    """class_columns of each cell."""
+    return df.groupBy(*cell).agg(*class_columns(klass, classes, normalise))
 
 
 def lookup_counts(df: DataFrame, cell: list[str], value: str, lut: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def grid_scatter_variance(spark, sf_dir):
 @query("grid_class_counts", "SELECT l_suppkey % 20 AS cell, CAST(count(*) FILTER (l_returnflag = 'A') AS BIGINT) AS class_A, CAST(count(*) FILTER (l_returnflag = 'N') AS BIGINT) AS class_N, round(count(*) FILTER (l_returnflag = 'A') / count(*), 8) AS share_A, round(count(*) FILTER (l_returnflag = 'N') / count(*) FILTER (l_returnflag IN ('A', 'N')), 8) AS matched_N FROM lineitem GROUP BY 1")
 def grid_class_counts(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("cell"), "l_returnflag")
-    n, a, m = (scatter.class_counts(li, ["cell"], "l_returnflag", ["A", "N"], how) for how in (False, "all", "matched"))
-    return n.join(a.select("cell", F.round("class_A", 8).alias("share_A")), "cell").join(m.select("cell", F.round("class_N", 8).alias("matched_N")), "cell")
+    share = lambda c, how, name: F.round(scatter.class_columns("l_returnflag", ["A", "N"], how)[c], 8).alias(name)
+    return li.groupBy("cell").agg(*scatter.class_columns("l_returnflag", ["A", "N"]), share(0, "all", "share_A"), share(1, "matched", "matched_N"))
 
 
 @query("grid_class_lookup", "WITH lut AS (SELECT * FROM (VALUES ('A', 1, 1.0), ('N', 1, 0.5), ('N', 2, 0.5), ('R', 2, 1.0)) t(code, class, weight)) SELECT l_suppkey % 20 AS cell, class, CAST(sum(CAST(weight AS DOUBLE)) AS DOUBLE) AS weighted, count(*) AS n FROM lineitem JOIN lut ON l_returnflag = code GROUP BY 1, 2")
@@ -87,16 +87,9 @@ def grid_multipass(spark, sf_dir):
     return scatter.finish(scatter.merge(*passes)).select("cell", r(F.col("average")).alias("average"), r(F.col("square"), 4).alias("square"), "n", "lo", "hi")
 
 
-@query("grid_paste", f"WITH {CELLS}, b AS (SELECT i, j, v FROM cells WHERE k = 1), p AS (SELECT i + 2 AS i, j + 3 AS j, v, CAST(i AS DOUBLE) / 16 AS a FROM cells WHERE k = 2) SELECT b.i, b.j, round(CASE WHEN p.v IS NULL THEN b.v ELSE p.v * p.a + b.v * (1 - p.a) END, 9) AS v FROM b LEFT JOIN p ON b.i = p.i AND b.j = p.j")
+@query("grid_paste", f"WITH {CELLS}, p AS (SELECT k - 1 AS k, i + 2 AS i, j + 3 AS j, v, CAST(i AS DOUBLE) / 16 AS a FROM cells) SELECT b.k, b.i, b.j, round(CASE WHEN p.v IS NULL THEN b.v ELSE p.v * p.a + b.v * (1 - p.a) END, 9) AS v FROM cells b LEFT JOIN p ON b.k = p.k AND b.i = p.i AND b.j = p.j")
 def grid_paste(spark, sf_dir):
-    c = event_cells(spark, sf_dir)
-    patch = c.filter("k = 2").withColumn("a", F.col("i").cast("double") / 16)
-    return scatter.paste(c.filter("k = 1").select("i", "j", "v"), patch, 2, 3, "a").withColumn("v", r(F.col("v"), 9))
-
-
-@query("grid_paste_all", f"WITH {CELLS}, p AS (SELECT k - 1 AS k, i + 2 AS i, j + 3 AS j, v, CAST(i AS DOUBLE) / 16 AS a FROM cells) SELECT b.k, b.i, b.j, round(CASE WHEN p.v IS NULL THEN b.v ELSE p.v * p.a + b.v * (1 - p.a) END, 9) AS v FROM cells b LEFT JOIN p ON b.k = p.k AND b.i = p.i AND b.j = p.j")
-def grid_paste_all(spark, sf_dir):
-    """Each day overlaid by the day after it; grid_paste keeps to the two days its SQL names."""
+    """Each day overlaid by the day after it."""
     c = event_cells(spark, sf_dir)
     patch = c.withColumn("a", F.col("i").cast("double") / 16).withColumn("k", F.col("k") - 1)
     return scatter.paste(c, patch, 2, 3, "a", ["k"]).withColumn("v", r(F.col("v"), 9))
@@ -143,7 +136,7 @@ def grid_gradient(spark, sf_dir):
     return gather.gradient(event_cells(spark, sf_dir), ["k"]).select("k", "i", "j", r(F.col("gx")).alias("gx"), r(F.col("gy")).alias("gy"))
 
 
-_NEAR = f"p AS (SELECT c_custkey AS id, {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat FROM customer), t AS (SELECT s_suppkey AS id, {LON.format(k='s_suppkey')} AS lon, {LAT.format(k='s_suppkey')} AS lat, s_acctbal AS value FROM supplier), n AS (SELECT p.id, t.id AS target, t.value, (p.lon - t.lon) * (p.lon - t.lon) + (p.lat - t.lat) * (p.lat - t.lat) AS d2 FROM p, t), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, target) AS rank FROM n QUALIFY rank <= 5)"
+_NEAR = f"p AS (SELECT c_custkey AS id, {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat FROM customer), t AS (SELECT s_suppkey AS id, {LON.format(k='s_suppkey')} AS lon, {LAT.format(k='s_suppkey')} AS lat, s_acctbal AS value FROM supplier), n AS (SELECT p.id, t.id AS target, t.value, least(abs(p.lon - t.lon), 360 - abs(p.lon - t.lon)) ** 2 + (p.lat - t.lat) ** 2 AS d2 FROM p, t), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, target) AS rank FROM n QUALIFY rank <= 5)"
 
 
 def _stations(spark, sf_dir):
@@ -160,8 +153,7 @@ def near_points(spark, sf_dir):
 @query("near_barnes", f"WITH {_NEAR}, r AS (SELECT *, max(d2) OVER (PARTITION BY id) AS r FROM k) SELECT id, round(sum(exp(-14.2 * pi() * d2 * d2 / (r * r)) * value) / sum(exp(-14.2 * pi() * d2 * d2 / (r * r))), 4) AS barnes, round(sum((1.001 * r - d2) / (1.001 * r + d2) * value) / sum((1.001 * r - d2) / (1.001 * r + d2)), 4) AS cressman FROM r GROUP BY id")
 def near_barnes(spark, sf_dir):
     near, t = _stations(spark, sf_dir)
-    b = nearest.weighted(near, t, "barnes").select("id", r(F.col("value"), 4).alias("barnes"))
-    return b.join(nearest.weighted(near, t, "cressman").select("id", r(F.col("value"), 4).alias("cressman")), "id")
+    return nearest.weighted(near, t, ["barnes", "cressman"]).select("id", r(F.col("barnes"), 4).alias("barnes"), r(F.col("cressman"), 4).alias("cressman"))
 
 
 def _mesh(spark):
@@ -233,14 +225,8 @@ def catalog_conformance(spark, sf_dir):
     return catalog.conformance(h, h.filter("nomvar NOT LIKE '%U%'").select("nomvar").distinct())
 
 
-@query("field_tiles", f"WITH {CELLS}, o AS (SELECT a AS ti, b AS tj FROM range(4) x(a), range(6) y(b)) SELECT k, tj * 4 + ti + 1 AS tile, greatest(0, ti * 4 - 1) + 1 AS ig3, greatest(0, tj * 4 - 1) + 1 AS ig4, i - greatest(0, ti * 4 - 1) AS li, j - greatest(0, tj * 4 - 1) AS lj, (i >= ti * 4 AND i < ti * 4 + 4 AND j >= tj * 4 AND j < tj * 4 + 4) AS own, round(v, 6) AS v FROM cells JOIN o ON i >= ti * 4 - 1 AND i <= ti * 4 + 4 AND j >= tj * 4 - 1 AND j <= tj * 4 + 4 WHERE k <= 5")
+@query("field_tiles", f"WITH {CELLS}, o AS (SELECT a AS ti, b AS tj FROM range(4) x(a), range(6) y(b)) SELECT k, tj * 4 + ti + 1 AS tile, greatest(0, ti * 4 - 1) + 1 AS ig3, greatest(0, tj * 4 - 1) + 1 AS ig4, i - greatest(0, ti * 4 - 1) AS li, j - greatest(0, tj * 4 - 1) AS lj, (i >= ti * 4 AND i < ti * 4 + 4 AND j >= tj * 4 AND j < tj * 4 + 4) AS own, round(v, 6) AS v FROM cells JOIN o ON i >= ti * 4 - 1 AND i <= ti * 4 + 4 AND j >= tj * 4 - 1 AND j <= tj * 4 + 4")
 def field_tiles(spark, sf_dir):
-    return fields.tiles(event_cells(spark, sf_dir).filter("k <= 5"), ["k"], 4, 4, 1, 16, 24).withColumn("v", r(F.col("v")))
-
-
-@query("field_tiles_all", f"WITH {CELLS}, o AS (SELECT a AS ti, b AS tj FROM range(4) x(a), range(6) y(b)) SELECT k, tj * 4 + ti + 1 AS tile, greatest(0, ti * 4 - 1) + 1 AS ig3, greatest(0, tj * 4 - 1) + 1 AS ig4, i - greatest(0, ti * 4 - 1) AS li, j - greatest(0, tj * 4 - 1) AS lj, (i >= ti * 4 AND i < ti * 4 + 4 AND j >= tj * 4 AND j < tj * 4 + 4) AS own, round(v, 6) AS v FROM cells JOIN o ON i >= ti * 4 - 1 AND i <= ti * 4 + 4 AND j >= tj * 4 - 1 AND j <= tj * 4 + 4")
-def field_tiles_all(spark, sf_dir):
-    """Tiles of every level; field_tiles keeps to the levels its SQL names."""
     return fields.tiles(event_cells(spark, sf_dir), ["k"], 4, 4, 1, 16, 24).withColumn("v", r(F.col("v")))
 
 

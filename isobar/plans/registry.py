@@ -7,7 +7,8 @@ SQL: dict[str, str] = {}
 
 
 def _load() -> None:
-    from . import grids, scalars, shapes  # noqa: F401
+    from . import fields, grids, scalars, shapes  # noqa: F401
+    from . import checks  # noqa: F401, I001  # last: its SQL takes the place of the functions' own text
 
 
 def queries() -> dict:

@@ -64,10 +64,8 @@ def _vectors(e):
     a, b = ["p_retailprice", "CAST(p_size AS DOUBLE)", "CAST(p_partkey % 17 AS DOUBLE)"], ["1.5E0", "CAST(p_partkey % 5 AS DOUBLE)", "(CAST(p_size % 7 AS DOUBLE) - 3)"]
     u, n, cr = x.unit(a), x.unit(x.cross(a, b)), x.cross(a, b)
     c = {"dot": r(x.dot(a, b)), "norm": r(x.norm(a)), "dist": r(x.norm([f"({p} - {q})" for p, q in zip(a, b)]))} | {f"unit{i}": r(u[i]) for i in range(3)} | {f"cross{i}": r(cr[i]) for i in range(3)} | {f"normal{i}": r(n[i]) for i in range(3)} | {f"mid{i}": r(f"(({a[i]} + {b[i]}) / 2)") for i in range(3)} | {f"hi{i}": f"greatest({a[i]}, {b[i]})" for i in range(3)}
-    plane = f"coalesce(-({a[2]} + 5) / nullif({b[2]}, 0), 999E0)"
-    qa, qb, qc = x.dot(b, b), f"(2 * {x.dot(a, b)})", f"({x.dot(a, a)} - 250000E0)"
-    disc = f"({qb} * {qb} - 2 * {qa} * {qc})"
-    c |= {"plane_t": r(plane), "sphere_hit": f"{disc} >= 0", "sphere_t": r(f"CASE WHEN {disc} < 0 THEN 999E0 ELSE (-{qb} - sqrt(greatest(0E0, {disc}))) / (2 * {qa}) END")}
+    plane, ray = x.plane_hit(b, a, "5E0"), x.sphere_hit(b, f"(2 * {x.dot(b, b)})", a, "1440000E0")
+    c |= {"plane_hit": plane[0], "plane_x": r(plane[1]), "plane_y": r(plane[2]), "sphere_hit": ray[0], "sphere_x": r(ray[1], 5), "sphere_y": r(ray[2], 5)}
     return f"SELECT p_partkey, {columns(c)} FROM part"
 
 
@@ -96,20 +94,8 @@ def _sphere(e):
     return f"SELECT id, {columns(c)} FROM ({a}) q"
 
 
-def _radials(e):
-    """Course crossing of two radials, and the foot of a point on a great circle (flat formulas of the sphere, in radians)."""
-    la, lo = "radians(lat)", "radians(lon)"
-    a = f"SELECT id, {la} AS a1, {lo} AS o1, radians(45.5E0) AS a2, radians(-73.6E0) AS o2, radians(10E0) AS a3, radians(20E0) AS o3 FROM ({points(e)}) p WHERE lat < 45 OR lat > 46"
-    b = f"SELECT *, {x.course_rad('a1', 'o1', 'a2', 'o2')} AS c12, {x.course_rad('a1', 'o1', 'a3', 'o3')} AS c13, {x.distance_rad('a1', 'o1', 'a3', 'o3', 1.0)} AS d13, {x.distance_rad('a1', 'o1', 'a2', 'o2', 1.0)} AS d12 FROM ({a}) a"
-    c = f"SELECT *, asin({x.clamp('sin(d13) * sin(c13 - c12)', '-1E0', '1E0')}) AS across FROM ({b}) b"
-    d = f"SELECT *, acos({x.clamp('cos(d13) / nullif(cos(across), 0)', '-1E0', '1E0')}) * (CASE WHEN cos(c13 - c12) < 0 THEN -1 ELSE 1 END) AS along FROM ({c}) c"
-    f = f"SELECT *, asin({x.clamp('sin(a1) * cos(along) + cos(a1) * sin(along) * cos(c12)', '-1E0', '1E0')}) AS af FROM ({d}) d"
-    out = {"across_km": r("across * 6371", 2), "along_km": r("along * 6371", 2), "foot_lat": r("degrees(af)", 3), "ratio": r("along / nullif(d12, 0)", 4)}
-    return f"SELECT id, {columns(out)} FROM ({f}) f"
-
-
-def _radials_all(e, places=None):
-    """As _radials, for every point: a great circle through the fixed point is undefined, and its columns are null, where the point is that point or its antipode. Crossing of radials from both with two courses."""
+def _radials(e, places=None):
+    """Course crossing of two radials, and the foot of a point on a great circle (flat formulas of the sphere, in radians). A great circle through the fixed point is undefined, and its columns are null, where the point is that point or its antipode. Crossing of radials from both with two courses."""
     a = f"SELECT id, radians(lat) AS a1, radians(lon) AS o1, radians(45.5E0) AS a2, radians(-73.6E0) AS o2, radians(10E0) AS a3, radians(20E0) AS o3, radians(CAST((id * 37) % 360 AS DOUBLE)) AS r1, radians(CAST((id * 53) % 360 AS DOUBLE)) AS r2 FROM ({places or points(e)}) p"
     b = f"SELECT *, {x.course_rad('a1', 'o1', 'a2', 'o2')} AS c12, {x.course_rad('a1', 'o1', 'a3', 'o3')} AS c13, {x.haversine_rad('a1', 'o1', 'a3', 'o3')} AS d13, {x.haversine_rad('a1', 'o1', 'a2', 'o2')} AS d12 FROM ({a}) a"
     c = f"SELECT *, sin(d12) > 1E-7 AS ok, asin({x.clamp('sin(d13) * sin(c13 - c12)', '-1E0', '1E0')}) AS across, atan2(sin(d13) * cos(c13 - c12), cos(d13)) AS along FROM ({b}) b"
@@ -194,7 +180,7 @@ def _storage(e):
 
 
 for _name, _tables, _build in [
-    ("fn_numbers", "lineitem", _numbers), ("fn_curves", "events", _curves), ("fn_bits", "orders", _bits), ("fn_vectors", "part", _vectors), ("fn_matrices", "part", _matrices), ("fn_sphere", "customer", _sphere), ("fn_radials", "customer", _radials), ("fn_radials_all", "customer", _radials_all),
+    ("fn_numbers", "lineitem", _numbers), ("fn_curves", "events", _curves), ("fn_bits", "orders", _bits), ("fn_vectors", "part", _vectors), ("fn_matrices", "part", _matrices), ("fn_sphere", "customer", _sphere), ("fn_radials", "customer", _radials),
     ("fn_levels", "part", _levels), ("fn_text", "part", _text), ("fn_dates", "orders", _dates), ("fn_sun_moon", "events", _sky), ("fn_storage_types", "orders", _storage),
 ]:
     register(_name, _tables, _build)
@@ -221,8 +207,8 @@ def _quads(e):
     q = [("0E0", "0E0"), ("1E0", "5E0"), ("7E0", "6E0"), ("5E0", "-1E0")]
     u, v = "(CAST(p_partkey % 21 AS DOUBLE) / 20)", "(CAST(p_size % 11 AS DOUBLE) / 10)"
     f = lambda k: f"({q[0][k]} * (1 - {u}) * (1 - {v}) + {q[1][k]} * (1 - {u}) * {v} + {q[2][k]} * {u} * {v} + {q[3][k]} * {u} * (1 - {v}))"
-    back = x.quad_inverse("x", "y", q)
-    return f"SELECT p_partkey, {r('x')} AS x, {r('y')} AS y, {r(back[0])} AS u, {r(back[1])} AS v FROM (SELECT p_partkey, {f(0)} AS x, {f(1)} AS y FROM part) t"
+    place = x.quad_inverse(f"SELECT p_partkey, {f(0)} AS x, {f(1)} AS y FROM part", "x", "y", q)
+    return f"SELECT p_partkey, {r('x')} AS x, {r('y')} AS y, {r('u')} AS u, {r('v')} AS v FROM ({place}) t"
 
 
 register("fn_quads", "part", _quads)

@@ -2,7 +2,7 @@
 
 ``spark.read.format("bf").load("/data/*.bf")`` gives one row a record: its header, ``file_idx`` and ``rec_idx``, and ``data`` as array of double (null for text
 and bytes, which are in ``raw``). Files are cut in ranges of records, so a large file is read by many tasks; equality filters on header columns
-are pushed down to the index, and the data of records that they drop is not read. With the option ``data`` set to ``false`` no data is read at all.
+are pushed down to the index, of which a range reads its own headers only, and the data of records that they drop is not read. Records go on in Arrow batches of about ``BATCH_BYTES``. With the option ``data`` set to ``false`` no data is read at all.
 
 ``df.write.format("bf").mode("append").save(folder)`` writes a file for each task, atomically renamed at the end of the task; ``dtype`` gives each record's storage type. Compressed
 types fall back to plain ones where compression does not save bytes. Null and blank texts are empty; the file system must be mounted on all executors.
@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
 from .codec import compress, inflate
@@ -30,12 +31,14 @@ NUMPY = {"INT8": "i1", "INT16": "<i2", "INT32": "<i4", "INT64": "<i8", "UINT8":
 INTS = ["dateo", "deet", "npas", "nbits", "datyp", "ip1", "ip2", "ip3", "ni", "nj", "nk", "ig1", "ig2", "ig3", "ig4"]
 HEADER = [*INTS, "typvar", "nomvar", "etiket", "grtyp"]
 SCHEMA = "file_idx int, rec_idx int, file string, offset bigint, nbytes bigint, dtype string, " + ", ".join(f"{c} int" for c in INTS) + ", typvar string, nomvar string, etiket string, grtyp string, data array<double>, raw binary"
-RANGE = 256
+RANGE, BATCH_BYTES = 256, 16 << 20
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}
+_ARROW = {c.split()[0]: _KINDS[c.split()[1]] for c in SCHEMA.split(", ")}
 _FILE, _FIELD = struct.calcsize(FILE_HEADER), struct.calcsize(FIELD_HEADER)
 
 
-def index(path: str) -> list[dict]:
-    """The field headers of a file; an error if it isn't one, or is cut off."""
+def index_place(path: str) -> tuple[int, int]:
+    """Where a file's field headers begin, and their number; an error if it isn't a record file, or is cut off."""
     size = os.path.getsize(path)
     with open(path, "rb") as f:
         head = f.read(_FILE)
@@ -46,10 +49,20 @@ def index(path: str) -> list[dict]:
             raise ValueError(f"{path}: not a record file of version {VERSION}, or cut off")
         f.seek(offset)
         n = struct.unpack("<i", f.read(4))[0]
-        raw = f.read(n * _FIELD)
+    if n < 0 or offset + 4 + n * _FIELD > size:
+        raise ValueError(f"{path}: its index is cut off")
+    return offset + 4, n
+
+
+def index(path: str, at: int | None = None, first: int = 0, last: int | None = None) -> list[dict]:
+    """The field headers of a file, or those from first to before last, where its headers begin at ``at``."""
+    if at is None:
+        at, last = index_place(path)
+    with open(path, "rb") as f:
+        f.seek(at + first * _FIELD)
+        raw = f.read((last - first) * _FIELD)
     out = []
-    for k in range(n):
-        v = struct.unpack_from(FIELD_HEADER, raw, k * _FIELD)
+    for v in struct.iter_unpack(FIELD_HEADER, raw):
         h = {"offset": v[0], "nbytes": v[1]} | dict(zip(INTS, v[2:17]))
         h |= {c: b.split(b"\0")[0].decode("latin-1").rstrip() for c, b in zip(HEADER[-4:], v[17:21])}
         h["dtype"] = TYPES[h["datyp"]] if 0 <= h["datyp"] < len(TYPES) else "NOTYPE"
@@ -58,17 +71,17 @@ def index(path: str) -> list[dict]:
 
 
 def values(raw: bytes, dtype: str, count: int):
-    """Data of a record as floats, or None for text and bytes."""
+    """Data of a record as an array of doubles, or None for text and bytes."""
     if dtype in ("CFLOAT32", "CFLOAT64"):
-        return inflate(raw, count, "f4" if dtype == "CFLOAT32" else "f8").astype(np.float64).tolist()
+        return inflate(raw, count, "f4" if dtype == "CFLOAT32" else "f8").astype(np.float64)
     if dtype in NUMPY:
-        return np.frombuffer(raw, dtype=NUMPY[dtype], count=count).astype(np.float64).tolist()
+        return np.frombuffer(raw, dtype=NUMPY[dtype], count=count).astype(np.float64)
     return None
 
 
 class _Range(InputPartition):
-    def __init__(self, file_idx: int, path: str, first: int, last: int):
-        self.file_idx, self.path, self.first, self.last = file_idx, path, first, last
+    def __init__(self, file_idx: int, path: str, at: int, first: int, last: int):
+        self.file_idx, self.path, self.at, self.first, self.last = file_idx, path, at, first, last
 
 
 class _Reader(DataSourceReader):
@@ -85,26 +98,45 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for k, p in enumerate(self.paths):
-            n = len(index(p))
-            out += [_Range(k, p, a, min(a + RANGE, n)) for a in range(0, n, RANGE)]
-        return out or [_Range(0, "", 0, 0)]
+            at, n = index_place(p)
+            out += [_Range(k, p, at, a, min(a + RANGE, n)) for a in range(0, n, RANGE)]
+        return out or [_Range(0, "", 0, 0, 0)]
 
-    def read(self, part) -> Iterator[tuple]:
+    def read(self, part) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        heads = index(part.path)
+        rows, held = [], 0
         with open(part.path, "rb") as f:
-            for k in range(part.first, part.last):
-                h = heads[k]
+            for k, h in enumerate(index(part.path, part.at, part.first, part.last), part.first):
                 if any(h[c] != v for c, v in self.wanted.items()):
                     continue
-                data = raw = None
+                h |= {"file_idx": part.file_idx, "rec_idx": k, "file": part.path, "data": None, "raw": None}
                 if self.with_data:
                     f.seek(h["offset"])
                     raw = f.read(h["nbytes"])
-                    data = values(raw, h["dtype"], h["ni"] * h["nj"] * h["nk"])
-                    raw = raw if data is None else None
-                yield (part.file_idx, k, part.path, h["offset"], h["nbytes"], h["dtype"], *(h[c] for c in HEADER), data, raw)
+                    h["data"] = values(raw, h["dtype"], h["ni"] * h["nj"] * h["nk"])
+                    h["raw"] = raw if h["data"] is None else None
+                    held += h["nbytes"] if h["data"] is None else h["data"].nbytes
+                rows.append(h)
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Records as one Arrow batch; the arrays of data are joined, not made into lists."""
+    cols = {}
+    for name, kind in _ARROW.items():
+        if name == "data":
+            got = [r["data"] for r in rows]
+            size = np.cumsum([0, *(0 if d is None else len(d) for d in got)])
+            flat = pa.array(np.concatenate([d for d in got if d is not None] or [np.zeros(0)]))
+            cols[name] = pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat, mask=pa.array([d is None for d in got]))
+        else:
+            cols[name] = pa.array([r[name] for r in rows], kind)
+    return pa.RecordBatch.from_pydict(cols)
 
 
 class _Commit(WriterCommitMessage):

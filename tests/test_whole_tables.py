@@ -15,7 +15,7 @@ from .test_queries import SF
 def test_every_level_is_tiled_and_pasted(spark):
     days = {r.k for r in spark.read.parquet(f"{SF}/events.parquet").select(F.dayofmonth("ts").alias("k")).distinct().collect()}
     assert max(days) > 5
-    for name in ("field_tiles_all", "grid_paste_all"):
+    for name in ("field_tiles", "grid_paste"):
         assert {r.k for r in registry.queries()[name](spark, SF).select("k").distinct().collect()} == days
 
 
@@ -26,10 +26,10 @@ def test_paste_keeps_levels_apart(spark):
 
 
 def test_radials_of_every_customer(spark):
-    got = registry.queries()["fn_radials_all"](spark, SF)
+    got = registry.queries()["fn_radials"](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/customer.parquet").count()
     places = "SELECT * FROM VALUES (1L, 45.5D, -73.6D), (2L, 45.51D, -73.6D), (3L, 45.2D, 100D), (4L, -45.5D, 106.4D), (5L, 10D, 20D) AS t(id, lat, lon)"
-    rows = {r.id: r for r in spark.sql(scalars._radials_all(expr.SPARK, places)).collect()}
+    rows = {r.id: r for r in spark.sql(scalars._radials(expr.SPARK, places)).collect()}
     assert sorted(rows) == [1, 2, 3, 4, 5]
     for k, r in rows.items():
         assert (r.ratio is None) == (r.across_km is None) == (k in (1, 4)), r
