@@ -8,6 +8,7 @@ not the batch. Words are the runs ``[^\\x20\\x09-\\x0D]+`` of the text after A-Z
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -63,7 +64,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, names) -> dict[str, str]:
+    """For each name one that no column of df has."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return {n: f"{mark}{n}" for n in names}
+
+
+def tidy(run):
+    """run, a function of an iterator of batches, so that its worker, which others use after it, gives memory back at its end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,19 +211,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
 
     The rows are those whose hash of doc_id lies lowest, as a share per_class / (rows of the class) of all hashes, so the
     bound holds in expectation and needs no sort. prior is the share of the class among all labelled rows of the fold.
-    A doc_id with several labels has its largest; null labels and ids are left out.
+    A doc_id with several labels has its largest; null labels and ids are left out. Of more than ``MAX_CLASSES`` classes, those of most rows are learned.
     """
     y = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).groupBy("doc_id").agg(F.max(label).cast("string").alias("y"))
     return _sampled(docs, y, per_class)
 
 
-def _sampled(docs: DataFrame, y: DataFrame, per_class: int) -> DataFrame:
-    counts = y.groupBy("y").count().collect()
+def _sampled(docs: DataFrame, y: DataFrame, per_class: int, most: int | None = None) -> DataFrame:
+    counts = y.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_CLASSES).collect()
     total = sum(r["count"] for r in counts)
     spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     rows = [(r["y"], r["count"]) for r in counts]
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    per_class = min(per_class, most // len(rows)) if most and rows else per_class
     keep, prior = F.lit(False), F.lit(0.0)
     for value, n in rows:
         keep = keep | ((F.col("y") == value) & (spread < int(min(1.0, per_class / n) * (1 << 30))))
@@ -203,7 +242,7 @@ def fitted(sample: DataFrame, fit) -> bytes:
         blob = fit(t.column("text").cast(pa.large_string()).combine_chunks() if t else pa.array([], pa.large_string()), t.column("y").to_pylist() if t else [], t.column("prior").to_pylist() if t else [])
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
 
-    got = sample.select("doc_id", "text", "y", "prior").coalesce(1).mapInArrow(run, "model binary").collect()
+    got = sample.select("doc_id", "text", "y", "prior").coalesce(1).mapInArrow(tidy(run), "model binary").collect()
     return bytes(got[0]["model"]) if got else fit(pa.array([], pa.large_string()), [], [])  # a table without partitions runs no task
 
 

@@ -2,7 +2,7 @@
 
 In a large star every node hands its larger neighbours to its smallest neighbour (or itself); in a small star it hands itself and its
 smaller neighbours to the smallest. Both keep the components, and they end in stars round each component's smallest node. A
-round's edges are written to the shared folder, so lineage stays short; only sums for the test of the end come to the driver.
+round's edges are written to the shared folder, so lineage stays short, and the round before's are deleted; only sums for the test of the end come to the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         e2 = large.join(small, F.col("u") == F.col("w"))
         e2 = e2.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = stored(e2, "stars")
+        last, e = e, stored(e2, "stars")
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, labelled_sample, mix, slices, utf8, word_hashes, words
+from .common import fitted, labelled_sample, mix, slices, tidy, utf8, word_hashes, words
 
 BITS, ALPHA, BETA, L1, L2, EPOCHS, PER_CLASS = 20, 0.3, 1.0, 3.0, 1.0, 4, 3000
 STEMS = (3, 4, 5)
@@ -110,7 +110,7 @@ def scored(df: DataFrame, text: str, scorer, keep_text: bool = False) -> DataFra
                 out[i:j] = of(data[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(out)], names=[*(f.name for f in kept), "score"])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*kept, T.StructField("score", T.DoubleType())]))
 
 
 class _Scorer:
