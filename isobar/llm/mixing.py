@@ -1,14 +1,16 @@
 """Mixing sources to target weights.
 
-Each row gets a hash-random key (MD5 of seed and doc_id). Within a source, the key's leading bits deal the
-rows into ``RANGES`` key ranges; sizes are summed by range, a running sum over the ranges gives the words
-before each, and only the range in which the source's budget ends is sorted row by row. So no task ever
-sees a whole source, and what is sorted is a ``RANGES``-th of it.
+Each row gets a hash-random key (MD5 of seed and doc_id). Within a source, the key's leading digits deal the
+rows into key ranges; sizes are summed by range, a running sum over the ranges gives the words
+before each, and only the range in which the source's budget ends goes on: by ``DIGITS`` it is cut in ranges
+again, and the last one is sorted row by row. So no task ever
+sees a whole source, and what is sorted is a 16,777,216th of it.
 
 Targets: the sources in code point order (null last) weigh 1, 2, 3, 1, 2, 3, ... and share all words in
 these proportions; a target stops at ``MAX_EPOCHS`` times its source's size, and the excess is shared
 anew by weight until no target is above. In the order of size / weight, that is a running sum as well: the sources before the first whose
-cap holds its share of what is left stop at their caps.
+cap holds its share of what is left stop at their caps. Running sums over sources are one window up to ``FEW_SOURCES``; beyond, sources are sorted in ranges, summed within each, and
+the sums of the ranges, of which there are as many as partitions, added. Both give the same.
 A source whose target is e times its size and some more is taken e times whole, and the rest in key
 order; the row in which the budget ends gives its first words only.
 
@@ -19,89 +21,127 @@ clashing names (size, source_size, target, taken), which are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_names, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-RANGES = 4096  # the first three hexadecimal digits of the key
-BROADCAST_SOURCES = 100_000
+DIGITS = ((1, 3), (4, 3))  # first digit and number of hexadecimal digits of the key, of each cut in ranges
+FEW_SOURCES = 100_000
+
+
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column], few: bool) -> DataFrame:
+    """df with ``place``, its row's number in the order, from 1, and for each named column the sum of it in the rows before."""
+    def over(w, d):
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumns({"place": F.row_number().over(w).cast("bigint")} | {n: F.coalesce(F.sum(c).over(before), F.lit(0.0)) for n, c in sums.items()})
+
+    if few:
+        return over(Window.partitionBy(F.lit(0)).orderBy(*order), df)
+    d = stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    parts = d.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"of_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ["n", *[f"of_{n}" for n in sums]]])
+    d = over(Window.partitionBy("part").orderBy(*order), d).join(F.broadcast(parts), "part")
+    return d.withColumns({"place": F.col("place") + F.col("n_before")} | {n: F.col(n) + F.col(f"of_{n}_before") for n in sums}).drop("part", "n_before", *[f"of_{n}_before" for n in sums])
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
     """From (source, source_size), one row per source: also weight and target. Null-safe; sources in code point order."""
-    every = Window.partitionBy(F.lit(0))
-    ordered = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    w = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (F.row_number().over(ordered) - 1) % len(WEIGHTS) + 1))
+    few = sizes.count() <= FEW_SOURCES
+    by_name = F.col("source").asc_nulls_last()
+    w = _running(sizes, [by_name], {}, few)
+    w = w.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), ((F.col("place") - 1) % len(WEIGHTS) + 1).cast("int"))).drop("place")
     w = w.withColumn("cap", F.col("source_size").cast("double") * MAX_EPOCHS)
-    by_ratio = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn(
-        "level",
-        (F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
-    )
-    first = F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.row_number().over(by_ratio).alias("place"), "level"))
-    w = w.withColumn("first", first).withColumn("share", F.min("first").over(every)["level"])
-    return w.withColumn("target", F.least("cap", F.coalesce(F.col("share") * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
+    w = stored(_running(w, [F.col("cap") / F.col("weight"), by_name], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, few), "targets")
+    words, weights = w.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level = (F.lit(words or 0.0) - F.col("cap_before")) / (F.lit(weights or 0.0) - F.col("weight_before"))
+    share = w.withColumn("level", level).filter(F.col("cap") >= F.col("level") * F.col("weight")).agg(F.min_by("level", "place")).first()[0]
+    target = F.least("cap", F.lit(share) * F.col("weight")) if share is not None else F.col("cap")
+    return w.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
+def _sized(docs: DataFrame, seed: int, name: dict[str, str]) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.drop("size", "source_size", "target", "taken").withColumns({"size": size, "_key": key, "_tie": F.xxhash64("text")})
+    return docs.drop("size", "source_size", "target", "taken").withColumns({"size": size, name["key"]: key, name["tie"]: F.xxhash64("text")})
 
 
-def _source_table(sized: DataFrame) -> DataFrame:
-    """Stored, one row per source: target, whole epochs, and the row (key, doc_id, tie) in which its budget ends, with the words that it may give."""
-    rows = stored(sized.select("doc_id", "source", "size", "_key", "_tie").withColumn("range", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int")), "mix")
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    t = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")))
+def _source_table(rows: DataFrame) -> DataFrame:
+    """Stored, one row per source of rows (doc_id, source, size, key, tie): target, whole epochs, and the row (key, doc_id, tie) in which its budget ends, with the words that it may give."""
+    digits = {f"range{k}": F.conv(F.substring("key", at, n), 16, 10).cast("int") for k, (at, n) in enumerate(DIGITS)}
+    rows = rows.withColumns(digits)
+    ranges = stored(rows.groupBy("source", "range0").agg(F.sum("size").alias("words")), "mix-ranges")
+    t = source_targets(stored(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), "mix-sources"))
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
-    t = t.withColumn("rest", F.round(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double")).cast("bigint"))
-    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    cut = ranges.withColumnRenamed("source", "s").withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    cut = cut.join(t.select(F.col("source").alias("c"), "rest"), F.col("s").eqNullSafe(F.col("c")))
-    cut = cut.filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words"))).select("s", F.col("range").alias("cut_range"), "before", "rest")
-    cut = _bounded(cut)
-    order = Window.partitionBy("s").orderBy("_key", "doc_id", "_tie", "size")
-    r = rows.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("cut_range")))
+    t = stored(t.withColumn("rest", F.round(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double")).cast("bigint")), "mix-rests")
+    cut = t.select(F.col("source").alias("s"), "rest", F.lit(0).cast("bigint").alias("before"))
+    r = rows
+    for k, name in enumerate(digits):  # the range in which the budget ends, then its own ranges
+        words = ranges if k == 0 else r.groupBy("source", name).agg(F.sum("size").alias("words"))
+        earlier = Window.partitionBy("source").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        c = words.withColumn("sum", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(cut, F.col("source").eqNullSafe(F.col("s"))).withColumn("before", F.col("before") + F.col("sum"))
+        c = c.filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))
+        cut = stored(c.select("s", "rest", "before", F.col(name).alias("at")), "mix-cut")
+        r = r.drop("s", "rest", "before", "at").join(_bounded(cut), F.col("source").eqNullSafe(F.col("s")) & (F.col(name) == F.col("at")))
+        cut = cut.drop("at")
+    order = Window.partitionBy("s").orderBy("key", "doc_id", "tie", "size")
     r = r.withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     at = r.filter(F.col("so_far") >= F.col("rest")).groupBy("s").agg(
-        F.min(F.struct("so_far", "_key", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "_tie", "rest", "size")).alias("at"), F.min("so_far").alias("end")
+        F.min(F.struct("so_far", "key", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tie", "rest", "size")).alias("at"), F.min("so_far").alias("end")
     )
     same = r.join(at.select(F.col("s").alias("s2"), "end"), F.col("s").eqNullSafe(F.col("s2")) & (F.col("so_far") == F.col("end")) & (F.col("size") > 0)).groupBy("s2").agg(F.count("*").alias("equal"))
     at = at.join(same, F.col("s").eqNullSafe(F.col("s2")), "left")
     left = F.floor((F.col("at.rest") - F.col("at.so_far") + F.col("equal") * F.col("at.size")) / F.col("equal")).cast("bigint")
-    at = at.select("s", F.struct(F.col("at._key").alias("k"), F.col("at.doc_id").alias("d"), F.col("at._tie").alias("t")).alias("cut"), left.alias("cut_words"))
-    t = t.join(at, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_s"), "source_size", "target", F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("cut_words").alias("_cut_words"))
-    return _bounded(stored(t, "mix-targets"))
+    at = at.select("s", F.struct(F.col("at.key").alias("k"), F.col("at.doc_id").alias("d"), F.col("at.tie").alias("t")).alias("cut"), left.alias("cut_words"))
+    return stored(t.join(at, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "weight", "rest"), "mix-targets")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
     """Broadcast if there are few sources; else the planner joins as it sees fit, and splits hot sources."""
-    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
+    return F.broadcast(df) if df.count() <= FEW_SOURCES else df
+
+
+def _taken(sized: DataFrame, table: DataFrame, name: dict[str, str]) -> DataFrame:
+    """sized with source_size, target and taken."""
+    t = _bounded(table.select(F.col("source").alias(name["s"]), "source_size", "target", F.col("epochs").alias(name["epochs"]), F.col("cut").alias(name["cut"]), F.col("cut_words").alias(name["words"])))
+    r = sized.join(t, sized["source"].eqNullSafe(t[name["s"]]))
+    own, cut = F.struct(F.col(name["key"]).alias("k"), F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col(name["tie"]).alias("t")), F.col(name["cut"])
+    part = F.when(cut.isNull(), F.lit(0)).when(own < cut, F.col("size")).when(own == cut, F.least(name["words"], "size")).otherwise(F.lit(0))
+    return r.withColumn("taken", (F.col(name["epochs"]) * F.col("size") + part).cast("bigint")).drop(*name.values())
+
+
+_INNER = ("key", "tie", "s", "epochs", "cut", "words")
+
+
+def mix_sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row; texts are read once."""
+    name = dict(zip(_INNER, _INNER))
+    rows = stored(_sized(docs.select("doc_id", "text", "source"), seed, name).drop("text"), "mix")
+    return _taken(rows, _source_table(rows), name)
 
 
 def mix_plan(docs: DataFrame, seed: int = 7) -> DataFrame:
     """docs (doc_id, text, source and others) with size, source_size, target and taken."""
-    sized = _sized(docs, seed)
-    r = sized.join(_source_table(sized), F.col("source").eqNullSafe(F.col("_s")))
-    own = F.struct(F.col("_key").alias("k"), F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("_tie").alias("t"))
-    part = F.when(F.col("_cut").isNull(), F.lit(0)).when(own < F.col("_cut"), F.col("size")).when(own == F.col("_cut"), F.least("_cut_words", "size")).otherwise(F.lit(0))
-    return r.withColumn("taken", (F.col("_epochs") * F.col("size") + part).cast("bigint")).drop("_s", "_key", "_tie", "_epochs", "_cut", "_cut_words")
+    name = free_names(docs, _INNER)
+    sized = _sized(docs, seed, name)
+    rows = stored(sized.select("doc_id", "source", "size", F.col(name["key"]).alias("key"), F.col(name["tie"]).alias("tie")), "mix")
+    return _taken(sized, _source_table(rows), name)
 
 
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed corpus, with docs' columns: a row for each time that a document is taken; of the row in which a budget ends, its first words (joined by one space)."""
-    r = mix_plan(docs, seed).filter("taken > 0")
-    r = r.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
+    new = free_names(docs, ("size", "source_size", "target", "taken", "copy"))
+    copy, own = new.pop("copy"), {c: new[c.lower()] for c in docs.columns if c.lower() in new}  # docs' own columns of these names step aside
+    r = mix_plan(docs.withColumnsRenamed(own), seed).filter("taken > 0")
+    r = r.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col(copy) - 1) * F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), left.cast("int")), " ")
-    return r.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(cut)).select(docs.columns)
+    r = r.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(cut))
+    return r.drop("size", "source_size", "target", "taken", copy).withColumnsRenamed({n: c for c, n in own.items()}).select(docs.columns)
 
 
 PLAN_SQL = rf"""

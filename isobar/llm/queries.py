@@ -54,7 +54,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_plan(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.mix_sizes(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_top_k": op6_top_k, "op8_quality": op8_quality, "op10_media": op10_media}
 QUERIES |= {"op2_url_filter": op2_url_filter, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
-SQL = {"op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL}
+SQL = {"op1_jaccard_join": jaccard.components_sql(3, 90, 100), "op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL}
 
 
 def sharding_sql() -> str:

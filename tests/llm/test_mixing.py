@@ -1,8 +1,10 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
+from isobar.llm import mixing
 from isobar.llm.mixing import mix_documents, mix_plan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,3 +70,24 @@ def test_odd_rows(spark):
     assert len(got) == 5 and all(r.taken == 0 for r in got if r.size == 0)
     assert mix_plan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mix_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_sources_in_ranges(spark, monkeypatch):
+    """Beyond FEW_SOURCES, sums over sources go by ranges; the targets are the same."""
+    rng = random.Random(7)
+    sizes = {f"s{k:03d}": [rng.randint(0, 9) for _ in range(rng.randint(1, 3))] for k in range(200)} | {None: [5], "hot": [40] * 60}
+    df = spark.createDataFrame(rows_of(sizes), SCHEMA)
+    want = targets({s: sum(c) for s, c in sizes.items()})
+    plain = {(r.doc_id, r.target, r.taken) for r in mix_plan(df).collect()}
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    got = mix_plan(df).collect()
+    assert {(r.doc_id, r.taken) for r in got} == {(d, n) for d, _, n in plain}
+    assert all(r.target == pytest.approx(want[r.source], abs=1e-6) for r in got) and len(got) == len(rows_of(sizes))
+
+
+def test_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(k, "a b c d", f"s{k % 2}", k, k, k, k) for k in range(6)], "doc_id long, text string, source string, _key long, _cut long, Taken long, copy long")
+    plan, docs = mix_plan(df), mix_documents(df)
+    assert set(plan.columns) == {"doc_id", "text", "source", "_key", "_cut", "copy", "size", "source_size", "target", "taken"}
+    assert docs.columns == df.columns and all(r._key == r._cut == r.Taken == r.copy == r.doc_id for r in docs.collect())
+    assert [(r.size, r._key) for r in plan.orderBy("doc_id").collect()] == [(4, k) for k in range(6)]
