@@ -7,10 +7,10 @@ held within ``CLIP`` of the best. Viterbi then labels the words of a text with t
 text's language is the one of most letters.
 
 All texts of a slice go through Viterbi together: their words are cut in segments of ``SEGMENT``; for each segment and each language
-before it, the best scores are found at once, one numpy step for each place in a segment; then the segments of each text are joined in order.
+before it, the best scores are found at once, one numpy step for each place in a segment, and joined in order; then back pointers are kept, a bit for each word and language.
 
-Learning reads a bounded sample, about ``PER_LANGUAGE`` texts of each language (all, if fewer). The model is a table of 2^BITS rows
-with one number a language (``MAX_LANGUAGES`` bounds it), and is broadcast. Prediction is one pass over whole texts without a shuffle.
+Learning reads a bounded sample, about ``PER_LANGUAGE`` texts of each language (all, if fewer; ``MAX_SAMPLE`` texts in all). The model is a table of 2^BITS rows, or fewer where there are many languages,
+with one number a language (``TABLE`` numbers at most), and is broadcast. Of more than ``common.MAX_CLASSES`` languages, those of most texts are learned. Prediction is one pass over whole texts without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so are all texts if nothing could be learned; of
 languages with equally many letters, the first by code point wins; words of a script that no language uses count for all languages alike.
@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _sampled, fitted, mix, slices, utf8, word_hashes
+from .common import SLICE_BYTES, _sampled, fitted, mix, slices, tidy, utf8, word_hashes
 
-BITS, ORDER, CLIP, PENALTY, SEGMENT, PER_LANGUAGE, MAX_LANGUAGES, SCRIPT_SHARE = 18, 4, 8.0, 12.0, 128, 1500, 256, 0.01
+BITS, ORDER, CLIP, PENALTY, SEGMENT, PER_LANGUAGE, MAX_SAMPLE, SCRIPT_SHARE = 18, 4, 8.0, 12.0, 128, 1500, 60_000, 0.01
+TABLE, CELLS = 1 << 24, 1 << 20  # numbers of a model, and of the segments at once in Viterbi
 
 #: First code points of ranges, and the script that starts there (after the Unicode blocks).
 SCRIPTS = [
@@ -90,7 +91,7 @@ def _distinct(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return first, place
 
 
-def _grams(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(cp: np.ndarray, s: np.ndarray, n: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the given words with a bound on either side, and the word of each."""
     size = n + 2
     begin = np.cumsum(size) - size
@@ -104,101 +105,103 @@ def _grams(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
         ok = word[: len(h)] == word[k:]
         if k == 0:
             ok &= ~bound
-        out.append(mix(h[ok] + np.uint64(k)) >> np.uint64(64 - BITS))
+        out.append(mix(h[ok] + np.uint64(k)) >> np.uint64(64 - bits))
         of.append(word[: len(h)][ok])
     return np.concatenate(out).astype(np.int64), np.concatenate(of)
 
 
 def fit(texts: pa.Array, y: list[str], prior: list[float]) -> bytes:
     langs = sorted(set(y))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    count, scripts = np.zeros((len(langs), 1 << BITS)), np.zeros((len(_names), len(langs)))
+    bits = min(BITS, max(8, (TABLE // max(1, len(langs))).bit_length() - 1))
+    count, scripts = np.zeros((len(langs), 1 << bits), dtype=np.float32), np.zeros((len(_names), len(langs)))
     code = np.array([langs.index(v) for v in y], dtype=np.int64)
     data, off = utf8(texts)
     for i, j in slices(off):
         cp, o = code_points(data[off[i] : off[j]], off[i : j + 1] - off[i])
         cp, s, n, row = _words(cp, o)
         if len(s):
-            f, w = _grams(cp, s, n)
+            f, w = _grams(cp, s, n, bits)
             k = code[i:j][row]
-            count += np.bincount(k[w] * (1 << BITS) + f, minlength=count.size).reshape(count.shape)
+            at, times = np.unique((k[w] << bits) | f, return_counts=True)
+            count.reshape(-1)[at] += times
             np.add.at(scripts, (_script[np.searchsorted(_first, cp[s], side="right") - 1], k), n)
     logs = np.log((count + 0.5) / (count.sum(axis=1, keepdims=True) + 0.5 * count.shape[1])) if langs else count
     logs = np.where(count.sum(axis=0) > 0, logs - logs.mean(axis=0), 0) if langs else logs
     allowed = scripts > SCRIPT_SHARE * scripts.sum(axis=0, keepdims=True)
-    return pickle.dumps({"langs": langs, "table": np.ascontiguousarray(logs.T, dtype=np.float32), "allowed": allowed})
+    return pickle.dumps({"langs": langs, "bits": bits, "table": np.ascontiguousarray(logs.T, dtype=np.float32), "allowed": allowed})
 
 
 def train(docs: DataFrame, fold: Column, per_language: int = PER_LANGUAGE) -> bytes:
     """Learns from the text and non-null lang of the documents of the fold."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & fold)
-    return fitted(_sampled(docs, known.groupBy("doc_id").agg(F.max("lang").alias("y")), per_language), fit)
+    return fitted(_sampled(docs, known.groupBy("doc_id").agg(F.max("lang").alias("y")), per_language, MAX_SAMPLE), fit)
 
 
-def viterbi(score: np.ndarray, row: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Best label of each word: score is words x labels, row the text of each word, ascending."""
-    n, k = score.shape
+def viterbi(score: np.ndarray, row: np.ndarray, penalty: float = PENALTY, place: np.ndarray | None = None) -> np.ndarray:
+    """Best label of each word: score is words x labels (of each word's place, if given), row the text of each word, ascending."""
+    n, k = len(row), score.shape[1]
+    place = np.arange(n) if place is None else place
     first = np.ones(n, dtype=bool)
     first[1:] = row[1:] != row[:-1]
     text_at = np.flatnonzero(first)
-    place = np.arange(n) - np.repeat(text_at, np.diff(np.append(text_at, n)))
-    seg_first = place % SEGMENT == 0
-    at = np.flatnonzero(seg_first)
-    size = np.diff(np.append(at, n))
+    at = np.flatnonzero((np.arange(n) - np.repeat(text_at, np.diff(np.append(text_at, n)))) % SEGMENT == 0)
+    size, text = np.diff(np.append(at, n)), np.cumsum(first)[at] - 1
+    n_seg = np.bincount(text)
+    seg_at = np.cumsum(n_seg) - n_seg
+    # forward: what each segment adds from each label before it to each at its end, a bounded number of segments at once; then its text's best scores before it
+    enter, total, some = np.zeros((len(at), k)), np.zeros((len(n_seg), k)), max(1, CELLS // (k * k))
+    for low in range(0, len(at), some):
+        segs = np.arange(low, min(low + some, len(at)))
+        order = segs[np.argsort(-size[segs], kind="stable")]
+        v = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(len(order), axis=0)
+        for t in range(int(size[order[0]])):
+            m = int(np.searchsorted(-size[order], -t, side="left"))
+            v[:m] = np.maximum(v[:m], v[:m].max(axis=2, keepdims=True) - penalty) + score[place[at[order[:m]] + t]][:, None, :]
+        back = np.empty(len(order), dtype=np.int64)
+        back[order - low] = np.arange(len(order))
+        turn = segs - np.maximum(seg_at[text[segs]], low)
+        by_turn = np.argsort(turn, kind="stable")
+        for live in np.split(segs[by_turn], np.flatnonzero(np.diff(turn[by_turn])) + 1):
+            enter[live] = total[text[live]]
+            total[text[live]] = (enter[live][:, :, None] + v[back[live - low]]).max(axis=1)
+    # again from these scores, keeping for each word and label whether it stayed, and for each word the best label before it
     order = np.argsort(-size, kind="stable")
-    start, length = at[order], size[order]
-    # v[segment, label before, label now]: before the segment only the given label has score 0
-    v = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(len(at), axis=0).astype(np.float32)
-    came = np.empty((n, k, k), dtype=np.uint8)
-    own = np.arange(k, dtype=np.uint8)
-    for t in range(int(length[0])):
-        m = int(np.searchsorted(-length, -t, side="left"))
+    start, length = at[order], -size[order]
+    v, stay, best = enter[order], np.empty((n, k), dtype=bool), np.empty(n, dtype=np.int32)
+    for t in range(-int(length[0])):
+        m = int(np.searchsorted(length, -t, side="left"))
+        w, b = start[:m] + t, v[:m].argmax(axis=1)
+        top = np.take_along_axis(v[:m], b[:, None], axis=1) - penalty
+        stay[w], best[w] = v[:m] >= top, b
+        v[:m] = np.maximum(v[:m], top) + score[place[w]]
+    # backward: the label before each segment for each at its end; then the labels at the ends, from the last segment of a text to its first; then all
+    came = np.arange(k)[None].repeat(len(at), axis=0)
+    for t in range(-int(length[0]) - 1, -1, -1):
+        m = int(np.searchsorted(length, -t, side="left"))
         w = start[:m] + t
-        best = v[:m].argmax(axis=2)
-        top = np.take_along_axis(v[:m], best[:, :, None], axis=2) - np.float32(penalty)
-        stay = v[:m] >= top
-        came[w] = np.where(stay, own, best[:, :, None])
-        v[:m] = np.where(stay, v[:m], top) + score[w][:, None, :]
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    v = v[back]
-    # texts: join their segments in order, all texts at once for each place of a segment
-    seg_text = np.cumsum(first)[at] - 1
-    n_seg = np.bincount(seg_text)
-    seg_at = np.cumsum(n_seg) - n_seg
-    by_size = np.argsort(-n_seg, kind="stable")
-    total = np.zeros((len(n_seg), k), dtype=np.float64)
-    entered = np.empty((len(at), k), dtype=np.int64)
-    for t in range(int(n_seg.max())):
-        live = by_size[: int(np.searchsorted(-n_seg[by_size], -t, side="left"))]
-        g = seg_at[live] + t
-        through = total[live][:, :, None] + v[g]
-        entered[g] = through.argmax(axis=1)
-        total[live] = through.max(axis=1)
-    label = np.empty(len(at), dtype=np.int64)  # at each segment's end
-    now = total.argmax(axis=1)
-    entry = np.empty(len(at), dtype=np.int64)
+        came[:m] = np.where(np.take_along_axis(stay[w], came[:m], axis=1), came[:m], best[w][:, None])
+    before = np.empty_like(came)
+    before[order] = came
+    end, now, by_size = np.empty(len(at), dtype=np.int64), total.argmax(axis=1), np.argsort(-n_seg, kind="stable")
     for t in range(int(n_seg.max()) - 1, -1, -1):
         live = by_size[: int(np.searchsorted(-n_seg[by_size], -t, side="left"))]
         g = seg_at[live] + t
-        label[g] = now[live]
-        entry[g] = entered[g, now[live]]
-        now[live] = entry[g]
-    out = np.empty(n, dtype=np.int64)
-    now, enter = label[order], entry[order]
-    for t in range(int(length[0]) - 1, -1, -1):
-        m = int(np.searchsorted(-length, -t, side="left"))
+        end[g] = now[live]
+        now[live] = before[g, now[live]]
+    out, now = np.empty(n, dtype=np.int64), end[order]
+    for t in range(-int(length[0]) - 1, -1, -1):
+        m = int(np.searchsorted(length, -t, side="left"))
         w = start[:m] + t
         out[w] = now[:m]
-        now[:m] = came[w, enter[:m], now[:m]]
+        now[:m] = np.where(stay[w, now[:m]], now[:m], best[w])
     return out
 
 
 class _Labeller:
     def __init__(self, model: bytes):
         m = pickle.loads(model)
-        self.langs, self.table, self.allowed = m["langs"], m["table"], m["allowed"]
+        self.langs, self.bits, self.table, self.allowed = m["langs"], m["bits"], m["table"], m["allowed"]
+        self.limit = SLICE_BYTES * 16 // max(16, len(self.langs))
 
     def __call__(self, data: np.ndarray, off: np.ndarray):
         """For each row its language and score; and the words: start, length (code points), row, label."""
@@ -211,7 +214,7 @@ class _Labeller:
         if not len(s):
             return ["und"] * rows, np.zeros(rows), (none, none, none, none)
         first, place = _distinct(cp, s, n)
-        f, w = _grams(cp, s[first], n[first])
+        f, w = _grams(cp, s[first], n[first], self.bits)
         order = np.argsort(w, kind="stable")
         f, w = f[order], w[order]
         score = np.add.reduceat(self.table[f], np.searchsorted(w, np.arange(len(first))), axis=0)
@@ -220,7 +223,7 @@ class _Labeller:
         score = np.where(allowed, score, -np.inf)
         score = np.maximum(score - score.max(axis=1, keepdims=True, initial=-1e30), -CLIP)
         score[~allowed.any(axis=1)] = 0
-        label = viterbi(score[place].astype(np.float32), row)
+        label = viterbi(score, row, place=place)
         letters = np.bincount(row * k + label, weights=n, minlength=rows * k).reshape(rows, k)
         total = letters.sum(axis=1)
         best = letters.argmax(axis=1)
@@ -253,10 +256,10 @@ def label_languages(df: DataFrame, model: bytes, text: str = "text", spans: bool
         of = _Labeller(shared.value)
         for b in batches:
             data, off = utf8(b.column(text))
-            for i, j in slices(off):
+            for i, j in slices(off, of.limit):
                 langs, score, found = of(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 part = b.slice(i, j - i)
                 cols = [pa.array(langs, pa.string()), pa.array(score)] + ([pa.array(of.spans(found, j - i), kind)] if spans else [])
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *cols], names=[*(f.name for f in kept), *(f.name for f in new)])
 
-    return df.mapInArrow(run, T.StructType([*kept, *new]))
+    return df.mapInArrow(tidy(run), T.StructType([*kept, *new]))
