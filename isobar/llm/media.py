@@ -11,7 +11,7 @@ back by the byte ranges that the tables give.
 Everything is a function of one row, so there is no shuffle and no key can be hot; memory is a slice of rows, or one row.
 
 Defined results: a null, empty or broken container has tracks, codec, duration and ranges null and ``error`` set; boxes that
-overrun their parent are broken. So has one whose samples lie in movie fragments (``moof``), which are not decoded. A null text is stored as an empty one: one sample of padding. Equal texts give equal
+overrun their parent, are nested over ``DEPTH`` deep, or have tables that point outside it are broken. So has one whose samples lie in movie fragments (``moof``), which are not decoded. A null text is stored as an empty one: one sample of padding. Equal texts give equal
 containers. Other columns are kept; clashing names are replaced.
 """
 
@@ -26,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import slices, tidy, utf8
 
-SIDE, SAMPLE, KEY_EVERY, RATE, CHUNK = 24, 576, 16, 25, 64
+SIDE, SAMPLE, KEY_EVERY, RATE, CHUNK, DEPTH = 24, 576, 16, 25, 64, 16
 _PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
 
 def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
-    """Yields (path, start, end) of every box's contents, parents first."""
+    """Yields (path, start, end) of every box's contents, parents first; an error below ``DEPTH`` levels."""
+    if len(path) > DEPTH:
+        raise ValueError("boxes are nested too deep")
     end = len(data) if end is None else end
     while start < end:
         if end - start < 8:
@@ -79,6 +81,8 @@ def tracks(data) -> list[dict]:
             out[-1]["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", data, a + 4)
+            if fixed * n > len(data):
+                raise ValueError("samples lie outside the container")
             out[-1]["sizes"] = np.full(n, fixed, dtype=np.int64) if fixed else _table(data, a + 4, b, 1).ravel()
         elif kind in (b"stco", b"co64"):
             out[-1]["chunks"] = _table(data, a, b, 1, ">u4" if kind == b"stco" else ">u8").ravel()
@@ -105,7 +109,7 @@ def tracks(data) -> list[dict]:
         if len(sizes) and int((t["offsets"] + sizes).max()) > len(data):
             raise ValueError("samples lie outside the container")
         t.setdefault("keys", np.arange(len(sizes)))
-        if len(t["keys"]) and int(t["keys"].max()) >= len(sizes):
+        if len(t["keys"]) and not 0 <= int(t["keys"].min()) <= int(t["keys"].max()) < len(sizes):
             raise ValueError("a keyframe is no sample")
         t["ticks"] = int(t["times"].prod(axis=1).sum()) if "times" in t else 0
     return out
@@ -181,7 +185,7 @@ def describe(data) -> dict:
         return none | {"error": "empty"}
     try:
         found = tracks(data)
-    except (ValueError, struct.error, IndexError) as e:
+    except (ValueError, struct.error, IndexError, OverflowError) as e:
         return none | {"error": str(e)}
     if not found:
         return none | {"error": "no track"}
@@ -203,7 +207,7 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
                 new = [pa.array([r[f.name] for r in rows], k) for f, k in zip(_NEW, kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + new, names=[f.name for f in kept] + [f.name for f in _NEW])
 
-    return df.mapInArrow(run, T.StructType(kept + _NEW))
+    return df.mapInArrow(tidy(run), T.StructType(kept + _NEW))
 
 
 def store_texts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -216,7 +220,7 @@ def store_texts(df: DataFrame, text: str = "text") -> DataFrame:
             media = pa.array([wrap(padded(r)) for r in rows], pa.large_binary()).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(list(map(len, rows)), pa.int64()), media], names=[*(f.name for f in kept), "n_bytes", "media"])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
 def padded(raw: bytes) -> bytes:
@@ -249,4 +253,4 @@ def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
                 cols = [pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + cols, names=[f.name for f in kept] + [n for n, _ in new])
 
-    return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, t) for n, t in new)]))
+    return df.mapInArrow(tidy(run), T.StructType([*kept, *(T.StructField(n, t) for n, t in new)]))

@@ -144,6 +144,22 @@ def test_broken_containers(spark):
     assert all(got[k].error and got[k].codec is None for k in (0, 1, 2, 3, 5)) and got[6].error is None
 
 
+def test_hostile_containers(spark):
+    """Deep nesting and tables that claim more than there is are errors of their own row."""
+    deep = b""
+    for _ in range(1500):
+        deep = media._box(b"moov", deep)
+    good = media.wrap(body := media.padded(b"abc" * 900))
+    n = len(body) // media.SAMPLE
+    huge = good.replace(b"stsz" + bytes(4) + (576).to_bytes(4, "big") + n.to_bytes(4, "big"), b"stsz" + bytes(4) + (576).to_bytes(4, "big") + b"\xff" * 4)
+    keys = -(-n // media.KEY_EVERY)
+    zero = good.replace(b"stss" + bytes(4) + keys.to_bytes(4, "big") + (1).to_bytes(4, "big"), b"stss" + bytes(4) + keys.to_bytes(4, "big") + bytes(4))
+    runs = good.replace(b"stsc" + bytes(4) + (1).to_bytes(4, "big") + (1).to_bytes(4, "big"), b"stsc" + bytes(4) + (1).to_bytes(4, "big") + (2).to_bytes(4, "big"))
+    assert len({deep, good, huge, zero, runs}) == 5
+    got = {r.id: r for r in media.media_columns(spark.createDataFrame(list(enumerate([deep, huge, zero, runs, good])), "id int, media binary")).collect()}
+    assert all(got[k].error and got[k].tracks is None for k in range(4)) and got[4].error is None
+
+
 def test_every_track_and_fragments(spark):
     body = media.padded(b"ab" * 9000)
     one = media.wrap(body)
