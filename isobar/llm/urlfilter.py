@@ -16,7 +16,7 @@ key that holds a third of all captures only makes a join partition of one right
 execution splits. No row count grows by the joins.
 
 Defined results: a null URL, or one without a host, is not blocked; a null fetch time is not blocked; scheme,
-user, port, a leading ``www.`` and letter case of the host do not matter, nor do query and fragment; repeated captures
+user, port, a leading ``www.``, a dot at the end and letter case of the host do not matter (an address in numbers has no subdomains), nor do query and fragment; repeated captures
 give repeated rows; without entries nothing is blocked. Entries with a null pattern or date are ignored. The pattern returned is the normal one.
 Other columns of the captures are kept; host, blocked, pattern and since are replaced.
 """
@@ -26,14 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(?:[wW][wW][wW]\.)?([^/?#:@]+)"
 _WHOLE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _FOLDER = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/(?:[^?#]*/)?)"
 
 
 def url_host(url: Column) -> Column:
-    """Lower-cased host without ``www.``; null if there is none."""
-    host = F.lower(F.regexp_extract(url, _HOST, 1))
+    """Lower-cased host without ``www.`` and without a dot at its end; null if there is none."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", "")
     return F.when(host != "", host)
 
 
@@ -51,7 +53,7 @@ def url_folder(url: Column) -> Column:
 
 def normal_pattern(pattern: Column) -> Column:
     """pattern with its host in lower case and without ``www.`` (unless no other dot is left); the path is kept."""
-    host = F.lower(F.regexp_extract(pattern, "^[^/]*", 0))
+    host = F.regexp_replace(F.lower(F.regexp_extract(pattern, "^[^/]*", 0)), r"\.+$", "")
     return F.concat(F.regexp_replace(host, r"^www\.(?=.*\.)", ""), F.regexp_extract(pattern, "(?s)^[^/]*(.*)$", 1))
 
 
@@ -71,8 +73,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def _covering(host: Column, folder: Column) -> Column:
-    """All patterns that could cover the key: its host's suffixes at label bounds, alone and with each prefix of the folder."""
-    parts = F.split(host, r"\.")
+    """All patterns that could cover the key: its host's suffixes at label bounds (of an address in numbers only the whole), alone and with each prefix of the folder."""
+    parts = F.when(host.rlike(r"^[0-9.]+$"), F.array(host)).otherwise(F.split(host, r"\."))
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     paths = F.concat(F.array(F.lit("")), _prefixes(folder, F.size(F.split(folder, "/"))))
     return F.flatten(F.transform(tails, lambda t: F.transform(paths, lambda p: F.concat(t, p))))
@@ -81,14 +83,17 @@ def _covering(host: Column, folder: Column) -> Column:
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """captures with host, blocked, and the pattern and since of the longest (then first) active entry."""
     blocked = intervals(entries)
-    depth = blocked.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("_depth"))
-    c = captures.drop("host", "blocked", "pattern", "since").withColumn("host", url_host(F.col(url))).crossJoin(F.broadcast(depth))
-    c = c.withColumn("_host", F.when(F.col("host").isNotNull(), _match_host(F.col(url)))).withColumn("_folder", F.coalesce(F.try_element_at(_prefixes(url_folder(F.col(url)), F.col("_depth")), F.lit(-1)), F.lit(""))).drop("_depth")
-    keys = c.filter("host IS NOT NULL").groupBy("_host", "_folder").agg(F.lit(1).alias("_one")).select(F.col("_host").alias("_h"), F.col("_folder").alias("_f"))
-    hits = keys.withColumn("_p", F.explode(_covering(F.col("_h"), F.col("_f")))).join(blocked, F.col("_p") == F.col("pattern"))
-    spans = hits.groupBy("_h", "_f").agg(F.sort_array(F.collect_list(F.struct((-F.length("pattern")).alias("o"), "pattern", "since", "until"))).alias("_spans"))
+    depth = blocked.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("depth"))
+    captures = captures.drop("host", "blocked", "pattern", "since")
+    own = free_names(captures, ("depth", "host", "folder", "h", "f", "spans", "hit"))
+    host, folder = F.col(own["host"]), F.col(own["folder"])
+    c = captures.withColumn("host", url_host(F.col(url))).crossJoin(F.broadcast(depth.withColumnRenamed("depth", own["depth"])))
+    c = c.withColumn(own["host"], F.when(F.col("host").isNotNull(), _match_host(F.col(url)))).withColumn(own["folder"], F.coalesce(F.try_element_at(_prefixes(url_folder(F.col(url)), F.col(own["depth"])), F.lit(-1)), F.lit(""))).drop(own["depth"])
+    keys = c.filter("host IS NOT NULL").groupBy(host.alias("h"), folder.alias("f")).agg(F.lit(1).alias("one")).select("h", "f")
+    hits = keys.withColumn("p", F.explode(_covering(F.col("h"), F.col("f")))).join(blocked, F.col("p") == F.col("pattern"))
+    spans = hits.groupBy(F.col("h").alias(own["h"]), F.col("f").alias(own["f"])).agg(F.sort_array(F.collect_list(F.struct((-F.length("pattern")).alias("o"), "pattern", "since", "until"))).alias(own["spans"]))
     at = F.col(fetched_at)
-    j = c.join(spans, (c._host == spans._h) & (c._folder == spans._f), "left")
-    live = F.filter("_spans", lambda x: (x.since <= at) & (x.until.isNull() | (at < x.until)))
-    hit = F.when(F.size(live) > 0, live[0])
-    return j.withColumn("_hit", hit).withColumn("blocked", F.col("_hit").isNotNull()).withColumn("pattern", F.col("_hit.pattern")).withColumn("since", F.col("_hit.since")).drop("_h", "_f", "_host", "_folder", "_spans", "_hit")
+    j = c.join(spans, (host == F.col(own["h"])) & (folder == F.col(own["f"])), "left")
+    live = F.filter(own["spans"], lambda x: (x.since <= at) & (x.until.isNull() | (at < x.until)))
+    j = j.withColumn(own["hit"], F.when(F.size(live) > 0, live[0]))
+    return j.withColumns({"blocked": F.col(own["hit"]).isNotNull(), "pattern": F.col(f"{own['hit']}.pattern"), "since": F.col(f"{own['hit']}.since")}).drop(*[n for k, n in own.items() if k != "depth"])

@@ -80,6 +80,15 @@ def test_url_filter_paths_and_www(spark):
     assert [r.url for r in hosts if r.pattern != (r.want if r.want in ("c.org", "www.com") else None)] == []
 
 
+def test_url_filter_addresses_dots_and_names(spark):
+    day = datetime.date(2024, 1, 1)
+    cap = [("http://1.2.3.4/", "1.2.3.4"), ("http://9.1.2.3.4/", None), ("http://5.3.4/", None), ("http://c.org./x", "c.org"), ("http://A.c.org.:80/x", "c.org"), ("http://d.org/", "d.org")]
+    e = spark.createDataFrame([(p, day, "block") for p in ("1.2.3.4", "3.4", "c.org", "D.org.")], "pattern string, listed_at date, action string")
+    c = spark.createDataFrame([(u, day, w, k, k, k) for k, (u, w) in enumerate(cap)], "url string, fetched_at date, want string, _hit int, _spans int, _host int")
+    got = urlfilter.url_filter(c, e).collect()
+    assert [(r.url, r.pattern) for r in got if r.pattern != r.want] == [] and sorted((r._hit, r._spans, r._host) for r in got) == [(k, k, k) for k in range(len(cap))]
+
+
 def test_block_top_against_brute_force():
     rng = np.random.default_rng(0)
     for d, n, high in [(0, 5, 3), (1, 60, 3), (3, 400, 100), (64, 700, 100), (8, 400, 1 << 30), (2, 300, 1 << 40)]:
@@ -92,6 +101,21 @@ def test_block_top_against_brute_force():
             assert [(-int(s), int(ids[k])) for s, k in zip(score[row == i], col[row == i])] == want
 
 
+def test_statistics_drop_pairs():
+    """Vectors with smooth components are told apart by coarse segments, and floors from another block drop more."""
+    rng = np.random.default_rng(4)
+    smooth = lambda n: (np.repeat(rng.normal(size=(n, 8)), 8, axis=1) * 200 + rng.normal(size=(n, 64)) * 20).astype(np.int64)
+    q, c = smooth(30), smooth(3000)
+    floor = np.full(30, topk.LOW)
+    live, share = topk.survivors(np.arange(30), q, 100 + np.arange(3000), c, 5, floor)
+    assert share[1] < 0.1 and share == sorted(share, reverse=True)
+    exact = q @ c.T
+    assert (np.sort(exact, axis=1)[:, -5] >= floor).all() and live[np.arange(30)[:, None], np.argsort(-exact, axis=1, kind="stable")[:, :5]].all()
+    better = np.sort(exact, axis=1)[:, -5].copy()
+    _, less = topk.survivors(np.arange(30), q, 100 + np.arange(3000), c, 5, better)
+    assert less[-1] <= share[-1]
+
+
 def test_top_k_odd_rows(spark):
     rng = random.Random(3)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(6)], "x") for k in range(120)]
