@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices, tidy, utf8
+
 MAX_RANKS = 1 << 20
 LONG = 256
 CACHE_BYTES, CACHED = 40 << 20, 64  # of a task's cache, counting 300 bytes an entry besides its text; longer chunks aren't kept
@@ -269,8 +271,6 @@ class Codec:
 
 
 def _texts(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    from .common import slices, utf8
-
     _, off = utf8(batch.column(column))
     for i, j in slices(off, limit):
         part = batch.slice(i, j - i)
@@ -301,7 +301,7 @@ def _mapped(df: DataFrame, text: str, vocabulary: str, pattern: str, new: list[T
             for part, texts in _texts(batch, text):
                 yield with_columns(part, names, make(c, texts))
 
-    return df.mapInArrow(run, T.StructType(kept + new))
+    return df.mapInArrow(tidy(run), T.StructType(kept + new))
 
 
 def _ids(encoded: list[tuple[str, int, bytes]]) -> pa.Array:
@@ -324,7 +324,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids") -> Da
         for b in batches:
             yield with_columns(b, [f.name for f in kept] + ["decoded"], {"decoded": pa.array([c.decode(x or []) for x in b.column(ids).to_pylist()], pa.binary())})
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))
 
 
 def _digests(encoded: list[tuple[str, int, bytes]]) -> dict[str, pa.Array]:

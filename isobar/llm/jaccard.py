@@ -16,8 +16,8 @@ subset there, so the subset that agrees, which is as large in the other set, is
    count once.
 3. The bitmaps meet by bucket: pairs whose bitmaps differ too much can't link, and a bucket falls apart in the groups that the other pairs hold together. So only classes that have
    a near one send their sets.
-4. Both for bitmaps and for sets, buckets are dealt to cells by the smallest class of the buckets around them, so that those of a group of copies come together (by their own smallest class where that would be
-   over ``HOME_ROWS`` rows, ``HOME_PAIRS`` pairs or ``HOME_BYTES``), and each class goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes or
+4. Both for bitmaps and for sets, buckets are dealt to cells by the smallest class of the buckets around them, so that those of a group of copies come together, in as many cells as keep to
+   ``HOME_ROWS`` rows, ``HOME_PAIRS`` pairs and ``HOME_BYTES`` each, and each class goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes or
    ``BLOCK_BYTES`` goes as pairs of blocks, so no bucket is too large for a task, and a cell holds about ``CELL_BYTES`` or one pair of blocks. A cell compares the classes of each bucket exactly, on the sets, with a matrix product where they are many. No pairs are written: a cell keeps
    a forest of what it has found linked, skips pairs that are in one tree already, and returns the links that joined trees.
 5. The components of these links are the result. A cell that is lost is computed again from the stored tables.
@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, row_sets, slices, stored, utf8
+from .common import discard, mix, row_sets, slices, stored, tidy, utf8
 from .components import components
 
-ENTRIES_PER_TASK, BROADCAST_IDS, FLUSH = 1 << 20, 1 << 20, 8 << 20
-BLOCK, ROWS_PER_CELL, HOME_ROWS, HOME_PAIRS, MAX_DONE = 1024, 4096, 1 << 14, 1 << 22, 1 << 20
+ENTRIES_PER_TASK, BROADCAST_IDS, FLUSH = 1 << 20, 1 << 18, 8 << 20
+BLOCK, ROWS_PER_CELL, HOME_ROWS, HOME_PAIRS, MAX_DONE = 1024, 4096, 1 << 13, 1 << 22, 1 << 20
 BLOCK_BYTES, HOME_BYTES, CELL_BYTES, PAIRS_AT_ONCE = 16 << 20, 32 << 20, 16 << 20, 1 << 19
 _SUBSETS = np.array([[1, 1, 0], [1, 0, 1], [0, 1, 1]], dtype=np.uint64)
 
@@ -118,7 +118,7 @@ def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
             bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "th": part.column("th"), "n_shingles": size, "cls": pa.array(cls, mask=size == 0), "bits": bits})
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, cls long, bits binary")
+    return _keyed(docs).mapInArrow(tidy(run), "doc_id long, th long, n_shingles long, cls long, bits binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _entries(docs: DataFrame, n: int, num: int, den: int, n_parts: int) -> DataF
         if sigs:
             yield packed(sigs, owners)
 
-    return docs.select("text").mapInArrow(run, "part int, packed binary")
+    return docs.select("text").mapInArrow(tidy(run), "part int, packed binary")
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def _buckets(entries: DataFrame) -> DataFrame:
         rows = np.repeat(keep, size)
         yield pa.RecordBatch.from_pydict({"bucket": np.repeat(name, size)[rows].view(np.int64), "cls": cls[rows].view(np.int64), "size": np.repeat(size, size)[rows], "least": np.repeat(cls[at], size)[rows].view(np.int64)})
 
-    return entries.mapInArrow(run, "bucket long, cls long, size long, least long")
+    return entries.mapInArrow(tidy(run), "bucket long, cls long, size long, least long")
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _packed(docs: DataFrame, n: int) -> DataFrame:
             seen.update(new)
             yield pa.RecordBatch.from_pydict({"cls": np.array(list(new), dtype=np.uint64).view(np.int64), "packed": pa.array([s.tobytes() for s in new.values()], pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "cls long, packed binary")
+    return docs.select("text").mapInArrow(tidy(run), "cls long, packed binary")
 
 
 def _semi(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -269,8 +269,8 @@ class _Forest:
         return x != y
 
 
-def links_of(members: list[int], sets: dict[int, np.ndarray], num: int, den: int, forest: _Forest, done: set) -> list[tuple[int, int]]:
-    """Links that join trees of forest, of pairs of members; every pair is compared, or is in one tree, or was compared before (in done)."""
+def links_of(members: list[int], sets: dict[int, np.ndarray], num: int, den: int, forest: _Forest | None, done: set) -> list[tuple[int, int]]:
+    """Links that join trees of forest, of pairs of members; every pair is compared, or is in one tree, or was compared before (in done). Without a forest, all links."""
     m, out = len(members), []
     sized = [len(sets[c]) for c in members]
     if m >= 12:
@@ -294,14 +294,14 @@ def links_of(members: list[int], sets: dict[int, np.ndarray], num: int, den: int
             size = np.array(sized)
             x, y = np.nonzero(np.triu(den * both >= num * (size[:, None] + size[None, :] - both), 1))
             for i, j in zip(x.tolist(), y.tolist()):
-                if forest.join(members[i], members[j]):
+                if forest is None or forest.join(members[i], members[j]):
                     out.append((members[i], members[j]))
             return out
     for i in range(m):
         x = sets[members[i]]
         for j in range(i):
             y = sets[members[j]]
-            if min(len(x), len(y)) * den < num * max(len(x), len(y)) or forest.root(members[i]) == forest.root(members[j]):
+            if min(len(x), len(y)) * den < num * max(len(x), len(y)) or forest is not None and forest.root(members[i]) == forest.root(members[j]):
                 continue
             pair = (members[j], members[i])
             if pair in done:
@@ -310,7 +310,8 @@ def links_of(members: list[int], sets: dict[int, np.ndarray], num: int, den: int
                 done.add(pair)
             both = len(np.intersect1d(x, y, assume_unique=True))
             if den * both >= num * (len(x) + len(y) - both):
-                forest.join(*pair)
+                if forest is not None:
+                    forest.join(*pair)
                 out.append(pair)
     return out
 
@@ -387,22 +388,23 @@ def near_groups(key: np.ndarray, cls: np.ndarray, known: np.ndarray, size: np.nd
 
 
 def _homes(members: DataFrame) -> DataFrame:
-    """bucket, home, blocks and crowded: the least class near each bucket, which the buckets of a group of copies share, the blocks that it is cut in, and whether one task would have too much there."""
+    """members with ``home``, the least class near the bucket, which the buckets of a group of copies share, and ``blocks``, in which a large bucket is cut."""
     near = members.groupBy(F.col("cls").alias("c")).agg(F.min("least").alias("near"))
-    homes = members.join(near, F.col("cls") == F.col("c")).groupBy(F.col("bucket").alias("b")).agg(F.min("near").alias("home"), F.max("size").alias("n"), F.sum("bytes").alias("w"))
-    crowded = ((F.sum("n") > HOME_ROWS) | (F.sum(F.col("n") * F.col("n")) > HOME_PAIRS) | (F.sum("w") > HOME_BYTES)).alias("crowded")
-    rows = homes.groupBy(F.col("home").alias("h")).agg(crowded)
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_BYTES)).cast("int")
-    return homes.join(rows, F.col("home") == F.col("h")).select(F.col("b").alias("bucket"), "home", blocks.alias("blocks"), "crowded")
+    homes = members.join(near, F.col("cls") == F.col("c")).groupBy(F.col("bucket").alias("b")).agg(F.min("near").alias("home"), F.greatest(F.ceil(F.max("size") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return members.join(homes, F.col("bucket") == F.col("b")).drop("b")
 
 
 def _cells(members: DataFrame, payload: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """Rows (cell, key, cls) of members (bucket, cls, size, least, bytes) dealt to cells, and (at, c, and the payload's other columns) of each class of a cell, once."""
     rows, total = members.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     n_cells = max(4 * tasks, rows // ROWS_PER_CELL, total // CELL_BYTES)
-    m = members.join(_homes(members), "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = _homes(members)
+    own = m.groupBy("home", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("p"), F.max("bytes").alias("w"))
+    splits = F.greatest(F.ceil(F.sum("n") / HOME_ROWS), F.ceil(F.sum("p") / HOME_PAIRS), F.ceil(F.sum("w") / HOME_BYTES)).cast("int")
+    m = m.join(own.groupBy(F.col("home").alias("h")).agg(splits.alias("splits")), F.col("home") == F.col("h"))
+    m = m.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    home = F.when(F.col("blocks") > 1, F.xxhash64(key)).when(F.col("crowded"), F.xxhash64("least")).otherwise(F.xxhash64("home"))
+    home = F.when(F.col("blocks") > 1, F.xxhash64(key)).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("bucket"), "splits")))
     m = m.select("cls", key.alias("key"), F.pmod(home, F.lit(n_cells)).cast("int").alias("cell"))
     held = m.select(F.col("cell").alias("at"), F.col("cls").alias("c")).distinct()
     return m, held.join(payload, F.col("c") == payload["cls"]).drop("cls")
@@ -431,14 +433,14 @@ def _near(members: DataFrame, bitmaps: DataFrame, num: int, den: int, tasks: int
     return m.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(run, "bucket long, cls long, size long, least long")
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
-    """Links (u, v) that hold the components together."""
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, tasks: int, every: bool = False) -> DataFrame:
+    """Links (u, v) that hold the components together, or every link, some of them several times."""
     m, held = _cells(members, sets, tasks)
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
         known = {c: np.frombuffer(p.as_buffer(), np.uint64) for c, p in zip(own.column("c").to_pylist(), own.column("packed"))}
         key, cls = _sorted(rows)
-        forest, done, out = _Forest(), set(), []
+        forest, done, out = None if every else _Forest(), set(), []
         for part in np.split(cls, np.flatnonzero(key[1:] != key[:-1]) + 1):
             out += links_of(part.tolist(), known, num, den, forest, done)
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
@@ -446,8 +448,8 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, tasks: int)
     return m.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(run, "u long, v long")
 
 
-def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFrame) -> DataFrame:
-    """Components (node, component) of the classes that link with another."""
+def _candidates(docs: DataFrame, n: int, num: int, den: int, classes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Buckets of classes that may link, as _cells takes them, the sets of these classes, and a number of tasks."""
     spark = docs.sparkSession
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     per_shingle = 3.4 * (den - num) / num
@@ -457,19 +459,26 @@ def jaccard_links(docs: DataFrame, n: int, num: int, den: int, classes: DataFram
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     found = stored(own.groupBy("cls").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "candidates")
     sized = lambda m, per: m.join(found.select("cls", (F.col("n_shingles") * per).cast("bigint").alias("bytes")), "cls")
-    near = stored(_near(stored(sized(members, 0.125), "sized"), found.select("cls", "n_shingles", "bits"), num, den, tasks).distinct(), "near")
+    light = stored(sized(members, 0.125), "sized")
+    near = stored(_near(light, found.select("cls", "n_shingles", "bits"), num, den, tasks).distinct(), "near")
+    discard(members, light)
     keys = found.join(near.select("cls").distinct(), "cls", "left_semi").select("first.doc_id", "first.th")
     sets = stored(_packed(_semi(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), keys), n), "sets")
     if sets.count() > sets.select("cls").distinct().count():
-        sets = stored(sets.dropDuplicates(["cls"]), "sets")
+        repeated, sets = sets, stored(sets.dropDuplicates(["cls"]), "sets")
+        discard(repeated)
     rows = stored(sized(near, 8).join(sets.select("cls"), "cls", "left_semi"), "sized")
-    return components(stored(_links(rows, sets, num, den, tasks), "links"))
+    discard(near, found)
+    return rows, sets, tasks
 
 
 def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, th, n_shingles and comp, the component's class (null without a set), of every row."""
     classes = stored(shingle_classes(docs, n), "classes")
-    labels = jaccard_links(docs, n, num, den, classes.filter("cls IS NOT NULL"))
+    rows, sets, tasks = _candidates(docs, n, num, den, classes.filter("cls IS NOT NULL"))
+    links = stored(_links(rows, sets, num, den, tasks), "links")
+    discard(rows, sets)
+    labels = components(links)
     own = classes.drop("bits").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     return own.select("doc_id", "th", "n_shingles", F.coalesce("component", "cls").alias("comp"))
 
@@ -481,6 +490,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     return own.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def jaccard_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The join itself: its links (left, right) between representatives, the smallest doc_ids of two classes of equal sets, each once; and the membership (doc_id, representative) of every row that has a set.
+
+    Links between two classes only of null ids have no representatives to name them and are left out here; components have them. A group of near copies has a link for each pair of its
+    classes; for groups too large for that, take jaccard_components."""
+    classes = stored(shingle_classes(docs, n), "classes").filter("cls IS NOT NULL")
+    rows, sets, tasks = _candidates(docs, n, num, den, classes)
+    known = stored(classes.groupBy("cls").agg(F.min("doc_id").alias("representative")), "representatives")
+    links = _links(rows, sets, num, den, tasks, every=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    end = lambda name, c: known.filter("representative IS NOT NULL").select(F.col("cls").alias(c), F.col("representative").alias(name))
+    pairs = links.join(end("a", "u"), "u").join(end("b", "v"), "v").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+    return pairs, classes.select("doc_id", "cls").join(known, "cls").select("doc_id", "representative")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, with the same columns, with one row of each component: that of the smallest doc_id (nulls last), then the smallest text hash, then, of rows equal in both, the first as JSON. Rows without words are kept."""
     rows = _labelled(docs, n, num, den).filter("comp IS NOT NULL").groupBy("comp", "doc_id", "th").agg(F.count("*").alias("n"))
@@ -492,3 +515,20 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         one = _semi(docs, repeated).groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
         out = out.unionByName(one.select("_row.*"))
     return out
+
+
+def components_sql(n: int, num: int, den: int) -> str:
+    """The same for tables whose shared shingles can be joined: distinct sets, pairs by shared shingles, and what each set reaches."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {run}) END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS cls, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+u AS (SELECT cls, n, unnest(s) AS x FROM c),
+e AS (SELECT a.cls AS a, b.cls AS b FROM u a JOIN u b ON a.x = b.x AND a.cls < b.cls GROUP BY a.cls, b.cls, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT cls AS node, cls AS top FROM c UNION SELECT f.b, r.top FROM r JOIN f ON r.node = f.a),
+t AS (SELECT node, min(top) AS top FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(t.top, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN t ON c.cls = t.node
+"""

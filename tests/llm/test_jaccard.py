@@ -10,12 +10,18 @@ from isobar.llm import jaccard as j
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(texts: dict, n: int, num: int, den: int) -> dict:
-    """doc_id -> (set size, component), by comparing all pairs."""
+def plain_sets(texts: dict, n: int) -> dict:
+    """doc_id -> set of shingles."""
     sets = {}
     for i, t in texts.items():
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    return sets
+
+
+def brute(texts: dict, n: int, num: int, den: int) -> dict:
+    """doc_id -> (set size, component), by comparing all pairs."""
+    sets = plain_sets(texts, n)
     up = {i: i for i in sets}
 
     def root(x):
@@ -174,3 +180,17 @@ def test_bitmaps_never_part_linked_sets():
     x, y = np.triu_indices(120, 1)
     apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y)])
     assert (maps.distance(x, y) <= apart).all()
+
+
+def test_pairs_of_representatives(spark):
+    texts = corpus(4) | {500 + k: " ".join([f"g{k}" if i == k else f"w{i}" for i in range(200)]) for k in range(30)}
+    sets = plain_sets(texts, 3)
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    reps = sorted(i for s, i in least.items() if s)
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * (n := len(sets[a] & sets[b])) >= 90 * (len(sets[a]) + len(sets[b]) - n)}
+    pairs, members = j.jaccard_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 90, 100)
+    got = [(r.left, r.right) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert {r.doc_id: r.representative for r in members.collect()} == {i: least[s] for i, s in sets.items() if s}
