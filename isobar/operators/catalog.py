@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Names of descriptor records.
 DESCRIPTORS = (">>", "^^", "^>", "!!", "##", "HY", "PROJ", "MTRX")
 
@@ -28,9 +30,20 @@ def find(headers: DataFrame, order: list[str], **wanted) -> DataFrame:
     return find_all(headers, **wanted).orderBy(*order).limit(1)
 
 
-def numbered(headers: DataFrame, group: list[str], order: list[str], **wanted) -> DataFrame:
-    """Matches with ``place`` from 1 within their group: the n-th next is a filter."""
-    return find_all(headers, **wanted).withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+def numbered(headers: DataFrame, group: list[str], order: list[str], ranges: bool = False, **wanted) -> DataFrame:
+    """Matches with ``place`` from 1 within their group: the n-th next is a filter. With ranges, for groups that hold much of a table: rows are sorted in ranges, numbered within each, and the sizes of a group's ranges before are added."""
+    found = find_all(headers, **wanted)
+    if not ranges:
+        return found.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    d = stored(found.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*group, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select(F.col("_part").alias("_p"), "_before", *[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)])
+    same = F.col("_part") == F.col("_p")
+    for k, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    return d.withColumn("place", own).join(sizes, same).withColumn("place", (F.col("place") + F.col("_before")).cast("int")).drop("_part", "_p", "_before", *[f"_g{k}" for k in range(len(group))])
 
 
 def values(headers: DataFrame, column: str, unique: bool = True) -> DataFrame:

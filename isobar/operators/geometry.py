@@ -13,11 +13,13 @@ from collections import defaultdict
 from itertools import pairwise
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RING = "array<struct<x: double, y: double>>"
 RINGS = f"array<{RING}>"
+_ARROW_RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 PLACES = 7
 OPS = {"difference": lambda a, b: a and not b, "intersection": lambda a, b: a and b, "xor": lambda a, b: a != b, "union": lambda a, b: a or b}
 
@@ -248,17 +250,22 @@ def strips_udf(op: str):
     return f
 
 
-def fold_udf(op: str):
-    """Aggregate of array<ring> polygons to one, op by op; a group's geometries are folded in one task, so groups are for features and not for whole tables."""
+def fold(df: DataFrame, keys: list[str], geometry: str, op: str, parts: int = 64) -> DataFrame:
+    """keys with the rings of all geometries of a group together, by union, intersection or xor: first in parts of a group, then the parts, so no task gets a whole hot group. Null geometries don't count."""
+    if op == "difference":
+        raise ValueError("a difference depends on the order")
 
-    @F.pandas_udf(RINGS)
-    def f(a: pd.Series) -> list:
-        total: list = []
-        for k, x in enumerate(a):
-            total = clip(total, _plain(x), op) if k else _plain(x)
-        return _structs(total)
+    def one(group: pa.Table) -> pa.Table:
+        total: list | None = None
+        for x in group.column(geometry).to_pylist():
+            if x is not None:
+                total = _plain(x) if total is None else clip(total, _plain(x), op)
+        cols = [group.column(k).slice(0, 1) for k in group.column_names if k != geometry]
+        return pa.table([*cols, pa.array([_structs(total) if total is not None else None], _ARROW_RINGS)], names=[*(k for k in group.column_names if k != geometry), geometry])
 
-    return f
+    d = df.select(*keys, F.pmod(F.xxhash64(F.to_json(geometry)), F.lit(parts)).alias("_part"), geometry)
+    some = d.groupBy(*keys, "_part").applyInArrow(one, d.schema).drop("_part")
+    return some.groupBy(*keys).applyInArrow(one, some.schema)
 
 
 def simplify_udf(tolerance: float):

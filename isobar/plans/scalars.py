@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import uuid
 
 from isobar.functions import expr as x
 from isobar.functions.expr import DUCK, SPARK, num
@@ -24,9 +26,14 @@ def register(name: str, tables: str, build) -> None:
     """build(dialect) gives the query's text."""
 
     def run(spark, sf_dir):
-        for t in tables.split():
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(build(SPARK))
+        text, views = build(SPARK), {t: f"{t}_{uuid.uuid4().hex}" for t in tables.split()}
+        for t, view in views.items():  # names of their own, so that no view of the session is touched
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createTempView(view)
+            text = re.sub(rf"\bFROM {t}\b", f"FROM {view}", text)
+        out = spark.sql(text)
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+        return out
 
     QUERIES[name], SQL[name] = run, build(DUCK)
 

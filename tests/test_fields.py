@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar.functions import expr, rings
-from isobar.operators import fields, gather, layers, nearest, scatter
+from isobar.operators import catalog, fields, gather, geometry, layers, nearest, scatter
 from isobar.plans import scalars
 
 
@@ -129,3 +129,28 @@ def test_sun_and_moon_against_low_precision_almanac(spark):
         de = math.asin(math.sin(beta) * math.cos(tilt) + math.cos(beta) * math.sin(tilt) * math.sin(lam))
         ra = math.atan2(math.sin(lam) * math.cos(tilt) - math.tan(beta) * math.sin(tilt), math.cos(lam))
         assert abs(r.moon_lat - deg(de)) < 0.5 and abs(turn(r.moon_lon - deg(ra - gst))) < 0.8
+
+
+def test_numbers_by_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(10**6), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "nomvar string, ip1 long, rec long").repartition(4)
+    want = {(r.rec, r.place) for r in catalog.numbered(df, ["nomvar"], ["ip1", "rec"]).collect()}
+    assert {(r.rec, r.place) for r in catalog.numbered(df, ["nomvar"], ["ip1", "rec"], ranges=True).collect()} == want and len(want) == 500
+
+
+def test_fold_of_a_hot_group(spark):
+    box = lambda x, y: [[{"x": x, "y": y}, {"x": x + 1.0, "y": y}, {"x": x + 1.0, "y": y + 1.0}, {"x": x, "y": y + 1.0}]]
+    df = spark.createDataFrame([(1, box(float(i), float(j))) for i in range(4) for j in range(3)] + [(1, box(0.5, 0.5)), (2, box(0.0, 0.0))], "g int, rings array<array<struct<x: double, y: double>>>")
+    out = geometry.fold(df, ["g"], "rings", "union", 4)
+    areas = {r.g: r.a for r in out.select("g", F.aggregate("rings", F.lit(0.0), lambda t, p: t + rings.signed_area(p)).alias("a")).collect()}
+    assert areas == {1: pytest.approx(12.0), 2: pytest.approx(1.0)}
+    with pytest.raises(ValueError):
+        geometry.fold(df, ["g"], "rings", "difference")
+
+
+def test_queries_leave_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("orders")
+    assert "between_s" in scalars.QUERIES["fn_between"](spark, "/root/testdata/sf0.001").columns
+    assert spark.table("orders").count() == 3 and [t.name for t in spark.catalog.listTables() if t.name.startswith("orders_")] == []
+    spark.catalog.dropTempView("orders")
