@@ -7,22 +7,26 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to ``spark.checkpoint.dir`` and read again, so lineage ends there; a temporary folder only where none is set."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where none is set, which a cluster must not do."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="isobar-"))
-            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-        d = _own_dir[0]
-    path = f"{d}/{name}-{uuid.uuid4().hex}"
+    if d:
+        return d
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="isobar-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return _own_dir[0]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so lineage ends there."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

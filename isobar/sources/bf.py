@@ -1,6 +1,6 @@
 """Record files (``bf``): a file header, data blocks, and an index of field headers. Read and written as a Spark data source.
 
-``spark.read.format("bf").load("/data/*.bf")`` gives one row a record: its header, ``file_idx`` and ``rec_idx``, and ``data`` as array of double (null for text
+After ``register(spark)``, ``spark.read.format("bf").load("/data/*.bf")`` gives one row a record: its header, ``file_idx`` and ``rec_idx``, and ``data`` as array of double (null for text
 and bytes, which are in ``raw``). Files are cut in ranges of records, so a large file is read by many tasks; equality filters on header columns
 are pushed down to the index, of which a range reads its own headers only, and the data of records that they drop is not read. Records go on in Arrow batches of about ``BATCH_BYTES``. With the option ``data`` set to ``false`` no data is read at all.
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
 from .codec import compress, inflate
@@ -202,7 +203,7 @@ def field_header(d: dict, dtype: str, offset: int, nbytes: int) -> bytes:
 
 
 class BinaryFields(DataSource):
-    """Register with ``spark.dataSource.register(BinaryFields)``."""
+    """The data source; register it with ``register``."""
 
     @classmethod
     def name(cls):
@@ -216,3 +217,9 @@ class BinaryFields(DataSource):
 
     def writer(self, schema, overwrite):
         return _Writer(self.options, schema, overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, and lets it push filters down to Python sources, without which Spark refuses this reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BinaryFields)

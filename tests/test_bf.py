@@ -18,7 +18,7 @@ def test_codec_round_trip(kind):
 
 
 def test_reads_a_file_laid_out_by_hand(spark, tmp_path):
-    spark.dataSource.register(bf.BinaryFields)
+    bf.register(spark)
     block = struct.pack("<6f", 1, 2, 3, 4, 5, 6.5)
     head = struct.pack("<qq15i2s4s12scc", 32, 24, 1000, 60, 2, 32, 10, 12000, 0, 0, 3, 2, 1, 1, 2, 3, 4, b"P\0", b"TT\0\0", b"RUN1", b"L", b"\0")
     path = tmp_path / "a.bf"
@@ -31,7 +31,7 @@ def test_reads_a_file_laid_out_by_hand(spark, tmp_path):
 
 
 def test_write_and_read_again(spark, tmp_path):
-    spark.dataSource.register(bf.BinaryFields)
+    bf.register(spark)
     rows = [(n, "CFLOAT32" if n % 2 else "INT16", "UU" if n % 3 else "VV", n, 4, 2, [float(n + k // 3) for k in range(8)]) for n in range(30)]
     df = spark.createDataFrame(rows, "ip1 int, dtype string, nomvar string, dateo int, ni int, nj int, data array<double>").repartition(3)
     df.write.format("bf").mode("append").save(str(tmp_path / "out"))
