@@ -12,7 +12,7 @@ anew by weight until no target is above. In the order of size / weight, that is
 cap holds its share of what is left stop at their caps. Running sums over sources are one window up to ``FEW_SOURCES``; beyond, sources are sorted in ranges, summed within each, and
 the sums of the ranges, of which there are as many as partitions, added. Both give the same.
 A source whose target is e times its size and some more is taken e times whole, and the rest in key
-order; the row in which the budget ends gives its first words only.
+order; the row in which the budget ends gives its first words only (or, where texts shall stay whole, all or nothing).
 
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of its own; rows
 that are equal in doc_id share a key and are ordered by text hash, and equal rows at the cut share what is left evenly; a corpus without words has targets 0; an empty table gives no rows. Other columns are kept, but for
@@ -132,15 +132,19 @@ def mix_plan(docs: DataFrame, seed: int = 7) -> DataFrame:
     return _taken(sized, _source_table(rows), name)
 
 
-def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed corpus, with docs' columns: a row for each time that a document is taken; of the row in which a budget ends, its first words (joined by one space)."""
+def mix_documents(docs: DataFrame, seed: int = 7, whole: bool = False) -> DataFrame:
+    """The mixed corpus, with docs' columns: a row for each time that a document is taken; of the row in which a budget ends, its first words (joined by one space). With whole, all of that row if half of it or more is taken, and
+    else nothing: texts stay as they are, and a source's words are off its target by half a document at most (for equal rows at the cut, by half of each)."""
     new = free_names(docs, ("size", "source_size", "target", "taken", "copy"))
     copy, own = new.pop("copy"), {c: new[c.lower()] for c in docs.columns if c.lower() in new}  # docs' own columns of these names step aside
     r = mix_plan(docs.withColumnsRenamed(own), seed).filter("taken > 0")
-    r = r.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    left = F.col("taken") - (F.col(copy) - 1) * F.col("size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), left.cast("int")), " ")
-    r = r.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(cut))
+    times = F.col("taken") / F.col("size")
+    copies = (F.floor(times + 0.5) if whole else F.ceil(times)).cast("int")
+    r = r.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    if not whole:
+        left = F.col("taken") - (F.col(copy) - 1) * F.col("size")
+        cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), left.cast("int")), " ")
+        r = r.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(cut))
     return r.drop("size", "source_size", "target", "taken", copy).withColumnsRenamed({n: c for c, n in own.items()}).select(docs.columns)
 
 
