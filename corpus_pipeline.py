@@ -29,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that a document is taken; sources weigh 1, 2, 3, repeating, up to three epochs."""
-    return mixing.mix_documents(docs)
+    """A row for each time that a document is taken, whole; sources weigh 1, 2, 3, repeating, up to three epochs."""
+    return mixing.mix_documents(docs, whole=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
