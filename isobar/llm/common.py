@@ -223,11 +223,10 @@ def _sampled(docs: DataFrame, y: DataFrame, per_class: int, most: int | None = N
     spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     rows = [(r["y"], r["count"]) for r in counts]
     per_class = min(per_class, most // len(rows)) if most and rows else per_class
-    keep, prior = F.lit(False), F.lit(0.0)
-    for value, n in rows:
-        keep = keep | ((F.col("y") == value) & (spread < int(min(1.0, per_class / n) * (1 << 30))))
-        prior = F.when(F.col("y") == value, F.lit(n / total)).otherwise(prior)
-    chosen = y.filter(keep).withColumn("prior", prior)
+    if not rows:
+        return docs.select("doc_id", "text").join(F.broadcast(y.withColumn("prior", F.lit(0.0))), "doc_id")
+    by_class = lambda of: F.try_element_at(F.map_from_arrays(F.array(*[F.lit(v) for v, _ in rows]), F.array(*[F.lit(of(n)) for _, n in rows])), F.col("y"))
+    chosen = y.filter(spread < by_class(lambda n: int(min(1.0, per_class / n) * (1 << 30)))).withColumn("prior", by_class(lambda n: n / total))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
