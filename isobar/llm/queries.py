@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, jaccard, language, media, mixing, quality, sharding, topk, toxicity, urlfilter
+from . import bpe, itq, jaccard, kdmeans, language, media, mixing, quality, sharding, topk, toxicity, urlfilter, whitening
 from .common import crc_fold, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -90,9 +90,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, k=16, rounds=3)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4)
+
+
 QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_top_k": op6_top_k, "op8_quality": op8_quality, "op10_media": op10_media}
 QUERIES |= {"op2_url_filter": op2_url_filter, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
-SQL = {"op1_jaccard_join": jaccard.components_sql(3, 90, 100), "op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL}
+QUERIES |= {"op11_embedding_dedup": op11_embedding_dedup, "op12_clustering": op12_clustering, "op13_whitening": op13_whitening}
+SQL = {"op1_jaccard_join": jaccard.components_sql(3, 90, 100), "op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL, "op12_clustering": kdmeans.clusters_sql()}
 
 
 def sharding_sql() -> str:
