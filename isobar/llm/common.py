@@ -16,11 +16,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
-MAX_CLASSES = 1000
+SAMPLE_BYTES, BROADCAST_ROWS = 256 << 20, 1 << 18
 _own_dir: list[str] = []
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -207,41 +207,52 @@ def row_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int) -> DataFrame:
-    """About per_class rows (doc_id, text, y, prior) of each class, or all; the rest of the learning ends with them.
+    """At most per_class rows (doc_id, y, text, prior, spread) of each class, or all; learning ends with them.
 
-    The rows are those whose hash of doc_id lies lowest, as a share per_class / (rows of the class) of all hashes, so the
-    bound holds in expectation and needs no sort. prior is the share of the class among all labelled rows of the fold.
-    A doc_id with several labels has its largest; null labels and ids are left out. Of more than ``MAX_CLASSES`` classes, those of most rows are learned.
+    Of a class, those ids are taken whose hash, spread, is smallest; one text of each, that of the smallest hash. prior is the share of the class among all labelled ids of the fold.
+    A doc_id with several labels has its largest; null labels and ids are left out.
     """
     y = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).groupBy("doc_id").agg(F.max(label).cast("string").alias("y"))
-    return _sampled(docs, y, per_class)
+    return sampled(docs.select("doc_id", "text"), y, ["doc_id"], per_class)
 
 
-def _sampled(docs: DataFrame, y: DataFrame, per_class: int, most: int | None = None) -> DataFrame:
-    counts = y.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_CLASSES).collect()
-    total = sum(r["count"] for r in counts)
+def sampled(docs: DataFrame, y: DataFrame, on: list[str], per_class: int, most: int | None = None) -> DataFrame:
+    """The sample of docs for the classes of y (doc_id, y), joined by the columns on; of many classes per_class is ``most`` dealt evenly, at least 1. No class is left out."""
+    counts = y.groupBy(F.col("y").alias("c")).agg(F.count("*").alias("n"))
+    total, classes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    per_class = max(1, min(per_class, most // max(1, classes))) if most else per_class
+    few = lambda t, n: F.broadcast(t) if n <= BROADCAST_ROWS else t
     spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    rows = [(r["y"], r["count"]) for r in counts]
-    per_class = min(per_class, most // len(rows)) if most and rows else per_class
-    if not rows:
-        return docs.select("doc_id", "text").join(F.broadcast(y.withColumn("prior", F.lit(0.0))), "doc_id")
-    by_class = lambda of: F.try_element_at(F.map_from_arrays(F.array(*[F.lit(v) for v, _ in rows]), F.array(*[F.lit(of(n)) for _, n in rows])), F.col("y"))
-    chosen = y.filter(spread < by_class(lambda n: int(min(1.0, per_class / n) * (1 << 30)))).withColumn("prior", by_class(lambda n: n / total))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    near = y.withColumn("spread", spread).join(few(counts, classes), F.col("y") == F.col("c")).filter(F.col("spread") * F.col("n") < F.lit((2 * per_class + 20) << 30))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("spread", "doc_id"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= per_class).select("doc_id", "y", "spread", (F.col("n") / F.lit(max(1, total))).alias("prior"))
+    return docs.join(few(chosen, classes * per_class), on).groupBy("doc_id", "y", "prior", "spread").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fitted(sample: DataFrame, fit) -> bytes:
-    """fit(texts as Arrow string array, y as list of str, prior as list of float) -> bytes, run in one task over a bounded sample."""
+    """fit(texts as Arrow string array, y as list of str, prior as list of float) -> bytes, run in one task over a bounded sample.
+
+    Only the sample goes to that task, sorted by spread; of a class it keeps texts until they have ``SAMPLE_BYTES`` over the number of classes, whole texts and at least one.
+    """
+    classes = max(1, sample.select("y").distinct().count())
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        t = pa.Table.from_batches(got) if got else None
-        order = np.argsort(t.column("doc_id").to_numpy(), kind="stable") if t else []
-        t = t.take(order) if t else None
+        kept, held = [], {}
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+            take = []
+            for k, (y, n) in enumerate(zip(b.column("y").to_pylist(), size)):
+                if held.get(y, 0) < SAMPLE_BYTES // classes:
+                    held[y] = held.get(y, 0) + n
+                    take.append(k)
+            kept.append(b.take(pa.array(take, pa.int64())))
+        t = pa.Table.from_batches(kept) if kept else None
+        t = t.take(np.lexsort((t.column("spread").to_numpy(), t.column("doc_id").to_numpy()))) if t else None
         blob = fit(t.column("text").cast(pa.large_string()).combine_chunks() if t else pa.array([], pa.large_string()), t.column("y").to_pylist() if t else [], t.column("prior").to_pylist() if t else [])
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
 
-    got = sample.select("doc_id", "text", "y", "prior").coalesce(1).mapInArrow(tidy(run), "model binary").collect()
+    one = sample.select("doc_id", "text", "y", "prior", "spread").repartition(1).sortWithinPartitions("spread", "doc_id", "y")
+    got = one.mapInArrow(tidy(run), "model binary").collect()
     return bytes(got[0]["model"]) if got else fit(pa.array([], pa.large_string()), [], [])  # a table without partitions runs no task
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix, row_sets, slices, stored, tidy, utf8
+from .common import discard, free_names, mix, row_sets, slices, stored, tidy, utf8
 from .components import components
 
 ENTRIES_PER_TASK, BROADCAST_IDS, FLUSH = 1 << 20, 1 << 18, 8 << 20
@@ -243,8 +243,9 @@ def _packed(docs: DataFrame, n: int) -> DataFrame:
 
 def _semi(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of docs that have one of the keys (doc_id, th); a null id is an id like others."""
-    k = _few(keys.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
-    return docs.join(k, (F.xxhash64("text") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    of = free_names(docs, ("d", "t"))
+    k = _few(keys.select(F.col("doc_id").alias(of["d"]), F.col("th").alias(of["t"])))
+    return docs.join(k, (F.xxhash64("text") == F.col(of["t"])) & F.col("doc_id").eqNullSafe(F.col(of["d"])), "left_semi")
 
 
 class _Forest:
@@ -512,8 +513,9 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     repeated = kept.filter("n > 1")
     if repeated.head(1):
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        one = _semi(docs, repeated).groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
-        out = out.unionByName(one.select("_row.*"))
+        of = free_names(docs, ("th", "row"))
+        one = _semi(docs, repeated).groupBy("doc_id", F.xxhash64("text").alias(of["th"])).agg(F.min_by(whole, F.to_json(whole)).alias(of["row"]))
+        out = out.unionByName(one.select(f"{of['row']}.*"))
     return out
 
 

@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
 A word is a run of letters. Its script (a range of code points, by its first letter) leaves as candidates the languages that
-use the script; each candidate scores the word by the mean-free log-probabilities of its hashed character 1- to ``ORDER``-grams, with word bounds,
+use the script; each candidate scores the word by the log-probabilities of its hashed character 1- to ``ORDER``-grams, with word bounds,
 held within ``CLIP`` of the best. Viterbi then labels the words of a text with the languages whose scores sum to the most, less
 ``PENALTY`` for each change of language, so a span of another language is found if it is long enough, and single odd words are not. The
 text's language is the one of most letters.
@@ -9,8 +9,8 @@ text's language is the one of most letters.
 All texts of a slice go through Viterbi together: their words are cut in segments of ``SEGMENT``; for each segment and each language
 before it, the best scores are found at once, one numpy step for each place in a segment, and joined in order; then back pointers are kept, a bit for each word and language.
 
-Learning reads a bounded sample, about ``PER_LANGUAGE`` texts of each language (all, if fewer; ``MAX_SAMPLE`` texts in all). The model is a table of 2^BITS rows, or fewer where there are many languages,
-with one number a language (``TABLE`` numbers at most), and is broadcast. Of more than ``common.MAX_CLASSES`` languages, those of most texts are learned. Prediction is one pass over whole texts without a shuffle.
+Learning reads a bounded sample, at most ``PER_LANGUAGE`` texts of each language (all, if fewer; ``MAX_SAMPLE`` texts in all, but at least one a language, and ``common.SAMPLE_BYTES``). The model is a sparse table of
+2^BITS rows with a number for each language that has such an n-gram, whatever the number of languages, and is broadcast; the sample bounds it. Prediction is one pass over whole texts without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so are all texts if nothing could be learned; of
 languages with equally many letters, the first by code point wins; words of a script that no language uses count for all languages alike.
@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, _sampled, fitted, mix, slices, tidy, utf8, word_hashes
+from .common import SLICE_BYTES, fitted, mix, sampled, slices, tidy, utf8, word_hashes
 
 BITS, ORDER, CLIP, PENALTY, SEGMENT, PER_LANGUAGE, MAX_SAMPLE, SCRIPT_SHARE = 18, 4, 8.0, 12.0, 128, 1500, 60_000, 0.01
-TABLE, CELLS = 1 << 24, 1 << 20  # numbers of a model, and of the segments at once in Viterbi
+CELLS = 1 << 20  # numbers of the segments at once in Viterbi
 
 #: First code points of ranges, and the script that starts there (after the Unicode blocks).
 SCRIPTS = [
@@ -91,7 +91,7 @@ def _distinct(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return first, place
 
 
-def _grams(cp: np.ndarray, s: np.ndarray, n: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def _grams(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the given words with a bound on either side, and the word of each."""
     size = n + 2
     begin = np.cumsum(size) - size
@@ -105,36 +105,39 @@ def _grams(cp: np.ndarray, s: np.ndarray, n: np.ndarray, bits: int = BITS) -> tu
         ok = word[: len(h)] == word[k:]
         if k == 0:
             ok &= ~bound
-        out.append(mix(h[ok] + np.uint64(k)) >> np.uint64(64 - bits))
+        out.append(mix(h[ok] + np.uint64(k)) >> np.uint64(64 - BITS))
         of.append(word[: len(h)][ok])
     return np.concatenate(out).astype(np.int64), np.concatenate(of)
 
 
 def fit(texts: pa.Array, y: list[str], prior: list[float]) -> bytes:
+    """The sparse table: bucket g has the entries first[g] .. first[g + 1] of lang and value, log-probabilities above base, that of an n-gram that a language lacks."""
     langs = sorted(set(y))
-    bits = min(BITS, max(8, (TABLE // max(1, len(langs))).bit_length() - 1))
-    count, scripts = np.zeros((len(langs), 1 << bits), dtype=np.float32), np.zeros((len(_names), len(langs)))
-    code = np.array([langs.index(v) for v in y], dtype=np.int64)
+    scripts, keys, times = np.zeros((len(_names), len(langs))), np.zeros(0, dtype=np.int64), np.zeros(0)
+    place = {v: k for k, v in enumerate(langs)}
+    code = np.array([place[v] for v in y], dtype=np.int64)
     data, off = utf8(texts)
     for i, j in slices(off):
         cp, o = code_points(data[off[i] : off[j]], off[i : j + 1] - off[i])
         cp, s, n, row = _words(cp, o)
         if len(s):
-            f, w = _grams(cp, s, n, bits)
+            f, w = _grams(cp, s, n)
             k = code[i:j][row]
-            at, times = np.unique((k[w] << bits) | f, return_counts=True)
-            count.reshape(-1)[at] += times
+            at, count = np.unique(f * len(langs) + k[w], return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, at]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, count]))
             np.add.at(scripts, (_script[np.searchsorted(_first, cp[s], side="right") - 1], k), n)
-    logs = np.log((count + 0.5) / (count.sum(axis=1, keepdims=True) + 0.5 * count.shape[1])) if langs else count
-    logs = np.where(count.sum(axis=0) > 0, logs - logs.mean(axis=0), 0) if langs else logs
+    bucket, lang = keys // max(1, len(langs)), keys % max(1, len(langs))
+    base = -np.log(2 * np.bincount(lang, times, len(langs)) + (1 << BITS))
+    first = np.searchsorted(bucket, np.arange((1 << BITS) + 1))
     allowed = scripts > SCRIPT_SHARE * scripts.sum(axis=0, keepdims=True)
-    return pickle.dumps({"langs": langs, "bits": bits, "table": np.ascontiguousarray(logs.T, dtype=np.float32), "allowed": allowed})
+    return pickle.dumps({"langs": langs, "base": base, "first": first.astype(np.int32), "lang": lang.astype(np.int32), "value": np.log(2 * times + 1).astype(np.float32), "allowed": allowed})
 
 
 def train(docs: DataFrame, fold: Column, per_language: int = PER_LANGUAGE) -> bytes:
-    """Learns from the text and non-null lang of the documents of the fold."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & fold)
-    return fitted(_sampled(docs, known.groupBy("doc_id").agg(F.max("lang").alias("y")), per_language, MAX_SAMPLE), fit)
+    """Learns from the text and non-null lang of the documents of the fold; an id with several languages counts in each, with one text of each."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & fold).select("doc_id", F.col("lang").alias("y")).distinct()
+    return fitted(sampled(docs.select("doc_id", "text", F.col("lang").alias("y")), known, ["doc_id", "y"], per_language, MAX_SAMPLE), fit)
 
 
 def viterbi(score: np.ndarray, row: np.ndarray, penalty: float = PENALTY, place: np.ndarray | None = None) -> np.ndarray:
@@ -200,9 +203,17 @@ def viterbi(score: np.ndarray, row: np.ndarray, penalty: float = PENALTY, place:
 class _Labeller:
     def __init__(self, model: bytes):
         m = pickle.loads(model)
-        self.langs, self.bits, self.table, self.allowed = m["langs"], m["bits"], m["table"], m["allowed"]
+        self.langs, self.allowed, self.base, self.first, self.lang, self.value = (m[k] for k in ("langs", "allowed", "base", "first", "lang", "value"))
         self.limit = SLICE_BYTES * 16 // max(16, len(self.langs))
 
+    def scores(self, f: np.ndarray, w: np.ndarray, n_words: int) -> np.ndarray:
+        """Sums of the log-probabilities of the n-grams f of words w, for each language; n-grams that no language has count for all alike."""
+        k = len(self.langs)
+        size = self.first[f + 1] - self.first[f]
+        seen = np.bincount(w, size > 0, n_words)
+        at = np.repeat(self.first[f] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return seen[:, None] * self.base + np.bincount(np.repeat(w, size) * k + self.lang[at], self.value[at], n_words * k).reshape(n_words, k)
+
     def __call__(self, data: np.ndarray, off: np.ndarray):
         """For each row its language and score; and the words: start, length (code points), row, label."""
         k, rows = len(self.langs), len(off) - 1
@@ -214,10 +225,7 @@ class _Labeller:
         if not len(s):
             return ["und"] * rows, np.zeros(rows), (none, none, none, none)
         first, place = _distinct(cp, s, n)
-        f, w = _grams(cp, s[first], n[first], self.bits)
-        order = np.argsort(w, kind="stable")
-        f, w = f[order], w[order]
-        score = np.add.reduceat(self.table[f], np.searchsorted(w, np.arange(len(first))), axis=0)
+        score = self.scores(*_grams(cp, s[first], n[first]), len(first))
         script = _script[np.searchsorted(_first, cp[s[first]], side="right") - 1]
         allowed = self.allowed[script]
         score = np.where(allowed, score, -np.inf)

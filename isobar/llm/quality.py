@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, fitted, labelled_sample, slices, utf8, word_hashes, words
+from .common import _SPACE, fitted, free_names, labelled_sample, slices, utf8, word_hashes, words
 from .toxicity import scored
 
 BINS, DEPTH, TREES, RATE, L2, MIN_ROWS, PER_CLASS = 64, 4, 60, 0.2, 1.0, 8, 3000
@@ -166,13 +166,14 @@ def _scorer(model: bytes):
     return lambda data, off: np.round(1 / (1 + np.exp(-np.clip(predict(m, statistics(data, off)), -35, 35))), 9)
 
 
-def score(df: DataFrame, model: bytes, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """df with ``score``, the probability of label 1; without its text unless that is kept."""
+def score(df: DataFrame, model: bytes, text: str = "text", keep_text: bool = False, name: str = "score") -> DataFrame:
+    """df with ``name``, the probability of label 1; without its text unless that is kept."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return scored(df, text, lambda: _scorer(shared.value), keep_text)
+    return scored(df, text, lambda: _scorer(shared.value), keep_text, name)
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame, fold: Column | None = None, threshold: float = 0.3) -> DataFrame:
     """docs, with the same columns, without the documents whose score is below threshold."""
     model = train(docs, labels, "quality", F.lit(True) if fold is None else fold)
-    return score(docs, model, keep_text=True).filter(F.col("score") >= threshold).select(docs.columns)
+    name = free_names(docs, ["score"])["score"]
+    return score(docs, model, keep_text=True, name=name).filter(F.col(name) >= threshold).drop(name)

@@ -5,7 +5,7 @@ forms), pairs of neighbours and pairs with one word between, each hashed to ``BI
 sum of gradients z and of their squares n; the weight is 0 while |z| <= L1 and else -(z - sign(z) L1) / ((BETA + sqrt(n)) / ALPHA + L2),
 so frequent features get small steps, and most weights stay 0. What is broadcast is the list of non-zero weights, at most 2^BITS.
 
-Learning reads a bounded sample, about ``PER_CLASS`` labelled texts of each class (all, if fewer), ``EPOCHS`` times in one task, with both
+Learning reads a bounded sample, at most ``PER_CLASS`` labelled texts of each class (all, if fewer; ``common.SAMPLE_BYTES`` in all), ``EPOCHS`` times in one task, with both
 classes weighing half. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: null and empty texts get the intercept's score; without labels of both classes every score is the share of
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, labelled_sample, mix, slices, tidy, utf8, word_hashes, words
+from .common import fitted, free_names, labelled_sample, mix, slices, tidy, utf8, word_hashes, words
 
 BITS, ALPHA, BETA, L1, L2, EPOCHS, PER_CLASS = 20, 0.3, 1.0, 3.0, 1.0, 4, 3000
 STEMS = (3, 4, 5)
@@ -97,9 +97,9 @@ def score(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     return scored(df, text, lambda: _Scorer(pickle.loads(shared.value)))
 
 
-def scored(df: DataFrame, text: str, scorer, keep_text: bool = False) -> DataFrame:
-    """df with score, from scorer()(bytes, offsets) over slices of rows."""
-    kept = [f for f in df.schema.fields if f.name != "score" and (keep_text or f.name != text)]
+def scored(df: DataFrame, text: str, scorer, keep_text: bool = False, name: str = "score") -> DataFrame:
+    """df with the column ``name``, which replaces one of that name, from scorer()(bytes, offsets) over slices of rows."""
+    kept = [f for f in df.schema.fields if f.name != name and (keep_text or f.name != text)]
 
     def run(batches):
         of = scorer()
@@ -108,9 +108,9 @@ def scored(df: DataFrame, text: str, scorer, keep_text: bool = False) -> DataFra
             out = np.empty(b.num_rows)
             for i, j in slices(off):
                 out[i:j] = of(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(out)], names=[*(f.name for f in kept), "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(out)], names=[*(f.name for f in kept), name])
 
-    return df.mapInArrow(tidy(run), T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*kept, T.StructField(name, T.DoubleType())]))
 
 
 class _Scorer:
@@ -129,5 +129,5 @@ class _Scorer:
 def reject_toxic(docs: DataFrame, labels: DataFrame, fold: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """docs, with the same columns, without the documents whose score is threshold or more."""
     model = train(docs, labels, "toxic", F.lit(True) if fold is None else fold)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return scored(docs, "text", lambda: _Scorer(pickle.loads(shared.value)), keep_text=True).filter(F.col("score") < threshold).select(docs.columns)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), free_names(docs, ["score"])["score"]
+    return scored(docs, "text", lambda: _Scorer(pickle.loads(shared.value)), keep_text=True, name=name).filter(F.col(name) < threshold).drop(name)

@@ -198,7 +198,11 @@ def test_plain_language_scores():
                     h = 0
                     for x in c[at : at + k]:
                         h = (h * 0x9E3779B97F4A7C15 + x + 1) % 2**64
-                    total += model["table"][int(language.mix(np.array([(h + k - 1) % 2**64], dtype=np.uint64))[0]) >> (64 - language.BITS)]
+                    g = int(language.mix(np.array([(h + k - 1) % 2**64], dtype=np.uint64))[0]) >> (64 - language.BITS)
+                    entries = range(model["first"][g], model["first"][g + 1])
+                    total += model["base"] * (len(entries) > 0)
+                    for z in entries:
+                        total[model["lang"][z]] += model["value"][z]
             kind = language._names[language._script[np.searchsorted(language._first, ord(w[0]), side="right") - 1]]
             ok = np.array([script[k] == kind for k in langs])
             score.append(np.maximum(np.where(ok, total - total[ok].max(initial=-np.inf), -np.inf), -language.CLIP) if ok.any() else np.zeros(len(langs)))
