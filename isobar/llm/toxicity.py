@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are its words (runs of letters and digits, A-Z lower-cased), their first 3, 4 and 5 bytes (for inflected
+A text's features are its words (runs of letters and digits, A-Z lower-cased), their first 4 to 8 bytes (for inflected
 forms), pairs of neighbours and pairs with one word between, each hashed to ``BITS`` bits and counted once a text. FTRL-proximal keeps for each coordinate a
 sum of gradients z and of their squares n; the weight is 0 while |z| <= L1 and else -(z - sign(z) L1) / ((BETA + sqrt(n)) / ALPHA + L2),
 so frequent features get small steps, and most weights stay 0. What is broadcast is the list of non-zero weights, at most 2^BITS.
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import fitted, free_names, labelled_sample, mix, slices, tidy, utf8, word_hashes, words
 
-BITS, ALPHA, BETA, L1, L2, EPOCHS, PER_CLASS = 20, 0.3, 1.0, 3.0, 1.0, 4, 3000
-STEMS = (3, 4, 5)
+BITS, ALPHA, BETA, L1, L2, EPOCHS, PER_CLASS = 20, 0.3, 1.0, 8.0, 1.0, 4, 3000
+STEMS = (4, 5, 6, 7, 8)
 
 _OTHER = np.ones(256, dtype=bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
