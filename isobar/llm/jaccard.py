@@ -20,6 +20,8 @@ subset there, so the subset that agrees, which is as large in the other set, is
    ``HOME_ROWS`` rows, ``HOME_PAIRS`` pairs and ``HOME_BYTES`` each, and each class goes once to each cell in which it has a bucket. A bucket of more than ``BLOCK`` classes or
    ``BLOCK_BYTES`` goes as pairs of blocks, so no bucket is too large for a task, and a cell holds about ``CELL_BYTES`` or one pair of blocks. A cell compares the classes of each bucket exactly, on the sets, with a matrix product where they are many. No pairs are written: a cell keeps
    a forest of what it has found linked, skips pairs that are in one tree already, and returns the links that joined trees.
+   Before, the classes of buckets of more than ``BLOCK`` are compared with ``PIVOTS`` classes of their group each. What that links is a tree: a large bucket is cut in its largest tree and the rest, and only
+   the rest is compared with all, so work is linear in a group of copies that hang together, and a group's buckets of one tree are done.
 5. The components of these links are the result. A cell that is lost is computed again from the stored tables.
 
 Sets of candidates are computed anew from their texts, one for each class, found by doc_id and the text's hash; these keys are broadcast only up to ``BROADCAST_IDS``; beyond, they are joined by a shuffle.
@@ -33,14 +35,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, free_names, mix, row_sets, slices, stored, tidy, utf8
 from .components import components
 
 ENTRIES_PER_TASK, BROADCAST_IDS, FLUSH = 1 << 20, 1 << 18, 8 << 20
-BLOCK, ROWS_PER_CELL, HOME_ROWS, HOME_PAIRS, MAX_DONE = 1024, 4096, 1 << 13, 1 << 22, 1 << 20
+BLOCK, ROWS_PER_CELL, HOME_ROWS, HOME_PAIRS, MAX_DONE, PIVOTS, FEW = 1024, 4096, 1 << 13, 1 << 22, 1 << 20, 16, 64
 BLOCK_BYTES, HOME_BYTES, CELL_BYTES, PAIRS_AT_ONCE = 16 << 20, 32 << 20, 16 << 20, 1 << 19
 _SUBSETS = np.array([[1, 1, 0], [1, 0, 1], [0, 1, 1]], dtype=np.uint64)
 
@@ -389,28 +391,71 @@ def near_groups(key: np.ndarray, cls: np.ndarray, known: np.ndarray, size: np.nd
 
 
 def _homes(members: DataFrame) -> DataFrame:
-    """members with ``home``, the least class near the bucket, which the buckets of a group of copies share, and ``blocks``, in which a large bucket is cut."""
+    """members with ``home``, the least class near the bucket, which the buckets of a group of copies share, and the blocks in which the bucket's rest and its tree are cut."""
     near = members.groupBy(F.col("cls").alias("c")).agg(F.min("least").alias("near"))
-    homes = members.join(near, F.col("cls") == F.col("c")).groupBy(F.col("bucket").alias("b")).agg(F.min("near").alias("home"), F.greatest(F.ceil(F.max("size") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    cut = lambda own: F.greatest(F.ceil(F.sum(own.cast("int")) / BLOCK), F.ceil(F.sum(F.when(own, F.col("bytes"))) / BLOCK_BYTES), F.lit(0)).cast("int")
+    homes = members.join(near, F.col("cls") == F.col("c")).groupBy(F.col("bucket").alias("b")).agg(F.min("near").alias("home"), F.greatest(cut(~F.col("tree")), F.lit(1)).alias("blocks"), cut(F.col("tree")).alias("trees"))
     return members.join(homes, F.col("bucket") == F.col("b")).drop("b")
 
 
 def _cells(members: DataFrame, payload: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (cell, key, cls) of members (bucket, cls, size, least, bytes) dealt to cells, and (at, c, and the payload's other columns) of each class of a cell, once."""
+    """Rows (cell, key, cls, label) of members (bucket, cls, size, least, bytes, label, tree) dealt to cells, and (at, c, and the payload's other columns) of each class of a cell, once. No two blocks of a tree meet."""
     rows, total = members.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     n_cells = max(4 * tasks, rows // ROWS_PER_CELL, total // CELL_BYTES)
     m = _homes(members)
     own = m.groupBy("home", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("p"), F.max("bytes").alias("w"))
     splits = F.greatest(F.ceil(F.sum("n") / HOME_ROWS), F.ceil(F.sum("p") / HOME_PAIRS), F.ceil(F.sum("w") / HOME_BYTES)).cast("int")
     m = m.join(own.groupBy(F.col("home").alias("h")).agg(splits.alias("splits")), F.col("home") == F.col("h"))
-    m = m.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = F.xxhash64("cls")
+    m = m.withColumn("own", F.when(F.col("tree"), F.col("blocks") + F.pmod(spread, F.greatest("trees", F.lit(1)))).otherwise(F.pmod(spread, "blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") + F.when(F.col("tree"), 0).otherwise(F.col("trees")) - 1)))
     key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    home = F.when(F.col("blocks") > 1, F.xxhash64(key)).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("bucket"), "splits")))
-    m = m.select("cls", key.alias("key"), F.pmod(home, F.lit(n_cells)).cast("int").alias("cell"))
+    home = F.when(F.col("blocks") + F.col("trees") > 1, F.xxhash64(key)).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("bucket"), "splits")))
+    m = m.select("cls", "label", key.alias("key"), F.pmod(home, F.lit(n_cells)).cast("int").alias("cell"))
     held = m.select(F.col("cell").alias("at"), F.col("cls").alias("c")).distinct()
     return m, held.join(payload, F.col("c") == payload["cls"]).drop("cls")
 
 
+def _in_trees(members: DataFrame, trees: DataFrame | None) -> DataFrame:
+    """members with label, the tree that is known of a class, and whether it is in its bucket's largest tree (of buckets of more than ``FEW``). Buckets of one tree alone have nothing left to compare and go."""
+    if trees is None:
+        return members.withColumns({"label": F.lit(None).cast("bigint"), "tree": F.lit(False)})
+    m = members.join(trees.select(F.col("node").alias("c"), F.col("component").alias("label")), F.col("cls") == F.col("c"), "left").drop("c")
+    sizes = m.filter((F.col("size") > FEW) & F.col("label").isNotNull()).groupBy(F.col("bucket").alias("b"), F.col("label").alias("l")).agg(F.count("*").alias("n"))
+    most = sizes.groupBy("b").agg(F.max(F.struct("n", "l")).alias("most")).select("b", F.col("most.n").alias("n"), F.col("most.l").alias("l"))
+    m = m.join(most, F.col("bucket") == F.col("b"), "left").filter(F.col("n").isNull() | (F.col("n") < F.col("size")))
+    return m.withColumn("tree", F.coalesce(F.col("label") == F.col("l"), F.lit(False))).drop("b", "l", "n")
+
+
+def _pivot_links(docs: DataFrame, n: int, num: int, den: int, members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Links of the classes of buckets of more than ``BLOCK`` with the ``PIVOTS`` least classes of their home, and the sets of these classes; None without such buckets. Work and rows are linear in a group."""
+    if not members.filter(F.col("size") > BLOCK).head(1):
+        return None
+    hot = stored(_homes(_in_trees(members, None)).filter(F.col("size") > BLOCK).select("home", "cls").distinct(), "hot")
+    rank = F.row_number().over(Window.partitionBy("home").orderBy("cls"))
+    pivots = hot.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).drop("rank")
+    sets = _sets(docs, n, found, hot)
+    splits = hot.join(sets.select("cls", F.length("packed").alias("bytes")), "cls").groupBy("home").agg(F.greatest(F.ceil(F.count("*") / HOME_ROWS), F.ceil(F.sum("bytes") / HOME_BYTES)).cast("int").alias("splits"))
+    left = hot.join(splits, "home").select("home", F.pmod(F.xxhash64("cls"), "splits").cast("int").alias("part"), "cls").join(sets, "cls")
+    right = pivots.join(splits, "home").select(F.col("home").alias("at"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("piece"), "cls").join(sets, "cls").withColumnsRenamed({"cls": "pivot", "packed": "set"})
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        unpacked = lambda t, c, p: sorted(zip(t.column(c).to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(p))), key=lambda x: x[0])
+        forest, out, ends = _Forest(), [], unpacked(own, "pivot", "set")
+        for c, x in unpacked(rows, "cls", "packed"):
+            for z, y in ends:
+                if min(len(x), len(y)) * den >= num * max(len(x), len(y)) and forest.root(c) != forest.root(z):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        forest.join(c, z)
+                        out.append((c, z))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    links = stored(left.groupBy("home", "part").cogroup(right.groupBy("at", "piece")).applyInArrow(run, "u long, v long"), "pivot-links")
+    discard(hot)
+    return links, sets
+
+
 def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     key, cls = rows.column("key").to_numpy(), rows.column("cls").to_numpy()
     order = np.lexsort((cls, key))
@@ -442,6 +487,10 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, tasks: int,
         known = {c: np.frombuffer(p.as_buffer(), np.uint64) for c, p in zip(own.column("c").to_pylist(), own.column("packed"))}
         key, cls = _sorted(rows)
         forest, done, out = None if every else _Forest(), set(), []
+        if forest:
+            for c, label in zip(rows.column("cls").to_pylist(), rows.column("label").to_pylist()):
+                if label is not None:
+                    forest.join(c, label)
         for part in np.split(cls, np.flatnonzero(key[1:] != key[:-1]) + 1):
             out += links_of(part.tolist(), known, num, den, forest, done)
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
@@ -449,8 +498,18 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, tasks: int,
     return m.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(run, "u long, v long")
 
 
-def _candidates(docs: DataFrame, n: int, num: int, den: int, classes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Buckets of classes that may link, as _cells takes them, the sets of these classes, and a number of tasks."""
+def _sets(docs: DataFrame, n: int, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Stored: cls and packed set of those classes, each once."""
+    keys = found.join(classes.select("cls").distinct(), "cls", "left_semi").select("first.doc_id", "first.th")
+    sets = stored(_packed(_semi(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), keys), n), "sets")
+    if sets.count() > sets.select("cls").distinct().count():
+        repeated, sets = sets, stored(sets.dropDuplicates(["cls"]), "sets")
+        discard(repeated)
+    return sets
+
+
+def _candidates(docs: DataFrame, n: int, num: int, den: int, classes: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
+    """Buckets of classes that may link, as _cells takes them, the sets of these classes, a number of tasks, and links that are known already (unless every link is asked for)."""
     spark = docs.sparkSession
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     per_shingle = 3.4 * (den - num) / num
@@ -461,25 +520,28 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, classes: DataFrame)
     found = stored(own.groupBy("cls").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "candidates")
     sized = lambda m, per: m.join(found.select("cls", (F.col("n_shingles") * per).cast("bigint").alias("bytes")), "cls")
     light = stored(sized(members, 0.125), "sized")
-    near = stored(_near(light, found.select("cls", "n_shingles", "bits"), num, den, tasks).distinct(), "near")
+    known = None if every else _pivot_links(docs, n, num, den, light, found)
+    links, hot = known or (None, None)
+    trees = components(links) if known else None
+    near = stored(_near(_in_trees(light, trees), found.select("cls", "n_shingles", "bits"), num, den, tasks).distinct(), "near")
     discard(members, light)
-    keys = found.join(near.select("cls").distinct(), "cls", "left_semi").select("first.doc_id", "first.th")
-    sets = stored(_packed(_semi(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), keys), n), "sets")
-    if sets.count() > sets.select("cls").distinct().count():
-        repeated, sets = sets, stored(sets.dropDuplicates(["cls"]), "sets")
-        discard(repeated)
-    rows = stored(sized(near, 8).join(sets.select("cls"), "cls", "left_semi"), "sized")
+    sets = _sets(docs, n, found, near.join(hot, "cls", "left_anti") if known else near)
+    if known:
+        apart, sets = sets, stored(sets.union(hot.join(near.select("cls").distinct(), "cls", "left_semi")), "sets")
+        discard(apart, hot)
+    rows = stored(_in_trees(sized(near, 8).join(sets.select("cls"), "cls", "left_semi"), trees), "sized")
     discard(near, found)
-    return rows, sets, tasks
+    return rows, sets, tasks, links
 
 
 def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, th, n_shingles and comp, the component's class (null without a set), of every row."""
     classes = stored(shingle_classes(docs, n), "classes")
-    rows, sets, tasks = _candidates(docs, n, num, den, classes.filter("cls IS NOT NULL"))
+    rows, sets, tasks, known = _candidates(docs, n, num, den, classes.filter("cls IS NOT NULL"))
     links = stored(_links(rows, sets, num, den, tasks), "links")
     discard(rows, sets)
-    labels = components(links)
+    labels = components(links.union(known) if known else links)
+    discard(links, *([known] if known else []))
     own = classes.drop("bits").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     return own.select("doc_id", "th", "n_shingles", F.coalesce("component", "cls").alias("comp"))
 
@@ -497,7 +559,7 @@ def jaccard_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     Links between two classes only of null ids have no representatives to name them and are left out here; components have them. A group of near copies has a link for each pair of its
     classes; for groups too large for that, take jaccard_components."""
     classes = stored(shingle_classes(docs, n), "classes").filter("cls IS NOT NULL")
-    rows, sets, tasks = _candidates(docs, n, num, den, classes)
+    rows, sets, tasks, _ = _candidates(docs, n, num, den, classes, every=True)
     known = stored(classes.groupBy("cls").agg(F.min("doc_id").alias("representative")), "representatives")
     links = _links(rows, sets, num, den, tasks, every=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     end = lambda name, c: known.filter("representative IS NOT NULL").select(F.col("cls").alias(c), F.col("representative").alias(name))

@@ -194,3 +194,37 @@ def test_pairs_of_representatives(spark):
     got = [(r.left, r.right) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
     assert {r.doc_id: r.representative for r in members.collect()} == {i: least[s] for i, s in sets.items() if s}
+
+
+def test_a_large_group_hangs_on_pivots(spark, monkeypatch):
+    """A chain of near copies round a core, with outliers that link to single members only, over many small blocks."""
+    monkeypatch.setattr(j, "BLOCK", 12)
+    monkeypatch.setattr(j, "FEW", 4)
+    monkeypatch.setattr(j, "PIVOTS", 3)
+    rng = random.Random(8)
+    texts = corpus(6)
+    for k in range(150):
+        w = [f"w{i}" for i in range(120)]
+        for at in rng.sample(range(120), k % 4):
+            w[at] = f"x{k}_{at}"
+        texts[1000 + k] = " ".join(w)
+    for k in range(12):
+        texts[2000 + k] = texts[1000 + 9 * k] + " " + " ".join(f"y{k}_{i}" for i in range(9))
+    want = brute(texts, 3, 90, 100)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    seen, compared = [], j._pivot_links
+    monkeypatch.setattr(j, "_pivot_links", lambda *a: seen.append(compared(*a)) or seen[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == want and seen[0] is not None
+
+
+def test_a_bucket_of_one_tree_is_done(spark):
+    rows = [(1, c, 6, 1, 8) for c in range(6)] + [(2, c, 5, 1, 8) for c in range(2, 7)] + [(3, c, 3, 7, 8) for c in (7, 8, 9)]
+    members = spark.createDataFrame(rows, "bucket long, cls long, size long, least long, bytes long")
+    trees = spark.createDataFrame([(c, 0) for c in range(6)] + [(7, 7), (8, 7)], "node long, component long")
+    few, j.FEW = j.FEW, 1
+    try:
+        got = j._in_trees(members, trees).collect()
+    finally:
+        j.FEW = few
+    assert {(r.bucket, r.cls, r.tree) for r in got} == {(2, c, c < 6) for c in range(2, 7)} | {(3, c, c < 9) for c in (7, 8, 9)}
