@@ -3,8 +3,8 @@
 Each row gets a hash-random key (MD5 of seed and doc_id). Within a source, the key's leading digits deal the
 rows into key ranges; sizes are summed by range, a running sum over the ranges gives the words
 before each, and only the range in which the source's budget ends goes on: by ``DIGITS`` it is cut in ranges
-again, and the last one is sorted row by row. So no task ever
-sees a whole source, and what is sorted is a 16,777,216th of it.
+again, then by the keys themselves and, as rows of one doc_id share their key, the rows of the key in which the budget ends by ranges of their text's
+hash; what is left is sorted text by text, equal rows as one. So no task ever sees a whole source, nor all rows of one id (null is one, too).
 
 Targets: the sources in code point order (null last) weigh 1, 2, 3, 1, 2, 3, ... and share all words in
 these proportions; a target stops at ``MAX_EPOCHS`` times its source's size, and the excess is shared
@@ -30,6 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 DIGITS = ((1, 3), (4, 3))  # first digit and number of hexadecimal digits of the key, of each cut in ranges
+TIE_BITS = (52, 40)  # bits of the text's hash that the ranges of one key's rows leave
 FEW_SOURCES = 100_000
 
 
@@ -73,6 +74,7 @@ def _sized(docs: DataFrame, seed: int, name: dict[str, str]) -> DataFrame:
 def _source_table(rows: DataFrame) -> DataFrame:
     """Stored, one row per source of rows (doc_id, source, size, key, tie): target, whole epochs, and the row (key, doc_id, tie) in which its budget ends, with the words that it may give."""
     digits = {f"range{k}": F.conv(F.substring("key", at, n), 16, 10).cast("int") for k, (at, n) in enumerate(DIGITS)}
+    digits |= {"key": F.col("key")} | {f"text{k}": F.shiftright("tie", at) for k, at in enumerate(TIE_BITS)}
     rows = rows.withColumns(digits)
     ranges = stored(rows.groupBy("source", "range0").agg(F.sum("size").alias("words")), "mix-ranges")
     t = source_targets(stored(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), "mix-sources"))
@@ -88,12 +90,13 @@ def _source_table(rows: DataFrame) -> DataFrame:
         cut = stored(c.select("s", "rest", "before", F.col(name).alias("at")), "mix-cut")
         r = r.drop("s", "rest", "before", "at").join(_bounded(cut), F.col("source").eqNullSafe(F.col("s")) & (F.col(name) == F.col("at")))
         cut = cut.drop("at")
+    r = r.groupBy("s", "rest", "before", "key", "doc_id", "tie", "size").agg(F.count("*").alias("equal"))
     order = Window.partitionBy("s").orderBy("key", "doc_id", "tie", "size")
-    r = r.withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    r = r.withColumn("so_far", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("equal")).over(order.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     at = r.filter(F.col("so_far") >= F.col("rest")).groupBy("s").agg(
         F.min(F.struct("so_far", "key", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tie", "rest", "size")).alias("at"), F.min("so_far").alias("end")
     )
-    same = r.join(at.select(F.col("s").alias("s2"), "end"), F.col("s").eqNullSafe(F.col("s2")) & (F.col("so_far") == F.col("end")) & (F.col("size") > 0)).groupBy("s2").agg(F.count("*").alias("equal"))
+    same = r.join(at.select(F.col("s").alias("s2"), "end"), F.col("s").eqNullSafe(F.col("s2")) & (F.col("so_far") == F.col("end")) & (F.col("size") > 0)).groupBy("s2").agg(F.sum("equal").alias("equal"))
     at = at.join(same, F.col("s").eqNullSafe(F.col("s2")), "left")
     left = F.floor((F.col("at.rest") - F.col("at.so_far") + F.col("equal") * F.col("at.size")) / F.col("equal")).cast("bigint")
     at = at.select("s", F.struct(F.col("at.key").alias("k"), F.col("at.doc_id").alias("d"), F.col("at.tie").alias("t")).alias("cut"), left.alias("cut_words"))

@@ -91,3 +91,19 @@ def test_columns_of_the_same_names(spark):
     assert set(plan.columns) == {"doc_id", "text", "source", "_key", "_cut", "copy", "size", "source_size", "target", "taken"}
     assert docs.columns == df.columns and all(r._key == r._cut == r.Taken == r.copy == r.doc_id for r in docs.collect())
     assert [(r.size, r._key) for r in plan.orderBy("doc_id").collect()] == [(4, k) for k in range(6)]
+
+
+@pytest.mark.parametrize("one", [5, None])
+def test_one_id_on_many_rows(spark, one):
+    """Rows of one id are cut by their texts; only equal rows share what is left."""
+    rows = [(one, f"t{k} " * (k % 5 + 1), "hot", "") for k in range(900)] + [(one, "same text", "hot", "")] * 40 + [(k, "a b c", "cold", "") for k in range(10, 400)]
+    got = mix_plan(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert len(got) == len(rows)
+    want = targets({"hot": sum(len(r[1].split()) for r in rows if r[2] == "hot"), "cold": 3 * 390})
+    for s in want:
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= 40
+    part = {r.taken % r.size for r in got if r.source == "hot" and r.taken % r.size}
+    assert len(part) <= 1
+    again = mix_plan(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
+    key = lambda r: (r.text, r.taken)
+    assert sorted(map(key, again)) == sorted(map(key, got))
