@@ -6,7 +6,7 @@ fine (``LEVELS`` segments), the bound on each pair's score is one matrix product
 best score so far drop out. That score rises at each level by the exact scores of the ``SEEDS`` + k candidates of best bound. What survives all
 levels is computed exactly, pair by pair, in integers; nothing else is.
 
-Vectors are packed in blocks of rows of one length. First each query block meets one candidate block, which gives each query a first k-th best score. Then candidate blocks are dealt to cells, a query block goes
+Vectors are packed in blocks of rows of one length. First each query block meets one candidate block, which gives each query a first k-th best score. Then candidate blocks are dealt to cells, about ``BLOCKS_PER_CELL`` to each where there are more than tasks, a query block goes
 with these scores to each cell once,
 and each pair of blocks gives each query's k best of that block: at most k rows a query and block. The k best of all are then picked for each
 query, with a limit for each group before the shuffle. The pairs are those of the stated query set against all rows, in blocks.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, tidy
 
-LEVELS, SEEDS, BLOCK, QUERY_BLOCK, PAIRS = (4, 8, 16, 32), 16, 8192, 256, 1 << 16
+LEVELS, SEEDS, BLOCK, QUERY_BLOCK, PAIRS, BLOCKS_PER_CELL = (4, 8, 16, 32), 16, 8192, 256, 1 << 16, 64
 LOW = np.iinfo(np.int64).min
 _PACKED = "d int, ids binary, vectors binary"
 
@@ -144,7 +144,8 @@ def top_k(df: DataFrame, id_column: str, vector: str, is_query: Column, k: int =
     candidates = stored(_packed(rows.select("id", "v"), BLOCK).withColumn("block", F.monotonically_increasing_id()), "top-candidates")
     queries = _packed(rows.filter("q").select("id", "v").dropDuplicates(), QUERY_BLOCK).select(F.monotonically_increasing_id().alias("qblock"), "d", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     queries = stored(queries, "top-queries")
-    cells = max(1, candidates.count())
+    blocks = candidates.count()
+    cells = max(1, min(blocks, max(4 * df.sparkSession.sparkContext.defaultParallelism, blocks // BLOCKS_PER_CELL)))
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).cast("int").alias("cell")
     right = candidates.select("*", cell("block"))
     one = right.join(right.groupBy("cell", "d").agg(F.min("block").alias("block")), ["cell", "d", "block"], "left_semi")

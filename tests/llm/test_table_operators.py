@@ -128,3 +128,17 @@ def test_top_k_odd_rows(spark):
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == sorted(other)[:5]
     assert {r.query_id for r in got} == {0, 50, 100}
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_cells_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "BLOCKS_PER_CELL", 4)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((700, 8))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect()
+    x = np.floor(256 * v).astype(np.int64)
+    for q in range(0, 700, 50):
+        score = x @ x[q]
+        want = sorted((-int(score[k]), k) for k in range(700) if k != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
