@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .globe import Globe, halo, inside
+
 
 def squares(cells: DataFrame, keys: list[str], values: list[str] | None = None, level: str | None = None) -> DataFrame:
     """keys, i, j and, for each value (``v`` if none are named), a struct of the corners 00, 10, 01, 11 of the square from (i, j) to (i + 1, j + 1); with a level, of the eight corners 000 to 111 of the cube."""
@@ -30,19 +32,34 @@ def _blend(corners: Column, fx: Column, fy: Column, end: str = "") -> Column:
     return F.when(fy == 0, low).otherwise(low + (high - low) * fy)
 
 
-def bilinear(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x", y: str = "y", values: list[str] | None = None) -> DataFrame:
-    """points with ``value``, or with a column for each named value; null outside the grid or next to a missing cell."""
-    p = points.withColumns({"i": F.floor(x).cast("long"), "j": F.floor(y).cast("long")})
+def bilinear(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x", y: str = "y", values: list[str] | None = None, globe: Globe | None = None) -> DataFrame:
+    """points with ``value``, or with a column for each named value; null outside the grid or next to a missing cell. With a globe, whose columns (if it has any) both tables hold and are among the keys,
+    places beyond an end or a pole are brought to the grid, and the last and the first column are neighbours."""
+    cells = cells if globe is None else halo(cells, globe)
+    p, px, py = _placed(points, x, y, globe)
+    p = p.withColumns({"i": F.floor(px).cast("long"), "j": F.floor(py).cast("long")})
     j = p.join(squares(cells, keys, values), [*keys, "i", "j"], "left")
-    fx, fy = F.col(x) - F.col("i"), F.col(y) - F.col("j")
+    fx, fy = px - F.col("i"), py - F.col("j")
     out = {v: _blend(F.col(f"_{v}"), fx, fy) for v in values} if values else {"value": _blend(F.col("_v"), fx, fy)}
-    return j.withColumns(out).drop("i", "j", *[f"_{v}" for v in values or ["v"]])
+    return j.withColumns(out).drop("i", "j", "_px", "_py", *[f"_{v}" for v in values or ["v"]])
+
+
+def _placed(points: DataFrame, x: str, y: str, globe: Globe | None) -> tuple[DataFrame, Column, Column]:
+    """points, and their places on the grid."""
+    if globe is None:
+        return points, F.col(x), F.col(y)
+    px, py = globe.place(F.col(x), F.col(y))
+    return points.withColumns({"_px": px, "_py": py}), F.col("_px"), F.col("_py")
 
 
-def wind(points: DataFrame, cells: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
-    """points with u and v of a wind pair (cells' u, v) between cells, times a factor of unit, and speed and dir, the degrees that it blows from; cells without both don't count."""
+def wind(points: DataFrame, cells: DataFrame, keys: list[str], factor: float = 1.0, globe: Globe | None = None, turn: bool = False) -> DataFrame:
+    """points with u and v of a wind pair (cells' u, v) between cells, times a factor of unit, and speed and dir, the degrees that it blows from; cells without both don't count.
+    On a globe, turn reverses the components for places beyond a pole, whose north is the other way; without it they are taken as they stand."""
     both = F.col("u").isNotNull() & F.col("v").isNotNull()
-    w = bilinear(points, cells.filter(both), keys, values=["u", "v"]).withColumns({"u": F.col("u") * factor, "v": F.col("v") * factor})
+    w = bilinear(points, cells.filter(both), keys, values=["u", "v"], globe=globe)
+    if globe is not None and turn:
+        w = w.withColumns({c: F.when(globe.over(F.col("y")), -F.col(c)).otherwise(F.col(c)) for c in "uv"})
+    w = w.withColumns({"u": F.col("u") * factor, "v": F.col("v") * factor})
     return w.withColumns({"speed": F.hypot("u", "v"), "dir": F.pmod(F.degrees(F.atan2(-F.col("u"), -F.col("v"))), F.lit(360.0))})
 
 
@@ -63,28 +80,34 @@ def sub_cells(cells: DataFrame, n: int) -> DataFrame:
     return s.withColumns({"x": step("i", "_a"), "y": step("j", "_b")}).drop("_a", "_b")
 
 
-def nearest(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """points with ``value`` of the nearest cell; halves go to the even side."""
-    p = points.withColumns({"i": F.rint(x).cast("long"), "j": F.rint(y).cast("long")})
-    return p.join(cells.select(*keys, "i", "j", F.col("v").alias("value")), [*keys, "i", "j"], "left").drop("i", "j")
+def nearest(points: DataFrame, cells: DataFrame, keys: list[str], x: str = "x", y: str = "y", globe: Globe | None = None) -> DataFrame:
+    """points with ``value`` of the nearest cell; halves go to the even side. With a globe, as in bilinear."""
+    cells = cells if globe is None else halo(cells, globe)
+    p, px, py = _placed(points, x, y, globe)
+    p = p.withColumns({"i": F.rint(px).cast("long"), "j": F.rint(py).cast("long")})
+    return p.join(cells.select(*keys, "i", "j", F.col("v").alias("value")), [*keys, "i", "j"], "left").drop("i", "j", "_px", "_py")
 
 
-def trilinear(points: DataFrame, cells: DataFrame, x: str = "x", y: str = "y", z: str = "z", values: list[str] | None = None) -> DataFrame:
-    """points with ``value`` between the bilinear values of the levels below and above, or with a column for each named value, such as a vector's components."""
-    p = points.withColumns({"_k": F.floor(z).cast("long"), "i": F.floor(x).cast("long"), "j": F.floor(y).cast("long")})
+def trilinear(points: DataFrame, cells: DataFrame, x: str = "x", y: str = "y", z: str = "z", values: list[str] | None = None, globe: Globe | None = None) -> DataFrame:
+    """points with ``value`` between the bilinear values of the levels below and above, or with a column for each named value, such as a vector's components. With a globe, as in bilinear."""
+    cells = cells if globe is None else halo(cells, globe)
+    p, px, py = _placed(points, x, y, globe)
+    p = p.withColumns({"_k": F.floor(z).cast("long"), "i": F.floor(px).cast("long"), "j": F.floor(py).cast("long")})
     j = p.join(squares(cells.withColumnRenamed("k", "_k"), [], values, "_k"), ["_k", "i", "j"], "left")
-    fx, fy, fz = F.col(x) - F.col("i"), F.col(y) - F.col("j"), F.col(z) - F.col("_k")
+    fx, fy, fz = px - F.col("i"), py - F.col("j"), F.col(z) - F.col("_k")
 
     def between(v: str) -> Column:
         low, high = _blend(F.col(f"_{v}"), fx, fy, "0"), _blend(F.col(f"_{v}"), fx, fy, "1")
         return F.when(fz == 0, low).otherwise(low + (high - low) * fz)
 
     out = {v: between(v) for v in values} if values else {"value": between("v")}
-    return j.withColumns(out).drop("_k", "i", "j", *[f"_{v}" for v in values or ["v"]])
+    return j.withColumns(out).drop("_k", "i", "j", "_px", "_py", *[f"_{v}" for v in values or ["v"]])
 
 
-def neighbour_mean(cells: DataFrame, keys: list[str], centre: bool = True) -> DataFrame:
-    """For each cell the mean of the valid cells (v not null, mask not 0) of its 3 x 3 neighbourhood, with or without itself."""
+def neighbour_mean(cells: DataFrame, keys: list[str], centre: bool = True, globe: Globe | None = None) -> DataFrame:
+    """For each cell the mean of the valid cells (v not null, mask not 0) of its 3 x 3 neighbourhood, with or without itself; on a globe, over its ends and poles."""
+    if globe is not None:
+        return inside(neighbour_mean(halo(cells, globe), keys, centre), globe)
     near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if centre or a or b]
     good = cells.filter(F.col("v").isNotNull() & (F.col("mask") != 0))
     d = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near]))
@@ -92,13 +115,15 @@ def neighbour_mean(cells: DataFrame, keys: list[str], centre: bool = True) -> Da
     return cells.join(sums, [*keys, "i", "j"], "left")
 
 
-def filled(cells: DataFrame, keys: list[str]) -> DataFrame:
+def filled(cells: DataFrame, keys: list[str], globe: Globe | None = None) -> DataFrame:
     """cells with masked values replaced by the mean of their neighbourhood."""
-    return neighbour_mean(cells, keys).withColumn("v", F.when(F.col("mask") == 0, F.col("mean")).otherwise(F.col("v"))).drop("mean")
+    return neighbour_mean(cells, keys, globe=globe).withColumn("v", F.when(F.col("mask") == 0, F.col("mean")).otherwise(F.col("v"))).drop("mean")
 
 
-def gradient(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Central differences, lower minus upper neighbour, halved distance of one cell; the four neighbours come by one aggregation."""
+def gradient(cells: DataFrame, keys: list[str], globe: Globe | None = None) -> DataFrame:
+    """Central differences, lower minus upper neighbour, halved distance of one cell; the four neighbours come by one aggregation. On a globe, over its ends and poles."""
+    if globe is not None:
+        return inside(gradient(halo(cells, globe), keys), globe)
     sides = {"w": (1, 0), "e": (-1, 0), "s": (0, 1), "n": (0, -1)}
     d = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in sides.items()]))
     near = cells.withColumn("d", d).groupBy(*keys, (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j")).agg(*[F.max(F.when(F.col("d.n") == n, F.col("v"))).alias(f"_{n}") for n in sides])
