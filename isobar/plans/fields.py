@@ -63,7 +63,7 @@ def grid_curvilinear(spark, sf_dir):
     f = lambda d, e: F.when((F.col("i") + d + F.col("j") + e) % 13 != 0, (((F.col("i") + d) * 7 + (F.col("j") + e) * 3) % 11).cast("double"))
     corners = g.select((F.col("j") * 36 + F.col("i")).alias("qid"), *[f(*d).alias(f"c{k}") for k, d in enumerate(turn)])
     p = points(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return gather.curvilinear(nearest.quad_hits(p, quads, 10.0), corners).select("id", r(F.col("value"), 5).alias("value"))
+    return gather.curvilinear(nearest.quad_hits(p, quads), corners).select("id", r(F.col("value"), 5).alias("value"))
 
 
 # the shapes of the layer, L of two rectangles, in cells of 5 degrees; what a cell holds of each rectangle

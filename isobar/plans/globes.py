@@ -1,13 +1,13 @@
-"""Queries over grids that go round: three references of the events' field, one with ends, one that goes round and one that repeats its first column."""
+"""Queries over quadtrees that follow density, and over grids that go round: three references of the events' field, one with ends, one that goes round and one that repeats its first column."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isobar.operators import gather, gridref
+from isobar.operators import gather, gridref, quadtree
 from isobar.operators.globe import Globe
 
-from .grids import CELLS, event_cells, query, r, read
+from .grids import CELLS, LAT, LON, event_cells, points, query, r, read
 
 GLOBE = Globe("ni", 24, "wrap")
 KEYS = ["g", "k", "ni", "wrap"]
@@ -82,3 +82,20 @@ def globe_fill(spark, sf_dir):
 @query("globe_gradient", f"WITH {_GRIDS}, {_BOX}, e AS (SELECT o.g, o.k, o.i, o.j, di, dj, t.v AS w FROM o LEFT JOIN m t ON t.g = o.g AND t.k = o.k AND t.i = o.x AND t.j = o.y) SELECT g, k, i, j, round((max(w) FILTER (di = -1 AND dj = 0) - max(w) FILTER (di = 1 AND dj = 0)) / 2, 6) + 0 AS gx, round((max(w) FILTER (dj = -1 AND di = 0) - max(w) FILTER (dj = 1 AND di = 0)) / 2, 6) + 0 AS gy FROM e GROUP BY g, k, i, j")
 def globe_gradient(spark, sf_dir):
     return gather.gradient(_cells(spark, sf_dir), KEYS, globe=GLOBE).select("g", "k", "i", "j", r(F.col("gx")).alias("gx"), r(F.col("gy")).alias("gy"))
+
+
+_TREE = "n AS (SELECT CAST(level AS INT) AS level, CAST(floor(lon / 360 * 2 ** level) AS BIGINT) AS bx, CAST(floor(lat / 360 * 2 ** level) AS BIGINT) AS \"by\", CAST(count(*) AS BIGINT) AS n FROM t, range({depth} + 1) r(level) GROUP BY ALL), c AS (SELECT level + 1 AS level, 2 * bx + a AS bx, 2 * \"by\" + b AS \"by\" FROM n, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b) WHERE n > {most} AND level < {depth}), leaves AS (SELECT c.level, c.bx, c.\"by\", coalesce(n.n, 0) AS n FROM c LEFT JOIN n ON n.level = c.level AND n.bx = c.bx AND n.\"by\" = c.\"by\" WHERE coalesce(n.n, 0) <= {most} OR c.level = {depth} UNION ALL SELECT * FROM n WHERE level = 0 AND n <= {most})"
+
+
+@query("quad_leaves", f"WITH t AS (SELECT {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat FROM customer), {_TREE.format(depth=12, most=8)} SELECT * FROM leaves")
+def quad_leaves(spark, sf_dir):
+    """Leaves of at most 8 customers."""
+    return quadtree.leaves(points(read(spark, sf_dir, "customer"), "c_custkey"), 360.0, 8, 12, "lon", "lat")
+
+
+@query("quad_leaf_points", f"WITH t AS (SELECT {LON.format(k='s_suppkey')} AS lon, {LAT.format(k='s_suppkey')} AS lat FROM supplier), p AS (SELECT c_custkey AS id, {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat FROM customer), {_TREE.format(depth=12, most=4)} SELECT p.id, l.level, l.bx, l.\"by\", l.n FROM p JOIN leaves l ON l.bx = floor(lon / 360 * 2 ** l.level) AND l.\"by\" = floor(lat / 360 * 2 ** l.level)")
+def quad_leaf_points(spark, sf_dir):
+    """Each customer's leaf of the suppliers' tree."""
+    tree = quadtree.leaves(points(read(spark, sf_dir, "supplier"), "s_suppkey"), 360.0, 4, 12, "lon", "lat")
+    p = points(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("id"), "lon", "lat")
+    return quadtree.leaf_of(p, tree, 360.0, "lon", "lat").select("id", "level", "bx", "by", "n")

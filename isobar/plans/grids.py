@@ -142,7 +142,7 @@ _NEAR = f"p AS (SELECT c_custkey AS id, {LON.format(k='c_custkey')} AS lon, {LAT
 def _stations(spark, sf_dir):
     t = points(read(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("id"), "lon", "lat", F.col("s_acctbal").alias("value"))
     p = points(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("id"), "lon", "lat")
-    return nearest.k_nearest(p, t, 5, 20.0), t
+    return nearest.k_nearest(p, t, 5), t
 
 
 @query("near_points", f"WITH {_NEAR} SELECT id, target, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM k")
@@ -166,7 +166,7 @@ def _mesh(spark):
 @query("mesh_lookup", f"WITH p AS (SELECT c_custkey AS id, {LON.format(k='c_custkey')} AS x, {LAT.format(k='c_custkey')} AS y FROM customer), g AS (SELECT i, j, CAST(i AS DOUBLE) * 10 - 180 AS x, CAST(j AS DOUBLE) * 10 - 90 AS y FROM range(36) a(i), range(18) b(j)), t AS (SELECT (j * 36 + i) * 2 AS tid, x AS x0, y AS y0, x + 10 AS x1, y AS y1, x + 10 AS x2, y + 10 AS y2 FROM g UNION ALL SELECT (j * 36 + i) * 2 + 1, x, y, x + 10, y + 10, x, y + 10 FROM g), w AS (SELECT id, tid, x0, x1, x2, ((x1 - x) * (y2 - y) - (x2 - x) * (y1 - y)) / 100 AS b0, ((x2 - x) * (y0 - y) - (x0 - x) * (y2 - y)) / 100 AS b1 FROM p JOIN t ON x >= least(x0, x1, x2) - 1e-3 AND x <= greatest(x0, x1, x2) + 1e-3 AND y >= least(y0, y1, y2) - 1e-3 AND y <= greatest(y0, y1, y2) + 1e-3) SELECT id, tid, round(b0, 6) + 0 AS b0, round(b1, 6) + 0 AS b1, round(b0 * x0 + b1 * x1 + (1 - b0 - b1) * x2, 6) + 0 AS value FROM w WHERE b0 >= -1e-5 AND b1 >= -1e-5 AND 1 - b0 - b1 >= -1e-5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY tid) = 1")
 def mesh_lookup(spark, sf_dir):
     p = points(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    h = nearest.triangle_hits(p, _mesh(spark), 10.0)
+    h = nearest.triangle_hits(p, _mesh(spark))
     return h.select("id", "tid", r(F.col("b0")).alias("b0"), r(F.col("b1")).alias("b1"), r(F.expr("b0 * x0 + b1 * x1 + b2 * x2")).alias("value"))
 
 

@@ -24,7 +24,7 @@ def plain_nearest(points, targets, k, period):
     return out
 
 
-@pytest.mark.parametrize("period, cell", [(360.0, 7.0), (360.0, 400.0), (None, 40.0)])
+@pytest.mark.parametrize("period, cell", [(360.0, 7.0), (360.0, 400.0), (None, 40.0), (360.0, None), (None, None)])
 def test_k_nearest(spark, period, cell):
     rng = random.Random(5)
     place = (lambda: (rng.choice([rng.uniform(-180, 180), rng.uniform(175, 180), rng.uniform(-180, -175)]), rng.uniform(-90, 90))) if period else (lambda: (rng.uniform(0, 1000), rng.uniform(0, 1000)))

@@ -38,7 +38,7 @@ def test_levels_invert(spark):
     assert value(spark, expr.pressure_to_metres("1013.25E0")) == pytest.approx(0)
 
 
-@pytest.mark.parametrize("k, cell", [(1, 5.0), (4, 30.0)])
+@pytest.mark.parametrize("k, cell", [(1, 5.0), (4, 30.0), (3, None)])
 def test_nearest_is_exact(spark, k, cell):
     rng = random.Random(2)
     pts = [(i, rng.uniform(-180, 180), rng.uniform(-85, 85)) for i in range(60)]
