@@ -56,6 +56,26 @@ def envelope(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def clip_convex(ring: Column, by: Column) -> Column:
+    """The part of a convex ring within another one, of either turn: cut along the other's edges, one after the other; empty if nothing is left."""
+    turn = F.signum(signed_area(by))
+
+    def cut(left: Column, e: Column) -> Column:
+        side = lambda p: turn * ((e.b.x - e.a.x) * (p.y - e.a.y) - (e.b.y - e.a.y) * (p.x - e.a.x))
+
+        def step(s: Column) -> Column:
+            p, q = side(s.a), side(s.b)
+            t = p / (p - q)
+            meet = F.array(point(s.a.x + t * (s.b.x - s.a.x), s.a.y + t * (s.b.y - s.a.y)))
+            own = F.when(p >= 0, F.array(point(s.a.x, s.a.y))).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
+            return F.when(((p > 0) & (q < 0)) | ((p < 0) & (q > 0)), F.concat(own, meet)).otherwise(own)
+
+        return F.flatten(F.transform(edges(left), step))
+
+    whole = F.transform(ring, lambda p: point(p.x, p.y))
+    return F.aggregate(edges(by), whole, cut)
+
+
 def centroid(ring: Column) -> Column:
     w = lambda e: e.a.x * e.b.y - e.b.x * e.a.y
     six = F.nullif(6 * signed_area(ring), F.lit(0.0))

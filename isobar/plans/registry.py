@@ -7,7 +7,7 @@ SQL: dict[str, str] = {}
 
 
 def _load() -> None:
-    from . import fields, globes, grids, records, scalars, shapes  # noqa: F401
+    from . import fields, globes, grids, records, regrids, scalars, shapes  # noqa: F401
     from . import checks  # noqa: F401, I001  # last: its SQL takes the place of the functions' own text
 
 
