@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from isobar.functions import rings
-from isobar.operators import geometry, gridref
+from isobar.operators import fields, geometry, gridref, reading
 from isobar.operators.shared import folder
 from isobar.sources import bf
 
-from .grids import LAT, LON, points, query, r, read
+from .grids import CELLS, LAT, LON, event_cells, points, query, r, read
 
 _RECORDS = """WITH d AS (SELECT p_partkey, ['FLOAT32', 'FLOAT64', 'CFLOAT64', 'INT32', 'CFLOAT32'][p_partkey % 5 + 1] AS t, p_retailprice AS a, p_size / 8e0 AS b, p_brand FROM part),
 v AS (SELECT *, CASE WHEN t LIKE '%32' AND t LIKE '%FLOAT%' THEN CAST(CAST(a AS FLOAT) AS DOUBLE) WHEN t = 'INT32' THEN trunc(a) ELSE a END AS x, CASE WHEN t = 'INT32' THEN trunc(b) ELSE b END AS y FROM d)"""
@@ -69,3 +69,38 @@ def grid_same(spark, sf_dir):
     a, b = s.alias("a"), s.alias("b")
     j = a.join(b, F.col("b.s_suppkey") == F.col("a.s_suppkey") + 4)
     return j.select(F.col("a.s_suppkey").alias("one"), F.col("b.s_suppkey").alias("other"), gridref.same("a", "b", ["grtyp", "ig1"]).alias("same"), gridref.valid(F.col("a.lat0"), F.col("a.lat0")).alias("valid"))
+
+
+_WIDTH, _HEIGHT, _TILE = 16, 24, (8, 12, 1)
+
+
+def _tile_files(spark, sf_dir):
+    """The events' field of every day as record files: four tiles with halos at each of two levels, the second twice the first, and masks of the same tiles at the first."""
+    bf.register(spark)
+    c = event_cells(spark, sf_dir).withColumn("m", F.when((F.col("i") * 7 + F.col("j") * 3 + F.col("k")) % 5 == 0, 0.0).otherwise(1.0))
+    c = c.withColumn("r", F.explode(F.array(*[F.struct(F.lit(t).alias("typvar"), F.lit(p).alias("ip1"), v.alias("v")) for t, p, v in (("P@", 500, F.col("v")), ("P@", 850, 2 * F.col("v")), ("@@", 500, F.col("m")))])))
+    ni, nj, halo = _TILE
+    t = fields.tiles(c.select("k", "i", "j", "r.*"), ["k", "typvar", "ip1"], ni, nj, halo, _WIDTH, _HEIGHT)
+    end = lambda start, n, side: F.least(F.lit(n), (F.floor((F.col(start) - 1 + halo) / side) + 1) * side + halo) - F.col(start) + 1
+    t = t.withColumns({"w": F.when(F.col("ig3") == 1, F.least(F.lit(_WIDTH), F.lit(ni + halo))).otherwise(end("ig3", _WIDTH, ni)).cast("int"), "h": F.when(F.col("ig4") == 1, F.least(F.lit(_HEIGHT), F.lit(nj + halo))).otherwise(end("ig4", _HEIGHT, nj)).cast("int")})
+    held = F.map_from_entries(F.collect_list(F.struct((F.col("lj") * F.col("w") + F.col("li")).cast("int"), "v")))
+    t = t.groupBy("k", "typvar", "ip1", "tile", "ig3", "ig4", "w", "h").agg(held.alias("held"))
+    data = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda n: F.coalesce(F.try_element_at("held", n), F.lit(float("nan"))))
+    t = t.select(
+        (F.col("k") * 86400).cast("int").alias("dateo"), F.lit("TT").alias("nomvar"), F.lit("RUN").alias("etiket"), "typvar", "ip1", F.col("tile").cast("int").alias("ip3"), F.col("ig3").cast("int").alias("ig3"),
+        F.col("ig4").cast("int").alias("ig4"), F.lit("#").alias("grtyp"), F.col("w").alias("ni"), F.col("h").alias("nj"), F.lit(1).alias("nk"), F.lit("FLOAT64").alias("dtype"), data.alias("data"),
+    )
+    path = f"{folder(spark)}/tiles-{uuid.uuid4().hex}"
+    t.repartition(4, "dateo").write.format("bf").mode("append").save(path)
+    return spark.read.format("bf").option("data", "false").load(path)
+
+
+_AT = "q AS (SELECT n_nationkey AS id, (1 + n_nationkey) * 86400 + (n_nationkey % 4) * 21600 AS w FROM nation), b AS (SELECT id, w, max(k) FILTER (k * 86400 <= w) AS k0, min(k) FILTER (k * 86400 >= w) AS k1 FROM q, (SELECT DISTINCT k FROM cells) GROUP BY id, w)"
+
+
+@query("field_at_times", f"WITH {CELLS}, {_AT}, m AS (SELECT *, (i * 7 + j * 3 + k) % 5 = 0 AS off FROM cells), f AS (SELECT *, CASE WHEN k1 > k0 THEN CAST(w - k0 * 86400 AS DOUBLE) / ((k1 - k0) * 86400) ELSE 0 END AS f FROM b WHERE k0 IS NOT NULL AND k1 IS NOT NULL), g AS (SELECT f.id, f.f, i, j FROM f JOIN m ON m.k = f.k0 UNION SELECT f.id, f.f, i, j FROM f JOIN m ON m.k = f.k1), t AS (SELECT g.id, g.i, g.j, g.f, x.v AS a, y.v AS b, x.off AS o, y.off AS p FROM g JOIN f ON f.id = g.id LEFT JOIN m x ON x.k = f.k0 AND x.i = g.i AND x.j = g.j LEFT JOIN m y ON y.k = f.k1 AND y.i = g.i AND y.j = g.j) SELECT id, CAST(l AS INT) AS ip1, i, j, round(CASE WHEN l = 500 AND (o OR (f > 0 AND p)) THEN NULL WHEN f = 0 THEN a ELSE a * (1 - f) + b * f END * CASE WHEN l = 500 THEN 0.5e0 ELSE 1 END, 6) AS value FROM t, (VALUES (500), (850)) z(l)")
+def field_at_times(spark, sf_dir):
+    """The tiled and masked fields at a time of each nation, halved."""
+    requests = read(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "'TT' AS nomvar", "CAST((1 + n_nationkey) * 86400 + (n_nationkey % 4) * 21600 AS INT) AS at")
+    out = reading.fields_at(_tile_files(spark, sf_dir), requests, 0.5, (_TILE[0], _TILE[1], _WIDTH))
+    return out.select("id", "ip1", "i", "j", r(F.col("value")).alias("value"))

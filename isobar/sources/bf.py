@@ -4,21 +4,25 @@ After ``register(spark)``, ``spark.read.format("bf").load("/data/*.bf")`` gives
 and bytes, which are in ``raw``). Files are cut in ranges of records, so a large file is read by many tasks; equality filters on header columns
 are pushed down to the index, of which a range reads its own headers only, and the data of records that they drop is not read. Records go on in Arrow batches of about ``BATCH_BYTES``. With the option ``data`` set to ``false`` no data is read at all.
 
-``df.write.format("bf").mode("append").save(folder)`` writes a file for each task, atomically renamed at the end of the task; ``dtype`` gives each record's storage type. Compressed
-types fall back to plain ones where compression does not save bytes. Null and blank texts are empty; the file system must be mounted on all executors.
+``df.write.format("bf").mode("append").save(folder)`` writes a file for each task under ``_temporary``; the commit of the whole job moves the files of the attempts that count to the folder, so attempts that ran twice, were lost or failed
+leave nothing that is read. ``dtype`` gives each record's storage type. Compressed types fall back to plain ones where compression does not save bytes. Null and blank texts are empty.
+
+``fetched`` adds the data to headers that were chosen before, by reading those records only. Paths may have any scheme that pyarrow's file systems know (``file``, ``hdfs``, ``s3`` and others), or none for a mounted folder.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
+import posixpath
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
 from .codec import compress, inflate
@@ -38,10 +42,39 @@ _ARROW = {c.split()[0]: _KINDS[c.split()[1]] for c in SCHEMA.split(", ")}
 _FILE, _FIELD = struct.calcsize(FILE_HEADER), struct.calcsize(FIELD_HEADER)
 
 
+def place(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
+    path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _open(path: str):
+    fs, inner = place(path)
+    return fs.open_input_file(inner)
+
+
+def listed(path: str) -> list[str]:
+    """The files of a path: a file, the ``.bf`` files of a folder, or those whose name fits a pattern."""
+    fs, inner = place(path)
+    head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    if not any(c in inner for c in "*?["):
+        info = fs.get_file_info(inner)
+        if info.type == pafs.FileType.File:
+            return [path]
+        found = fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if info.type == pafs.FileType.Directory else []
+        return [head + f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(".bf")]
+    fixed = inner
+    while any(c in fixed for c in "*?["):
+        fixed = posixpath.dirname(fixed)
+    deep = inner.count("/") - fixed.rstrip("/").count("/") > 1
+    found = fs.get_file_info(pafs.FileSelector(fixed or ".", allow_not_found=True, recursive=deep))
+    return [head + f.path for f in found if f.type == pafs.FileType.File and "/_temporary/" not in f.path and f.path.count("/") == inner.count("/") and all(fnmatch.fnmatchcase(a, b) for a, b in zip(f.path.split("/"), inner.split("/")))]
+
+
 def index_place(path: str) -> tuple[int, int]:
     """Where a file's field headers begin, and their number; an error if it isn't a record file, or is cut off."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    with _open(path) as f:
+        size = f.size()
         head = f.read(_FILE)
         if len(head) < _FILE:
             raise ValueError(f"{path}: no file header")
@@ -59,7 +92,7 @@ def index(path: str, at: int | None = None, first: int = 0, last: int | None = N
     """The field headers of a file, or those from first to before last, where its headers begin at ``at``."""
     if at is None:
         at, last = index_place(path)
-    with open(path, "rb") as f:
+    with _open(path) as f:
         f.seek(at + first * _FIELD)
         raw = f.read((last - first) * _FIELD)
     out = []
@@ -87,7 +120,7 @@ class _Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.paths = sorted(p for part in options.get("path", "").split(",") for p in (glob.glob(os.path.join(part, "*.bf")) if os.path.isdir(part) else glob.glob(part)))
+        self.paths = sorted(p for part in options.get("path", "").split(",") if part for p in listed(part))
         self.with_data, self.wanted = options.get("data", "true").lower() != "false", {}
 
     def pushFilters(self, filters):
@@ -107,7 +140,7 @@ class _Reader(DataSourceReader):
         if not part.path:
             return
         rows, held = [], 0
-        with open(part.path, "rb") as f:
+        with _open(part.path) as f:
             for k, h in enumerate(index(part.path, part.at, part.first, part.last), part.first):
                 if any(h[c] != v for c, v in self.wanted.items()):
                     continue
@@ -147,36 +180,48 @@ class _Commit(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options, schema, overwrite: bool):
-        self.folder, self.names, self.overwrite = options["path"], schema.names, overwrite
-        self.old = glob.glob(os.path.join(self.folder, "*.bf")) if overwrite else []
+        self.folder, self.names = options["path"].rstrip("/"), schema.names
+        self.temporary = f"{self.folder}/_temporary/{uuid.uuid4().hex}"
+        self.old = listed(self.folder) if overwrite else []
 
     def write(self, rows):
-        os.makedirs(self.folder, exist_ok=True)
-        name = os.path.join(self.folder, f"part-{uuid.uuid4().hex}.bf")
-        heads = []
-        with open(f"{name}.tmp", "wb") as f:
-            f.write(bytes(_FILE))
+        name = f"{self.temporary}/part-{uuid.uuid4().hex}.bf"
+        fs, inner = place(name)
+        fs.create_dir(posixpath.dirname(inner), recursive=True)
+        heads, at = [], _FILE
+        with fs.open_output_stream(inner) as f, tempfile.TemporaryFile() as own:  # the file header, which comes first, states where the index begins
             for r in rows:
                 d = {c: r[c] for c in self.names}
                 dtype, raw = packed(d)
-                heads.append(field_header(d, dtype, f.tell(), len(raw)))
-                f.write(raw)
-            at = f.tell()
+                heads.append(field_header(d, dtype, at, len(raw)))
+                own.write(raw)
+                at += len(raw)
+            f.write(struct.pack(FILE_HEADER, at, at + 4 + len(heads) * _FIELD, MAGIC, VERSION, _FILE, _FIELD))
+            own.seek(0)
+            while block := own.read(BATCH_BYTES):
+                f.write(block)
             f.write(struct.pack("<i", len(heads)) + b"".join(heads))
-            size = f.tell()
-            f.seek(0)
-            f.write(struct.pack(FILE_HEADER, at, size, MAGIC, VERSION, _FILE, _FIELD))
-        os.replace(f"{name}.tmp", name)
         return _Commit(name)
 
     def commit(self, messages):
+        for m in messages:
+            fs, inner = place(m.path)
+            fs.move(inner, f"{place(self.folder)[1]}/{posixpath.basename(inner)}")
         for p in self.old:
-            os.remove(p)
+            fs, inner = place(p)
+            fs.delete_file(inner)
+        self._clear()
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        self._clear()
+
+    def _clear(self):
+        fs, inner = place(self.temporary)
+        if fs.get_file_info(inner).type == pafs.FileType.Directory:
+            fs.delete_dir(inner)
+        above = posixpath.dirname(inner)
+        if fs.get_file_info(above).type == pafs.FileType.Directory and not fs.get_file_info(pafs.FileSelector(above)):
+            fs.delete_dir(above)
 
 
 def packed(d: dict) -> tuple[str, bytes]:
@@ -219,6 +264,29 @@ class BinaryFields(DataSource):
         return _Writer(self.options, schema, overwrite)
 
 
+def fetched(headers: DataFrame) -> DataFrame:
+    """headers (rows of the source read with data false, with its columns and others) with their data: each task reads the records of its own rows, and no others, from their files' byte ranges."""
+    names = headers.columns
+    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'data' else 'binary' if f.name == 'raw' else f.dataType.simpleString()}" for f in headers.schema.fields)
+
+    def run(batches):
+        for b in batches:
+            cols = {n: b.column(n) for n in names}
+            for low in range(0, b.num_rows, 64):
+                part = {n: c.slice(low, 64) for n, c in cols.items()}
+                rows = [dict(zip(("file", "offset", "nbytes", "dtype", "ni", "nj", "nk"), v)) for v in zip(*(part[n].to_pylist() for n in ("file", "offset", "nbytes", "dtype", "ni", "nj", "nk")))]
+                for r in rows:
+                    with _open(r["file"]) as f:
+                        f.seek(r["offset"])
+                        raw = f.read(r["nbytes"])
+                    r["data"] = values(raw, r["dtype"], r["ni"] * r["nj"] * r["nk"])
+                    r["raw"] = raw if r["data"] is None else None
+                part |= {n: pa.array([r[n] for r in rows], _ARROW[n]) for n in ("data", "raw") if n in part}
+                yield pa.RecordBatch.from_arrays([part[n] for n in names], names=names)
+
+    return headers.mapInArrow(run, schema)
+
+
 def register(spark: SparkSession) -> None:
     """Makes the format known to a session, and lets it push filters down to Python sources, without which Spark refuses this reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

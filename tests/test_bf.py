@@ -39,3 +39,48 @@ def test_write_and_read_again(spark, tmp_path):
     assert sorted((r.ip1, r.nomvar, r.data) for r in back.collect()) == sorted((r[0], r[2], r[6]) for r in rows)
     assert back.filter("nomvar = 'VV'").count() == 10
     assert spark.read.format("bf").option("data", "false").load(str(tmp_path / "out")).filter("data IS NULL").count() == 30
+
+
+def attempt(writer, rows):
+    return writer.write(iter(rows))
+
+
+def test_attempts_that_do_not_count_leave_nothing(spark, tmp_path):
+    """A task that ran twice, and a job that failed: only what was committed is there, and no temporary folder is left."""
+    from pyspark.sql import Row
+    from pyspark.sql.types import StructType
+
+    bf.register(spark)
+    schema = StructType.fromDDL("ip1 int, nomvar string, data array<double>")
+    folder = str(tmp_path / "out")
+    rows = [Row(ip1=k, nomvar="TT", data=[float(k)]) for k in range(5)]
+    writer = bf._Writer({"path": folder}, schema, False)
+    lost, kept = attempt(writer, rows), attempt(writer, rows)
+    assert lost.path != kept.path and bf.listed(folder) == []
+    writer.commit([kept])
+    failed = bf._Writer({"path": folder}, schema, False)
+    attempt(failed, rows)
+    failed.abort([None])
+    back = spark.read.format("bf").load(folder)
+    assert sorted(r.ip1 for r in back.collect()) == [0, 1, 2, 3, 4]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [kept.path.split("/")[-1]]
+    again = bf._Writer({"path": folder}, schema, True)
+    again.commit([attempt(again, rows[:2])])
+    assert spark.read.format("bf").load(folder).count() == 2
+
+
+def test_paths_with_a_scheme_and_patterns(spark, tmp_path):
+    bf.register(spark)
+    df = spark.createDataFrame([(k, "TT", [float(k)]) for k in range(6)], "ip1 int, nomvar string, data array<double>").repartition(2)
+    df.write.format("bf").mode("append").save(f"file://{tmp_path}/run1")
+    df.write.format("bf").mode("append").save(f"{tmp_path}/run2")
+    for path, n in ((f"file://{tmp_path}/run1", 6), (f"{tmp_path}/run*/*.bf", 12), (f"file://{tmp_path}/run2/part-*.bf", 6), (f"{tmp_path}/run1,file://{tmp_path}/run2", 12), (f"{tmp_path}/none", 0)):
+        assert spark.read.format("bf").load(path).count() == n
+    heads = spark.read.format("bf").option("data", "false").load(f"{tmp_path}/run1").filter("ip1 > 3").withColumn("extra", heads_extra())
+    assert sorted((r.ip1, r.data, r.extra) for r in bf.fetched(heads).collect()) == [(4, [4.0], "x"), (5, [5.0], "x")]
+
+
+def heads_extra():
+    from pyspark.sql import functions as F
+
+    return F.lit("x")
