@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from isobar.functions import rings
-from isobar.operators import fields, geometry, gridref, reading
+from isobar.operators import descriptors, fields, geometry, gridref, reading
 from isobar.operators.shared import folder
 from isobar.sources import bf
 
@@ -104,3 +104,42 @@ def field_at_times(spark, sf_dir):
     requests = read(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "'TT' AS nomvar", "CAST((1 + n_nationkey) * 86400 + (n_nationkey % 4) * 21600 AS INT) AS at")
     out = reading.fields_at(_tile_files(spark, sf_dir), requests, 0.5, (_TILE[0], _TILE[1], _WIDTH))
     return out.select("id", "ip1", "i", "j", r(F.col("value")).alias("value"))
+
+
+_KIND = "CASE WHEN s_suppkey % 12 = 3 THEN 'PRESSURE' WHEN s_suppkey % 3 = 0 THEN 'ETA' WHEN s_suppkey % 3 = 1 THEN 'SIGMA' ELSE 'HYBRID' END"
+
+
+def _described(spark, sf_dir):
+    """A set of fields for each supplier: its kind of levels, and in record files its descriptors: a table of one of five versions, a header of hybrid levels, a top pressure, or none."""
+    bf.register(spark)
+    s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('S', s_suppkey) AS etiket", f"{_KIND} AS kind")
+    rows = "array(0D, 0D, 3D, 1000D + s_suppkey % 7 * 100, 80000D + s_suppkey % 3 * 1000, 1.6D, 1D + s_suppkey % 2, 0D, 0D, 100D, 9.5D, 1D, 200D, 9D, 0.5D, 300D, 8D, 0D)"
+    toc = s.filter("s_suppkey % 4 = 0").selectExpr("etiket", "'!!' AS nomvar", "'X' AS typvar", "0 AS ip1", "element_at(array(1001, 1002, 1003, 5001, 5002), CAST(s_suppkey / 4 AS INT) % 5 + 1) AS ig1", "CAST(100 + s_suppkey % 50 AS INT) AS ig2", "3 AS ni", "6 AS nj", f"{rows} AS data")
+    hy = s.filter("s_suppkey % 4 = 1 OR s_suppkey % 8 = 0").selectExpr("etiket", "'HY' AS nomvar", "'X' AS typvar", "CAST(10 + s_suppkey % 5 AS INT) AS ip1", "800 AS ig1", "1600 AS ig2", "1 AS ni", "1 AS nj", "array(0D) AS data")
+    pt = s.filter("s_suppkey % 4 IN (1, 2)").selectExpr("etiket", "'PT' AS nomvar", "'P' AS typvar", "0 AS ip1", "0 AS ig1", "0 AS ig2", "1 AS ni", "1 AS nj", "array(12D + s_suppkey % 3) AS data")
+    path = f"{folder(spark)}/levels-{uuid.uuid4().hex}"
+    toc.unionByName(hy).unionByName(pt).withColumns({"dtype": F.lit("FLOAT64"), "nk": F.lit(1)}).repartition(3, "etiket").write.format("bf").mode("append").save(path)
+    return descriptors.decoded(s, spark.read.format("bf").option("data", "false").load(path), ["etiket"])
+
+
+_DECODED = f"""s AS (SELECT s_suppkey AS s, {_KIND} AS own FROM supplier),
+a AS (SELECT *, own <> 'PRESSURE' AND s % 4 = 0 AS t, own <> 'PRESSURE' AND s % 4 = 1 AS h, own <> 'PRESSURE' AND s % 4 IN (2, 3) AS p, [1001, 1002, 1003, 5001, 5002][(s // 4) % 5 + 1] AS v FROM s),
+d AS (SELECT s, CASE WHEN t THEN CASE v WHEN 1001 THEN 'SIGMA' WHEN 1002 THEN 'ETA' WHEN 1003 THEN 'ETA' ELSE 'HYBRID' END WHEN h AND own = 'SIGMA' THEN 'ETA' WHEN p AND s % 4 = 2 AND own = 'SIGMA' THEN 'ETA' ELSE own END AS kind,
+  CAST(CASE WHEN t THEN v ELSE 0 END AS INT) AS version,
+  CASE WHEN t AND v = 1001 THEN (100 + s % 50) / 10e0 WHEN t THEN (1000 + s % 7 * 100) * 0.01e0 WHEN h THEN 10e0 + s % 5 WHEN p AND own <> 'HYBRID' AND s % 4 = 2 THEN 12e0 + s % 3 WHEN p AND own <> 'HYBRID' THEN 10e0 END AS ptop,
+  CASE WHEN t AND v < 1003 THEN 10e0 WHEN t THEN (80000 + s % 3 * 1000) * 0.01e0 WHEN h THEN 800e0 END AS pref, CASE WHEN t AND v < 1003 THEN 0e0 WHEN t OR h THEN 1.6e0 END AS rcoef0, CASE WHEN t AND v = 5002 THEN 1e0 + s % 2 WHEN t OR h THEN 0e0 END AS rcoef1 FROM a)"""
+
+
+@query("level_descriptors", f"WITH {_DECODED} SELECT s AS s_suppkey, kind, version, round(ptop, 6) AS ptop, round(pref, 6) AS pref, round(rcoef0, 6) AS rcoef0, round(rcoef1, 6) AS rcoef1, CAST(CASE WHEN version > 0 THEN 3 END AS INT) AS n FROM d")
+def level_descriptors(spark, sf_dir):
+    d = _described(spark, sf_dir)
+    return d.select("s_suppkey", "kind", "version", *[r(F.col(c)).alias(c) for c in ("ptop", "pref", "rcoef0", "rcoef1")], F.when(F.col("levels").isNotNull(), F.size("levels")).alias("n"))
+
+
+@query("level_pressures", f"WITH {_DECODED}, l AS (SELECT d.*, CAST(ip AS INT) AS ip1, CASE WHEN kind = 'PRESSURE' THEN ip * 1e0 ELSE 1 - ip / 1000e0 END AS level, 950e0 + s % 90 AS p0 FROM d, (VALUES (100), (200), (300), (400)) i(ip)), c AS (SELECT *, CASE ip1 WHEN 100 THEN 9.5e0 WHEN 200 THEN 9e0 WHEN 300 THEN 8e0 END AS a, CASE ip1 WHEN 100 THEN 1e0 WHEN 200 THEN 0.5e0 WHEN 300 THEN 0e0 END AS b FROM l) SELECT s AS s_suppkey, ip1, round(CASE WHEN kind = 'PRESSURE' THEN level WHEN kind = 'SIGMA' THEN p0 * level WHEN kind = 'ETA' THEN ptop + (p0 - ptop) * level WHEN version = 5001 THEN a / 100 + b * p0 WHEN version = 5002 THEN exp(a + b * ln(p0 / pref)) / 100 WHEN pref IS NOT NULL THEN pref * level + (p0 - pref) * greatest(0, (level - ptop / pref) / (1 - ptop / pref)) ** rcoef0 END, 5) AS pressure FROM c")
+def level_pressures(spark, sf_dir):
+    """Four levels of each set, of which a table lacks one."""
+    d = _described(spark, sf_dir).withColumn("ip1", F.explode(F.array(*map(F.lit, (100, 200, 300, 400)))))
+    level = F.when(F.col("kind") == "PRESSURE", F.col("ip1").cast("double")).otherwise(1 - F.col("ip1") / 1000)
+    p0 = F.lit(950.0) + F.col("s_suppkey") % 90
+    return d.select("s_suppkey", "ip1", r(descriptors.pressure(level, F.col("ip1"), p0), 5).alias("pressure"))
