@@ -76,6 +76,21 @@ def clip_convex(ring: Column, by: Column) -> Column:
     return F.aggregate(edges(by), whole, cut)
 
 
+def projected(ring: str, to, tolerance: float | None = None, period: float | None = None, most: int = 1024) -> Column:
+    """The ring of that name in another reference. ``to`` takes the SQL texts of x and y and gives those of the new ones (expr.rotate, radar_unproject and others do). With a tolerance, an edge that bends gets as many more vertices as keep it, by what its quarter points lie off,
+    within tolerance of the straight line: the bend falls with the square of the number of parts, of which an edge has ``most`` at most. With a period, x goes round, and a step across its ends is the short way."""
+    at = lambda e, t: "named_struct('x', {}, 'y', {})".format(*(f"CAST({v} AS DOUBLE)" for v in to(f"({e}.a.x + {t} * ({e}.b.x - {e}.a.x))", f"({e}.a.y + {t} * ({e}.b.y - {e}.a.y))")))
+    if tolerance is None:
+        return F.expr(f"transform({ring}, p -> named_struct('x', CAST({to('p.x', 'p.y')[0]} AS DOUBLE), 'y', CAST({to('p.x', 'p.y')[1]} AS DOUBLE)))")
+    own = f"transform({ring}, (p, i) -> named_struct('a', p, 'b', element_at({ring}, (i + 1) % size({ring}) + 1)))"
+    probes = f"transform({own}, e -> named_struct('a', e.a, 'b', e.b, 'p', array({', '.join(at('e', t) for t in ('0E0', '0.25E0', '0.5E0', '0.75E0', '1E0'))})))"
+    short = lambda d: f"({d})" if period is None else f"(pmod({d} + {period / 2}D, {period}D) - {period / 2}D)"
+    off = lambda k: f"hypot({short(f's.p[{k}].x - s.p[0].x')} - {k / 4}D * {short('s.p[4].x - s.p[0].x')}, s.p[{k}].y - s.p[0].y - {k / 4}D * (s.p[4].y - s.p[0].y))"
+    parts = f"CAST(least({most}, greatest(1, ceil(sqrt(greatest({off(1)}, {off(2)}, {off(3)}) / {tolerance}D)))) AS INT)"
+    counted = f"transform({probes}, s -> named_struct('a', s.a, 'b', s.b, 'n', {parts}))"
+    return F.expr(f"flatten(transform({counted}, e -> transform(sequence(0, e.n - 1), k -> {at('e', '(k / e.n)')})))")
+
+
 def centroid(ring: Column) -> Column:
     w = lambda e: e.a.x * e.b.y - e.b.x * e.a.y
     six = F.nullif(6 * signed_area(ring), F.lit(0.0))

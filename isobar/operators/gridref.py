@@ -23,6 +23,47 @@ def rotated_axes(centre_lon: Column, centre_lat: Column, dx: Column, dy: Column,
     return x, y
 
 
+def _cross(a: tuple, b: tuple) -> tuple:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def _unit(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    la, lo = F.radians(lat), F.radians(lon)
+    return F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)
+
+
+def rotation(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """The rotated system of two points, as an array of nine numbers: the first point is its origin (0, 0), the second lies on its equator to the east, and its pole is that of their great circle. Null if they are one or opposite."""
+    p, q = _unit(lat1, lon1), _unit(lat2, lon2)
+    pole = _cross(p, q)
+    size = F.sqrt(pole[0] * pole[0] + pole[1] * pole[1] + pole[2] * pole[2])
+    pole = tuple(c / size for c in pole)
+    return F.when(size > 1e-9, F.array(*p, *_cross(pole, p), *pole))
+
+
+def _angles(v: list[Column]) -> tuple[Column, Column]:
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v[2])))), F.degrees(F.atan2(v[1], v[0]))
+
+
+def turned_to(m: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(lat, lon) in a rotated system (rotation) of a point on the earth."""
+    v = _unit(lat, lon)
+    return _angles([m[3 * k] * v[0] + m[3 * k + 1] * v[1] + m[3 * k + 2] * v[2] for k in range(3)])
+
+
+def turned_back(m: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(lat, lon) on the earth of a point of a rotated system: the inverse."""
+    v = _unit(lat, lon)
+    return _angles([m[k] * v[0] + m[3 + k] * v[1] + m[6 + k] * v[2] for k in range(3)])
+
+
+def rotated_grid(df: DataFrame, ni: str, nj: str, dx: str, dy: str, points: tuple[str, str, str, str], max_cfl: int = 0, lon_r: float = 0.0, lat_r: float = 0.0) -> DataFrame:
+    """df with the grid that its parameters give: ``rotation`` from two points (lat1, lon1, lat2, lon2), the axes ``lons`` and ``lats`` in the rotated system round (lon_r, lat_r), of ni x nj core points dx and dy apart and the extension on every side that max_cfl asks for, and ``border``, its points a side."""
+    n = extension(max_cfl)
+    x, y = rotated_axes(F.lit(lon_r), F.lit(lat_r), F.col(dx), F.col(dy), F.col(ni), F.col(nj), n)
+    return df.withColumns({"rotation": rotation(*(F.col(c) for c in points)), "lons": x, "lats": y, "border": F.lit(n)})
+
+
 def extension(max_cfl: int, yin_yang: bool = False) -> int:
     """Points a side that a grid needs beyond its core."""
     return max_cfl + 5 + int(yin_yang) + 2
