@@ -15,7 +15,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN q < 10 THEN 10e0 WHEN q > 40 THEN 40e
 
 SQL["fn_curves"] = """
 WITH w AS (SELECT event_id, lag(value) OVER o AS a, value AS b, lead(value) OVER o AS c, lead(value, 2) OVER o AS d, CAST(event_id % 10 AS DOUBLE) / 10 AS f FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-m AS (SELECT *, 0.375 * (1.5 * (b - a) + 0.5 * (c - b)) AS m0, 0.375 * (1.5 * (c - b) + 0.5 * (d - c)) AS m1 FROM w WHERE a IS NOT NULL AND d IS NOT NULL)
+m AS (SELECT *, 0.375 * (1.5 * (b - a) + 0.5 * (c - b)) AS m0, 0.375 * (1.5 * (c - b) + 0.5 * (d - c)) AS m1 FROM w)
 SELECT event_id, round(a * f * (-f * f + 2 * f - 1) + b * (f * f * (f - 2) + 1) + c * f * (-f * f + f + 1) + d * f * f * (f - 1), 9) + 0 AS cubic, round(b + f * (m0 + f * (3 * (c - b) - 2 * m0 - m1 + f * (2 * (b - c) + m0 + m1))), 9) + 0 AS hermite FROM m
 """
 

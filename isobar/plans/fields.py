@@ -163,23 +163,26 @@ def grid_overlap(spark, sf_dir):
 
 @query(
     "grid_pole_dims",
-    "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CASE WHEN abs(lat) = 90 THEN pi() * 6371000 * radians(10) / 36 ELSE 2 * 6371000 * asin(cos(radians(lat)) * sin(radians(5))) END, 2) AS dx, round(6371000 * radians(10), 2) AS dy "
-    "FROM (SELECT i, j, j * 10e0 - 90 AS lat FROM range(36) a(i), range(19) b(j))",
+    "SELECT s_suppkey, CAST(j AS INT) AS j, round(CASE WHEN abs(lat) = 90 THEN pi() * 6371000 * radians(10) / 36 ELSE 2 * 6371000 * asin(cos(radians(lat)) * sin(radians(5))) END, 2) AS dx, round(6371000 * radians(10), 2) AS dy "
+    "FROM (SELECT s_suppkey, j, j * 10e0 - 90 AS lat FROM supplier, range(19) b(j))",
 )
 def grid_pole_dims(spark, sf_dir):
-    """Cell dimensions of a whole globe, its pole rows included."""
-    g = spark.range(1).select(gridref.uniform_axis(F.lit(-180.0), F.lit(10.0), F.lit(36)).alias("lons"), gridref.uniform_axis(F.lit(-90.0), F.lit(10.0), F.lit(19)).alias("lats"))
-    return gridref.cell_dims(gridref.cells(g, []), 10.0, 10.0).select("i", "j", r(F.col("dx"), 2).alias("dx"), r(F.col("dy"), 2).alias("dy"))
+    """Cell dimensions along each supplier's meridian, from pole to pole."""
+    s = points(read(spark, sf_dir, "supplier"), "s_suppkey")
+    g = s.select("s_suppkey", F.array("lon").alias("lons"), gridref.uniform_axis(F.lit(-90.0), F.lit(10.0), F.lit(19)).alias("lats"))
+    return gridref.cell_dims(gridref.cells(g, ["s_suppkey"]), 10.0, 10.0).select("s_suppkey", "j", r(F.col("dx"), 2).alias("dx"), r(F.col("dy"), 2).alias("dy"))
 
 
 @query(
     "mesh_areas",
-    "WITH g AS (SELECT i, j, i * 10e0 - 180 AS x, j * 10e0 - 90 AS y FROM range(36) a(i), range(18) b(j)), t AS (SELECT [j * 37 + i, j * 37 + i + 1, (j + 1) * 37 + i + 1] AS v, radians(10) * (sin(radians(y + 10)) - sin(radians(y))) / 2 AS half FROM g "
-    "UNION ALL SELECT [j * 37 + i, (j + 1) * 37 + i + 1, (j + 1) * 37 + i], radians(10) * (sin(radians(y + 10)) - sin(radians(y))) / 2 FROM g), u AS (SELECT unnest(v) AS vertex, half FROM t) SELECT vertex, round(sum(half) * 6371000 * 6371000 / 3, -3) AS area FROM u GROUP BY vertex",
+    f"WITH g AS (SELECT DISTINCT CAST(floor(({LON.format(k='s_suppkey')} + 180) / 10) AS BIGINT) AS i, CAST(floor(({LAT.format(k='s_suppkey')} + 90) / 10) AS BIGINT) AS j FROM supplier), h AS (SELECT i, j, j * 10e0 - 90 AS y FROM g), "
+    "t AS (SELECT [j * 37 + i, j * 37 + i + 1, (j + 1) * 37 + i + 1] AS v, radians(10) * (sin(radians(y + 10)) - sin(radians(y))) / 2 AS half FROM h "
+    "UNION ALL SELECT [j * 37 + i, (j + 1) * 37 + i + 1, (j + 1) * 37 + i], radians(10) * (sin(radians(y + 10)) - sin(radians(y))) / 2 FROM h), u AS (SELECT unnest(v) AS vertex, half FROM t) SELECT vertex, round(sum(half) * 6371000 * 6371000 / 3, -3) AS area FROM u GROUP BY vertex",
 )
 def mesh_areas(spark, sf_dir):
-    """Areas of the vertices of a lattice of triangles; the diagonal cuts a cell's area in halves, and a third of each goes to its corners."""
-    g = spark.range(36).withColumnRenamed("id", "i").crossJoin(spark.range(18).withColumnRenamed("id", "j")).withColumns({"x": F.col("i") * 10.0 - 180, "y": F.col("j") * 10.0 - 90})
+    """Areas of the vertices of a mesh of two triangles in each 10 degree cell with suppliers; the diagonal cuts a cell's area in halves, and a third of each goes to its corners."""
+    s = points(read(spark, sf_dir, "supplier"), "s_suppkey")
+    g = s.select(F.floor((F.col("lon") + 180) / 10).alias("i"), F.floor((F.col("lat") + 90) / 10).alias("j")).distinct().withColumns({"x": F.col("i") * 10.0 - 180, "y": F.col("j") * 10.0 - 90})
     at = lambda k, d, e: [((F.col("j") + e) * 37 + F.col("i") + d).alias(f"v{k}"), (F.col("x") + 10 * d).alias(f"x{k}"), (F.col("y") + 10 * e).alias(f"y{k}")]
     t = g.select(*at(0, 0, 0), *at(1, 1, 0), *at(2, 1, 1)).unionByName(g.select(*at(0, 0, 0), *at(1, 1, 1), *at(2, 0, 1)))
     return gridref.mesh_areas(t).select("vertex", F.round("area", -3).alias("area"))

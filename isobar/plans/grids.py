@@ -189,7 +189,7 @@ def catalog_find_all(spark, sf_dir):
 
 @query("catalog_next", f"WITH {_HEAD} SELECT rec, nomvar, CAST(row_number() OVER (PARTITION BY nomvar ORDER BY rec) AS INT) AS place FROM h WHERE etiket = 'O'")
 def catalog_next(spark, sf_dir):
-    return catalog.numbered(headers(spark, sf_dir), ["nomvar"], ["rec"], etiket="O").select("rec", "nomvar", "place")
+    return catalog.numbered(headers(spark, sf_dir), ["nomvar"], ["rec"], ranges=True, etiket="O").select("rec", "nomvar", "place")
 
 
 @query("catalog_dates", f"WITH {_HEAD} SELECT DISTINCT datev FROM h WHERE ip2 = 0")
@@ -293,12 +293,17 @@ def grid_conservative(spark, sf_dir):
     return a.join(fields.conservative(s, w, True).select("i", "j", r(F.col("value"), 4).alias("mean")), ["i", "j"])
 
 
-@query("grid_cell_dims", "SELECT i, j, round(6371000 * acos(least(1, sin(radians(lat)) * sin(radians(lat)) + cos(radians(10)) * cos(radians(lat)) * cos(radians(lat)))), 2) AS dx, round(6371000 * radians(10), 2) AS dy FROM (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, -180 + 10e0 * i AS lon, -80 + 10e0 * j AS lat FROM range(36) a(i), range(17) b(j))")
+_GRID_AT = "g AS (SELECT s_suppkey, least(60, greatest(-80, 10 * floor((" + LAT.format(k="s_suppkey") + ") / 10))) AS lat0 FROM supplier)"
+
+
+@query("grid_cell_dims", f"WITH {_GRID_AT}, c AS (SELECT s_suppkey, CAST(i AS INT) AS i, CAST(j AS INT) AS j, lat0 + 10e0 * j AS lat FROM g, range(4) a(i), range(3) b(j)) SELECT s_suppkey, i, j, round(6371000 * acos(least(1, sin(radians(lat)) * sin(radians(lat)) + cos(radians(10)) * cos(radians(lat)) * cos(radians(lat)))), 2) AS dx, round(6371000 * radians(10), 2) AS dy FROM c")
 def grid_cell_dims(spark, sf_dir):
+    """A grid of 4 x 3 cells at each supplier."""
     from isobar.operators import gridref
 
-    g = spark.range(1).select(gridref.uniform_axis(F.lit(-180.0), F.lit(10.0), F.lit(36)).alias("lons"), gridref.uniform_axis(F.lit(-80.0), F.lit(10.0), F.lit(17)).alias("lats"))
-    return gridref.cell_dims(gridref.cells(g, []), 10.0, 10.0).select("i", "j", r(F.col("dx"), 2).alias("dx"), r(F.col("dy"), 2).alias("dy"))
+    s = points(read(spark, sf_dir, "supplier"), "s_suppkey").withColumn("lat0", F.least(F.lit(60.0), F.greatest(F.lit(-80.0), 10.0 * F.floor(F.col("lat") / 10))))
+    g = s.select("s_suppkey", gridref.uniform_axis(F.col("lon"), F.lit(10.0), F.lit(4)).alias("lons"), gridref.uniform_axis(F.col("lat0"), F.lit(10.0), F.lit(3)).alias("lats"))
+    return gridref.cell_dims(gridref.cells(g, ["s_suppkey"]), 10.0, 10.0).select("s_suppkey", "i", "j", r(F.col("dx"), 2).alias("dx"), r(F.col("dy"), 2).alias("dy"))
 
 
 @query("grid_flags", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 3 = 1 THEN 2 ELSE 0 END AS INT) AS wrap, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 2 + 8 + 256 WHEN s_suppkey % 3 = 1 THEN 1 + 8 + 16 + 256 ELSE 2 + 4 + 256 END AS INT) AS mask, -180e0 AS lon0 FROM supplier")
