@@ -12,24 +12,42 @@ from pyspark.sql import functions as F
 from isobar.functions import rings
 
 
-
-def parts(features: DataFrame, ni: int, nj: int, shape: str = "ring", length: bool = False) -> DataFrame:
-    """fid, i, j, part and whole: the area (or an open line's length) of each feature in each cell of a grid of ni x nj, and in all; cells without any have no row."""
+def parts(features: DataFrame, ni: int, nj: int, shape: str = "ring", length: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """fid, the kept columns, i, j, part and whole: the area (or an open line's length) of each feature in each cell of a grid of ni x nj, and in all; cells without any have no row."""
     g = F.col("g")
-    e = features.select("fid", F.col(shape).alias("g"), rings.envelope(F.col(shape)).alias("e"))
+    e = features.select("fid", *keep, F.col(shape).alias("g"), rings.envelope(F.col(shape)).alias("e"))
     first, last = (lambda v: F.greatest(F.lit(0), F.floor(v + 0.5))), (lambda v, n: F.least(F.lit(n - 1), F.floor(v + 0.5)))
     e = e.filter((F.col("e.x1") >= -0.5) & (F.col("e.y1") >= -0.5) & (F.col("e.x0") < ni - 0.5) & (F.col("e.y0") < nj - 0.5))
     e = e.withColumn("whole", rings.length(g, closed=False) if length else rings.area(g))
     e = e.withColumn("i", F.explode(F.sequence(first(F.col("e.x0")), last(F.col("e.x1"), ni)))).withColumn("j", F.explode(F.sequence(first(F.col("e.y0")), last(F.col("e.y1"), nj))))
     box = (F.col("i") - 0.5, F.col("j") - 0.5, F.col("i") + 0.5, F.col("j") + 0.5)
     part = rings.length_in_box(g, *box) if length else rings.area_in_box(g, *box)
-    return e.select("fid", "i", "j", part.alias("part"), "whole").filter("part > 1E-12")
+    return e.select("fid", *keep, "i", "j", part.alias("part"), "whole").filter("part > 1E-12")
+
+
+def _weight(mode: str) -> Column:
+    return {"within": F.when(F.col("part") > 1 - 1e-9, 1.0), "intersect": F.lit(1.0), "aliased": F.col("part"), "conservative": F.col("part") / F.nullif(F.col("whole"), F.lit(0.0))}[mode]
 
 
 def weights(held: DataFrame, mode: str) -> DataFrame:
     """fid, i, j and w of parts, by mode: the share of the cell (aliased) or of the feature (conservative), or 1 if the cell lies inside (within) or in any case (intersect)."""
-    w = {"within": F.when(F.col("part") > 1 - 1e-9, 1.0), "intersect": F.lit(1.0), "aliased": F.col("part"), "conservative": F.col("part") / F.nullif(F.col("whole"), F.lit(0.0))}
-    return held.select("fid", "i", "j", w[mode].alias("w")).filter("w IS NOT NULL")
+    return held.select("fid", "i", "j", _weight(mode).alias("w")).filter("w IS NOT NULL")
+
+
+def burn_modes(held: DataFrame, modes: dict[str, tuple[str, str, bool]], value: str = "value") -> DataFrame:
+    """mode, i, j, v of several ways at once: from parts that kept their features' values, each named mode (weights' mode, how to combine, whether normalised; as in burn) is a column of one aggregation of cells."""
+    v, columns = F.col(value).cast("double"), []
+    for name, (mode, combine, normalised) in modes.items():
+        w = _weight(mode)
+        columns += [_combined(combine, v * w, w, normalised).alias(f"_v_{name}"), F.count(w).alias(f"_n_{name}")]
+    out = held.groupBy("i", "j").agg(*columns)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("mode"), F.col(f"_v_{n}").alias("v"), F.col(f"_n_{n}").alias("n")) for n in modes]))
+    return out.select("i", "j", each.alias("m")).filter("m.n > 0").select("m.mode", "i", "j", "m.v")
+
+
+def _combined(combine: str, x: Column, w: Column, normalised: bool) -> Column:
+    total = F.sum(x) / (F.nullif(F.sum(w), F.lit(0.0)) if normalised else F.lit(1.0))
+    return {"sum": total, "average": F.avg(x), "min": F.min(x), "max": F.max(x), "replace": F.max_by(x, F.when(w.isNotNull(), F.col("fid")))}[combine]
 
 
 def centroids(features: DataFrame, ni: int, nj: int, shape: str = "ring") -> DataFrame:
@@ -40,10 +58,8 @@ def centroids(features: DataFrame, ni: int, nj: int, shape: str = "ring") -> Dat
 
 def burn(weighted: DataFrame, features: DataFrame, value: Column, combine: str = "sum", normalised: bool = False) -> DataFrame:
     """i, j, v of the cells of features' weights: each feature's value times its weight, combined: sum, average, min, max or replace (the largest fid's); sums divided by the cell's weights if normalised."""
-    p = weighted.join(features.select("fid", value.cast("double").alias("_v")), "fid").withColumn("_x", F.col("_v") * F.col("w"))
-    total = F.sum("_x") / (F.nullif(F.sum("w"), F.lit(0.0)) if normalised else F.lit(1.0))
-    how = {"sum": total, "average": F.avg("_x"), "min": F.min("_x"), "max": F.max("_x"), "replace": F.max_by("_x", "fid")}
-    return p.groupBy("i", "j").agg(how[combine].alias("v"))
+    p = weighted.join(features.select("fid", value.cast("double").alias("_v")), "fid")
+    return p.groupBy("i", "j").agg(_combined(combine, F.col("_v") * F.col("w"), F.col("w"), normalised).alias("v"))
 
 
 def cell_ring(i: Column, j: Column, steps: int = 1) -> Column:

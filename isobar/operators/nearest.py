@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import quadtree
-from .shared import stored
+from .shared import discard, stored
 
 
 def around(d: Column, period: float | None) -> Column:
@@ -39,6 +39,7 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int, cell: float | None
         tree = stored(quadtree.leaves(t, whole, k, x="tx", y="ty", period=wrap), "leaves")
         known = quadtree.leaf_of(p, tree, whole, "lon", "lat", wrap).select("id", F.col("level").alias("l"))
         p = stored(p.join(known, "id", "left").select("id", "lon", "lat", F.coalesce("l", F.lit(0)).cast("int").alias("level")), "open")
+        discard(tree)
     bucket = lambda c, period=False: quadtree.bucket(F.col(c), whole, F.col("level"), period)
     while True:
         levels = [r["level"] for r in p.select("level").distinct().collect()]
@@ -61,7 +62,8 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int, cell: float | None
         sure = sure.filter((F.col("level") == 0) | (F.col("n") == k) & (F.col("far") < F.col("edge") * F.col("edge"))).select("id")
         found = stored(got.join(sure, "id", "left_semi").select("id", "target", "d2", "rank"), "near")
         done = found if done is None else done.unionByName(found)
-        p = stored(p.filter("level > 0").join(found.select("id").distinct(), "id", "left_anti").withColumn("level", F.col("level") - 1), "open")
+        last, p = p, stored(p.filter("level > 0").join(found.select("id").distinct(), "id", "left_anti").withColumn("level", F.col("level") - 1), "open")
+        discard(last)
 
 
 def weighted(near: DataFrame, values: DataFrame, how: list[str]) -> DataFrame:

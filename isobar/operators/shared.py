@@ -29,4 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, so lineage ends there."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored that nothing reads any more; others are left."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from isobar.functions import expr, rings
 from isobar.operators import fields, gather, gridref, layers, nearest
-from isobar.operators.shared import stored
 
 from .grids import CELLS, LAT, LON, PTS, _BILINEAR, _CORNERS, event_cells, event_points, points, query, r, read
 from .registry import SQL
@@ -93,13 +92,10 @@ def _layer(spark, sf_dir):
 )
 def layer_cells(spark, sf_dir):
     f = _layer(spark, sf_dir)
-    held, lines = stored(layers.parts(f, 73, 37), "parts"), layers.parts(f, 73, 37, "line", length=True)
-    out = layers.burn(layers.centroids(f, 73, 37), f, F.col("value")).withColumn("mode", F.lit("centroid"))
-    for name, parts, mode, combine, normalised in [
-        ("aliased", held, "aliased", "sum", False), ("conservative", held, "conservative", "sum", False), ("normalised", held, "conservative", "sum", True), ("within", held, "within", "average", False),
-        ("highest", held, "intersect", "max", False), ("last", held, "intersect", "replace", False), ("length", lines, "conservative", "sum", False),
-    ]:
-        out = out.unionByName(layers.burn(layers.weights(parts, mode), f, F.col("value"), combine, normalised).withColumn("mode", F.lit(name)))
+    ways = {"aliased": ("aliased", "sum", False), "conservative": ("conservative", "sum", False), "normalised": ("conservative", "sum", True), "within": ("within", "average", False), "highest": ("intersect", "max", False), "last": ("intersect", "replace", False)}
+    out = layers.burn_modes(layers.parts(f, 73, 37, keep=("value",)), ways)
+    out = out.unionByName(layers.burn_modes(layers.parts(f, 73, 37, "line", length=True, keep=("value",)), {"length": ("conservative", "sum", False)}))
+    out = out.unionByName(layers.burn(layers.centroids(f, 73, 37), f, F.col("value")).withColumn("mode", F.lit("centroid")))
     return out.select("mode", "i", "j", r(F.col("v"), 7).alias("v"))
 
 
