@@ -9,9 +9,8 @@ action sorts last, so ``block`` wins.
 
 A capture (url, fetched_at) is held against the entries active when it was fetched. Captures are first
 reduced to their distinct keys (host and path, as deep as the deepest pattern), which a partial aggregation does before any
-shuffle; each key is expanded to the patterns that can cover it, joined to the block intervals by equality
-of the pattern, and its intervals are gathered in one array per key, whose size follows the list and not
-the captures. Each capture then meets one row, its key's, and looks up its fetch time in the array: a
+shuffle; each key is expanded to the patterns that can cover it, joined to the patterns' histories (block intervals in order, an array for each pattern, whose size follows the list and not
+the captures) by equality of the pattern, and gathers the histories of these few patterns in one row. Each capture then meets one row, its key's, and looks up its fetch time in each history by halving: a
 key that holds a third of all captures only makes a join partition of one right row, which adaptive
 execution splits. No row count grows by the joins.
 
@@ -80,6 +79,14 @@ def _covering(host: Column, folder: Column) -> Column:
     return F.flatten(F.transform(tails, lambda t: F.transform(paths, lambda p: F.concat(t, p))))
 
 
+def _last(times: Column, at: Column) -> Column:
+    """The last of a pattern's intervals, which follow each other, that begins at or before a time, by halving: as many steps as the number of intervals has bits."""
+    n = F.size(times)
+    steps = F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    place = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= n) & (F.try_element_at(times, p + s).since <= at), p + s).otherwise(p))
+    return F.when(place > 0, F.try_element_at(times, F.greatest(place, F.lit(1))))
+
+
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """captures with host, blocked, and the pattern and since of the longest (then first) active entry."""
     blocked = intervals(entries)
@@ -90,10 +97,12 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     c = captures.withColumn("host", url_host(F.col(url))).crossJoin(F.broadcast(depth.withColumnRenamed("depth", own["depth"])))
     c = c.withColumn(own["host"], F.when(F.col("host").isNotNull(), _match_host(F.col(url)))).withColumn(own["folder"], F.coalesce(F.try_element_at(_prefixes(url_folder(F.col(url)), F.col(own["depth"])), F.lit(-1)), F.lit(""))).drop(own["depth"])
     keys = c.filter("host IS NOT NULL").groupBy(host.alias("h"), folder.alias("f")).agg(F.lit(1).alias("one")).select("h", "f")
-    hits = keys.withColumn("p", F.explode(_covering(F.col("h"), F.col("f")))).join(blocked, F.col("p") == F.col("pattern"))
-    spans = hits.groupBy(F.col("h").alias(own["h"]), F.col("f").alias(own["f"])).agg(F.sort_array(F.collect_list(F.struct((-F.length("pattern")).alias("o"), "pattern", "since", "until"))).alias(own["spans"]))
+    history = blocked.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("since", "until"))).alias("times"))
+    hits = keys.withColumn("p", F.explode(_covering(F.col("h"), F.col("f")))).join(history, F.col("p") == F.col("pattern"))
+    spans = hits.groupBy(F.col("h").alias(own["h"]), F.col("f").alias(own["f"])).agg(F.sort_array(F.collect_list(F.struct((-F.length("pattern")).alias("o"), "pattern", "times"))).alias(own["spans"]))
     at = F.col(fetched_at)
     j = c.join(spans, (host == F.col(own["h"])) & (folder == F.col(own["f"])), "left")
-    live = F.filter(own["spans"], lambda x: (x.since <= at) & (x.until.isNull() | (at < x.until)))
-    j = j.withColumn(own["hit"], F.when(F.size(live) > 0, live[0]))
+    found = F.transform(own["spans"], lambda x: F.struct(x.pattern.alias("pattern"), _last(x.times, at).alias("time")))
+    live = F.filter(found, lambda x: x.time.isNotNull() & (x.time.until.isNull() | (at < x.time.until)))
+    j = j.withColumn(own["hit"], F.when(F.size(live) > 0, F.struct(live[0].pattern.alias("pattern"), live[0].time.since.alias("since"))))
     return j.withColumns({"blocked": F.col(own["hit"]).isNotNull(), "pattern": F.col(f"{own['hit']}.pattern"), "since": F.col(f"{own['hit']}.since")}).drop(*[n for k, n in own.items() if k != "depth"])

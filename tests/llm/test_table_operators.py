@@ -142,3 +142,25 @@ def test_cells_of_several_blocks(spark, monkeypatch):
         score = x @ x[q]
         want = sorted((-int(score[k]), k) for k in range(700) if k != q)[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_long_histories(spark):
+    """A pattern listed and taken off hundreds of times, over another that is listed for good: each capture against every entry."""
+    import datetime
+
+    day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
+    entries = [("a.org", day(3 * k), "block" if k % 2 else "allow") for k in range(301)] + [("a.org/x/", day(100), "block"), ("org", day(400), "block"), ("org", day(500), "allow")]
+    captures = [(k, f"http://www.a.org/{'x/' if k % 3 else 'y/'}p", day(k)) for k in range(0, 1000, 7)] + [(-1, "http://a.org/", None), (-2, "http://b.org/x/", day(450)), (-3, "http://b.org/x/", day(500))]
+    df = spark.createDataFrame(captures, "id int, url string, fetched_at date")
+    got = {r.id: (r.blocked, r.pattern, r.since) for r in urlfilter.url_filter(df, spark.createDataFrame(entries, "pattern string, listed_at date, action string")).collect()}
+
+    def plain(url, at):
+        for pattern in ("a.org/x/", "a.org", "org"):
+            host, _, path = pattern.partition("/")
+            seen = [(d, a) for p, d, a in entries if p == pattern and at is not None and d <= at]
+            own = url.split("/")[2].removeprefix("www.")
+            if seen and (own == host or own.endswith("." + host)) and (not path or url.split(own + "/")[1].startswith(path)) and max(seen)[1] == "block":
+                return True, pattern, max(seen)[0]
+        return False, None, None
+
+    assert got == {k: plain(u, at) for k, u, at in captures}
