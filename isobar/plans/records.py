@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from isobar import jobs
 from isobar.functions import rings
 from isobar.operators import descriptors, fields, geometry, gridref, reading
 from isobar.operators.shared import folder
@@ -159,3 +160,13 @@ def polygon_files(spark, sf_dir):
     cut.write.mode("append").partitionBy("id").text(path)
     got, p = polygons.read(spark, path), F.col("polygon")
     return got.select(F.col("id").cast("bigint").alias("id"), F.when(p.isNotNull(), F.size(p)).alias("contours"), rings.vertex_count(p).alias("vertices"), r(rings.polygon_area(p)).alias("area"), F.col("error").isNotNull().alias("broken"))
+
+
+@query("record_tiles", f"WITH {CELLS}, o AS (SELECT a AS ti, b AS tj FROM range(4) x(a), range(6) y(b)) SELECT k, CAST(tj * 4 + ti + 1 AS INT) AS tile, CAST(greatest(0, ti * 4 - 1) + 1 AS INT) AS ig3, CAST(greatest(0, tj * 4 - 1) + 1 AS INT) AS ig4, CAST(i - greatest(0, ti * 4 - 1) AS INT) AS li, CAST(j - greatest(0, tj * 4 - 1) AS INT) AS lj, round(v, 6) AS v FROM cells JOIN o ON i >= ti * 4 - 1 AND i <= ti * 4 + 4 AND j >= tj * 4 - 1 AND j <= tj * 4 + 4")
+def record_tiles(spark, sf_dir):
+    """The events' field of each day as one record, cut in tiles of 4 x 4 with a halo by slices of its array."""
+    held = event_cells(spark, sf_dir).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct((F.col("j") * _WIDTH + F.col("i")).cast("int"), "v"))).alias("held"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(_WIDTH * _HEIGHT - 1)), lambda n: F.coalesce(F.try_element_at("held", n), F.lit(float("nan"))))
+    records = held.select("k", data.alias("data"), *[F.lit(v).alias(c) for c, v in (("ni", _WIDTH), ("nj", _HEIGHT), ("nk", 1), ("ip3", 0), ("ig3", 0), ("ig4", 0), ("grtyp", "Z"))])
+    t = jobs.tiled(records, 4, 4, 1).select("k", F.col("ip3").alias("tile"), "ig3", "ig4", "ni", F.posexplode("data").alias("n", "v")).filter("NOT isnan(v)")
+    return t.select("k", "tile", "ig3", "ig4", (F.col("n") % F.col("ni")).cast("int").alias("li"), F.floor(F.col("n") / F.col("ni")).cast("int").alias("lj"), r(F.col("v")).alias("v"))
