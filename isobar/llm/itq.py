@@ -296,3 +296,15 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "emb
     own = own.join(ends, "component").filter("n IS NOT NULL OR w > 1").select("cls", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "cls").join(own, "cls", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def links_sql(least: float = 0.95) -> str:
+    """All links by comparing every pair, and what each vector reaches by them: what near_duplicates gives where its tables miss none."""
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.sound AND b.sound AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {least}),
+w AS (SELECT a, b FROM l UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
+c AS (SELECT w.a, min(v.vec_id) AS least FROM w JOIN v ON v.r = w.b GROUP BY w.a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, c.least) AS component_id, v.vec_id = least(v.vec_id, c.least) AS kept FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN c ON c.a = v.r
+"""

@@ -105,7 +105,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_top_k": op6_top_k, "op8_quality": op8_quality, "op10_media": op10_media}
 QUERIES |= {"op2_url_filter": op2_url_filter, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
 QUERIES |= {"op11_embedding_dedup": op11_embedding_dedup, "op12_clustering": op12_clustering, "op13_whitening": op13_whitening}
-SQL = {"op1_jaccard_join": jaccard.components_sql(3, 90, 100), "op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL, "op12_clustering": kdmeans.clusters_sql()}
+SQL = {"op1_jaccard_join": jaccard.components_sql(3, 90, 100), "op2_url_filter": OP2_SQL, "op6_top_k": topk.SQL, "op9_mixing": mixing.PLAN_SQL, "op11_embedding_dedup": itq.links_sql(0.95), "op12_clustering": kdmeans.clusters_sql()}
 
 
 def sharding_sql() -> str:

@@ -211,3 +211,18 @@ def test_whitening_odd_rows(spark):
     assert whitening.whiten(df.limit(0)).collect() == []
     big = whitening.whiten(spark.createDataFrame([(1, [1e300, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 5.0])], "vec_id long, embedding array<double>")).collect()
     assert len(big) == 6 and all(r.deviation is None for r in big if r.vec_id == 1)
+
+
+def test_dedup_matches_sql(spark, tmp_path):
+    """On the given table, and on one of groups of near copies well above the threshold, which no table misses."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((60, 32))
+    v = np.concatenate([base, base[:20] + 0.1 * rng.standard_normal((20, 32)), base[:3], base[7:8] + 0.05 * rng.standard_normal((30, 32))])
+    table(spark, range(len(v)), v).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for d, path in ((SF, f"{SF}/embeddings.parquet"), (str(tmp_path), f"{tmp_path}/embeddings.parquet/*.parquet")):
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+        want = duck.execute(queries.SQL["op11_embedding_dedup"]).df().sort_values("vec_id").reset_index(drop=True)
+        got = queries.op11_embedding_dedup(spark, d).toPandas().sort_values("vec_id").reset_index(drop=True)
+        assert (got[list(want.columns)] == want).all().all() and list(got.dtypes[want.columns]) == list(want.dtypes)
+    assert got.n_links.sum() > 100
