@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.functions import rings
-from isobar.operators import catalog, dictionary, gridref, regrid
+from isobar.operators import catalog, dictionary, gridref, reading, regrid
 from isobar.sources import bf
 
 _OWN = ("file_idx", "rec_idx", "file", "offset", "nbytes")  # columns of reading, which writing doesn't take
@@ -70,13 +70,16 @@ def conserve(spark: SparkSession, source: str, target: str, grid: str, index: st
     field = records.select(*key, "ni", F.posexplode("data").alias("n", "v")).select(*key, (F.col("n") % F.col("ni")).cast("long").alias("i"), F.floor(F.col("n") / F.col("ni")).alias("j"), F.when(~F.isnan("v"), F.col("v")).alias("v"))
     out = known.apply(field, source, grid, key, "there" if means else "sum")
     ni, nj = cells[1].agg((F.max("i") + 1).cast("int"), (F.max("j") + 1).cast("int")).first()
+    if ni is None:
+        raise ValueError(f"{grid}: no axes (>> and ^^)")
+    ni, nj = cells[1].agg((F.max("i") + 1).cast("int"), (F.max("j") + 1).cast("int")).first()
     if ni is None:
         raise ValueError(f"{grid}: no axes (>> and ^^)")
     held = out.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("di", "dj").alias("at"), "value"))).alias("_held"))
+    held = reading.dense(out.select(*key, (F.col("dj") * ni + F.col("di")).alias("n"), F.col("value").alias("v")), key, F.lit(ni * nj))
     r = records.drop("data", "ni", "nj").join(held, key)
-    data = F.transform(F.sequence(F.lit(0), F.lit(ni * nj - 1)), lambda n: F.coalesce(F.try_element_at("_held", F.struct((n % ni).cast("long").alias("di"), F.floor(n / ni).alias("dj"))), F.lit(float("nan"))))
     heads = bf.fetched(spark.read.format("bf").option("data", "false").load(grid).filter(F.rtrim("nomvar").isin(">>", "^^")))
-    r = r.withColumns({"data": data, "ni": F.lit(ni), "nj": F.lit(nj), "dtype": F.lit("FLOAT64")}).select(*_RECORD)
+    r = r.withColumns({"ni": F.lit(ni), "nj": F.lit(nj), "dtype": F.lit("FLOAT64")}).select(*_RECORD)
     r.unionByName(heads.select(*_RECORD)).write.format("bf").mode("append").save(target)
     return made
 

@@ -6,7 +6,7 @@ are read (``bf.fetched``), tiles and masks of both times among them. The cells o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isobar.sources import bf
@@ -35,6 +35,13 @@ def record_cells(records: DataFrame, keys: list[str], tile: tuple[int, int, int]
     return c.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v").filter("v IS NOT NULL AND NOT isnan(v)")
 
 
+def dense(cells: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """keys and data: for each of the keys the values v by place n, 0 to before size (of the keys' columns), NaN where there is no cell. Places are filled in by one aggregation, so work is linear in them."""
+    every = cells.select(*keys).distinct().withColumn("n", F.explode(F.sequence(F.lit(0), size.cast("int") - 1))).withColumn("v", F.lit(None).cast("double"))
+    filled = every.unionByName(cells.select(*keys, F.col("n").cast("int").alias("n"), F.col("v").cast("double").alias("v"))).groupBy(*keys, "n").agg(F.coalesce(F.max("v"), F.lit(float("nan"))).alias("v"))
+    return filled.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda x: x.v).alias("data"))
+
+
 def fields_at(headers: DataFrame, requests: DataFrame, factor: float = 1.0, tile: tuple[int, int, int] | None = None, time: str = "dateo") -> DataFrame:
     """id, nomvar, etiket, ip1, i, j and value of each request's field: linear between the two times, times factor; null where either is missing or masked (0 in the ``@@`` record of the same variable, label, level and time)."""
     b = bracketed(headers, requests, time)

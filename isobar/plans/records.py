@@ -84,12 +84,10 @@ def _tile_files(spark, sf_dir):
     t = fields.tiles(c.select("k", "i", "j", "r.*"), ["k", "typvar", "ip1"], ni, nj, halo, _WIDTH, _HEIGHT)
     end = lambda start, n, side: F.least(F.lit(n), (F.floor((F.col(start) - 1 + halo) / side) + 1) * side + halo) - F.col(start) + 1
     t = t.withColumns({"w": F.when(F.col("ig3") == 1, F.least(F.lit(_WIDTH), F.lit(ni + halo))).otherwise(end("ig3", _WIDTH, ni)).cast("int"), "h": F.when(F.col("ig4") == 1, F.least(F.lit(_HEIGHT), F.lit(nj + halo))).otherwise(end("ig4", _HEIGHT, nj)).cast("int")})
-    held = F.map_from_entries(F.collect_list(F.struct((F.col("lj") * F.col("w") + F.col("li")).cast("int"), "v")))
-    t = t.groupBy("k", "typvar", "ip1", "tile", "ig3", "ig4", "w", "h").agg(held.alias("held"))
-    data = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda n: F.coalesce(F.try_element_at("held", n), F.lit(float("nan"))))
+    t = reading.dense(t.withColumn("n", F.col("lj") * F.col("w") + F.col("li")), ["k", "typvar", "ip1", "tile", "ig3", "ig4", "w", "h"], F.col("w") * F.col("h"))
     t = t.select(
         (F.col("k") * 86400).cast("int").alias("dateo"), F.lit("TT").alias("nomvar"), F.lit("RUN").alias("etiket"), "typvar", "ip1", F.col("tile").cast("int").alias("ip3"), F.col("ig3").cast("int").alias("ig3"),
-        F.col("ig4").cast("int").alias("ig4"), F.lit("#").alias("grtyp"), F.col("w").alias("ni"), F.col("h").alias("nj"), F.lit(1).alias("nk"), F.lit("FLOAT64").alias("dtype"), data.alias("data"),
+        F.col("ig4").cast("int").alias("ig4"), F.lit("#").alias("grtyp"), F.col("w").alias("ni"), F.col("h").alias("nj"), F.lit(1).alias("nk"), F.lit("FLOAT64").alias("dtype"), "data",
     )
     path = f"{folder(spark)}/tiles-{uuid.uuid4().hex}"
     t.repartition(4, "dateo").write.format("bf").mode("append").save(path)
@@ -165,8 +163,7 @@ def polygon_files(spark, sf_dir):
 @query("record_tiles", f"WITH {CELLS}, o AS (SELECT a AS ti, b AS tj FROM range(4) x(a), range(6) y(b)) SELECT k, CAST(tj * 4 + ti + 1 AS INT) AS tile, CAST(greatest(0, ti * 4 - 1) + 1 AS INT) AS ig3, CAST(greatest(0, tj * 4 - 1) + 1 AS INT) AS ig4, CAST(i - greatest(0, ti * 4 - 1) AS INT) AS li, CAST(j - greatest(0, tj * 4 - 1) AS INT) AS lj, round(v, 6) AS v FROM cells JOIN o ON i >= ti * 4 - 1 AND i <= ti * 4 + 4 AND j >= tj * 4 - 1 AND j <= tj * 4 + 4")
 def record_tiles(spark, sf_dir):
     """The events' field of each day as one record, cut in tiles of 4 x 4 with a halo by slices of its array."""
-    held = event_cells(spark, sf_dir).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct((F.col("j") * _WIDTH + F.col("i")).cast("int"), "v"))).alias("held"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(_WIDTH * _HEIGHT - 1)), lambda n: F.coalesce(F.try_element_at("held", n), F.lit(float("nan"))))
-    records = held.select("k", data.alias("data"), *[F.lit(v).alias(c) for c, v in (("ni", _WIDTH), ("nj", _HEIGHT), ("nk", 1), ("ip3", 0), ("ig3", 0), ("ig4", 0), ("grtyp", "Z"))])
+    held = reading.dense(event_cells(spark, sf_dir).withColumn("n", F.col("j") * _WIDTH + F.col("i")), ["k"], F.lit(_WIDTH * _HEIGHT))
+    records = held.select("k", "data", *[F.lit(v).alias(c) for c, v in (("ni", _WIDTH), ("nj", _HEIGHT), ("nk", 1), ("ip3", 0), ("ig3", 0), ("ig4", 0), ("grtyp", "Z"))])
     t = jobs.tiled(records, 4, 4, 1).select("k", F.col("ip3").alias("tile"), "ig3", "ig4", "ni", F.posexplode("data").alias("n", "v")).filter("NOT isnan(v)")
     return t.select("k", "tile", "ig3", "ig4", (F.col("n") % F.col("ni")).cast("int").alias("li"), F.floor(F.col("n") / F.col("ni")).cast("int").alias("lj"), r(F.col("v")).alias("v"))
