@@ -58,7 +58,7 @@ def decoded(sets: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
 def pressure(level: Column, ip1: Column, p0: Column) -> Column:
     """Pressure (hPa) of a level by the columns of ``decoded`` and the surface pressure: the level itself, a share of it, that between the top and it, the hybrid formula, or from a level's coefficients; null where a table lacks the level."""
     c = {n: F.col(n) for n in PARAMETERS}
-    own = F.filter(c["levels"], lambda x: x.ip == ip1)[0]
+    own = F.get(F.filter(c["levels"], lambda x: x.ip == ip1), F.lit(0))
     top = c["ptop"] / c["pref"]
     hybrid = c["pref"] * level + (p0 - c["pref"]) * F.pow(F.greatest(F.lit(0.0), (level - top) / (1 - top)), c["rcoef0"])
     by_table = F.when(c["version"] == 5001, own.a / 100 + own.b * p0).otherwise(F.exp(own.a + own.b * F.log(p0 / c["pref"])) / 100)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar.functions import expr, rings
-from isobar.operators import catalog, fields, gather, geometry, layers, nearest, scatter
+from isobar.operators import catalog, descriptors, fields, gather, geometry, layers, nearest, scatter
 from isobar.plans import scalars
 
 
@@ -154,3 +154,12 @@ def test_queries_leave_views_alone(spark):
     assert "between_s" in scalars.QUERIES["fn_between"](spark, "/root/testdata/sf0.001").columns
     assert spark.table("orders").count() == 3 and [t.name for t in spark.catalog.listTables() if t.name.startswith("orders_")] == []
     spark.catalog.dropTempView("orders")
+
+
+def test_pressure_of_levels_that_a_table_lacks(spark):
+    columns = "id long, kind string, version int, ptop double, pref double, rcoef0 double, rcoef1 double, levels array<struct<ip: int, a: double, b: double>>, ip1 int"
+    table, empty = [(100, 9.5, 1.0), (200, 9.0, 0.5)], []
+    rows = [(k, "HYBRID", v, 10.0, 800.0, 1.6, 0.0, levels, ip1) for k, (v, levels, ip1) in enumerate([(5001, table, 200), (5001, table, 400), (5002, table, 100), (5002, table, 400), (5001, empty, 100), (5002, None, 100)])]
+    got = spark.createDataFrame(rows, columns).select("id", descriptors.pressure(F.lit(0.9), F.col("ip1"), F.lit(1000.0)).alias("p")).collect()
+    want = [0.09 + 500, None, math.exp(9.5 + math.log(1000 / 800)) / 100, None, None, None]
+    assert [r.p for r in sorted(got)] == [None if w is None else pytest.approx(w) for w in want]
