@@ -8,6 +8,7 @@ text's language is the one of most letters.
 
 All texts of a slice go through Viterbi together: their words are cut in segments of ``SEGMENT``; for each segment and each language
 before it, the best scores are found at once, one numpy step for each place in a segment, and joined in order; then back pointers are kept, a bit for each word and language.
+N-grams are looked up for distinct words only, ``GRAM_CELLS`` of their letters at once, when learning too.
 
 Learning reads a bounded sample, at most ``PER_LANGUAGE`` texts of each language (all, if fewer; ``MAX_SAMPLE`` texts in all, but at least one a language, and ``common.SAMPLE_BYTES``). The model is a sparse table of
 2^BITS rows with a number for each language that has such an n-gram, whatever the number of languages, and is broadcast; the sample bounds it. Prediction is one pass over whole texts without a shuffle.
@@ -32,6 +33,7 @@ from .common import SLICE_BYTES, fitted, mix, sampled, slices, tidy, utf8, word_
 
 BITS, ORDER, CLIP, PENALTY, SEGMENT, PER_LANGUAGE, MAX_SAMPLE, SCRIPT_SHARE = 18, 4, 8.0, 12.0, 128, 1500, 60_000, 0.01
 CELLS = 1 << 20  # numbers of the segments at once in Viterbi
+GRAM_CELLS = 1 << 16  # letters, times languages where words are scored, of the words whose n-grams are looked up at once
 
 #: First code points of ranges, and the script that starts there (after the Unicode blocks).
 SCRIPTS = [
@@ -91,6 +93,15 @@ def _distinct(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return first, place
 
 
+def _runs(size: np.ndarray):
+    """Ranges (a, b) of words that have about ``GRAM_CELLS`` of the given sizes together, or one word: n-grams take many times the memory of their words."""
+    before, a = np.append(0, np.cumsum(size + 2)), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + GRAM_CELLS, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def _grams(cp: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the given words with a bound on either side, and the word of each."""
     size = n + 2
@@ -121,11 +132,17 @@ def fit(texts: pa.Array, y: list[str], prior: list[float]) -> bytes:
         cp, o = code_points(data[off[i] : off[j]], off[i : j + 1] - off[i])
         cp, s, n, row = _words(cp, o)
         if len(s):
-            f, w = _grams(cp, s, n)
             k = code[i:j][row]
-            at, count = np.unique(f * len(langs) + k[w], return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, at]), return_inverse=True)
-            times = np.bincount(back, np.concatenate([times, count]))
+            first, place = _distinct(cp, s, n)
+            pair, often = np.unique(place * len(langs) + k, return_counts=True)  # each word of a language once
+            first, of = first[pair // len(langs)], pair % len(langs)
+            found = [(keys, times)]
+            for a, b in _runs(n[first]):
+                f, w = _grams(cp, s[first[a:b]], n[first[a:b]])
+                at, back = np.unique(f * len(langs) + of[a:b][w], return_inverse=True)
+                found.append((at, np.bincount(back, often[a:b][w])))
+            keys, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([x for _, x in found]))
             np.add.at(scripts, (_script[np.searchsorted(_first, cp[s], side="right") - 1], k), n)
     bucket, lang = keys // max(1, len(langs)), keys % max(1, len(langs))
     base = -np.log(2 * np.bincount(lang, times, len(langs)) + (1 << BITS))
@@ -225,7 +242,9 @@ class _Labeller:
         if not len(s):
             return ["und"] * rows, np.zeros(rows), (none, none, none, none)
         first, place = _distinct(cp, s, n)
-        score = self.scores(*_grams(cp, s[first], n[first]), len(first))
+        score = np.empty((len(first), k))
+        for a, b in _runs(n[first] * k):
+            score[a:b] = self.scores(*_grams(cp, s[first[a:b]], n[first[a:b]]), b - a)
         script = _script[np.searchsorted(_first, cp[s[first]], side="right") - 1]
         allowed = self.allowed[script]
         score = np.where(allowed, score, -np.inf)

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from isobar.llm import bpe, language, media, quality, toxicity
-from isobar.llm.common import crc_fold
+from isobar.llm.common import crc_fold, utf8
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -185,3 +186,25 @@ def test_statistics_of_no_rows():
     f, r = toxicity.occurrences(np.zeros(0, np.uint8), np.zeros(3, np.int64))
     assert len(f) == len(r) == 0
     assert pa.array([""]).type == pa.string()
+
+
+def test_languages_of_many_words_in_bounded_memory(monkeypatch):
+    """A slice of 1 MB takes far less than 100 MB for its n-grams, and how many words are looked up at once changes nothing."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghé", k=rng.randint(3, 12))) for _ in range(25_000)) for _ in range(4)]
+    column = pa.array(texts, pa.large_string())
+    data, off = utf8(column)
+    language._chars()
+    results = []
+    for cells in (language.GRAM_CELLS, 1 << 30):
+        monkeypatch.setattr(language, "GRAM_CELLS", cells)
+        tracemalloc.start()
+        model = language.fit(column, ["a", "b", "c", "d"], [0.25] * 4)
+        learnt = tracemalloc.get_traced_memory()[1]
+        labeller = language._Labeller(model)
+        tracemalloc.reset_peak()
+        langs, score, words = labeller(data, off)
+        results.append((model, langs, score.tolist(), [w.tolist() for w in words], learnt, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    assert results[0][:4] == results[1][:4]
+    assert max(results[0][4:]) < 100 << 20 < min(results[1][4:]), [x[4:] for x in results]
