@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import free_names, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_AND_SPACE = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 DIGITS = ((1, 3), (4, 3))  # first digit and number of hexadecimal digits of the key, of each cut in ranges
@@ -65,10 +66,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _n_words(text: str) -> Column:
+    """Number of words: each becomes one character with the space about it. regexp_count would hold all words of a text at once."""
+    return F.when(F.regexp_like(text, F.lit(WORD)), F.length(F.regexp_replace(text, F.lit(WORD_AND_SPACE), F.lit("x")))).otherwise(F.lit(0)).cast("bigint")
+
+
 def _sized(docs: DataFrame, seed: int, name: dict[str, str]) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.drop("size", "source_size", "target", "taken").withColumns({"size": size, name["key"]: key, name["tie"]: F.xxhash64("text")})
+    return docs.drop("size", "source_size", "target", "taken").withColumns({"size": _n_words("text"), name["key"]: key, name["tie"]: F.xxhash64("text")})
 
 
 def _source_table(rows: DataFrame) -> DataFrame:

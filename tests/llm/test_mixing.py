@@ -107,3 +107,11 @@ def test_one_id_on_many_rows(spark, one):
     again = mix_plan(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
     key = lambda r: (r.text, r.taken)
     assert sorted(map(key, again)) == sorted(map(key, got))
+
+
+def test_words_are_counted_without_holding_them(spark):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", " a", "a ", "a\x1cb \x85  c", "\u2003\u3000 x", "\U0001F600 \U0001F600", "  \x00 z", "$1 \\ x", " " * 100000, "w " * 50000, " " * 1000 + "a" * 50000 + " " * 1000]
+    plan = mix_plan(spark.createDataFrame([(k, t, "s", "") for k, t in enumerate(texts)], SCHEMA))
+    assert {r.doc_id: r.size for r in plan.collect()} == {k: len(WORD.findall(t or "")) for k, t in enumerate(texts)}
+    shown = plan._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" in shown and "regexp_extract_all" not in shown
