@@ -341,6 +341,11 @@ def wrap_lon(lon):
     return f"(CASE WHEN {lon} > 180 THEN {lon} - 360 WHEN {lon} < -180 THEN {lon} + 360 ELSE {lon} END)"
 
 
+def meridian(lon):
+    """A rounded longitude, 180 for -180: rounding errors leave a place on that meridian on either side of it."""
+    return f"(CASE WHEN {lon} = -180 THEN 180E0 ELSE {lon} END)"
+
+
 def wrap_lon_rad(lon):
     p, t = num(math.pi), num(TWO_PI)
     return f"(CASE WHEN {lon} > {p} THEN (({lon} + {p}) % {t}) - {p} WHEN {lon} <= -{p} THEN (({lon} - {p}) % {t}) + {p} ELSE {lon} END)"

@@ -95,7 +95,7 @@ def _sphere(e):
     a = f"SELECT id, lat, lon, {ro[0]} AS rlat, {ro[1]} AS rlon, {ra[0]} AS az, {ra[1]} AS bin, {af[0]} AS ax, {af[1]} AS ay FROM ({points(e)}) p"
     c = {
         "metres": r(x.distance("lat", "lon", "45.5E0", "-73.6E0"), 3), "bearing": r(f"degrees({x.course('lat', 'lon', '45.5E0', '(-73.6E0)')})", 5), "wrapped": r(x.wrap_lon("(lon + 200)")), "wrapped_rad": r(x.wrap_lon_rad("radians(lon + 200)")),
-        "in_box": x.within("-40E0", "-20E0", "60E0", "100E0", "lat", "lon"), "in_dateline_box": x.within("-40E0", "-170E0", "60E0", "170E0", "lat", "lon"), "clamped_lat": x.clamp("(lat * 2)", "-90E0", "90E0"), "rlat": r("rlat"), "rlon": r("rlon"), "back_lat": r(un[0], 5), "back_lon": r(un[1], 5),
+        "in_box": x.within("-40E0", "-20E0", "60E0", "100E0", "lat", "lon"), "in_dateline_box": x.within("-40E0", "-170E0", "60E0", "170E0", "lat", "lon"), "clamped_lat": x.clamp("(lat * 2)", "-90E0", "90E0"), "rlat": r("rlat"), "rlon": r("rlon"), "back_lat": r(un[0], 5), "back_lon": x.meridian(r(un[1], 5)),
         "az": r("az", 4), "bin": r("bin", 4), "radar_lat": r(rp[0], 4), "sweep_height": r(x.radar_height(120.0, "2.5E0", "floor(bin)", 500.0), 3), "ax": r("ax"), "ay": r("ay"), "inv_x": r(ai[0]), "inv_y": r(ai[1]), "grid_x": r("(lon + 180) / 30"), "default_lat": r("lat / 180"),
     }
     return f"SELECT id, {columns(c)} FROM ({a}) q"
