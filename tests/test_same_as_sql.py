@@ -28,3 +28,8 @@ def differences(spark, tmp_path, name, **tables):
 
 def test_the_meridian_of_180_degrees_has_one_name(spark, tmp_path):
     assert differences(spark, tmp_path, "fn_sphere", customer={"c_custkey": [72000, 36000, 1]}) == ([], [])
+
+
+def test_vertices_beyond_the_pole_come_back(spark, tmp_path):
+    """Heights of up to 92 degrees, and a ring of plain ones."""
+    assert differences(spark, tmp_path, "ring_projected_back", supplier={"s_suppkey": [218, 299, 598, 1414, 7]}) == ([], [])
