@@ -189,7 +189,8 @@ def coordinate_limit(ring: Column, axis: str, how: str) -> Column:
 
 
 def area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Area of the part of a ring inside a box: each edge counts the area between it and the box's lower side, over the box's width, with the sign of its run."""
+    """Area of the part of a ring inside a box: each edge counts the area between it and the first vertex's height in the box, over the box's width, with the sign of its run."""
+    base = F.greatest(y0, F.least(y1, ring[0].y))
 
     def under(t: Column) -> Column:  # integral of the height in the box up to t
         h = F.greatest(F.lit(0.0), F.least(t, y1) - y0)
@@ -199,8 +200,8 @@ def area_in_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
         xs, xe = F.greatest(x0, F.least(x1, e.a.x)), F.greatest(x0, F.least(x1, e.b.x))
         slope = (e.b.y - e.a.y) / F.nullif(e.b.x - e.a.x, F.lit(0.0))
         ys, ye = e.a.y + slope * (xs - e.a.x), e.a.y + slope * (xe - e.a.x)
-        level = F.greatest(y0, F.least(y1, (ys + ye) / 2)) - y0
-        mean = F.when(F.abs(ye - ys) < 1e-12 * (F.abs(ys) + F.abs(ye) + 1), level).otherwise((under(ye) - under(ys)) / (ye - ys))
+        level = F.greatest(y0, F.least(y1, (ys + ye) / 2)) - base
+        mean = F.when(F.abs(ye - ys) < 1e-12 * (F.abs(ys) + F.abs(ye) + 1), level).otherwise((under(ye) - under(ys)) / (ye - ys) - (base - y0))
         return F.coalesce((xe - xs) * mean, F.lit(0.0))
 
     return F.abs(_total(edges(ring), below))

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from isobar.functions import rings
 
 
-def parts(features: DataFrame, ni: int, nj: int, shape: str = "ring", length: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """fid, the kept columns, i, j, part and whole: the area (or an open line's length) of each feature in each cell of a grid of ni x nj, and in all; cells without any have no row."""
+def parts(features: DataFrame, ni: int, nj: int, shape: str = "ring", length: bool = False, keep: tuple[str, ...] = (), whole: Column | None = None) -> DataFrame:
+    """fid, the kept columns, i, j, part and whole: the area (or an open line's length) of each feature in each cell of a grid of ni x nj, and in all; cells without any have no row. A line along the sides of cells lies in those on both sides of it. ``whole`` can be given where it is known better than far from the origin (rounding errors of the vertices)."""
     g = F.col("g")
-    e = features.select("fid", *keep, F.col(shape).alias("g"), rings.envelope(F.col(shape)).alias("e"))
-    first, last = (lambda v: F.greatest(F.lit(0), F.floor(v + 0.5))), (lambda v, n: F.least(F.lit(n - 1), F.floor(v + 0.5)))
-    e = e.filter((F.col("e.x1") >= -0.5) & (F.col("e.y1") >= -0.5) & (F.col("e.x0") < ni - 0.5) & (F.col("e.y0") < nj - 0.5))
-    e = e.withColumn("whole", rings.length(g, closed=False) if length else rings.area(g))
+    own = rings.length(F.col(shape), closed=False) if length else rings.area(F.col(shape))
+    e = features.select("fid", *keep, F.col(shape).alias("g"), rings.envelope(F.col(shape)).alias("e"), (own if whole is None else whole).alias("whole"))
+    first, last = (lambda v: F.greatest(F.lit(0), F.ceil(v - 0.5) if length else F.floor(v + 0.5))), (lambda v, n: F.least(F.lit(n - 1), F.floor(v + 0.5)))
+    e = e.filter((F.col("e.x1") >= -0.5) & (F.col("e.y1") >= -0.5) & (F.col("e.x0") <= ni - 0.5) & (F.col("e.y0") <= nj - 0.5))
+    e = e if length else e.filter((F.col("e.x0") < ni - 0.5) & (F.col("e.y0") < nj - 0.5))
     e = e.withColumn("i", F.explode(F.sequence(first(F.col("e.x0")), last(F.col("e.x1"), ni)))).withColumn("j", F.explode(F.sequence(first(F.col("e.y0")), last(F.col("e.y1"), nj))))
     box = (F.col("i") - 0.5, F.col("j") - 0.5, F.col("i") + 0.5, F.col("j") + 0.5)
     part = rings.length_in_box(g, *box) if length else rings.area_in_box(g, *box)
@@ -51,8 +52,9 @@ def _combined(combine: str, x: Column, w: Column, normalised: bool) -> Column:
 
 
 def centroids(features: DataFrame, ni: int, nj: int, shape: str = "ring") -> DataFrame:
-    """fid, i, j and w (1) of the cell that holds each feature's centroid."""
-    c = features.select("fid", rings.centroid(F.col(shape)).alias("c")).select("fid", F.floor(F.col("c.x") + 0.5).alias("i"), F.floor(F.col("c.y") + 0.5).alias("j"), F.lit(1.0).alias("w"))
+    """fid, i, j and w (1) of the cell that holds each feature's centroid; one on the line between two cells, but for rounding errors, belongs to the upper one."""
+    at = lambda v: F.floor(F.col(v) + (0.5 + 1e-9))
+    c = features.select("fid", rings.centroid(F.col(shape)).alias("c")).select("fid", at("c.x").alias("i"), at("c.y").alias("j"), F.lit(1.0).alias("w"))
     return c.filter((F.col("i") >= 0) & (F.col("i") < ni) & (F.col("j") >= 0) & (F.col("j") < nj))
 
 

@@ -78,8 +78,10 @@ o AS (SELECT s.*, i, j, greatest(0, least(x + w, i + 0.5e0) - greatest(x, i - 0.
 def _layer(spark, sf_dir):
     s = points(read(spark, sf_dir, "supplier"), "s_suppkey").withColumns({"x": (F.col("lon") + 180) / 5, "y": (F.col("lat") + 90) / 5, "w": (F.lit(4.0) + F.col("s_suppkey") % 7) / 5, "h": (F.lit(3.0) + F.col("s_suppkey") % 5) / 5})
     x, y, w, h = (F.col(c) for c in "xywh")
-    ring = [(x, y), (x + w, y), (x + w, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, y + h), (x, y + h)]
-    return s.select(F.col("s_suppkey").alias("fid"), F.col("s_acctbal").alias("value"), F.array(*[rings.point(*p) for p in ring]).alias("ring"), F.array(*[rings.point(*p) for p in ring[:3]]).alias("line"))
+    zero = F.lit(0.0)
+    ring = [(zero, zero), (w, zero), (w, h / 2), (w / 2, h / 2), (w / 2, h), (zero, h)]
+    at = lambda ps: F.array(*[rings.point(x + a, y + b) for a, b in ps])
+    return s.select(F.col("s_suppkey").alias("fid"), F.col("s_acctbal").alias("value"), at(ring).alias("ring"), at(ring[:3]).alias("line"), rings.area(F.array(*[rings.point(*p) for p in ring])).alias("area"))
 
 
 @query(
@@ -93,7 +95,7 @@ def _layer(spark, sf_dir):
 def layer_cells(spark, sf_dir):
     f = _layer(spark, sf_dir)
     ways = {"aliased": ("aliased", "sum", False), "conservative": ("conservative", "sum", False), "normalised": ("conservative", "sum", True), "within": ("within", "average", False), "highest": ("intersect", "max", False), "last": ("intersect", "replace", False)}
-    out = layers.burn_modes(layers.parts(f, 73, 37, keep=("value",)), ways)
+    out = layers.burn_modes(layers.parts(f, 73, 37, keep=("value",), whole=F.col("area")), ways)
     out = out.unionByName(layers.burn_modes(layers.parts(f, 73, 37, "line", length=True, keep=("value",)), {"length": ("conservative", "sum", False)}))
     out = out.unionByName(layers.burn(layers.centroids(f, 73, 37), f, F.col("value")).withColumn("mode", F.lit("centroid")))
     return out.select("mode", "i", "j", r(F.col("v"), 7).alias("v"))

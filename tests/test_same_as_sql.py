@@ -33,3 +33,8 @@ def test_the_meridian_of_180_degrees_has_one_name(spark, tmp_path):
 def test_vertices_beyond_the_pole_come_back(spark, tmp_path):
     """Heights of up to 92 degrees, and a ring of plain ones."""
     assert differences(spark, tmp_path, "ring_projected_back", supplier={"s_suppkey": [218, 299, 598, 1414, 7]}) == ([], [])
+
+
+def test_shapes_whose_centroids_and_sides_lie_between_cells(spark, tmp_path):
+    keys = list(range(600))
+    assert differences(spark, tmp_path, "layer_cells", supplier={"s_suppkey": keys, "s_acctbal": [k * 7919 % 1000003 / 100 for k in keys]}) == ([], [])
