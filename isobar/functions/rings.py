@@ -14,10 +14,14 @@ def rectangle(x0, y0, x1, y1) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it: functions of arrays share nothing."""
+    return F.transform(F.array(value), f)[0]
+
+
 def edges(ring: Column) -> Column:
     """array<struct<a, b>> of consecutive vertices, closed."""
-    n = F.size(ring)
-    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.element_at(ring, (i + 1) % n + 1).alias("b")))
+    return bound(ring, lambda r: F.transform(r, lambda p, i: F.struct(p.alias("a"), F.element_at(r, (i + 1) % F.size(r) + 1).alias("b"))))
 
 
 def _total(items: Column, f) -> Column:
@@ -58,22 +62,24 @@ def envelope(ring: Column) -> Column:
 
 def clip_convex(ring: Column, by: Column) -> Column:
     """The part of a convex ring within another one, of either turn: cut along the other's edges, one after the other; empty if nothing is left."""
-    turn = F.signum(signed_area(by))
 
-    def cut(left: Column, e: Column) -> Column:
+    def cut(left: Column, e: Column, turn: Column) -> Column:
         side = lambda p: turn * ((e.b.x - e.a.x) * (p.y - e.a.y) - (e.b.y - e.a.y) * (p.x - e.a.x))
 
         def step(s: Column) -> Column:
-            p, q = side(s.a), side(s.b)
-            t = p / (p - q)
-            meet = F.array(point(s.a.x + t * (s.b.x - s.a.x), s.a.y + t * (s.b.y - s.a.y)))
-            own = F.when(p >= 0, F.array(point(s.a.x, s.a.y))).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
-            return F.when(((p > 0) & (q < 0)) | ((p < 0) & (q > 0)), F.concat(own, meet)).otherwise(own)
+            def parts(v: Column) -> Column:
+                p, q = v.p, v.q
+                t = p / (p - q)
+                meet = F.array(point(s.a.x + t * (s.b.x - s.a.x), s.a.y + t * (s.b.y - s.a.y)))
+                own = F.when(p >= 0, F.array(point(s.a.x, s.a.y))).otherwise(F.array().cast("array<struct<x: double, y: double>>"))
+                return F.when(((p > 0) & (q < 0)) | ((p < 0) & (q > 0)), F.concat(own, meet)).otherwise(own)
+
+            return bound(F.struct(side(s.a).alias("p"), side(s.b).alias("q")), parts)
 
         return F.flatten(F.transform(edges(left), step))
 
     whole = F.transform(ring, lambda p: point(p.x, p.y))
-    return F.aggregate(edges(by), whole, cut)
+    return bound(F.signum(signed_area(by)), lambda turn: F.aggregate(edges(by), whole, lambda left, e: cut(left, e, turn)))
 
 
 def projected(ring: str, to, tolerance: float | None = None, period: float | None = None, most: int = 1024) -> Column:

@@ -12,8 +12,10 @@ import math
 from collections import defaultdict
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,6 +242,59 @@ def clip_area_udf(op: str):
     return f
 
 
+def convex_areas(one: pa.ListArray, other: pa.ListArray) -> np.ndarray:
+    """Areas of the common parts of convex rings, pair by pair: each ring is cut along the other's edges, one after the other, all pairs at once; vertices lie in one array, those of a ring after each other.
+
+    Places are taken from the other ring's first vertex, so that areas far from the origin keep their digits. 0 where a ring is null or empty."""
+    n, (p, count), (e, sides) = len(one), _flat(one), _flat(other)
+    first, some = np.cumsum(sides) - sides, (count > 0) & (sides > 0)
+    origin = np.zeros((n, 2))
+    origin[some] = e[first[some]]
+    row = np.repeat(np.arange(n), count)
+    p, row = (p - origin[row])[some[row]], row[some[row]]
+    e = e - np.repeat(origin, sides, axis=0)
+    turn = np.sign(_areas(e, np.repeat(np.arange(n), sides), n))
+    for k in range(int(sides.max(initial=0))):
+        has = k < sides[row]
+        a = e[np.where(has, first[row] + k, 0)]
+        b = e[np.where(has, first[row] + (k + 1) % np.maximum(sides[row], 1), 0)]
+        d = b - a
+        side = np.where(has, turn[row] * (d[:, 0] * (p[:, 1] - a[:, 1]) - d[:, 1] * (p[:, 0] - a[:, 0])), 1.0)
+        after = _after(row)
+        q = np.where(has, turn[row] * (d[:, 0] * (p[after, 1] - a[:, 1]) - d[:, 1] * (p[after, 0] - a[:, 0])), 1.0)
+        own, meet = side >= 0, ((side > 0) & (q < 0)) | ((side < 0) & (q > 0))
+        at = np.cumsum(own.astype(np.int64) + meet) - meet - own
+        out, to = np.empty((int(own.sum() + meet.sum()), 2)), np.empty(int(own.sum() + meet.sum()), dtype=np.int64)
+        out[at[own]], to[at[own]] = p[own], row[own]
+        t = (side[meet] / (side[meet] - q[meet]))[:, None]
+        place = at[meet] + own[meet]
+        out[place], to[place] = p[meet] + t * (p[after[meet]] - p[meet]), row[meet]
+        p, row = out, to
+    return np.abs(_areas(p, row, n))
+
+
+def _flat(rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of all rings (n x 2), and how many each has; none of a null one."""
+    v = rings.flatten()
+    count = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.stack([v.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1).astype(float).reshape(-1, 2), count
+
+
+def _after(row: np.ndarray) -> np.ndarray:
+    """Where the next vertex of the same ring lies, which is the first one after the last."""
+    n = len(row)
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if n else np.empty(0, dtype=np.int64)
+    after = np.arange(1, n + 1)
+    after[np.r_[start[1:], n][: len(start)] - 1] = start
+    return after
+
+
+def _areas(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Signed areas of n rings."""
+    q = p[_after(row)]
+    return np.bincount(row, weights=p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1], minlength=n) / 2
+
+
 def strips_udf(op: str):
     """As clip_udf, to triangle strips of four vertices."""
 

@@ -9,14 +9,16 @@ Weights come from places on the source grid (``bilinear``, ``nearest``), from bo
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.functions import rings
 
-from . import quadtree
+from . import geometry, quadtree
 from .globe import Globe
 
 
@@ -48,11 +50,21 @@ def _round(p: DataFrame, globe: Globe | None) -> DataFrame:
 def conservative(source: DataFrame, destination: DataFrame) -> DataFrame:
     """Weights of source cells (si, sj, ring) over destination cells (di, dj, ring), both convex: the part of the source cell's area that lies in the destination cell.
 
-    Candidates are pairs of cells whose boxes meet (quadtree.meetings); their common part is cut out edge by edge inside the JVM (rings.clip_convex). A source cell without area has no weights."""
-    s = source.select("si", "sj", F.col("ring").alias("sring")).withColumn("sbox", rings.envelope(F.col("sring")))
+    Candidates are pairs of cells whose boxes meet (quadtree.meetings); their common parts are cut out edge by edge, a batch of pairs at once (geometry.convex_areas). A source cell without area has no weights."""
+    area = rings.area(F.col("sring"))
+    s = source.select("si", "sj", F.col("ring").alias("sring")).repartition("si", "sj").withColumn("sbox", rings.envelope(F.col("sring"))).withColumn("sarea", area)
     d = destination.select("di", "dj", F.col("ring").alias("dring")).withColumn("dbox", rings.envelope(F.col("dring")))
-    w = rings.area(rings.clip_convex(F.col("sring"), F.col("dring"))) / F.nullif(rings.area(F.col("sring")), F.lit(0.0))
-    return quadtree.meetings(s, d, "sbox", "dbox").select("si", "sj", "di", "dj", w.alias("w")).filter("w > 0")
+    pairs = quadtree.meetings(s, d, "sbox", "dbox").select("si", "sj", "di", "dj", "sarea", "sring", "dring")
+    return pairs.mapInArrow(_parts, pairs.select("si", "sj", "di", "dj", F.col("sarea").alias("w")).schema)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = geometry.convex_areas(b.column("sring"), b.column("dring")) / b.column("sarea").to_numpy(zero_copy_only=False)
+        some = (w > 0) & (w < np.inf)
+        t = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("si", "sj", "di", "dj")), pa.array(w)], ["si", "sj", "di", "dj", "w"])
+        yield t.filter(pa.array(some))
 
 
 class RegridIndex:

@@ -1,7 +1,11 @@
 """Queries on rows of which the small tables have none, against their SQL."""
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from isobar.functions import rings
+from isobar.operators import geometry
 from isobar.plans import registry
 
 from .test_queries import plain
@@ -38,3 +42,22 @@ def test_vertices_beyond_the_pole_come_back(spark, tmp_path):
 def test_shapes_whose_centroids_and_sides_lie_between_cells(spark, tmp_path):
     keys = list(range(600))
     assert differences(spark, tmp_path, "layer_cells", supplier={"s_suppkey": keys, "s_acctbal": [k * 7919 % 1000003 / 100 for k in keys]}) == ([], [])
+
+
+def test_common_parts_of_many_cells_in_one_go():
+    """All pairs by arrays, and null or empty rings, which have no part."""
+    rings = [[(k % 7 + 0.0, 0.0), (k % 7 + 4.0, 1.0), (k % 7 + 4.0, 5.0), (k % 7 + 0.0, 4.0)] for k in range(20000)]
+    arrow = lambda rs: pa.array([r and [{"x": x, "y": y} for x, y in r] for r in rs], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    cut = [[(2.0, 0.0), (2.0, 9.0), (5.0, 9.0), (5.0, 0.0)]] * len(rings)
+    got = geometry.convex_areas(arrow(rings), arrow(cut))
+    assert got.tolist() == [4.0 * max(0, min(k % 7 + 4, 5) - max(k % 7, 2)) for k in range(len(rings))]
+    assert geometry.convex_areas(arrow([None, [], cut[0], cut[0]]), arrow([cut[0], cut[0], None, rings[0]])).tolist() == [0.0, 0.0, 0.0, 8.0]
+
+
+def test_a_ring_is_made_once(spark):
+    """The plan of an area names the ring it is taken of once, not once for each vertex to be looked up."""
+    ring = rings.clip_convex(F.col("r"), F.col("b"))
+    plan = spark.range(1).select(rings.rectangle(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(2.0)).alias("r"), rings.rectangle(F.lit(1.0), F.lit(1.0), F.lit(9.0), F.lit(9.0)).alias("b"))
+    assert plan.select(rings.area(ring).alias("a")).first().a == 3.0
+    once, area = (str(spark.range(1).select(F.lit(None).cast("array<struct<x: double, y: double>>").alias("r"), F.lit(None).cast("array<struct<x: double, y: double>>").alias("b")).select(c.alias("c"))._jdf.queryExecution().analyzed()) for c in (ring, rings.area(ring)))
+    assert area.count("aggregate(") <= once.count("aggregate(") + 1
