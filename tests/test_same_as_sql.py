@@ -61,3 +61,11 @@ def test_a_ring_is_made_once(spark):
     assert plan.select(rings.area(ring).alias("a")).first().a == 3.0
     once, area = (str(spark.range(1).select(F.lit(None).cast("array<struct<x: double, y: double>>").alias("r"), F.lit(None).cast("array<struct<x: double, y: double>>").alias("b")).select(c.alias("c"))._jdf.queryExecution().analyzed()) for c in (ring, rings.area(ring)))
     assert area.count("aggregate(") <= once.count("aggregate(") + 1
+
+
+def test_a_ring_to_be_split_is_unwrapped_once(spark):
+    df = spark.range(1).select(rings.rectangle(F.lit(179.0), F.lit(0.0), F.lit(182.0), F.lit(2.0)).alias("r"))
+    got = df.select(rings.wrap_split(rings.wrap(F.col("r"), -180.0, 180.0), -180.0, 180.0).alias("parts")).select(F.transform("parts", rings.area).alias("a"))
+    assert sorted(got.first().a) == [2.0, 4.0]
+    plan = str(spark.range(1).select(F.lit(None).cast("array<struct<x: double, y: double>>").alias("r")).select(rings.wrap_split(F.col("r"), -180.0, 180.0).alias("c"))._jdf.queryExecution().analyzed())
+    assert plan.count("aggregate(") == 2  # the one that unwraps, and the one of the areas
