@@ -1,5 +1,7 @@
 """Queries on rows of which the small tables have none, against their SQL."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -69,3 +71,24 @@ def test_a_ring_to_be_split_is_unwrapped_once(spark):
     assert sorted(got.first().a) == [2.0, 4.0]
     plan = str(spark.range(1).select(F.lit(None).cast("array<struct<x: double, y: double>>").alias("r")).select(rings.wrap_split(F.col("r"), -180.0, 180.0).alias("c"))._jdf.queryExecution().analyzed())
     assert plan.count("aggregate(") == 2  # the one that unwraps, and the one of the areas
+
+
+def test_points_in_rings_that_cross_themselves(spark):
+    """Bands of two edges and of more, at heights of vertices too."""
+    rng = random.Random(5)
+    ring = lambda n: [(rng.randint(-8, 8) / 2, rng.randint(-8, 8) / 2) for _ in range(n)]
+    shapes = spark.createDataFrame([(k, ring(3 + k % 7)) for k in range(40)], f"sid long, ring {geometry.RING}")
+    points = spark.createDataFrame([(k, rng.randint(-9, 9) / 2, rng.randint(-9, 9) / 2) for k in range(300)], "id long, x double, y double")
+    want = points.crossJoin(shapes).filter(rings.contains_point(F.col("ring"), F.col("x"), F.col("y"))).select("id", "sid").collect()
+    got = geometry.holders(points, shapes).select("id", "sid").collect()
+    assert len(want) > 500 and sorted(got) == sorted(want)
+
+
+def test_rings_of_all_sizes_that_cross(spark):
+    rng = random.Random(6)
+    ring = lambda n, x, y, w: [(x + w * rng.randint(-4, 4), y + w * rng.randint(-4, 4)) for _ in range(n)]
+    shapes = spark.createDataFrame([(k * 37 % 101, ring(3 + k % 5, rng.randint(-9, 9), rng.randint(-9, 9), (1.0, 0.25, 4.0)[k % 3])) for k in range(101)], f"sid long, ring {geometry.RING}")
+    o = shapes.select(F.col("sid").alias("other"), F.col("ring").alias("ring2"))
+    want = shapes.crossJoin(o).filter((F.col("sid") < F.col("other")) & rings.crosses(F.col("ring"), F.col("ring2"))).select("sid", "other").collect()
+    got = geometry.crossings(shapes, "sid").collect()
+    assert len(want) > 100 and sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
