@@ -147,7 +147,8 @@ def level_pressures(spark, sf_dir):
 @query("polygon_files", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 <> 9 THEN CAST(1 + s_suppkey % 2 AS INT) END AS contours, CASE WHEN s_suppkey % 10 <> 9 THEN CAST(4 + 3 * (s_suppkey % 2) AS INT) END AS vertices, CASE WHEN s_suppkey % 10 <> 9 THEN round((4e0 + s_suppkey % 7) * (3e0 + s_suppkey % 5) - CASE WHEN s_suppkey % 2 = 1 THEN 0.5e0 ELSE 0 END, 6) END AS area, s_suppkey % 10 = 9 AS broken FROM supplier")
 def polygon_files(spark, sf_dir):
     """A rectangle at each supplier, every second one with a triangle as its hole, written as a file each and read again; the texts of a tenth are cut off."""
-    s = points(read(spark, sf_dir, "supplier"), "s_suppkey").withColumns({"id": F.col("s_suppkey"), "w": F.lit(4.0) + F.col("s_suppkey") % 7, "h": F.lit(3.0) + F.col("s_suppkey") % 5})
+    s = read(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    s = points(s, "s_suppkey").withColumns({"id": F.col("s_suppkey"), "w": F.lit(4.0) + F.col("s_suppkey") % 7, "h": F.lit(3.0) + F.col("s_suppkey") % 5})
     x, y = F.col("lon"), F.col("lat")
     outer = F.struct(F.lit(False).alias("hole"), rings.rectangle(x, y, x + F.col("w"), y + F.col("h")).alias("pts"))
     inner = F.struct(F.lit(True).alias("hole"), F.array(rings.point(x + 1, y + 1), rings.point(x + 2, y + 1), rings.point(x + 1, y + 2)).alias("pts"))
@@ -155,7 +156,7 @@ def polygon_files(spark, sf_dir):
     path = f"{folder(spark)}/polygons-{uuid.uuid4().hex}"
     polygons.write(s.filter("id % 10 <> 9"), path)
     cut = s.filter("id % 10 = 9").withColumn("text", polygons.to_text(F.col("polygon"))).selectExpr("id", "left(text, length(text) - 24) AS text")
-    cut.write.mode("append").partitionBy("id").text(path)
+    polygons.write_texts(cut, path, "append")
     got, p = polygons.read(spark, path), F.col("polygon")
     return got.select(F.col("id").cast("bigint").alias("id"), F.when(p.isNotNull(), F.size(p)).alias("contours"), rings.vertex_count(p).alias("vertices"), r(rings.polygon_area(p)).alias("area"), F.col("error").isNotNull().alias("broken"))
 

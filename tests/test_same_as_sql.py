@@ -1,14 +1,18 @@
 """Queries on rows of which the small tables have none, against their SQL."""
 
+import os
 import random
 
 import duckdb
 import pyarrow as pa
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from isobar.functions import rings
 from isobar.operators import geometry
 from isobar.plans import registry
+from isobar.sources import polygons
 
 from .test_queries import plain
 
@@ -92,3 +96,23 @@ def test_rings_of_all_sizes_that_cross(spark):
     want = shapes.crossJoin(o).filter((F.col("sid") < F.col("other")) & rings.crosses(F.col("ring"), F.col("ring2"))).select("sid", "other").collect()
     got = geometry.crossings(shapes, "sid").collect()
     assert len(want) > 100 and sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_polygon_files_are_as_spark_would_find_them(spark, tmp_path):
+    """Written without Spark's own text files, but in the same folders: more files of an id, other modes, and ids and file names as Spark gives them."""
+    path, one = f"{tmp_path}/some polygons", "1\n3\n0\n0.0 0.0\n1.0 0.0\n0.0 1.0"
+    texts = lambda *rows: spark.createDataFrame(rows, "id long, text string").repartition(3)
+    polygons.write_texts(texts((1, one), (-2, one), (3, "1 3 0"), (4, None)), path)
+    assert not os.path.exists(f"{path}/_temporary") and os.path.exists(f"{path}/_SUCCESS")
+    with pytest.raises(AnalysisException):
+        polygons.write_texts(texts((1, one)), path)
+    polygons.write_texts(texts((1, one), (2**40, one)), path, "append")
+    want = spark.read.text(path, wholetext=True).selectExpr("id", "_metadata.file_path AS file")
+    got = polygons.read(spark, path)
+    assert got.schema["id"] == want.schema["id"] and sorted(got.select("id", "file").collect()) == sorted(want.collect())
+    assert sorted((r.id, r.error is None) for r in got.collect()) == [(-2, True), (1, True), (1, True), (3, False), (4, False), (2**40, True)]
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    polygons.write_texts(texts((7, one)), path, "overwrite")
+    assert [r.id for r in polygons.read(spark, path).collect()] == [7]
+    polygons.write_texts(spark.createDataFrame([("a b", one)], "id string, text string"), f"{tmp_path}/named")
+    assert [(r.id, r.error) for r in polygons.read(spark, f"{tmp_path}/named").collect()] == [("a b", None)]
